@@ -40,22 +40,19 @@ def resolve(name: str, prefixes: dict[str, str] = N.PREFIXES, default: str = N.D
     return prefixes[short] + local
 
 
-def resolve_column(name: Column, prefixes: DataFrame, default: str = N.DEFAULT_PREFIX):
-    """The same rule over a column: returns a function df -> df with `iri`, failing on an unknown prefix.
-
-    `prefixes(prefix, ns)` is configuration (a handful of rows), hence the broadcast.
-    """
-    def apply(df: DataFrame) -> DataFrame:
-        full = name.rlike("^(https?://|urn:)")
-        short = F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise(default)
-        local = F.when(name.contains(":"), F.expr("substr({0}, instr({0}, ':') + 1)".format("__name"))).otherwise(F.col("__name"))
-        d = df.withColumn("__name", name).withColumn("__short", F.when(~full, short)).withColumn("__local", local)
-        d = d.join(F.broadcast(prefixes.select(F.col("prefix").alias("__short"), "ns")), "__short", "left")
-        iri = (F.when(full, F.col("__name"))
-               .when(F.col("ns").isNotNull(), F.concat("ns", "__local"))
-               .otherwise(F.raise_error(F.concat(F.lit("unknown prefix in "), F.col("__name")))))
-        return d.withColumn("iri", iri).drop("__name", "__short", "__local", "ns")
-    return apply
+def resolve_names(df: DataFrame, col: str, prefixes: DataFrame, out: str = "iri",
+                  default: str = N.DEFAULT_PREFIX) -> DataFrame:
+    """`resolve` over a column of names; an unknown prefix fails the job. `prefixes(prefix, ns)` is configuration,
+    a handful of rows, hence the broadcast."""
+    name = F.col(col)
+    full = name.rlike("^(https?://|urn:)")
+    short = F.when(~full, F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise(default))
+    local = F.when(name.contains(":"), F.substr(name, F.instr(name, ":") + 1)).otherwise(name)
+    d = df.withColumn("__short", short)
+    d = d.join(F.broadcast(prefixes.select(F.col("prefix").alias("__short"), F.col("ns").alias("__ns"))), "__short", "left")
+    iri = (F.when(full, name).when(F.col("__ns").isNotNull(), F.concat("__ns", local))
+           .otherwise(F.raise_error(F.concat(F.lit("unknown prefix in "), name))))
+    return d.withColumn(out, iri).drop("__short", "__ns")
 
 
 def is_var(t) -> bool:
@@ -87,8 +84,6 @@ def pattern(q: DataFrame, s, p, o, g: str | None = None, kinds: bool = False) ->
     cols = [F.col("store"), *[c.alias(n) for n, c in out.items()]]
     if kinds and is_var(o):
         cols.append(F.concat_ws(" ", "o_kind", "dt").alias(f"{o[1:]}__kind"))
-    if is_var(o) and o in (s, p):
-        kinds = False
     return df.select(*cols)
 
 
@@ -339,13 +334,20 @@ def insert(q: DataFrame, new: DataFrame) -> DataFrame:
     return q.unionByName(new.select(*q.columns)).dropDuplicates(N.QUAD_COLS)
 
 
+def _anti(q: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of `q` without an equal row in `other`; an absent datatype equals an absent datatype."""
+    if "dt" not in on:
+        return q.join(other, on, "left_anti").select(*q.columns)
+    keys = [c for c in on if c != "dt"] + ["__dt"]
+    right = other.withColumn("__dt", F.coalesce("dt", F.lit(""))).select(*keys)
+    return q.withColumn("__dt", F.coalesce("dt", F.lit(""))).join(right, keys, "left_anti").select(*q.columns)
+
+
 def fresh_quads(q: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of `new` that `q` does not hold."""
-    n = new.select(*N.QUAD_COLS).dropDuplicates().withColumn("__dt", F.coalesce("dt", F.lit("")))
-    have = q.withColumn("__dt", F.coalesce("dt", F.lit("")))
-    return n.join(have, ["store", "s", "p", "o", "o_kind", "__dt", "g"], "left_anti").select(*N.QUAD_COLS)
+    return _anti(new.select(*N.QUAD_COLS).dropDuplicates(), q, N.QUAD_COLS)
 
 
 def delete_where(q: DataFrame, matched: DataFrame) -> DataFrame:
     """DELETE WHERE: quads matched on the columns `matched` carries go."""
-    return q.join(matched, shared_vars(matched, q), "left_anti").select(*q.columns)
+    return _anti(q, matched, shared_vars(matched, q))

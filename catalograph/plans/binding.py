@@ -190,14 +190,21 @@ class Binding:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def view(self, name: str) -> DataFrame:
+    @cached_property
+    def _views(self) -> dict[str, DataFrame]:
+        """Each view over this folder's tables. Temp views only carry names into the SQL texts: the frames are
+        resolved here, so a later binding of another folder does not change them."""
         for t in ("documents", "labels", "embeddings", "events", "region"):
             self.table(t).createOrReplaceTempView(t)
-        for t, sql in VIEWS.items():
-            if t == "quads":
-                break
-            self.spark.sql(sql).createOrReplaceTempView(t)
-        return self.spark.sql(VIEWS[name])
+        out = {}
+        for name, sql in VIEWS.items():
+            if name != "quads":
+                out[name] = self.spark.sql(sql)
+                out[name].createOrReplaceTempView(name)
+        return out
+
+    def view(self, name: str) -> DataFrame:
+        return self._views[name]
 
     media = cached_property(lambda self: self.view("m_media"))
     refs = cached_property(lambda self: self.view("m_refs"))
