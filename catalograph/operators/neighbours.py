@@ -141,9 +141,10 @@ def _ranked_pairs(k: int, id_type: str):
     schema = f"q string, gid string, first {id_type}, ids array<{id_type}>, score double"
 
     def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        ids = pa.list_(pa.field("element", ct.schema.field("ids").type.value_type))  # elements declared nullable
         if not len(qt) or not len(ct):
             return pa.table({"q": pa.array([], pa.string()), "gid": pa.array([], pa.string()),
-                             "first": ct["first"].slice(0, 0), "ids": ct["ids"].slice(0, 0), "score": pa.array([], pa.float64())})
+                             "first": ct["first"].slice(0, 0), "ids": pa.array([], ids), "score": pa.array([], pa.float64())})
         ct = ct.sort_by("first")
         s = np.round(unit_matrix(qt["vec"]) @ unit_matrix(ct["vec"]).T, 12)
         m = min(k, s.shape[1])
@@ -156,7 +157,7 @@ def _ranked_pairs(k: int, id_type: str):
         ok = rank < k
         row, col, score = row[ok], col[ok], score[ok]
         return pa.table({"q": qt["gid"].take(pa.array(row)), "gid": ct["gid"].take(pa.array(col)),
-                         "first": ct["first"].take(pa.array(col)), "ids": ct["ids"].take(pa.array(col)),
+                         "first": ct["first"].take(pa.array(col)), "ids": ct["ids"].take(pa.array(col)).cast(ids),
                          "score": pa.array(score)})
 
     return run, schema
