@@ -53,7 +53,7 @@ def _(b):
 LINK_EDITS = f"""
 links AS (SELECT e.event_id AS seq, CAST(e.event_id AS STRING) AS request, m.store, m.iri AS s, m.class, m.source, CASE e.event_type
   WHEN 'click' THEN concat('<cat/ImageSet/', m.source, '>') WHEN 'view' THEN '<cat/ImageSet/src1>' WHEN 'signup' THEN '<cat/VideoSet/src1>'
-  WHEN 'purchase' THEN concat('<cat/Image/', m.id, '>') ELSE '<copia/Moment/x1>' END AS target FROM events e JOIN m_media m ON m.n = e.user_id),
+  WHEN 'purchase' THEN concat('<cat/Image/', m.id, '>') ELSE '<other/Moment/x1>' END AS target FROM events e JOIN m_media m ON m.n = e.user_id),
 known AS (SELECT store, iri, class FROM m_media UNION ALL SELECT store, iri, class FROM m_sets),
 judged AS (SELECT l.*, concat('{N.BASE}', replace(replace(l.target, '<', ''), '>', '')) AS node, k.class AS tc FROM links l
   LEFT JOIN known k ON k.store = l.store AND k.iri = concat('{N.BASE}', replace(replace(l.target, '<', ''), '>', ''))),
@@ -65,7 +65,7 @@ def link_edits(b):
     return b.table("events").join(b.media, F.col("n") == F.col("user_id")).select(
         F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("request"), "store", F.col("iri").alias("s"), F.expr(
             """CASE event_type WHEN 'click' THEN concat('<cat/ImageSet/', source, '>') WHEN 'view' THEN '<cat/ImageSet/src1>'
-            WHEN 'signup' THEN '<cat/VideoSet/src1>' WHEN 'purchase' THEN concat('<cat/Image/', id, '>') ELSE '<copia/Moment/x1>' END""").alias("target"))
+            WHEN 'signup' THEN '<cat/VideoSet/src1>' WHEN 'purchase' THEN concat('<cat/Image/', id, '>') ELSE '<other/Moment/x1>' END""").alias("target"))
 
 
 @query("d11_add_links", f"""WITH {LINK_EDITS}
