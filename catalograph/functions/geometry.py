@@ -22,11 +22,11 @@ def plain(x: Column) -> Column:
 
 def points_text(points: Column, form=trimmed) -> Column:
     """[[x, y, …], …] to `x,y,…;x,y,…`."""
-    return F.array_join(F.transform(points, lambda p: F.array_join(F.transform(p, form), ",")), ";")
+    return F.array_join(F.transform(points, lambda p: F.array_join(F.transform(p, lambda x: form(x)), ",")), ";")
 
 
 def numbers_text(xs: Column, form=plain) -> Column:
-    return F.array_join(F.transform(xs, form), ",")
+    return F.array_join(F.transform(xs, lambda x: form(x)), ",")
 
 
 def parse_numbers(c: Column) -> Column:
@@ -36,4 +36,4 @@ def parse_numbers(c: Column) -> Column:
 def parse_points(c: Column) -> Column:
     """`x,y,c;…` back to an array of number arrays; blank text is no points."""
     return F.when(F.trim(c) == "", F.array().cast("array<array<double>>")).otherwise(
-        F.transform(F.split(c, ";"), parse_numbers))
+        F.transform(F.split(c, ";"), lambda p: parse_numbers(p)))

@@ -299,7 +299,7 @@ def _(b):
     lst = lambda p: F.coalesce(F.array_join(F.from_json(get(p), "array<string>"), "|"), F.lit(""))
     caps = F.from_json(get("$.captionData"), "array<struct<path:string>>")
     return d.select("store", "s", "created", get("$.mediaPath").alias("path"), lst("$.sceneObjects").alias("objects"),
-                    F.coalesce(F.size(caps), F.lit(0)).cast("bigint").alias("captions") if False else F.greatest(F.coalesce(F.size(caps), F.lit(0)), F.lit(0)).cast("bigint").alias("captions"),
+                    F.coalesce(F.size(caps), F.lit(0)).cast("bigint").alias("captions"),
                     F.get(caps, 0)["path"].alias("first_caption"), get("$.thumbnail.width").cast("bigint").alias("thumb"), lst("$.relatedToId").alias("related"))
 
 
@@ -393,7 +393,7 @@ WITH d AS (SELECT store, iri, created, source, n, CASE WHEN n % 3 = 1 THEN sourc
 hits AS (SELECT d.store, d.iri AS path, x.iri AS s FROM d JOIN m_media x ON x.store = d.store AND x.created = d.created WHERE d.moment IS NULL OR (d.n % 3 = 1 AND x.source = d.moment))
 SELECT store, path, min(s) AS s FROM hits GROUP BY store, path HAVING count(DISTINCT s) = 1""")
 def _(b):
-    dated = b.quads.filter(F.col("p") == N.v("createdDate")).withColumn("p", F.lit(N.v("mediaCreatedDate")))
+    dated = b.quads.filter((F.col("p") == N.v("createdDate")) & F.col("s").rlike("/(Image|Video)/")).withColumn("p", F.lit(N.v("mediaCreatedDate")))
     facts = b.media.select("store", F.col("iri").alias("path"), F.col("created").alias("media_created_date"), F.expr(
         "CASE WHEN n % 3 = 1 THEN source WHEN n % 3 = 2 THEN 'sha256:x' END").alias("moment"))
     return A.already_stored(b.quads.unionByName(dated), facts, N.DC + "subject", N.BASE + "moments/Moment/")
