@@ -54,21 +54,26 @@ def classes(q: DataFrame, *names: str) -> DataFrame:
 NUMBER = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
 
 
-def typed_literal(range_: Column, value: Column) -> tuple[Column, Column]:
-    """(text, datatype) of a JSON value for a declared range; text is NULL when the value does not fit."""
-    text, is_text = json_text(value), is_json_string(value)
+def with_literal(df: DataFrame, range_: Column, value: str = "value") -> DataFrame:
+    """Add `range`, `text` and `datatype` of a JSON value for its declared range; text is NULL when it does not fit.
+
+    The value is parsed once into a column of its own, which the checks then share.
+    """
+    raw = F.get_json_object(F.concat(F.lit('{"v":'), F.col(value), F.lit("}")), "$.v")
+    df = df.withColumns({"range": range_, "__raw": raw, "__str": is_json_string(F.col(value))}).withColumn("__text", F.trim("__raw"))
+    text, is_text, r = F.col("__text"), F.col("__str"), F.col("range")
     whole = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
     bounded = F.lit(None).cast("bigint")
     for name, (lo, hi) in N.BOUNDED_INTEGERS.items():
-        bounded = F.when((range_ == name) & whole.between(lo, hi), whole).otherwise(bounded)
-    out = (F.when(range_ == "integer", whole.cast("string"))
-           .when(range_ == "boolean", F.when(text.isin("true", "false"), text))
-           .when(range_ == "decimal", F.when(text.rlike(NUMBER), text))
-           .when(range_ == "dateTime", F.when(is_text & is_zoned_date(text), text))
-           .when(range_ == "string", F.when(is_text, F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")))
+        bounded = F.when((r == name) & whole.between(lo, hi), whole).otherwise(bounded)
+    out = (F.when(r == "integer", whole.cast("string"))
+           .when(r == "boolean", F.when(text.isin("true", "false"), text))
+           .when(r == "decimal", F.when(text.rlike(NUMBER), text))
+           .when(r == "dateTime", F.when(is_text & is_zoned_date(text), text))
+           .when(r == "string", F.when(is_text, F.col("__raw")))
            .otherwise(bounded.cast("string")))
-    kind = F.when(range_.isin("integer", "boolean", "decimal", "dateTime"), range_).when(range_ != "string", "integer")
-    return out, F.concat(F.lit(N.XSD), kind)
+    kind = F.when(r.isin("integer", "boolean", "decimal", "dateTime"), r).when(r != "string", "integer")
+    return df.withColumns({"text": out, "datatype": F.concat(F.lit(N.XSD), kind)}).drop("__raw", "__str", "__text")
 
 
 def _range_of(key: Column, fields: dict[str, str]) -> Column:
@@ -109,11 +114,10 @@ def set_fields(q: DataFrame, edits: DataFrame, fields: dict[str, str] | None = N
     media = classes(q, "Image", "Video", "Media")
     rows = edits.join(media, ["store", "s"], "left")
     is_link = F.col("key") == "relatedToId"
-    text, dt = typed_literal(_range_of(F.col("key"), fields), F.col("value"))
-    plain = rows.filter(~is_link).select(
-        "request", "seq", "store", "s", "key", text.alias("o"), F.lit("literal").alias("o_kind"), dt.alias("dt"),
-        F.when(F.col("class").isNull(), "id not found").when(_range_of(F.col("key"), fields).isNull(), "not settable")
-        .when(text.isNull(), "invalid value").alias("reason"))
+    plain = with_literal(rows.filter(~is_link), _range_of(F.col("key"), fields)).select(
+        "request", "seq", "store", "s", "key", F.col("text").alias("o"), F.lit("literal").alias("o_kind"), F.col("datatype").alias("dt"),
+        F.when(F.col("class").isNull(), "id not found").when(F.col("range").isNull(), "not settable")
+        .when(F.col("text").isNull(), "invalid value").alias("reason"))
     links = judge_links(q, rows.filter(is_link).select("request", "seq", "store", "s", "class", "key", F.explode(link_targets(F.col("value"))).alias("target")))
     links = links.select("request", "seq", "store", "s", "key", F.col("node").alias("o"), F.lit("iri").alias("o_kind"),
                          F.lit(None).cast("string").alias("dt"),

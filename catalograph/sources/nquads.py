@@ -23,17 +23,19 @@ def _unescape(c: Column) -> Column:
 
 def parse_lines(lines: DataFrame, col: str = "value", store: Column | None = None) -> DataFrame:
     """Quads of text lines; blank and comment lines pass, a malformed line fails the read. Other columns stay."""
-    part = lambda i: F.regexp_extract(col, LINE, i)
-    ok = F.col(col).rlike(LINE)
-    df = lines.filter(~F.col(col).rlike("^\\s*(#.*)?$"))
-    s = F.when(~ok, F.raise_error(F.concat(F.lit("malformed N-Quads line: "), F.col(col)))).otherwise(F.concat(part(1), part(2)))
-    kind = F.when(part(4) != "", "iri").when(part(5) != "", "bnode").otherwise("literal")
-    o = F.when(kind == "literal", _unescape(part(6))).otherwise(F.concat(part(4), part(5)))
+    # One regex pass a line: the groups come out as one delimited text, the literal last so that it may hold anything.
+    groups = F.split(F.regexp_replace(col, LINE, "$1$2\u0001$3\u0001$4\u0001$5\u0001$7\u0001$8\u0001$9\u0001$6"), "\u0001", 8)
+    df = lines.filter(~F.col(col).rlike("^\\s*(#.*)?$")).withColumn("__t", groups)
+    df = df.withColumn("__t", F.when(F.size("__t") == 8, F.col("__t")).otherwise(
+        F.raise_error(F.concat(F.lit("malformed N-Quads line: "), F.col(col))).cast("array<string>")))
+    part = lambda i: F.col("__t")[i]
+    kind = F.when(part(2) != "", "iri").when(part(3) != "", "bnode").otherwise("literal")
+    o = F.when(kind == "literal", _unescape(part(7))).otherwise(F.concat(part(2), part(3)))
     keep = [c for c in lines.columns if c not in (col, "store")]
     st = store if store is not None else (F.col("store") if "store" in lines.columns else F.lit(None).cast("string"))
-    dt = F.when(part(8) != "", F.concat(F.lit(N.RDF + "langString@"), part(8))).otherwise(F.nullif(part(7), F.lit("")))
-    return df.select(st.alias("store"), s.alias("s"), part(3).alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("dt"),
-                     F.nullif(part(9), F.lit("")).alias("g"), *keep)
+    dt = F.when(part(5) != "", F.concat(F.lit(N.RDF + "langString@"), part(5))).otherwise(F.nullif(part(4), F.lit("")))
+    return df.select(st.alias("store"), part(0).alias("s"), part(1).alias("p"), o.alias("o"), kind.alias("o_kind"), dt.alias("dt"),
+                     F.nullif(part(6), F.lit("")).alias("g"), *keep)
 
 
 def read_nquads(spark: SparkSession, paths: str | list[str], store: str | None = None) -> DataFrame:

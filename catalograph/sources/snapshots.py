@@ -26,11 +26,15 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def write_snapshot(quads: DataFrame, root: str) -> int:
-    """Write the next version and return its number. Rows are sorted by subject inside a file, so Parquet's
-    min/max lets a subject lookup skip row groups."""
+    """Write the next version and return its number.
+
+    Rows are rebalanced by predicate first: AQE cuts a big predicate into files of the advisory size and packs small ones,
+    where a plain partitioned write would leave a file per task and predicate. Inside a file rows are sorted by subject, so
+    Parquet's min/max lets a subject lookup skip row groups.
+    """
     spark = quads.sparkSession
     version = (_versions(spark, root) or [0])[-1] + 1
-    (quads.select(*N.QUAD_COLS).sortWithinPartitions("p", "s")
+    (quads.select(*N.QUAD_COLS).hint("rebalance", "p").sortWithinPartitions("p", "s")
      .write.mode("errorifexists").partitionBy("p").parquet(f"{root}/v={version}"))
     return version
 
