@@ -194,7 +194,7 @@ def add_statements(q: DataFrame, statements: DataFrame) -> Change:
     return Change(new, None, report.join(blocks, ["store", "media"]))
 
 
-def describe_facts(q: DataFrame, facts: DataFrame, prefixes: DataFrame) -> Change:
+def describe_facts(q: DataFrame, facts: DataFrame, prefixes: dict[str, str] = N.PREFIXES) -> Change:
     """Append caller facts `(store, s, name, values)`. A name that does not resolve fails the whole call."""
     rows = P.resolve_names(facts, "name", prefixes, "p").select("store", "s", "p", F.explode("values").alias("o"))
     new = P.fresh_quads(q, rows.select(*quad(F.col("store"), F.col("s"), F.col("p"), F.col("o"))))

@@ -40,19 +40,15 @@ def resolve(name: str, prefixes: dict[str, str] = N.PREFIXES, default: str = N.D
     return prefixes[short] + local
 
 
-def resolve_names(df: DataFrame, col: str, prefixes: DataFrame, out: str = "iri",
+def resolve_names(df: DataFrame, col: str, prefixes: dict[str, str] = N.PREFIXES, out: str = "iri",
                   default: str = N.DEFAULT_PREFIX) -> DataFrame:
-    """`resolve` over a column of names; an unknown prefix fails the job. `prefixes(prefix, ns)` is configuration,
-    a handful of rows, hence the broadcast."""
+    """`resolve` over a column of names; an unknown prefix fails the job. Prefixes are configuration: a literal map."""
     name = F.col(col)
-    full = name.rlike("^(https?://|urn:)")
-    short = F.when(~full, F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise(default))
+    short = F.when(name.contains(":"), F.substring_index(name, ":", 1)).otherwise(default)
     local = F.when(name.contains(":"), F.substr(name, F.instr(name, ":") + 1)).otherwise(name)
-    d = df.withColumn("__short", short)
-    d = d.join(F.broadcast(prefixes.select(F.col("prefix").alias("__short"), F.col("ns").alias("__ns"))), "__short", "left")
-    iri = (F.when(full, name).when(F.col("__ns").isNotNull(), F.concat("__ns", local))
-           .otherwise(F.raise_error(F.concat(F.lit("unknown prefix in "), name))))
-    return d.withColumn(out, iri).drop("__short", "__ns")
+    ns = F.try_element_at(F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv]), short)
+    return df.withColumn(out, F.when(name.rlike("^(https?://|urn:)"), name).when(ns.isNotNull(), F.concat(ns, local))
+                         .otherwise(F.raise_error(F.concat(F.lit("unknown prefix in "), name))))
 
 
 def is_var(t) -> bool:

@@ -149,8 +149,7 @@ def _(b):
     facts = b.table("labels").join(b.media.select("store", "iri", F.col("n").alias("doc_id")), "doc_id").select(
         "store", F.col("iri").alias("s"), F.lit("description").alias("name"),
         F.array(F.concat(F.lit("quality "), F.col("quality").cast("string")), F.concat(F.lit("toxic "), F.col("toxic").cast("string"))).alias("values"))
-    prefixes = b.spark.createDataFrame(list(N.PREFIXES.items()), "prefix string, ns string")
-    return D.describe_facts(b.quads, facts, prefixes).added.select("store", "s", "p", "o")
+    return D.describe_facts(b.quads, facts).added.select("store", "s", "p", "o")
 
 
 def labelled(b):

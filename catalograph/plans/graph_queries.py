@@ -212,12 +212,10 @@ def _(b):
 SELECT event_id, CASE event_type WHEN 'click' THEN '{V}click' WHEN 'view' THEN '{N.DC}view'
   WHEN 'error' THEN 'urn:x:error' ELSE concat('{V}', event_type) END AS iri FROM events""")
 def _(b):
-    spark = b.spark
-    prefixes = spark.createDataFrame(list(N.PREFIXES.items()), "prefix string, ns string")
     named = b.table("events").select("event_id", F.expr(
         "CASE event_type WHEN 'click' THEN 'cat:click' WHEN 'view' THEN 'dc:view' WHEN 'error' THEN 'urn:x:error' "
         "ELSE event_type END").alias("name"))
-    return P.resolve_names(named, "name", prefixes).drop("name")
+    return P.resolve_names(named, "name").drop("name")
 
 
 @query("g24_delete_where", f"""

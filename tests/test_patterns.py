@@ -19,9 +19,8 @@ def test_names_resolve_and_unknown_prefixes_fail(spark):
     with pytest.raises(ValueError, match="unknown prefix"):
         P.resolve("nope:x")
     df = spark.createDataFrame([("nope:x",)], "name string")
-    prefixes = spark.createDataFrame(list(N.PREFIXES.items()), "prefix string, ns string")
     with pytest.raises(Exception, match="unknown prefix"):
-        P.resolve_names(df, "name", prefixes).collect()
+        P.resolve_names(df, "name").collect()
 
 
 def test_repeated_variable_is_an_equality(quads):
