@@ -14,6 +14,7 @@ matrices and emits at most k rows a query, or, for groups, a spanning forest; ne
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -25,8 +26,9 @@ from catalograph.functions.similarity import as_double, norm
 from catalograph.operators.vectors import top_per_key
 from catalograph.session import cut_lineage
 
-BLOCK = 2048
-MAX_PIVOTS = 512
+BLOCK = 2048  # rows a side: a task's score matrix is 32 MB; larger blocks shuffle fewer copies
+MAX_PIVOTS = 4096  # the pivots go to every task: 4096 vectors of 512 floats are 16 MB
+SLICE = 1024  # rows scored against all pivots at a time
 EPS = 1e-9
 
 
@@ -87,38 +89,35 @@ def _visits(queries: DataFrame, pivots: np.ndarray, stats, keep: list[str], own:
     """Each query once per cell that may hold a vector within its `bound` (`target`). With `upward` a query visits
     only cells after its own, so a pair is met once."""
     n, lo, hi = stats
-    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots @ pivots.T)))
     schema = queries.select(*keep).schema.add("target", T.IntegerType())
     full = np.nonzero(n)[0]
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u = unit_matrix(b.column(b.schema.get_field_index("vec")))
-            cell = np.asarray(b.column(b.schema.get_field_index("cell")))
-            bound = np.asarray(b.column(b.schema.get_field_index("bound")), dtype="f8")
-            d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots.T)))
-            mine = d[np.arange(len(u)), cell]
-            low = np.maximum(d - hi, lo - d)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - (mine * mine)[:, None]) / (2 * gap[cell])
-            low = np.maximum(low, np.where(np.isfinite(plane), plane, 0.0))[:, full]
-            hit = low <= bound[:, None] + EPS
-            hit[full[None, :] == cell[:, None]] = own
-            if upward:
-                hit &= full[None, :] >= cell[:, None]
-            row, col = np.nonzero(hit)
-            idx = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(b.schema.get_field_index(c)).take(idx) for c in keep], pa.array(full[col].astype("i4"))],
-                names=[*keep, "target"])
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                column = lambda c: b.column(b.schema.get_field_index(c))
+                u, cell = unit_matrix(column("vec")), np.asarray(column("cell"))
+                bound = np.asarray(column("bound"), dtype="f8")
+                d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots.T)))
+                mine = d[np.arange(len(u)), cell]
+                gap = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots[cell] @ pivots.T)))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    plane = (d * d - (mine * mine)[:, None]) / (2 * gap)
+                low = np.maximum(np.maximum(d - hi, lo - d), np.where(gap > 0, plane, 0.0))[:, full]
+                hit = low <= bound[:, None] + EPS
+                hit[full[None, :] == cell[:, None]] = own
+                if upward:
+                    hit &= full[None, :] >= cell[:, None]
+                row, col = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [*[column(c).take(pa.array(row)) for c in keep], pa.array(full[col].astype("i4"))], names=[*keep, "target"])
 
     return queries.mapInArrow(run, schema)
 
 
 def _at(values: np.ndarray, cell: str) -> Column:
-    return F.get(F.array(*[F.lit(int(x)) for x in values]), F.col(cell))
+    """The value of a row's cell, out of one literal array."""
+    return F.get(F.from_json(F.lit(json.dumps([int(x) for x in values])), "array<int>"), F.col(cell))
 
 
 def _block_pairs(queries: DataFrame, cands: DataFrame, cand_rows: np.ndarray, block: int, run, schema: str) -> DataFrame:

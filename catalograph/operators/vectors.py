@@ -9,6 +9,7 @@ from catalograph.functions.similarity import as_double, cosine, cosine_to
 from catalograph.functions.text import bare_id
 from catalograph.operators import patterns as P
 from catalograph.operators.sizes import small
+from catalograph.session import cut_lineage
 
 
 def _dim_checked(vec: Column, dim: Column, score: Column) -> Column:
@@ -21,30 +22,37 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), "key_id").limit(k)
 
 
+def _named(rows: DataFrame, *cols: Column | str) -> DataFrame:
+    """Score columns, with the IRI where a gate brought one."""
+    return rows.select("key_id", *(["iri"] if "iri" in rows.columns else []), *cols)
+
+
 def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "native") -> DataFrame:
     """The k most similar rows of an index to a given vector."""
     rows = vectors.filter(F.col("model") == model)
     if exclude is not None:
         rows = rows.filter(F.col("key_id") != exclude)
     score = _dim_checked(F.col("vec"), F.lit(len(query)), cosine_to(F.col("vec"), query, engine))
-    return _top(rows.select("key_id", score.alias("score")), k)
+    return _top(_named(rows, score.alias("score")), k)
 
 
 def gate_images(q: DataFrame, where: DataFrame) -> DataFrame:
-    """Keys of the images a pattern admits: its distinct `?s`, which must also be typed Image."""
+    """(store, key_id, iri) of the images a pattern admits: its distinct `?s`, which must also be typed Image."""
     images = P.pattern(q, "?s", N.RDF_TYPE, "Image")
-    return P.where_exists(P.distinct(where, "store", "s"), images).select("store", bare_id(F.col("s")).alias("key_id"))
+    admitted = P.where_exists(P.distinct(where, "store", "s"), images)
+    return admitted.select("store", bare_id(F.col("s")).alias("key_id"), F.col("s").alias("iri"))
 
 
-def _gated(rows: DataFrame, gate: DataFrame, outside: bool) -> DataFrame:
-    return rows.join(gate, P.shared_vars(gate, rows), "left_anti" if outside else "left_semi")
+def _gated(rows: DataFrame, gate: DataFrame) -> DataFrame:
+    """Rows the gate admits. The gate holds a key once, so the join that brings the IRI along multiplies nothing."""
+    return rows.join(gate, P.shared_vars(gate, rows), "inner")
 
 
 def hybrid(q: DataFrame, vectors: DataFrame, where: DataFrame | None, model: str, query: list[float], k: int = 10,
            exclude=None, engine: str = "native") -> DataFrame:
-    """A graph pattern gates, cosine ranks. The semi join runs before scoring, so only admitted rows are scored and
-    an empty gate is an empty answer. Without a pattern there is no graph pass at all."""
-    rows = vectors if where is None else _gated(vectors, gate_images(q, where), outside=False)
+    """A graph pattern gates, cosine ranks: `(key_id, iri, score)`. The gate joins before scoring, so only admitted
+    rows are scored and an empty gate is an empty answer. Without a pattern there is no graph pass at all."""
+    rows = vectors if where is None else _gated(vectors.filter(F.col("model") == model), gate_images(q, where))
     return knn(rows, model, query, k, exclude, engine)
 
 
@@ -53,7 +61,7 @@ def _like(vectors: DataFrame, rows: DataFrame, model: str, id_, k: int) -> DataF
              .select("model", as_double(F.col("vec")).alias("__q")).limit(1))
     rows = rows.filter((F.col("model") == model) & (F.col("key_id") != id_)).join(F.broadcast(asked), "model")
     v, w = as_double(F.col("vec")), F.col("__q")
-    return _top(rows.select("key_id", _dim_checked(F.col("vec"), F.size(w), cosine(v, w)).alias("score")), k)
+    return _top(_named(rows, _dim_checked(F.col("vec"), F.size(w), cosine(v, w)).alias("score")), k)
 
 
 def knn_like(vectors: DataFrame, model: str, id_, k: int = 10) -> DataFrame:
@@ -67,12 +75,15 @@ def hybrid_like(q: DataFrame, vectors: DataFrame, where: DataFrame, model: str,
     if outside:
         everything = P.pattern(q, "?s", N.RDF_TYPE, "Image")
         where = P.where_not_exists(everything, P.distinct(where, "store", "s"))
-    return _like(vectors, _gated(vectors, gate_images(q, where), outside=False), model, id_, k)
+    return _like(vectors, _gated(vectors, gate_images(q, where)), model, id_, k)
 
 
 def with_iri(hits: DataFrame, media: DataFrame) -> DataFrame:
-    """Add each hit's IRI: joined after the limit, so at most k rows look up."""
-    return hits.join(media.select(F.col("id").alias("key_id"), "iri"), "key_id", "left")
+    """Add each hit's IRI, NULL where the table has none: the k hits are broadcast to the media, never the media
+    shuffled to the hits."""
+    hits = cut_lineage(hits)
+    found = media.select(F.col("id").alias("key_id"), "iri").join(F.broadcast(hits.select("key_id")), "key_id")
+    return hits.join(F.broadcast(found), "key_id", "left")
 
 
 def knn_children(vectors: DataFrame, owners: DataFrame, model: str, id_, k: int = 10) -> DataFrame:

@@ -44,7 +44,7 @@ JOIN m_media m ON m.n = b.key_id WHERE m.class = 'Image' AND m.lang = 'en' AND m
 def _(b):
     where = P.pattern(b.quads, "?s", "sceneObjects", P.literal("en"))
     hits = X.hybrid(b.quads, keyed(b), where, MODEL, query_vector(b), 10, exclude="0")
-    return X.with_iri(hits, b.media).select("key_id", "iri", F.round("score", 6).alias("score"))
+    return hits.select("key_id", "iri", F.round("score", 6).alias("score"))
 
 
 @query("v2_hybrid_outside_set", f"""
@@ -61,6 +61,14 @@ def _(b):
     return scored(X.knn_like(b.vectors, MODEL, 7))
 
 
+@query("v3_knn_like_with_iri", f"""
+SELECT h.key_id, m.iri, round(h.score, 6) AS score FROM (SELECT CAST(b.key_id AS STRING) AS key_id, {COS} AS score FROM m_vectors b JOIN m_vectors a ON a.key_id = 7
+  WHERE b.key_id <> 7 ORDER BY 2 DESC, 1 LIMIT 10) h LEFT JOIN m_media m ON m.id = h.key_id""")
+def _(b):
+    hits = X.with_iri(X.knn_like(keyed(b), MODEL, "7"), b.media)
+    return hits.select("key_id", "iri", F.round("score", 6).alias("score"))
+
+
 @query("v5_knn_children", f"""
 SELECT h.key_id, m.iri AS owner, round(h.score, 6) AS score FROM (SELECT b.key_id, {COS} AS score FROM m_vectors b JOIN m_vectors a ON a.key_id = 3
   WHERE b.key_id <> 3 ORDER BY 2 DESC, 1 LIMIT 15) h JOIN m_media m ON m.n = h.key_id % 100 AND m.class = 'Image'""")

@@ -102,8 +102,8 @@ def test_sets(spark, q):
     assert {r.id: r.status for r in c.report.collect()} == {"fresh": "made", "a": "taken", "v1": "taken", "bad id": "invalid id", "twice": "asked for twice"}
     assert sorted(r.p.rsplit("/", 1)[-1].rsplit("#")[-1] for r in c.added.collect()) == ["createdDate", "id", "type", "updatedDate"]
     assert [r.member for r in C.members(q, "st0001", S1).collect()] == [A]
-    with pytest.raises(Exception, match="set not found"):
-        C.members(q, "st0001", N.MEDIA_NS + "ImageSet/none").collect()
+    with pytest.raises(LookupError, match="set not found"):
+        C.members(q, "st0001", N.MEDIA_NS + "ImageSet/none")
     gone = C.delete_set(q, spark.createDataFrame([("st0001", S1)], "store string, iri string"))
     assert [r.member for r in gone.report.collect()] == [A]
     assert gone.apply(q).filter((F.col("s") == S1) | (F.col("o") == S1)).count() == 0
