@@ -25,18 +25,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def cosine_to(vec: Column, query: list[float], engine: str = "native") -> Column:
-    """Cosine against one fixed vector.
+def cosine_to(vec: Column, query: list[float], engine: str = "arrow") -> Column:
+    """Cosine against one fixed vector; NULL for vectors of norm zero.
 
-    ``native`` stays in the JVM (no Python worker; best up to a few million short vectors).
-    ``arrow`` multiplies Arrow batches in numpy: measured here at 200k vectors of 64 floats, 0.48 s against
-    0.87 s native, and the gap widens with the dimension.
+    ``arrow`` multiplies Arrow batches in numpy, ``native`` stays in the JVM without a Python worker. Measured here on a
+    top 10 of 200k vectors of 64 floats: 0.95 s against 2.6 s, and the gap widens with the dimension, because array
+    functions run interpreted, a boxed number at a time.
     """
-    if engine == "native":
-        q = F.array(*[F.lit(float(x)) for x in query])
-        return cosine(as_double(vec), q)
     q = np.asarray(query, dtype="f8")
     q = q / (np.linalg.norm(q) or 1.0)
+    if engine == "native":
+        v = as_double(vec)
+        return F.when(norm(v) > 0, dot(v, F.array(*[F.lit(float(x)) for x in q])) / norm(v))
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:

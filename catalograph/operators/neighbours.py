@@ -300,16 +300,17 @@ class CellIndex:
 def build_cells(vectors: DataFrame, model: str, n_cells: int | None = None, seed: int = 7) -> CellIndex:
     """Train k-means on a sample (the quantiser only; every row is indexed) and assign every row to a cell."""
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
     rows = vectors.filter(F.col("model") == model).select("model", "key_id", "vec")
     n = rows.count()
     n_cells = n_cells or max(1, min(4096, math.isqrt(n)))
-    unit = F.transform(as_double(F.col("vec")), lambda x: x / norm(as_double(F.col("vec"))))
-    train = rows.filter(norm(as_double(F.col("vec"))) > 0).select(array_to_vector(unit).alias("features"))
-    share = min(1.0, 256 * n_cells / max(1, n))
-    train = train if share == 1.0 else train.sample(share, seed=seed)
-    fit = KMeans(k=n_cells, seed=seed, maxIter=8).fit(train)
+    share = min(1.0, 64 * n_cells / max(1, n))
+    sample = rows if share == 1.0 else rows.sample(share, seed=seed)
+    raw = sample.filter(norm(as_double(F.col("vec"))) > 0).select(array_to_vector(as_double(F.col("vec"))).alias("raw"))
+    train = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
+    fit = KMeans(k=n_cells, seed=seed, maxIter=6, initMode="random").fit(train)
     centroids = np.array(fit.clusterCenters())
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     celled = cut_lineage(_assign(rows, centroids).drop("r"))
@@ -326,7 +327,7 @@ def search_effort(k: int, selectivity: float | None, floor: int, ceiling: int) -
 
 
 def knn_approx(index: CellIndex, model: str, query: list[float], k: int = 10, gate: DataFrame | None = None,
-               effort: int | None = None, engine: str = "native") -> DataFrame:
+               effort: int | None = None, engine: str = "arrow") -> DataFrame:
     """Approximate kNN: the cells nearest the query until they hold `effort` rows, then an exact rerank."""
     from catalograph.names import SEARCH_EF
     from catalograph.operators.vectors import knn

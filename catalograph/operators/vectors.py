@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalograph import names as N
-from catalograph.functions.similarity import as_double, cosine, cosine_to
+from catalograph.functions.similarity import cosine_to
 from catalograph.functions.text import bare_id
 from catalograph.operators import patterns as P
 from catalograph.operators.sizes import small
@@ -27,7 +27,7 @@ def _named(rows: DataFrame, *cols: Column | str) -> DataFrame:
     return rows.select("key_id", *(["iri"] if "iri" in rows.columns else []), *cols)
 
 
-def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "native") -> DataFrame:
+def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "arrow") -> DataFrame:
     """The k most similar rows of an index to a given vector."""
     rows = vectors.filter(F.col("model") == model)
     if exclude is not None:
@@ -49,7 +49,7 @@ def _gated(rows: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def hybrid(q: DataFrame, vectors: DataFrame, where: DataFrame | None, model: str, query: list[float], k: int = 10,
-           exclude=None, engine: str = "native") -> DataFrame:
+           exclude=None, engine: str = "arrow") -> DataFrame:
     """A graph pattern gates, cosine ranks: `(key_id, iri, score)`. The gate joins before scoring, so only admitted
     rows are scored and an empty gate is an empty answer. Without a pattern there is no graph pass at all."""
     rows = vectors if where is None else _gated(vectors.filter(F.col("model") == model), gate_images(q, where))
@@ -57,15 +57,15 @@ def hybrid(q: DataFrame, vectors: DataFrame, where: DataFrame | None, model: str
 
 
 def _like(vectors: DataFrame, rows: DataFrame, model: str, id_, k: int) -> DataFrame:
-    asked = (vectors.filter((F.col("model") == model) & (F.col("key_id") == id_))
-             .select("model", as_double(F.col("vec")).alias("__q")).limit(1))
-    rows = rows.filter((F.col("model") == model) & (F.col("key_id") != id_)).join(F.broadcast(asked), "model")
-    v, w = as_double(F.col("vec")), F.col("__q")
-    return _top(_named(rows, _dim_checked(F.col("vec"), F.size(w), cosine(v, w)).alias("score")), k)
+    """Search with a stored vector: its one row is read first, as a client's vector would come; none, no hits."""
+    asked = stored_vector(vectors, model, id_).first()
+    if asked is None:
+        return knn(rows.limit(0), model, [0.0], k)
+    return knn(rows, model, list(asked.vec), k, exclude=id_)
 
 
 def knn_like(vectors: DataFrame, model: str, id_, k: int = 10) -> DataFrame:
-    """Neighbours of a stored item, itself left out. The query is a one-row side: always small enough to broadcast."""
+    """Neighbours of a stored item, itself left out."""
     return _like(vectors, vectors, model, id_, k)
 
 

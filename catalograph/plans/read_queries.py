@@ -14,7 +14,7 @@ work AS (SELECT *, n % 4 <> 0 AS has_long, CASE WHEN n % 11 = 0 THEN updated END
 def work(b):
     """Media rows as the work list reads them."""
     return b.media.select("store", "id", "n", "iri", "class", "media_path", "media_type", "created",
-                          F.expr("long_caption IS NOT NULL").alias("has_long_caption"),
+                          F.expr("short_caption IS NOT NULL").alias("has_long_caption"),
                           F.expr("n % 4 <> 0").alias("has_scene_objects"),
                           F.expr("CASE WHEN n % 11 = 0 THEN updated END").alias("complete"))
 

@@ -416,5 +416,6 @@ def _(b):
     q, p = b.quads, F.col("p")
     extra = q.filter(p == N.v("updatedDate")).join(D.classes(q, "Image", "Video"), ["store", "s"], "left_semi").withColumn("p", F.lit(N.v("createdDate")))
     moved = q.filter(p == N.v("mediaType")).withColumn("p", F.lit(N.v("width"))).withColumn("o", F.length("o").cast("string"))
-    bent = q.filter(p != N.v("mediaType")).unionByName(extra.select(*N.QUAD_COLS)).unionByName(moved).dropDuplicates(N.QUAD_COLS)
+    widths = q.filter(p == N.v("width")).unionByName(moved).dropDuplicates(N.QUAD_COLS)
+    bent = q.filter(~p.isin(N.v("mediaType"), N.v("width"))).unionByName(extra.select(*N.QUAD_COLS)).unionByName(widths)
     return A.audit_cardinality(bent)

@@ -32,10 +32,10 @@ def _(b):
     return scored(X.knn(b.vectors, MODEL, query_vector(b)))
 
 
-@query("v1_knn_arrow", f"""
+@query("v1_knn_native", f"""
 SELECT b.key_id, round({COS}, 6) AS score FROM m_vectors b JOIN m_vectors a ON a.key_id = 0 ORDER BY {COS} DESC, b.key_id LIMIT 25""")
 def _(b):
-    return scored(X.knn(b.vectors, MODEL, query_vector(b), 25, engine="arrow"))
+    return scored(X.knn(b.vectors, MODEL, query_vector(b), 25, engine="native"))
 
 
 @query("v2_hybrid_search", f"""
