@@ -40,10 +40,14 @@ def cosine_to(vec: Column, query: list[float], engine: str = "arrow") -> Column:
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:
-        m = np.asarray(batch.flatten(), dtype="f8").reshape(len(batch), -1)
-        n = np.linalg.norm(m, axis=1)
+        there = batch.is_valid().to_numpy(zero_copy_only=False)
+        sizes = batch.value_lengths().to_numpy(zero_copy_only=False)[there]
+        if (sizes != len(q)).any():
+            raise ValueError(f"query dim {len(q)} does not match index dim {int(sizes[sizes != len(q)][0])}")
+        m = np.asarray(batch.flatten(), dtype="f8").reshape(-1, len(q))
+        n, s = np.linalg.norm(m, axis=1), np.full(len(batch), np.nan)
         with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.where(n > 0, m @ q / n, np.nan)
-        return pa.array(s, mask=~(n > 0))
+            s[there] = np.where(n > 0, m @ q / n, np.nan)
+        return pa.array(s, mask=np.isnan(s))
 
     return score(vec)
