@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session with no such setting gets a folder of its own; on a cluster a machine-local
     folder would vanish with the machine, so a missing setting is an error there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
