@@ -85,7 +85,7 @@ class Encoder:
             pass
         if len(ids) > CACHE:
             ids.clear()
-        new = list(set(cut) - ids.keys())
+        new = [p for p in set(cut) if p not in ids]
         ids.update(zip(new, map(_pack, self.alone(new)), strict=True))
         return b"".join(map(ids.__getitem__, cut))
 

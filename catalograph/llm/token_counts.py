@@ -43,11 +43,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
         for b in steps(batches):
             texts = b.column(1).to_pylist()
             cuts = [enc.pre_tokens(t) if enc.plain(t) else None for t in texts]
-            rest = {p for c in cuts if c is not None for p in c} - size.keys()
-            if len(size) + len(rest) > CACHE:
+            if len(size) > CACHE:
                 size = dict.fromkeys(proven.value, 1)
-                rest = {p for c in cuts if c is not None for p in c} - size.keys()
-            new = list(rest)
+            new = [p for p in {p for c in cuts if c is not None for p in c} if p not in size]
             size.update(zip(new, map(len, enc.alone(new)), strict=True))
             counts = [sum(map(size.__getitem__, c)) if c is not None else len(enc.library.encode(t, add_special_tokens=False).ids)
                       for t, c in zip(texts, cuts, strict=True)]
