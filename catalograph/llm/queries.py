@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalograph.llm import packing, sharding, token_counts, token_files
+from catalograph.llm import decontam, packing, quality_rules, secrets, sharding, token_counts, token_files
 from catalograph.llm.tables import documents, text_or_empty, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,23 @@ def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), limit=512)
+
+
+@_register
+def op2_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_register
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+@_register
+def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(documents(spark, sf_dir), ["doc_id"])
+
+
+ORACLES["op2_benchmark_containment"] = decontam.ORACLE
+ORACLES["op8_secret_ledger"] = secrets.ORACLE
+ORACLES["op9_host_quality_rules"] = quality_rules.ORACLE
