@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalograph.llm import decontam, packing, quality_rules, secrets, sharding, token_counts, token_files
+from catalograph.llm import decontam, packing, quality_rules, secrets, sharding, simhash, token_counts, token_files
 from catalograph.llm.tables import documents, text_or_empty, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+@_register
+def op5_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
 @_register
 def op6_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(documents(spark, sf_dir), token_files.new_folder(spark)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from catalograph.llm.tables import text_or_empty
@@ -40,7 +40,7 @@ RULES = (
 )
 
 HIT = "array<struct<head:int,len:int,value:int>>"
-LEDGER = T.StructType.fromDDL(f"blob binary, rules array<string>, hits array<struct<rule:string,found:{HIT}>>")
+LEDGER = f"blob binary, rules array<string>, hits array<struct<rule:string,found:{HIT}>>"
 
 
 def blob_of(text: str = "text") -> Column:
