@@ -61,28 +61,28 @@ class Ledger:
         self.spark, self.folder = spark, folder
 
     def rows(self) -> DataFrame:
-        """(blob, rules, hits) of all runs so far."""
+        """(blob, rules, hits, run) of all runs so far."""
         try:
-            return self.spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(f"{self.folder}/runs")
+            return self.spark.read.schema(f"{LEDGER}, run string").parquet(f"{self.folder}/runs")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], LEDGER)
+            return self.spark.createDataFrame([], f"{LEDGER}, run string")
 
     def scan(self, versions: DataFrame, run: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
-        """Scan the blobs of `versions` that some rule version has not seen; repeating a `run` replaces it.
+        """Scan the blobs of `versions` that some rule version has not seen; repeating a `run` replaces it, as if it had not been.
 
         A null text is the empty blob. Equal texts fold before the shuffle, so a group of copies travels as few rows.
         """
         blobs = versions.select(blob_of(text).alias("blob"), text_or_empty(text).alias("t")).groupBy("blob").agg(F.first("t").alias("t"))
-        seen = self.rows().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = self.rows().filter(F.col("run") != run).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         ids = F.array(*[F.lit(r.id) for r in rules])
         left = (blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(ids, F.coalesce("seen", F.array().cast("array<string>"))))
                 .filter(F.size("rules") > 0))
         hits = F.array(*[F.when(F.array_contains("rules", r.id), F.struct(F.lit(r.id).alias("rule"), _hits(F.col("t"), r).alias("found")))
                          for r in rules])
         out = left.select("blob", "rules", F.filter(hits, lambda h: F.size(h["found"]) > 0).alias("hits"))
-        out.write.mode("overwrite").parquet(f"{self.folder}/runs/{run}")
+        out.write.mode("overwrite").parquet(f"{self.folder}/runs/run={run}")
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(blob, kind, version, start, end): code points, end exclusive. Places are running sums along each blob's matches."""
