@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalograph.llm import decontam, packing, quality_rules, secrets, sharding, simhash, token_counts, token_files
+from catalograph.llm import (
+    decontam, language_id, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts, token_files,
+)
 from catalograph.llm.tables import documents, text_or_empty, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +31,14 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number(written(placed, "shards")).withColumn("law", F.lit("key"))
 
 
+@_register
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good: quality 1 and not toxic. A document's site is its source, its path the source and the language."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return quality_model.posteriors(docs, quality_model.fit(docs, labels), docs["source"], F.concat_ws("/", docs["source"], docs["lang"]))
+
+
 @_register
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
@@ -64,6 +74,12 @@ def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir), ["doc_id"])
 
 
+@_register
+def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out())
+    return language_id.predict(docs, language_id.fit(docs.filter(~F.col("held_out"))), ("doc_id", "held_out"))
+
+
 ORACLES["op2_benchmark_containment"] = decontam.ORACLE
 ORACLES["op8_secret_ledger"] = secrets.ORACLE
 ORACLES["op9_host_quality_rules"] = quality_rules.ORACLE
