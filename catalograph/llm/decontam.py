@@ -16,8 +16,10 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalograph.llm.tables import let, text_or_empty, written
+from catalograph.operators.sizes import small
 
 K = 5
+FEW = 200_000  # distinct texts named in a broadcast, 32 bytes each; more are joined by shuffle
 THRESHOLD = 0.8
 
 
@@ -90,8 +92,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key
     """(blob, item, n_shared, n_shingles) for every distinct text and item with containment >= `threshold`.
 
     Items of fewer than k words have no shingle and are found nowhere; equal item texts are searched once. Null texts count as empty.
-    Candidates hold equal texts once, so a hot group of copies is one candidate. Join strategies are the planner's: the item side is a
-    written table, broadcast only if its measured size allows it.
+    Candidates hold equal texts once, so a hot group of copies is one candidate. The item side is a written table and broadcast only
+    if its measured size allows it; candidate names are counted before they are.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_key).alias("item"), text_or_empty(item_text).alias("_t"))
@@ -110,7 +112,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key
 
     # Exact shingles of the candidate texts, against the shingles of the items each is a candidate for.
     texts = (docs.select(blob(text).alias("blob"), text_or_empty(text).alias("_t"))
-             .join(cands.select("blob").distinct(), "blob", "left_semi").groupBy("blob").agg(F.first("_t").alias("_t")))
+             .join(small(cands.select("blob").distinct(), FEW), "blob", "left_semi").groupBy("blob").agg(F.first("_t").alias("_t")))
     held = texts.withColumn("_w", words("_t")).select("blob", F.explode(shingles(F.col("_w"), k)).alias("s"))
     asked = cands.join(bodies.select("body", "q", F.explode("sh").alias("s")), "body")
     hit = (asked.join(held, ["blob", "s"]).groupBy("blob", "body").agg(F.count("*").alias("n_shared"), F.first("q").alias("n_shingles"))
@@ -129,7 +131,7 @@ def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", **kw) -> Data
 
 def clean(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """`docs` without the rows that hold an item."""
-    found = contaminated(docs, items, **kw).select(F.col("blob").alias("_blob"))
+    found = small(contaminated(docs, items, **kw).select(F.col("blob").alias("_blob")).distinct(), FEW)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob(kw.get("text", "text")).alias("_blob"))
     return rows.join(found, "_blob", "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
