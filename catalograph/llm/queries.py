@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from catalograph.llm import (
     decontam, language_id, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts, token_files,
 )
@@ -83,3 +84,7 @@ def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_benchmark_containment"] = decontam.ORACLE
 ORACLES["op8_secret_ledger"] = secrets.ORACLE
 ORACLES["op9_host_quality_rules"] = quality_rules.ORACLE
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

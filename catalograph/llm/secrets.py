@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from catalograph.llm.tables import text_or_empty
+from catalograph.operators.sizes import small
 from catalograph.session import fresh_dir
 
 
@@ -39,6 +40,7 @@ RULES = (
     Rule("hex", 1, r"([0-9a-f]{24,})", 1, 24),
 )
 
+FEW = 100_000  # blobs with secrets named in a broadcast; more are joined by shuffle
 HIT = "array<struct<head:int,len:int,value:int>>"
 LEDGER = f"blob binary, rules array<string>, hits array<struct<rule:string,found:{HIT}>>"
 
@@ -132,14 +134,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", ledger:
             .groupBy("blob", "run").agg(F.min("start").alias("s"), F.max("end").alias("e")))
     cuts = runs.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_cuts"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), blob_of(text).alias("_blob"))
-    got = rows.join(cuts.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    got = rows.join(small(cuts.withColumnRenamed("blob", "_blob"), FEW), "_blob", "left")
     t = F.col("_row")[text]
     # What lies before each cut, and the rest.
     heads = F.transform(F.col("_cuts"), lambda c, i: F.substring(t, (
         F.when(i > 0, F.get(F.col("_cuts"), i - 1)["e"]).otherwise(0) + 1).cast("int"), (
         c["s"] - F.when(i > 0, F.get(F.col("_cuts"), i - 1)["e"]).otherwise(0)).cast("int")))
     rest = F.substring(t, (F.element_at("_cuts", -1)["e"] + 1).cast("int"), F.length(t))
-    clean = F.when(F.col("_cuts").isNull(), t).otherwise(F.concat(F.array_join(F.concat(heads, F.array(rest)), mark)))
+    clean = F.when(F.col("_cuts").isNull(), t).otherwise(F.array_join(F.concat(heads, F.array(rest)), mark))
     return got.select(*[clean.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
