@@ -94,35 +94,44 @@ def stride(df: DataFrame, by: list[str], step: int) -> DataFrame:
     return df if step == 1 else row_index(df, by, "__row").filter(F.col("__row") % step == 0).drop("__row")
 
 
-def profile(packets: DataFrame, step: int = 1, region: str = 'rdf:about="Region:', pose: str = 'rdf:about="Pose:',
-            caption_ns: str = "legacy") -> DataFrame:
-    """Corpus profile of `packets(month, path, packet)`: `(metric, key, total, greatest)`.
+def _after(text: Column, mark: str) -> Column:
+    """What follows each `mark` of a text, up to the next."""
+    parts = F.split(F.coalesce(text, F.lit("")), mark, -1)
+    return F.slice(parts, F.lit(2), F.size(parts))
 
-    Each packet yields its few counters, and one aggregation with map-side combine sums all metrics at once.
+
+def _tag_names(text: Column) -> Column:
+    """Qualified names of the opening tags, in order."""
+    opened = F.transform(_after(text, "<"), lambda t: F.regexp_extract(t, r"^[\w-]+:\w+", 0))
+    return F.filter(opened, lambda n: (n != "") & ~n.startswith("rdf:") & ~n.startswith("x:"))
+
+
+def profile(packets: DataFrame, step: int = 1, region: str = "Region:", pose: str = "Pose:", caption_ns: str = "legacy") -> DataFrame:
+    """What a corpus of packets `(month, path, packet)` holds: `(metric, key, total, greatest)`.
+
+    A packet is a row of description blocks. The first speaks of the media; the later ones of regions and poses, by their subject. A prefix
+    that later blocks use and none of them binds is `unbound`. Each packet yields its counts as rows, summed in one map-side aggregation.
     """
     df = stride(packets, ["month", "path"], step)
-    p, has = F.col("packet"), F.col("packet").isNotNull()
-    tags = lambda text, rx, g: F.regexp_extract_all(text, F.lit(rx), g)
-    descriptions = tags(p, "<rdf:Description\\b([^>]*)>", 1)
-    close = F.instr(p, "</rdf:Description>")
-    tail = F.when(close > 1, F.substr(p, close)).otherwise("")
-    used = F.array_except(F.array_distinct(tags(tail, "<([A-Za-z0-9_-]+):", 1)), F.array(F.lit("rdf"), F.lit("x")))
-    loose = F.when(F.size(descriptions) > 1, F.array_except(used, tags(tail, "xmlns:([A-Za-z0-9_-]+)\\s*=", 1))).otherwise(F.array().cast("array<string>"))
-    regions = ((F.length(p) - F.length(F.replace(p, F.lit(region), F.lit("")))) / len(region)).cast("bigint")
-    row = lambda m, k, x: F.struct(F.lit(m).alias("metric"), (k if isinstance(k, Column) else F.lit(k)).cast("string").alias("key"), x.cast("bigint").alias("x"))
-    one, flag = F.lit(1), lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    month = F.col("month")
-    fields = F.filter(F.transform(tags(p, "<([A-Za-z0-9_-]+:[A-Za-z0-9_]+)>", 1), lambda t: t), lambda t: ~t.rlike("^(rdf|x):"))
-    captions = tags(p, f"<{caption_ns}:([A-Za-z0-9]*[Cc]aption)>", 1)
-    each = lambda arr, m, key: F.transform(F.coalesce(arr, F.array().cast("array<string>")), lambda t: row(m, key(t), one))
-    counters = F.concat(
-        F.array(row("scanned", "", one), row("no_packet", "", flag(~has)), row("with_packet", "", flag(has)), row("month", month, one),
-                row("has_siblings", "", flag(F.size(descriptions) > 1)), row("sibling_prefix_out_of_scope", "", flag(F.size(loose) > 0)),
-                row("malformed_by_month", month, flag(F.size(loose) > 0)), row("with_regions", "", flag(regions > 0)),
-                row("regions", "", F.coalesce(regions, F.lit(0))), row("with_poses", "", flag(p.contains(pose)))),
-        each(loose, "out_of_scope_prefix", lambda t: t), each(captions, "caption_field", lambda t: t),
-        each(fields, "field_by_month", lambda t: F.concat(month, F.lit(" "), t)))
-    rows = df.select(F.explode(counters).alias("c")).select("c.*").filter("x > 0 OR metric = 'scanned'")
+    blocks = _after(F.col("packet"), "<rdf:Description")
+    df = df.select("month", "packet", blocks.alias("b")).withColumn("later", F.array_join(F.slice("b", F.lit(2), F.greatest(F.size("b"), F.lit(1))), "<rdf:Description"))
+    about = lambda what: F.size(F.filter("b", lambda x: x.contains(f'about="{what}')))
+    prefixes = F.array_distinct(F.transform(_tag_names(F.col("later")), lambda n: F.substring_index(n, ":", 1)))
+    bound = F.transform(_after(F.col("later"), "xmlns:"), lambda t: F.trim(F.substring_index(t, "=", 1)))
+    df = df.withColumns({"names": _tag_names(F.col("packet")), "unbound": F.array_except(prefixes, bound), "regions": about(region), "poses": about(pose)})
+    there, month = F.col("packet").isNotNull(), F.col("month")
+    row = lambda m, k, x: F.struct(F.lit(m).alias("metric"), k.cast("string").alias("key"), x.cast("bigint").alias("x"))
+    total = lambda m, x, k=F.lit(""): row(m, k, x)
+    each = lambda m, items, key: F.transform(items, lambda n: row(m, key(n), F.lit(1)))
+    captions = F.filter("names", lambda n: n.startswith(f"{caption_ns}:") & F.lower(n).endswith("caption"))
+    counts = F.concat(
+        F.array(total("read", F.lit(1)), total("found", there), total("missing", ~there), total("read_in_month", F.lit(1), month),
+                total("several_blocks", F.size("b") > 1), total("unbound_packets", F.size("unbound") > 0),
+                total("unbound_in_month", F.size("unbound") > 0, month), total("region_packets", F.col("regions") > 0),
+                total("region_blocks", F.col("regions")), total("pose_packets", F.col("poses") > 0)),
+        each("unbound_prefix", F.col("unbound"), lambda n: n), each("caption_field", captions, lambda n: F.substring_index(n, ":", -1)),
+        each("field_in_month", F.col("names"), lambda n: F.concat(month, F.lit(" "), n)))
+    rows = df.select(F.explode(counts).alias("c")).select("c.*").filter("x > 0")
     return rows.groupBy("metric", "key").agg(F.sum("x").alias("total"), F.max("x").alias("greatest"))
 
 

@@ -21,6 +21,10 @@ from catalograph.operators.sets import set_quads
 from catalograph.session import cut_lineage
 
 THUMB_EDGE = 512
+# Brands of still pictures in the video container (avif, avis, heic, heix, heim, mif1, msf1), and picture types that are recognised
+# but not decoded, so refused.
+STILL_BRANDS = ("61766966", "61766973", "68656963", "68656978", "6865696D", "6D696631", "6D736631")
+UNDECODED = ("image/bmp", "image/x-icon", "image/avif")
 STATEMENT_SCHEMA = "store string, media string, block int, s string, p string, o string, o_kind string, dt string"
 
 
@@ -31,26 +35,33 @@ def sniff(content: Column) -> Column:
     return (F.when(h.startswith("89504E470D0A1A0A"), "image/png").when(h.startswith("FFD8FF"), "image/jpeg")
             .when(h.startswith("47494638"), "image/gif").when(h.startswith("52494646") & (brand == "57454250"), "image/webp")
             .when(h.startswith("49492A00") | h.startswith("4D4D002A"), "image/tiff")
+            .when(h.startswith("424D"), "image/bmp").when(h.startswith("00000100"), "image/x-icon")
             .when((F.length(content) >= 12) & (F.substring(h, 9, 8) == "66747970"),
-                  F.when(brand == "71742020", "video/quicktime").otherwise("video/mp4")))
+                  F.when(brand == "71742020", "video/quicktime").when(brand.isin(*STILL_BRANDS), "image/avif")
+                  .otherwise("video/mp4")))
 
 
 def verify(arrivals: DataFrame) -> DataFrame:
     """Add `media_type` as the bytes say it and the reason a false claim is refused for."""
     seen, claim = sniff(F.col("content")), F.coalesce("claimed", F.lit(""))
-    reason = (F.when(claim.startswith("image/") & ~F.coalesce(seen.startswith("image/"), F.lit(False)), "not a readable image")
+    reason = (F.when(seen.isin(*UNDECODED), "not a readable image").when(claim.startswith("image/") & ~F.coalesce(seen.startswith("image/"), F.lit(False)), "not a readable image")
               .when(claim.startswith("video/") & ~F.coalesce(seen.startswith("video/"), F.lit(False)), "not a readable video"))
     return arrivals.withColumn("media_type", F.coalesce(seen, F.nullif(claim, F.lit("")), F.lit("application/octet-stream"))).withColumn("reason", reason)
 
 
 def mint_ids(arrivals: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Add `id`: letters drawn from the arrival itself (store, batch, path), never from its content, so a retried batch
-    gets the same ids and the same bytes twice get two. An id already taken is drawn again."""
-    seed = F.concat_ws("|", "store", "batch", "path")
+    """Add `id`: letters drawn from the arrival itself (store, batch, path, time), never from its content, so a retried batch
+    gets the same ids and the same bytes twice get two. Ids already taken are drawn again until they are free; each look reads no content."""
+    seed = F.concat_ws("|", "store", "batch", "path", *(["created"] if "created" in arrivals.columns else []))
     out = arrivals.withColumn("id", base32_id(seed))
-    if taken is not None:
-        used = taken.select("store", "id", F.lit(True).alias("used")).dropDuplicates()
-        out = out.join(used, ["store", "id"], "left").withColumn("id", F.when(F.col("used"), base32_id(F.concat(seed, F.lit("|again")))).otherwise(F.col("id"))).drop("used")
+    if taken is None:
+        return out
+    used = cut_lineage(taken.select("store", "id").dropDuplicates())
+    draw = 0
+    while not out.select("store", "id").join(used, ["store", "id"], "left_semi").isEmpty():
+        draw += 1
+        out = out.join(used.withColumn("used", F.lit(True)), ["store", "id"], "left").withColumn(
+            "id", F.when(F.col("used"), base32_id(F.concat(seed, F.lit(f"|again{draw}")))).otherwise(F.col("id"))).drop("used")
     return out
 
 
@@ -255,10 +266,11 @@ def make_named_sets(statements: DataFrame, q: DataFrame, media: DataFrame, now:
 def ingest(arrivals: DataFrame, q: DataFrame, packets: DataFrame | None = None, now: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, quads, rejects) of arriving files, with the statements of their packets `(path, packet)` if given.
 
-    A media failing any check lands nothing: its facts, statements and the sets only it names stay out.
+    A media failing any check lands nothing: its facts, statements and the sets only it names stay out. The content is read once: what
+    is known of a file is written out narrow and every branch starts there.
     """
     taken = classes(q, "Image", "Video", "Media", *N.SET_MEMBER).select("store", F.substring_index("s", "/", -1).alias("id"))
-    rows = arrival_rows(arrivals, taken)
+    rows = cut_lineage(arrival_rows(arrivals, taken))
     rejects = rows.filter("reason IS NOT NULL").select("store", "path", "reason")
     if packets is None:
         return rows, arrival_quads(rows), rejects

@@ -249,7 +249,7 @@ def forget(q: DataFrame, media: DataFrame, link: str) -> tuple[Change, DataFrame
     """(change, vector keys): one stage's result of each media goes — reference, records, named files, completion
     date. A stage that never ran is a zero report; an unknown stage is refused."""
     if link not in N.LINKS:
-        raise ValueError(f"{link} is not a stage reference; one of {', '.join(N.LINKS)}")
+        raise ValueError(f"no stage writes {link}; known: {', '.join(N.LINKS)}")
     owned = owned_nodes(q, media, [link])
     hit = owned.select("store", F.col("media")).dropDuplicates()
     nodes = q.join(owned.select("store", "s", "media").dropDuplicates(["store", "s"]), ["store", "s"])

@@ -194,7 +194,13 @@ def knn_join(left: DataFrame, right: DataFrame, model: str, k: int = 10, exclude
     bounded = cut_lineage(bounded.select("gid", "vec", "cell", "bound"))
     far = _block_pairs(_visits(bounded, pivots, stats, ["gid", "vec"], own=False), cands, stats[0], block, run, schema)
 
-    best = (top_per_key(near.unionByName(far), ["q"], order, want).groupBy("q")
+    return _expand(near.unionByName(far), query_rows, want, k, exclude_self)
+
+
+def _expand(pairs: DataFrame, query_rows: DataFrame, want: int, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of each query row, the copies of folded vectors spread out again."""
+    order = [F.desc("score"), F.col("first")]
+    best = (top_per_key(pairs, ["q"], order, want).groupBy("q")
             .agg(F.collect_list(F.struct("score", "ids")).alias("near")))
     pairs = F.flatten(F.transform("near", lambda x: F.transform(
         x["ids"], lambda i: F.struct((-x["score"]).alias("neg"), i.alias("neighbour")))))
@@ -219,7 +225,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of `edges(u, v)`.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
@@ -230,7 +236,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     e = cut_lineage(ordered(edges))
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(e)
-    for _ in range(max_rounds):
+    while True:  # the steps are proven to settle
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = ordered(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -244,7 +250,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").dropDuplicates())
         seen = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_dups(vectors: DataFrame, model: str, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -297,47 +302,86 @@ class CellIndex:
         self.rows, self.centroids, self.sizes = rows, centroids, sizes
 
 
-def build_cells(vectors: DataFrame, model: str, n_cells: int | None = None, seed: int = 7) -> CellIndex:
-    """Train k-means on a sample (the quantiser only; every row is indexed) and assign every row to a cell."""
+def build_cells(vectors: DataFrame, model: str, n_cells: int | None = None, seed: int = 7, fit_rows: int | None = None) -> CellIndex:
+    """Train k-means and assign every row to a cell.
+
+    `n_cells` defaults to the square root of the rows, so cells grow with them. `fit_rows` bounds the rows the quantiser is trained on (all
+    by default); every row is indexed either way.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.filter(F.col("model") == model).select("model", "key_id", "vec")
+    rows = vectors.filter(F.col("model") == model).select(*[c for c in ("store", "model", "key_id", "vec") if c in vectors.columns])
     n = rows.count()
-    n_cells = n_cells or max(1, min(4096, math.isqrt(n)))
-    share = min(1.0, 64 * n_cells / max(1, n))
-    sample = rows if share == 1.0 else rows.sample(share, seed=seed)
+    n_cells = n_cells or max(1, math.isqrt(n))
+    sample = rows if fit_rows is None or n <= fit_rows else rows.sample(fit_rows / n, seed=seed)
     raw = sample.filter(norm(as_double(F.col("vec"))) > 0).select(array_to_vector(as_double(F.col("vec"))).alias("raw"))
     train = Normalizer(inputCol="raw", outputCol="features").transform(raw).select("features")
     fit = KMeans(k=n_cells, seed=seed, maxIter=6, initMode="random").fit(train)
     centroids = np.array(fit.clusterCenters())
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     celled = cut_lineage(_assign(rows, centroids).drop("r"))
-    sizes = np.zeros(len(centroids), "i8")
-    for r in celled.groupBy("cell").count().collect():  # one row per cell
-        sizes[r.cell] = r["count"]
-    return CellIndex(celled, centroids, sizes)
+    return CellIndex(celled, centroids, _cell_counts(celled, len(centroids)))
 
 
-def search_effort(k: int, selectivity: float | None, floor: int, ceiling: int) -> int:
-    """How many candidates to look at: more as the gate narrows."""
-    want = 2 * k if selectivity is None else k / max(selectivity, 1e-9)
-    return int(min(max(want, floor), ceiling))
+def _cell_counts(rows: DataFrame, cells: int) -> np.ndarray:
+    """Rows of each cell: one row a cell reaches the driver."""
+    n = np.zeros(cells, "i8")
+    for r in rows.groupBy("cell").count().collect():
+        n[r.cell] = r["count"]
+    return n
 
 
 def knn_approx(index: CellIndex, model: str, query: list[float], k: int = 10, gate: DataFrame | None = None,
                effort: int | None = None, engine: str = "arrow") -> DataFrame:
-    """Approximate kNN: the cells nearest the query until they hold `effort` rows, then an exact rerank."""
+    """Approximate kNN: cells in the order of their centroids until they hold `effort` rows that the gate admits, then an exact rerank.
+
+    `effort` is at least k and counts admitted rows, so a narrow gate widens the search, to all cells if need be: k rows come back
+    wherever the gate admits k.
+    """
     from catalograph.names import SEARCH_EF
     from catalograph.operators.vectors import knn
 
-    rows, selectivity = index.rows, None
+    rows, sizes = index.rows, index.sizes
     if gate is not None:
         rows = rows.join(gate, [c for c in gate.columns if c in rows.columns], "left_semi")
-        selectivity = rows.count() / max(1, int(index.sizes.sum()))
-    effort = effort or search_effort(k, selectivity, *SEARCH_EF)
-    q = np.asarray(query, dtype="f8")
-    near = np.argsort(-(index.centroids @ q), kind="stable")
-    probes = near[: int(np.searchsorted(np.cumsum(index.sizes[near]), effort)) + 1]
-    return knn(rows.filter(F.col("cell").isin(*[int(c) for c in probes])), model, query, k, engine=engine)
+        sizes = _cell_counts(rows, len(index.centroids))
+    effort = max(k + 1, effort or max(2 * k, SEARCH_EF[0]))
+    near = np.argsort(-(index.centroids @ np.asarray(query, dtype="f8")), kind="stable")
+    near = near[sizes[near] > 0]
+    probes = near[: int(np.searchsorted(np.cumsum(sizes[near]), effort)) + 1]
+    if len(probes) < len(near):
+        rows = rows.filter(F.col("cell").isin(*[int(c) for c in probes]))
+    return knn(rows, model, query, k, engine=engine)
+
+
+def knn_join_approx(index: CellIndex, queries: DataFrame, model: str, k: int = 10, probes: int = 16, exclude_self: bool = True,
+                    block: int = BLOCK) -> DataFrame:
+    """`(key_id, neighbour, score, rank)` for `queries(model, key_id, vec)`: each visits the `probes` nearest cells of the index.
+
+    Work is queries times probed rows. Cells are cut into blocks, so a hot one is many tasks; equal vectors are folded first. Recall is
+    measured by the caller against `knn_join`.
+    """
+    want = k + 1 if exclude_self else k
+    id_type = index.rows.schema["key_id"].dataType.simpleString()
+    folded = _folded(_rows(index.rows, model), want).withColumn("first", F.element_at("ids", 1))
+    cands = cut_lineage(_assign(folded, index.centroids).drop("r"))
+    asked = _rows(queries, model)
+    visits = cut_lineage(_nearest(_folded(asked, 1).select("gid", "vec"), index.centroids, min(probes, len(index.centroids))))
+    run, schema = _ranked_pairs(want, id_type)
+    pairs = _block_pairs(visits, cands.select("gid", "first", "ids", "vec", "cell"), _cell_counts(cands, len(index.centroids)), block, run, schema)
+    return _expand(pairs, asked, want, k, exclude_self)
+
+
+def _nearest(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """Each query once for each of its `probes` nearest cells (`target`)."""
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                cos = unit_matrix(b.column(b.schema.get_field_index("vec"))) @ centroids.T if b.num_rows else np.zeros((0, len(centroids)))
+                near = np.argsort(-cos, axis=1, kind="stable")[:, :probes].astype("i4")
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array(near.ravel())], names=[*b.schema.names, "target"])
+
+    return queries.mapInArrow(run, queries.select("*").schema.add("target", T.IntegerType()))

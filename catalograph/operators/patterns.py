@@ -14,6 +14,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -122,25 +123,29 @@ def join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def optional(left: DataFrame, right: DataFrame, maybe_unbound: tuple[str, ...] = ()) -> DataFrame:
-    """Left outer join; a shared variable that may be unbound on the left is compatible with any value."""
+    """Left outer join; a shared variable that may be unbound on the left is compatible with any value.
+
+    Rows are split by which of those variables they bind: each part joins on all keys it has, by equality.
+    """
     on = shared_vars(left, right)
     loose = [c for c in maybe_unbound if c in on]
     if not loose:
         return left.join(right, on, "left")
-    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = reduce(lambda x, y: x & y, [
-        (F.col(c) == F.col(f"__r_{c}")) if c not in loose else (F.col(c).isNull() | (F.col(c) == F.col(f"__r_{c}")))
-        for c in on])
-    out = left.join(r, cond, "left")
-    for c in on:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"__r_{c}"))).drop(f"__r_{c}")
-    return out
+    parts = []
+    for bound in product((True, False), repeat=len(loose)):
+        free = [c for c, b in zip(loose, bound) if not b]
+        mine = left.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() if b else F.col(c).isNull() for c, b in zip(loose, bound)]))
+        parts.append(mine.drop(*free).join(right, [c for c in on if c not in free], "left").select(
+            *left.columns, *[c for c in right.columns if c not in on]))
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+SHORT_LIST = 10_000  # values joined as a broadcast table; a longer list joins by the planner's choice
+
 _COMPARE = {"=": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__,
             ">": Column.__gt__, ">=": Column.__ge__}
 
@@ -157,7 +162,7 @@ def where_typed(df: DataFrame, var: str, op: str, value, as_type: str) -> DataFr
 def check_zoned(text: str) -> str:
     """A cursor must be RFC 3339 with a zone."""
     if not re.fullmatch(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)", text):
-        raise ValueError(f"since must be RFC3339 with a zone, e.g. 2026-11-06T08:00:00-08:00: {text!r}")
+        raise ValueError(f"not a date and time with its zone: {text!r}")
     datetime.fromisoformat(text.upper().replace("Z", "+00:00"))
     return text
 
@@ -272,11 +277,9 @@ def bind(df: DataFrame, var: str, expr: Column) -> DataFrame:
 
 
 def values(df: DataFrame, var: str, items: list[str]) -> DataFrame:
-    """VALUES of one variable, from a list in the query text: joined as a broadcast table."""
-    if len(items) > 10_000:
-        raise ValueError("a VALUES list this long belongs in a table: use where_exists")
+    """VALUES of one variable, from a list in the query text; a short one is joined as a broadcast table."""
     rows = df.sparkSession.createDataFrame([(x,) for x in items], f"{var} string")
-    return df.join(F.broadcast(rows), var, "inner")
+    return df.join(F.broadcast(rows) if len(items) <= SHORT_LIST else rows, var, "inner")
 
 
 def path(q: DataFrame, expr) -> DataFrame:
@@ -301,33 +304,34 @@ def path(q: DataFrame, expr) -> DataFrame:
     raise ValueError(f"unknown path operator {op!r}")
 
 
-def closure(edges: DataFrame, start: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
-    """Transitive closure `+` over `edges(store, s, o)`: `(store, s, o, depth)` with the least depth.
+def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Transitive closure `+` over `edges(store, s, o)`: `(store, s, o, depth)` with the least depth, however deep.
 
-    A frontier join per level; pairs already reached are dropped (so cycles end) and each level is written out,
-    so a lost executor costs one level at most. Running into `max_depth` with work left is an error, not a cut.
+    Pairs already reached are dropped, so cycles end, and every round is written out, so a lost executor costs one round at most.
+    From all nodes, a round doubles the depth: the pairs at the full depth of the last round are joined with all pairs found, since
+    a shortest path up to twice as long passes such a node; rounds grow with the logarithm of the longest path. From given `start` nodes a round
+    is one step of their frontier, so work follows what they reach and rounds the longest path from them.
     """
-    edges = cut_lineage(edges.dropDuplicates())
-    seed = edges if start is None else edges.join(start, shared_vars(start, edges), "left_semi")
-    frontier = cut_lineage(seed.select("store", "s", "o").dropDuplicates())
-    levels, depth = [frontier.withColumn("depth", F.lit(1))], 1
+    edges = cut_lineage(edges.select("store", "s", "o").dropDuplicates())
+    first = edges if start is None else cut_lineage(edges.join(start, shared_vars(start, edges), "left_semi"))
+    rounds, depth = [first.withColumn("depth", F.lit(1))], 1
     while True:
-        nxt = (frontier.select("store", "s", F.col("o").alias("__via"))
-               .join(edges.select("store", F.col("s").alias("__via"), "o"), ["store", "__via"])
-               .select("store", "s", "o").dropDuplicates())
-        reached = reduce(lambda a, b: a.unionByName(b), levels)
-        frontier = cut_lineage(nxt.join(reached, ["store", "s", "o"], "left_anti"))
-        if frontier.isEmpty():
+        reached = reduce(lambda a, b: a.unionByName(b), rounds)
+        hop = reached if start is None else edges.withColumn("depth", F.lit(1))
+        front = rounds[-1].filter(F.col("depth") == depth)
+        nxt = (front.select("store", "s", F.col("o").alias("__via"))
+               .join(hop.select("store", F.col("s").alias("__via"), "o", "depth"), ["store", "__via"])
+               .groupBy("store", "s", "o").agg((F.min("depth") + depth).alias("depth")))
+        found = cut_lineage(nxt.join(reached, ["store", "s", "o"], "left_anti"))
+        if found.isEmpty():
             return reached
-        depth += 1
-        if depth > max_depth:
-            raise RuntimeError(f"closure is deeper than {max_depth}")
-        levels.append(frontier.withColumn("depth", F.lit(depth)))
+        rounds.append(found)
+        depth += depth if start is None else 1
 
 
 def insert(q: DataFrame, new: DataFrame) -> DataFrame:
-    """INSERT with set semantics."""
-    return q.unionByName(new.select(*q.columns)).dropDuplicates(N.QUAD_COLS)
+    """INSERT with set semantics: `q` is a set already and passes as it is, only what it lacks is added."""
+    return q.unionByName(fresh_quads(q, new).select(*q.columns))
 
 
 def _anti(q: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
@@ -340,8 +344,11 @@ def _anti(q: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 
 
 def fresh_quads(q: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of `new` that `q` does not hold."""
-    return _anti(new.select(*N.QUAD_COLS).dropDuplicates(), q, N.QUAD_COLS)
+    """The rows of `new` that `q` does not hold. `q` is first reduced to the subjects and predicates of `new`, so a small `new` does not
+    shuffle the graph."""
+    new = new.select(*N.QUAD_COLS).dropDuplicates()
+    near = q.join(new.select("store", "s", "p").dropDuplicates(), ["store", "s", "p"], "left_semi")
+    return _anti(new, near, N.QUAD_COLS)
 
 
 def delete_where(q: DataFrame, matched: DataFrame) -> DataFrame:

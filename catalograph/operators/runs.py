@@ -91,13 +91,13 @@ def embedding_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     """(runs, vectors, failures). A vector whose length is not the stated dimension is a failed run."""
     df = _start(answers, "embed", "vector array<float>, dim int, precision string, provider string")
     v = F.col("x.vector")
-    reason = (F.when(v.isNull() | (F.size(v) == 0), "embed returned no vector")
+    reason = (F.when(v.isNull() | (F.size(v) == 0), "no vector in the answer")
               .when(F.coalesce(F.col("x.dim"), F.lit(0)).isin(0) | (F.col("x.dim") == F.size(v)), None)
-              .otherwise(F.concat(F.lit("embed dim "), F.col("x.dim").cast("string"), F.lit(" != vector length "), F.size(v).cast("string"))))
+              .otherwise(F.concat(F.lit("stated dimension "), F.col("x.dim").cast("string"), F.lit(", given length "), F.size(v).cast("string"))))
     rec = _record("Embedding", base32_id(F.concat_ws("/", "ref_id", F.lit("1"))), _field("dim", F.size(v)), _field("vectorPath", _file("embed", "npy")),
                   _field("precision", _blankless(F.col("x.precision"))), _field("provider", _blankless(F.col("x.provider"))))
     runs, failures = _done(df, "embed", reason, F.array(rec))
-    vectors = df.filter(reason.isNull()).select("model", bare_id(F.col("media")).alias("key_id"), v.alias("vec"), "produced")
+    vectors = df.filter(reason.isNull()).select("store", "model", bare_id(F.col("media")).alias("key_id"), v.alias("vec"), "produced")
     return runs, vectors, failures
 
 
@@ -108,7 +108,7 @@ def region_runs(answers: DataFrame, request: Column | None = None) -> tuple[Data
     records = _numbered(regions, lambda r, i: _record(
         "Region", i, _field("descriptor", r["prompt"]), _field("score", F.format_string("%.4f", F.coalesce(r["score"], F.lit(0.0)))),
         _field("bbox", F.when(F.size(r["bbox"]) == 4, F.array_join(r["bbox"].cast("array<string>"), ","))), _field("polygon", r["polygon"])))
-    bad = F.when(F.try_parse_json("answer").isNull(), "segment answer not readable")
+    bad = F.when(F.try_parse_json("answer").isNull(), "unreadable segment reply")
     return _done(df, "segment", bad, records, count=F.size(regions), request=request)
 
 
@@ -118,7 +118,7 @@ def pose_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     people = F.coalesce(F.col("x.keypoints"), F.array().cast("array<array<array<double>>>"))
     overlay = F.when(F.coalesce(F.col("x.skeleton_png_b64"), F.lit("")) != "", _file("pose", "png"))
     records = _numbered(people, lambda p, i: _record("Pose", i, _field("keypoints", points_text(p, trimmed)), _field("overlayPath", overlay)))
-    bad = F.when(F.try_parse_json("answer").isNull(), "pose answer not readable")
+    bad = F.when(F.try_parse_json("answer").isNull(), "unreadable pose reply")
     return _done(df, "pose", bad, records, reply=False)
 
 
@@ -127,9 +127,9 @@ def depth_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     df = _start(answers, "depth", "depth_png_b64 string, min double, max double, width int, height int, precision string, provider string")
     text = F.trim(F.coalesce(F.col("x.depth_png_b64"), F.lit("")))
     magic = F.substring(F.hex(F.try_to_binary(text, F.lit("base64"))), 1, 16)
-    reason = (F.when(text == "", "depth: node answered without a map")
-              .when(F.col("x.min").isNull() | F.col("x.max").isNull(), "depth answer carries no min/max")
-              .when(magic.isNull(), "decode depth map base64").when(magic != PNG_MAGIC, "depth map is not a PNG"))
+    reason = (F.when(text == "", "the reply holds no depth map")
+              .when(F.col("x.min").isNull() | F.col("x.max").isNull(), "the depth range is missing")
+              .when(magic.isNull(), "the depth map is no base64").when(magic != PNG_MAGIC, "the depth map has another format than PNG"))
     rec = _record("Depth", base32_id(F.concat_ws("/", "ref_id", F.lit("1"))), _field("depthMapPath", _file("depth", "png")),
                   _field("depthMin", plain(F.col("x.min"))), _field("depthMax", plain(F.col("x.max"))), _field("width", F.col("x.width")),
                   _field("height", F.col("x.height")), _field("precision", _blankless(F.col("x.precision"))),
@@ -148,15 +148,15 @@ def face_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = F.forall(faces, lambda f: (F.coalesce(F.size(f["bbox"]), F.lit(-1)) == 4) & f["score"].isNotNull()
                     & (F.coalesce(F.size(f["kps"]), F.lit(-1)) == 5) & F.coalesce(F.forall(f["kps"], lambda p: F.size(p) == 2), F.lit(False))
                     & (f["pose"].isNull() | (F.size(f["pose"]) == 3)) & (F.coalesce(F.size(f["embedding"]), F.lit(0)) > 0))
-    reason = F.when(faces.isNull(), "face: node answered without a faces list").when(~good, "a face is malformed")
+    reason = F.when(faces.isNull(), "the reply lists no faces").when(~good, "one of the faces is incomplete")
     records = _numbered(faces, lambda f, i: _record(
         "Face", i, _field("bbox", numbers_text(f["bbox"])), _field("score", F.format_string("%.4f", f["score"])),
         _field("landmarks", points_text(f["kps"], plain)), _field("vectorPath", _file("face", F.concat(i, F.lit(".npy")))),
         _field("dim", F.size(f["embedding"])), _field("headPose", numbers_text(f["pose"])),
         _field("precision", _blankless(F.col("x.precision"))), _field("provider", _blankless(F.col("x.provider")))))
     runs, failures = _done(df, "face", reason, records)
-    pairs = df.filter(reason.isNull()).select("model", "produced", "ref_id", F.posexplode(faces).alias("at", "f"))
-    vectors = pairs.select("model", base32_id(F.concat_ws("/", "ref_id", (F.col("at") + 1).cast("string"))).alias("key_id"),
+    pairs = df.filter(reason.isNull()).select("store", "model", "produced", "ref_id", F.posexplode(faces).alias("at", "f"))
+    vectors = pairs.select("store", "model", base32_id(F.concat_ws("/", "ref_id", (F.col("at") + 1).cast("string"))).alias("key_id"),
                            F.col("f.embedding").alias("vec"), "produced")
     return runs, vectors, failures
 
@@ -168,21 +168,25 @@ def parse_captions(answers: DataFrame, text: str = "answer") -> DataFrame:
     the rest is kept; `N/A` and empty values are no facts.
     """
     raw = F.regexp_extract(F.col(text), "(?s)(\\{.*\\})", 1)
-    df = answers.withColumn("m", F.when(F.try_parse_json(raw).isNotNull(), F.from_json(raw, "map<string,string>")))
+    df = answers.withColumn("j", F.try_parse_json(raw))
+    df = df.withColumn("m", F.when(F.schema_of_variant("j").startswith("OBJECT"), F.from_json(raw, "map<string,string>")))
     get = lambda k: F.try_element_at(F.col("m"), F.lit(k))
-    objects = get("sceneObjects")
-    items = F.when(objects.startswith("["), F.from_json(objects, "array<string>")).otherwise(F.split(objects, ","))
+    typed = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("j", f"$.{k}", "variant")), F.lit("VOID"))
+    said = lambda k: F.when(typed(k) == "STRING", F.coalesce(F.trim(get(k)), F.lit(""))).otherwise("")  # only a text is a caption
+    texts = F.transform(F.filter(F.try_variant_get("j", "$.sceneObjects", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"),
+                        lambda x: x.cast("string"))
+    items = F.when(typed("sceneObjects").startswith("ARRAY"), texts).otherwise(F.split(get("sceneObjects"), ","))
     clean = F.transform(items, lambda x: F.lower(F.trim(F.regexp_replace(F.trim(x), "^[.;]+|[.;]+$", ""))))
     kept = F.array_distinct(F.filter(clean, lambda x: (x != "") & (F.octet_length(x) <= 40)))
     scene = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.trim(get(k)).alias("v")) for k in N.SCENE_FIELDS + N.JUDGEMENT_FIELDS]),
                      lambda f: f["v"].isNotNull() & (f["v"] != "") & (F.upper(f["v"]) != "N/A"))
     declared = F.array(*[F.lit(k) for k in ["shortCaption", "longCaption", "sceneObjects", *N.SCENE_FIELDS, *N.JUDGEMENT_FIELDS]])
-    reason = (F.when(raw == "", "answer has no JSON object").when(F.col("m").isNull(), "answer is not valid JSON")
-              .when(F.map_contains_key("m", F.lit("sceneObjects")) & (objects.isNull() | objects.startswith("{") | objects.rlike("^(-?[0-9.eE+]+|true|false)$")),
-                    "sceneObjects must be a list of strings"))
+    reason = (F.when(raw == "", "no object in the reply").when(F.col("m").isNull(), "the reply's object does not parse")
+              .when(F.map_contains_key("m", F.lit("sceneObjects")) & ~typed("sceneObjects").startswith("ARRAY") & (typed("sceneObjects") != "STRING"),
+                    "sceneObjects is no list of texts"))
     none = F.array().cast("array<string>")
-    return df.select(*[c for c in answers.columns], F.coalesce(F.trim(get("shortCaption")), F.lit("")).alias("short_caption"),
-                     F.coalesce(F.trim(get("longCaption")), F.lit("")).alias("long_caption"), F.coalesce(kept, none).alias("objects"),
+    return df.select(*[c for c in answers.columns], said("shortCaption").alias("short_caption"),
+                     said("longCaption").alias("long_caption"), F.coalesce(kept, none).alias("objects"),
                      scene.alias("scene"), F.coalesce(F.sort_array(F.array_except(F.map_keys("m"), declared)), none).alias("dropped"),
                      reason.alias("reason"))
 

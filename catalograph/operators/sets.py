@@ -58,14 +58,16 @@ def set_quads(sets: DataFrame) -> DataFrame:
 
 
 def create_sets(q: DataFrame, new: DataFrame, now: str) -> Change:
-    """New sets `(store, class, id, description)`. An id is refused when malformed, asked for twice, or already the
-    id of a media or of a set of any kind."""
+    """New sets `(store, class, id, description[, seq])`. An id is refused when malformed or already the id of a media or of a set of any
+    kind; of several requests for one id the first by `seq` is made and the report counts the others as `refused`."""
     taken = classes(q, "Image", "Video", "Media", *N.SET_MEMBER).select("store", bare_id(F.col("s")).alias("id"), F.lit(True).alias("taken")).dropDuplicates()
-    asked = new.groupBy("store", "id").agg(F.count("*").alias("times"), F.min("class").alias("class"), F.min("description").alias("description"))
+    seq = F.col("seq") if "seq" in new.columns else F.lit(0)
+    first = F.min(F.struct(seq.alias("seq"), "class", "description")).alias("x")
+    asked = new.groupBy("store", "id").agg((F.count("*") - 1).alias("refused"), first).select("store", "id", "refused", "x.class", "x.description")
     judged = asked.join(taken, ["store", "id"], "left").withColumn("status", (
-        F.when(~valid_id(F.col("id")), "invalid id").when(F.col("taken"), "taken").when(F.col("times") > 1, "asked for twice").otherwise("made")))
+        F.when(~valid_id(F.col("id")), "invalid id").when(F.col("taken"), "taken").otherwise("made")))
     made = judged.filter("status = 'made'").select("store", "class", "id", F.lit(now).alias("created"), F.lit(now).alias("updated"), "description")
-    return Change(set_quads(made), None, judged.select("store", "class", "id", "status"))
+    return Change(set_quads(made), None, judged.select("store", "class", "id", "status", "refused"))
 
 
 def add_members(q: DataFrame, pairs: DataFrame) -> Change:

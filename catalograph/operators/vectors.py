@@ -27,6 +27,11 @@ def _named(rows: DataFrame, *cols: Column | str) -> DataFrame:
     return rows.select("key_id", *(["iri"] if "iri" in rows.columns else []), *cols)
 
 
+def _keys(*tables: DataFrame) -> list[str]:
+    """What names a vector: the store too where every table has it."""
+    return [*(["store"] if all("store" in t.columns for t in tables) else []), "key_id"]
+
+
 def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "arrow") -> DataFrame:
     """The k most similar rows of an index to a given vector."""
     rows = vectors.filter(F.col("model") == model)
@@ -82,14 +87,15 @@ def with_iri(hits: DataFrame, media: DataFrame) -> DataFrame:
     """Add each hit's IRI, NULL where the table has none: the k hits are broadcast to the media, never the media
     shuffled to the hits."""
     hits = cut_lineage(hits)
-    found = media.select(F.col("id").alias("key_id"), "iri").join(F.broadcast(hits.select("key_id")), "key_id")
-    return hits.join(F.broadcast(found), "key_id", "left")
+    key = _keys(hits, media)
+    found = media.select(*key[:-1], F.col("id").alias("key_id"), "iri").join(small(hits.select(*key)), key)
+    return hits.join(small(found), key, "left")
 
 
 def knn_children(vectors: DataFrame, owners: DataFrame, model: str, id_, k: int = 10) -> DataFrame:
     """Nearest child entities (faces), each with its owner. Owners are looked up after the limit; a hit without an
     owner is left out, so fewer than k may return. `owners(key_id, owner)`."""
-    return F.broadcast(knn_like(vectors, model, id_, k)).join(owners, "key_id", "inner")
+    return small(cut_lineage(knn_like(vectors, model, id_, k))).join(owners, "key_id", "inner")
 
 
 def stored_vector(vectors: DataFrame, model: str, id_) -> DataFrame:
@@ -105,23 +111,27 @@ def all_vectors(vectors: DataFrame, model: str, keep: DataFrame | None = None) -
 def add_vectors(vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(index after, report). One row per (model, key): a present key is no change, a wrong dimension refuses.
 
-    The first insert fixes the dimension of a new index. `new` carries `seq`, the order of arrival.
+    The first insert fixes the dimension of a new index. `new` carries `seq`, the order of arrival. An index is a store's own where the
+    tables have a store.
     """
-    have = vectors.select("model", F.size("vec").alias("n"), F.lit(-1).cast("bigint").alias("seq"))
-    dims = have.unionByName(new.select("model", F.size("vec").alias("n"), F.col("seq").cast("bigint"))).groupBy(
-        "model").agg(F.min(F.struct("seq", "n"))["n"].alias("dim"))
-    first = new.groupBy("model", "key_id").agg(F.min(F.struct("seq", "vec"))["vec"].alias("vec"))
-    known = vectors.select("model", "key_id", F.lit(True).alias("known"))
-    judged = first.join(small(dims), "model").join(known, ["model", "key_id"], "left").withColumn(
+    key = ["model", *_keys(vectors, new)]
+    index = key[:-1]
+    have = vectors.select(*index, F.size("vec").alias("n"), F.lit(-1).cast("bigint").alias("seq"))
+    dims = have.unionByName(new.select(*index, F.size("vec").alias("n"), F.col("seq").cast("bigint"))).groupBy(
+        *index).agg(F.min(F.struct("seq", "n"))["n"].alias("dim"))
+    first = new.groupBy(*key).agg(F.min(F.struct("seq", "vec"))["vec"].alias("vec"))
+    known = vectors.select(*key, F.lit(True).alias("known"))
+    judged = first.join(small(dims), index).join(known, key, "left").withColumn(
         "status", F.when(F.size("vec") != F.col("dim"), "refused").when(F.col("known"), "present").otherwise("added"))
-    added = judged.filter("status = 'added'").select("model", "key_id", "vec")
-    return (vectors.select("model", "key_id", "vec").unionByName(added),
-            judged.select("model", "key_id", "dim", F.size("vec").alias("given"), "status"))
+    added = judged.filter("status = 'added'").select(*key, "vec")
+    return (vectors.select(*key, "vec").unionByName(added),
+            judged.select(*key, "dim", F.size("vec").alias("given"), "status"))
 
 
 def remove_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
-    """Take keys out of every index."""
-    return vectors.join(ids.select("key_id"), "key_id", "left_anti")
+    """Take keys out of every index, of their own store only where both tables have a store."""
+    key = _keys(vectors, ids)
+    return vectors.join(ids.select(*key), key, "left_anti")
 
 
 def index_records(q: DataFrame, model: str) -> DataFrame:
@@ -154,7 +164,7 @@ def rebuild_index(q: DataFrame, files: DataFrame, model: str) -> tuple[DataFrame
 
 
 def index_stats(vectors: DataFrame) -> DataFrame:
-    return vectors.groupBy("model").agg(F.max(F.size("vec")).alias("dim"), F.count("*").alias("count"))
+    return vectors.groupBy("model", *_keys(vectors)[:-1]).agg(F.max(F.size("vec")).alias("dim"), F.count("*").alias("count"))
 
 
 def model_gap(scores: DataFrame, a: str, b: str) -> DataFrame:

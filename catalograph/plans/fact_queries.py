@@ -263,7 +263,7 @@ WITH asked AS (SELECT 'en0001' AS store, CASE WHEN p_size % 5 = 0 THEN p_name WH
 n AS (SELECT store, id, count(*) AS times FROM asked GROUP BY store, id),
 taken AS (SELECT store, id FROM m_media UNION SELECT store, id FROM m_sets)
 SELECT store, 'ImageSet' AS class, id, CASE WHEN NOT regexp_full_match(id, '[A-Za-z0-9_-]{{1,200}}') THEN 'invalid id'
- WHEN EXISTS (SELECT 1 FROM taken t WHERE t.store = n.store AND t.id = n.id) THEN 'taken' WHEN times > 1 THEN 'asked for twice' ELSE 'made' END AS status FROM n""")
+ WHEN EXISTS (SELECT 1 FROM taken t WHERE t.store = n.store AND t.id = n.id) THEN 'taken' ELSE 'made' END AS status, times - 1 AS refused FROM n""")
 def _(b):
     new = b.table("part").select(F.lit("en0001").alias("store"), F.lit("ImageSet").alias("class"), F.expr(
         """CASE WHEN p_size % 5 = 0 THEN p_name WHEN p_size % 5 = 1 THEN 'src3' WHEN p_size % 5 = 2 THEN CAST(p_partkey AS STRING)

@@ -179,7 +179,8 @@ def _(b):
 
 
 @query("g19_describe", f"""
-SELECT q.* FROM quads q WHERE EXISTS (SELECT 1 FROM quads x WHERE x.store = q.store AND x.s = q.s AND x.p = '{V}isRejected')""")
+WITH all_quads AS MATERIALIZED (SELECT * FROM quads), picked AS MATERIALIZED (SELECT DISTINCT store, s FROM all_quads WHERE p = '{V}isRejected')
+SELECT q.* FROM all_quads q SEMI JOIN picked x ON x.store = q.store AND x.s = q.s""")
 def _(b):
     return P.describe(b.quads, P.pattern(b.quads, "?s", "isRejected", "?o").select("store", "s"))
 

@@ -59,7 +59,7 @@ def _(b):
 
 
 @query("d15_embedding_runs", f"""
-WITH {IMAGES} SELECT store, iri AS media, CASE n % 5 WHEN 0 THEN 'embed returned no vector' WHEN 1 THEN 'embed dim 4 != vector length 3' END AS reason,
+WITH {IMAGES} SELECT store, iri AS media, CASE n % 5 WHEN 0 THEN 'no vector in the answer' WHEN 1 THEN 'stated dimension 4, given length 3' END AS reason,
 CASE WHEN n % 5 > 1 THEN {file_sql('embed', 'emb-3', 'npy')} END AS vector_path FROM im""")
 def _(b):
     runs, _, failures = RUN.embedding_runs(answers(b, "emb-3", """CASE n % 5 WHEN 0 THEN '{"vector":[],"dim":0}'
@@ -90,7 +90,7 @@ def _(b):
 
 
 @query("d18_depth_runs", f"""
-WITH {IMAGES} SELECT store, iri AS media, CASE n % 4 WHEN 0 THEN 'depth: node answered without a map' WHEN 1 THEN 'depth answer carries no min/max' WHEN 2 THEN 'depth map is not a PNG' END AS reason,
+WITH {IMAGES} SELECT store, iri AS media, CASE n % 4 WHEN 0 THEN 'the reply holds no depth map' WHEN 1 THEN 'the depth range is missing' WHEN 2 THEN 'the depth map has another format than PNG' END AS reason,
 CASE WHEN n % 4 = 3 THEN concat('-1.2637;', id, '.5') END AS range FROM im""")
 def _(b):
     runs, failures = RUN.depth_runs(answers(b, "depth-a", """CASE n % 4 WHEN 0 THEN '{}' WHEN 1 THEN '{"depth_png_b64":"iVBORw0KGgoAAAA="}'
@@ -101,7 +101,7 @@ def _(b):
 
 
 @query("d19_face_runs", f"""
-WITH {IMAGES} SELECT store, iri AS media, CASE n % 4 WHEN 0 THEN 'face: node answered without a faces list' WHEN 1 THEN 'a face is malformed' END AS reason,
+WITH {IMAGES} SELECT store, iri AS media, CASE n % 4 WHEN 0 THEN 'the reply lists no faces' WHEN 1 THEN 'one of the faces is incomplete' END AS reason,
 CAST(CASE n % 4 WHEN 2 THEN 0 WHEN 3 THEN 1 END AS BIGINT) AS faces, CASE WHEN n % 4 = 3 THEN concat('1,2,3.5,', id) END AS bbox FROM im""")
 def _(b):
     face = """'{"bbox":[1,2,3.5,', n, '],"score":0.9,"kps":[[1,1],[2,2],[3,3],[4,4],[5,5]],"pose":[0.5,1,-2],"embedding":[0.1,0.2]}'"""
@@ -113,13 +113,15 @@ def _(b):
 
 
 @query("d20_parse_captions", f"""
-WITH {IMAGES} SELECT store, iri AS media, CASE n % 5 WHEN 0 THEN 'answer has no JSON object' WHEN 1 THEN 'answer is not valid JSON' WHEN 2 THEN 'sceneObjects must be a list of strings' END AS reason,
-CASE WHEN n % 5 > 2 THEN concat('about ', source) ELSE '' END AS short_caption, CASE WHEN n % 5 = 3 THEN concat('dog,', lang) WHEN n % 5 = 4 THEN 'cat,red hat' ELSE '' END AS objects,
-CASE WHEN n % 5 > 2 THEN 'sceneMood=calm,imageTechnicalScore=88' ELSE '' END AS scene, CASE WHEN n % 5 > 2 THEN 'wild' ELSE '' END AS dropped FROM im""")
+WITH {IMAGES} SELECT store, iri AS media, CASE n % 7 WHEN 0 THEN 'no object in the reply' WHEN 1 THEN 'the reply''s object does not parse' WHEN 2 THEN 'sceneObjects is no list of texts' END AS reason,
+CASE WHEN n % 7 IN (3, 4) THEN concat('about ', source) ELSE '' END AS short_caption,
+CASE n % 7 WHEN 3 THEN concat('dog,', lang) WHEN 4 THEN 'cat,red hat' WHEN 5 THEN 'true' WHEN 6 THEN 'a,b' ELSE '' END AS objects,
+CASE WHEN n % 7 IN (3, 4) THEN 'sceneMood=calm,imageTechnicalScore=88' ELSE '' END AS scene, CASE WHEN n % 7 IN (3, 4, 5) THEN 'wild' ELSE '' END AS dropped FROM im""")
 def _(b):
     rest = """'"shortCaption":" about ', source, ' ","sceneMood":"calm","sceneGaze":"n/a","imageTechnicalScore":88,"wild":1}'"""
-    a = b.media.filter("class = 'Image'").select("store", F.col("iri").alias("media"), F.expr(f"""CASE n % 5 WHEN 0 THEN 'no object here' WHEN 1 THEN 'x {{"a": }} y'
-      WHEN 2 THEN '{{"sceneObjects": 5}}' WHEN 3 THEN concat('```json {{"sceneObjects":["Dog.;", "{"y" * 41}", "', lang, '", "dog"],', {rest}, ' ```')
+    a = b.media.filter("class = 'Image'").select("store", F.col("iri").alias("media"), F.expr(f"""CASE n % 7 WHEN 0 THEN 'no object here' WHEN 1 THEN 'x {{"a": }} y'
+      WHEN 2 THEN '{{"sceneObjects": 5}}' WHEN 5 THEN '{{"sceneObjects":"true","shortCaption":7,"wild":1}}'
+      WHEN 6 THEN '{{"sceneObjects":["a",1,"b"],"longCaption":true}}' WHEN 3 THEN concat('```json {{"sceneObjects":["Dog.;", "{"y" * 41}", "', lang, '", "dog"],', {rest}, ' ```')
       ELSE concat('{{"sceneObjects":"Cat, red hat.,,CAT",', {rest}) END""").alias("answer"))
     out = RUN.parse_captions(a)
     bad = F.col("reason").isNotNull()
@@ -159,7 +161,7 @@ pg AS (SELECT *, CASE page_id % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpe
  CASE WHEN page_id % 7 = 0 THEN 'image/png' WHEN page_id % 7 = 1 THEN 'video/mp4' WHEN page_id % 7 = 2 THEN 'text/html' END AS claim FROM pages),
 arr AS (SELECT url AS path, coalesce(seen, claim, 'application/octet-stream') AS arrived, CASE WHEN claim = 'image/png' AND coalesce(seen, '') NOT LIKE 'image/%' THEN 'not a readable image'
  WHEN claim = 'video/mp4' AND coalesce(seen, '') NOT LIKE 'video/%' THEN 'not a readable video' END AS reason FROM pg),
-named AS (SELECT *, {base32_sql("concat('web001|b1|', path)")} AS id, CASE WHEN arrived = 'image/jpeg' THEN 'image/png' ELSE arrived END AS media_type FROM arr),
+named AS (SELECT *, {base32_sql("concat('web001|b1|', path, '|2024-06-01T12:30:45+02:00')")} AS id, CASE WHEN arrived = 'image/jpeg' THEN 'image/png' ELSE arrived END AS media_type FROM arr),
 placed AS (SELECT *, CASE WHEN media_type LIKE 'image/%' THEN 'image' WHEN media_type LIKE 'video/%' THEN 'video' ELSE 'other' END AS kind,
  CASE media_type WHEN 'image/png' THEN 'png' WHEN 'video/quicktime' THEN 'mov' WHEN 'video/mp4' THEN 'mp4' ELSE 'bin' END AS ext FROM named)"""
 
@@ -353,13 +355,13 @@ def survey(b):
 WITH s AS (SELECT concat('2024/0', CAST(1 + width % 3 AS STRING)) AS month, n % 6 <> 5 AS has, n % 4 AS regions, n % 5 = 0 AS pose, n FROM m_media),
 t AS (SELECT *, has AND (regions > 0 OR pose) AS sib, has AND regions > 0 AND NOT pose AS bad FROM s)
 SELECT metric, key, CAST(sum(x) AS BIGINT) AS total, CAST(max(x) AS BIGINT) AS greatest FROM (
-SELECT 'scanned' AS metric, '' AS key, 1 AS x FROM t UNION ALL SELECT 'no_packet', '', 1 FROM t WHERE NOT has UNION ALL SELECT 'with_packet', '', 1 FROM t WHERE has
-UNION ALL SELECT 'month', month, 1 FROM t UNION ALL SELECT 'has_siblings', '', 1 FROM t WHERE sib UNION ALL SELECT 'sibling_prefix_out_of_scope', '', 1 FROM t WHERE bad
-UNION ALL SELECT 'malformed_by_month', month, 1 FROM t WHERE bad UNION ALL SELECT 'out_of_scope_prefix', 'legacy', 1 FROM t WHERE bad
-UNION ALL SELECT 'with_regions', '', 1 FROM t WHERE has AND regions > 0 UNION ALL SELECT 'regions', '', regions FROM t WHERE has AND regions > 0
-UNION ALL SELECT 'with_poses', '', 1 FROM t WHERE has AND pose UNION ALL SELECT 'caption_field', 'longCaption', 1 FROM t WHERE has
-UNION ALL SELECT 'field_by_month', concat(month, ' legacy:longCaption'), 1 FROM t WHERE has UNION ALL SELECT 'field_by_month', concat(month, ' legacy:mood'), 1 FROM t WHERE has
-UNION ALL SELECT 'field_by_month', concat(month, ' legacy:score'), 1 FROM t JOIN region k ON k.r_regionkey < t.regions WHERE has) x GROUP BY metric, key""")
+SELECT 'read' AS metric, '' AS key, 1 AS x FROM t UNION ALL SELECT 'missing', '', 1 FROM t WHERE NOT has UNION ALL SELECT 'found', '', 1 FROM t WHERE has
+UNION ALL SELECT 'read_in_month', month, 1 FROM t UNION ALL SELECT 'several_blocks', '', 1 FROM t WHERE sib UNION ALL SELECT 'unbound_packets', '', 1 FROM t WHERE bad
+UNION ALL SELECT 'unbound_in_month', month, 1 FROM t WHERE bad UNION ALL SELECT 'unbound_prefix', 'legacy', 1 FROM t WHERE bad
+UNION ALL SELECT 'region_packets', '', 1 FROM t WHERE has AND regions > 0 UNION ALL SELECT 'region_blocks', '', regions FROM t WHERE has AND regions > 0
+UNION ALL SELECT 'pose_packets', '', 1 FROM t WHERE has AND pose UNION ALL SELECT 'caption_field', 'longCaption', 1 FROM t WHERE has
+UNION ALL SELECT 'field_in_month', concat(month, ' legacy:longCaption'), 1 FROM t WHERE has UNION ALL SELECT 'field_in_month', concat(month, ' legacy:mood'), 1 FROM t WHERE has
+UNION ALL SELECT 'field_in_month', concat(month, ' legacy:score'), 1 FROM t JOIN region k ON k.r_regionkey < t.regions WHERE has) x GROUP BY metric, key""")
 def _(b):
     return A.profile(survey(b))
 

@@ -103,10 +103,38 @@ def _(b):
     return NB.group_faces(b.vectors, MODEL, block=256)
 
 
-@query("v8_knn_approx")
+@query("v8_knn_approx", "SELECT least(10, count(*)) AS hits FROM m_vectors")
 def _(b):
     index = NB.build_cells(b.vectors, MODEL)
-    return scored(NB.knn_approx(index, MODEL, query_vector(b), 10))
+    return NB.knn_approx(index, MODEL, query_vector(b), 10).agg(F.count("*").alias("hits"))
+
+
+@query("v8_gated", "SELECT least(10, count(*)) AS hits, true AS admitted FROM m_vectors WHERE key_id % 97 = 5")
+def _(b):
+    gate = b.vectors.filter("key_id % 97 = 5").select("key_id")
+    hits = NB.knn_approx(NB.build_cells(b.vectors, MODEL), MODEL, query_vector(b), 10, gate=gate)
+    return hits.agg(F.count("*").alias("hits"), F.coalesce(F.min(F.col("key_id") % 97 == 5), F.lit(True)).alias("admitted"))
+
+
+@query("v8_large_k", "SELECT least(5000, count(*)) AS hits FROM m_vectors")
+def _(b):
+    return NB.knn_approx(NB.build_cells(b.vectors, MODEL), MODEL, query_vector(b), 5000).agg(F.count("*").alias("hits"))
+
+
+def recall(b, k=10):
+    """Approximate against exact neighbours of every vector whose id is divisible by 20."""
+    asked = b.vectors.filter("key_id % 20 = 0")
+    index = NB.build_cells(b.vectors, MODEL)
+    near = NB.knn_join_approx(index, asked, MODEL, k, probes=max(1, round(0.85 * len(index.centroids))))
+    exact = NB.knn_join(asked, b.vectors, MODEL, k)
+    both = near.join(exact.select("key_id", "neighbour"), ["key_id", "neighbour"])
+    return (asked.agg((F.count("*") * k).alias("wanted")).crossJoin(near.agg(F.count("*").alias("given"))).crossJoin(  # three one-row tables
+        both.agg(F.count("*").alias("found"))))
+
+
+@query("v8_recall", "SELECT count(*) * 10 AS wanted, count(*) * 10 AS given, true AS recall_95 FROM m_vectors WHERE key_id % 20 = 0")
+def _(b):
+    return recall(b).select("wanted", "given", (F.col("found") >= 0.95 * F.col("wanted")).alias("recall_95"))
 
 
 @query("v10_stored_vector", "SELECT key_id, round(list_sum(CAST(vec AS DOUBLE[])), 6) AS total, len(vec) AS dim FROM m_vectors WHERE key_id = 11")
@@ -181,3 +209,21 @@ def _(b):
         F.struct(F.lit("m1").alias("model"), (F.col("width") % 101).cast("double").alias("score")),
         F.struct(F.lit("m2").alias("model"), (F.length("text") % 97).cast("double").alias("score")))).alias("x")).select("id", "x.*")
     return X.model_gap(scores, "m1", "m2").select("id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("gap", 6).alias("gap"))
+
+
+@query("v13_remove_in_one_store", """
+WITH x AS (SELECT s.store, v.key_id FROM m_vectors v, (VALUES ('a'), ('b')) s(store))
+SELECT store, count(*) AS n FROM x WHERE NOT (store = 'a' AND key_id % 3 = 0) GROUP BY store""")
+def _(b):
+    two = b.vectors.withColumn("store", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    ids = b.vectors.filter("key_id % 3 = 0").select(F.lit("a").alias("store"), "key_id")
+    return X.remove_vectors(two, ids).groupBy("store").agg(F.count("*").alias("n"))
+
+
+@query("v12_add_in_two_stores", """
+SELECT store, status, count(*) AS n FROM (SELECT s.store, CASE WHEN s.store = 'a' THEN 'present' ELSE 'added' END AS status
+FROM m_vectors v, (VALUES ('a'), ('b')) s(store)) GROUP BY store, status""")
+def _(b):
+    have = b.vectors.withColumn("store", F.lit("a"))
+    new = b.vectors.withColumn("store", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("seq", F.col("key_id"))
+    return X.add_vectors(have, new)[1].groupBy("store", "status").agg(F.count("*").alias("n"))

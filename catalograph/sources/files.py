@@ -98,11 +98,11 @@ def sets_from_lines(lines: DataFrame, class_: str, store: str) -> DataFrame:
         F.min(F.col("g").eqNullSafe(F.lit(N.GRAPH))).alias("one_graph"), F.max((F.col("p") == N.v("id")) & (F.col("s") == F.col("o"))).alias("says_id"),
         *[pick(f) for f in sorted(allowed)])
     id_ = bare_id(F.col("iri"))
-    fault = (F.when(~F.col("one_graph"), "has a line outside the graph").when(F.col("nodes") > 1, "describes a second node")
-             .when(~F.col("says_id"), "has no id of its own").when(~F.col("clean"), "says something a set does not carry")
-             .when(~F.col("typed"), f"does not type its node {class_}").when(F.col("createdDate").isNull(), "has no createdDate")
-             .when(~F.col("iri").startswith(f"{N.MEDIA_NS}{class_}/") | ~valid_id(id_), "has an unusable id")
-             .when(F.regexp_replace(F.substring_index("file", "/", -1), "\\.nq$", "") != id_, "is not named by its id"))
+    fault = (F.when(~F.col("one_graph"), "holds a statement of another graph").when(F.col("nodes") > 1, "speaks of more than one node")
+             .when(~F.col("says_id"), "never states its id").when(~F.col("clean"), "carries an unknown statement")
+             .when(~F.col("typed"), f"is not typed {class_}").when(F.col("createdDate").isNull(), "lacks its creation date")
+             .when(~F.col("iri").startswith(f"{N.MEDIA_NS}{class_}/") | ~valid_id(id_), "has an id that cannot be used")
+             .when(F.regexp_replace(F.substring_index("file", "/", -1), "\\.nq$", "") != id_, "has a name other than its id"))
     checked = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("set file "), F.col("file"), F.lit(" "), fault))).otherwise(id_)
     return per.select("store", F.lit(class_).alias("class"), checked.alias("id"), F.col("createdDate").alias("created"),
                       F.col("updatedDate").alias("updated"), "description")

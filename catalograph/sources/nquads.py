@@ -12,11 +12,19 @@ LINE = (f"^\\s*(?:{_NODE})\\s+<([^<>\\s]*)>\\s+(?:{_NODE}|\"((?:[^\"\\\\]++|\\\\
         f"\\s*(?:<([^<>\\s]*)>)?\\s*\\.\\s*(?:#.*)?$")
 
 
+def _plain_controls(c: Column) -> Column:
+    """Control characters as `\\u` escapes: neither a line nor JSON may hold them raw."""
+    out = c
+    for n in (*range(0x20), 0x7F):
+        out = F.replace(out, F.lit(chr(n)), F.lit(f"\\u{n:04X}"))
+    return F.when(c.rlike(r"[\x00-\x1F\x7F]"), out).otherwise(c)
+
+
 def _unescape(c: Column) -> Column:
-    """String escapes undone. JSON knows all of them but two, which are put in place first."""
+    """String escapes undone. JSON knows all of them but two, which are put in place first, as are raw control characters."""
     wide = F.aggregate(F.regexp_extract_all(c, F.lit("\\\\U([0-9A-Fa-f]{8})"), 1), c,
                        lambda acc, h: F.replace(acc, F.concat(F.lit("\\U"), h), F.decode(F.unhex(h), "UTF-32")))
-    plain = F.replace(F.replace(wide, F.lit("\\'"), F.lit("'")), F.lit("\t"), F.lit("\\t"))
+    plain = _plain_controls(F.replace(wide, F.lit("\\'"), F.lit("'")))
     text = F.get(F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>"), 0)
     return F.when(~c.contains("\\"), c).otherwise(F.coalesce(text, F.raise_error(F.concat(F.lit("bad escape in N-Quads literal: "), c))))
 
@@ -48,6 +56,7 @@ def _term(value: Column, kind: Column, dt: Column) -> Column:
     esc = value
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
         esc = F.replace(esc, F.lit(a), F.lit(b))
+    esc = _plain_controls(esc)
     lang = F.when(dt.startswith(N.RDF + "langString@"), F.concat(F.lit("@"), F.substring_index(dt, "@", -1)))
     typed = F.coalesce(lang, F.concat(F.lit("^^<"), dt, F.lit(">")), F.lit(""))
     return F.when(kind == "literal", F.concat(F.lit('"'), esc, F.lit('"'), typed)).when(kind == "bnode", value).otherwise(

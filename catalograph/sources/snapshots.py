@@ -25,6 +25,12 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a write to `folder` was committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_snapshot(quads: DataFrame, root: str) -> int:
     """Write the next version and return its number.
 

@@ -19,7 +19,8 @@ from catalograph import names as N
 from catalograph.operators import reads as R
 from catalograph.operators.analytics import classify
 from catalograph.operators.arrivals import ingest
-from catalograph.session import fresh_dir
+from catalograph.session import cut_lineage, fresh_dir
+from catalograph.sources.snapshots import finished
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,16 +53,17 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def ingest_stream(arrivals: DataFrame, quads: Callable[[], DataFrame], out: str, checkpoint: str,
                   packets: Callable[[DataFrame], DataFrame] | None = None, now: str = "", trigger: dict | None = None) -> StreamingQuery:
-    """Arrivals to `out/quads` and `out/rejects`. Ids come from the arrival, so a file keeps its id when its batch
-    is run again; `quads()` gives the facts already stored."""
+    """Arrivals to `out/quads` and `out/rejects`. Ids come from the arrival; `quads()` gives the facts already stored and may include
+    what this sink landed. Facts are the last thing a batch writes, so a batch run again after they landed changes nothing, and its files keep
+    their ids."""
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            _, facts, rejects = ingest(batch, quads(), None if packets is None else packets(batch), now)
-            facts.write.mode("overwrite").parquet(f"{out}/quads/batch={batch_id}")
-            rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        target = f"{out}/quads/batch={batch_id}"
+        if finished(batch.sparkSession, target):
+            return
+        _, facts, rejects = ingest(batch, quads(), None if packets is None else packets(batch), now)
+        facts = cut_lineage(facts)  # before the folder is touched that `quads()` may read
+        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        facts.write.mode("overwrite").parquet(target)
 
     return (arrivals.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -77,29 +79,26 @@ class WorkItem(StatefulProcessor):
     """Per media: what is known of it for one stage, and whether that makes it pending."""
 
     STATE = _schema(("image", BooleanType()), ("done", BooleanType()), ("gate", BooleanType()), ("pending", BooleanType()),
-                    ("created", StringType()))
+                    ("created", StringType()), ("at_image", LongType()), ("at_done", LongType()), ("at_gate", LongType()))
+    ASPECTS = (("image", "removed"), ("done", "forgotten"), ("gate", "ungate"))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("work", self.STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        image, done, gate, was, created = self.state.get() if self.state.exists() else (False, False, False, False, None)
-        gone = False
+        image, done, gate, was, created, *at = self.state.get() if self.state.exists() else (False, False, False, False, None, -1, -1, -1)
+        holds = [bool(image), bool(done), bool(gate)]
         for b in rows:
-            for kind, text in zip(b["kind"], b["text"]):
-                if kind == "image":
-                    image, created = True, text
-                elif kind == "removed":
-                    gone = True
-                elif kind in ("done", "forgotten"):
-                    done = kind == "done"
-                else:
-                    gate = kind == "gate"
-        now = bool(image and gate and not done and not gone)
-        if gone:
-            self.state.clear()
-        else:
-            self.state.update((bool(image), bool(done), bool(gate), now, created))
+            b = b.sort_values("seq", kind="stable")
+            for i, (on, off) in enumerate(self.ASPECTS):
+                own = b[b["kind"].isin((on, off))]
+                if len(own) and own["seq"].iloc[-1] >= at[i]:  # an older word that comes late says nothing new
+                    holds[i], at[i] = own["kind"].iloc[-1] == on, int(own["seq"].iloc[-1])
+                    if i == 0 and holds[0]:
+                        created = own["text"].iloc[-1]
+        image, done, gate = holds
+        now = bool(image and gate and not done)
+        self.state.update((bool(image), bool(done), bool(gate), now, created, *at))
         if now != bool(was):
             yield pd.DataFrame({"store": [key[0]], "iri": [key[1]], "created": [created], "pending": [now]})
 
@@ -108,8 +107,11 @@ class WorkItem(StatefulProcessor):
 
 
 def live_work(events: DataFrame) -> DataFrame:
-    """Changes of the work list of one stage. `events(store, iri, kind, text)`: kind is image (text: its date), done,
-    forgotten, gate, ungate or removed. A row leaves when a media becomes pending or stops being so."""
+    """Changes of the work list of one stage. `events(store, iri, kind, text[, seq])`: kind is image (text: its date), done,
+    forgotten, gate, ungate or removed; the last word by `seq` holds, in whatever order a batch brings them. A row leaves when a media
+    becomes pending or stops being so."""
+    if "seq" not in events.columns:
+        events = events.withColumn("seq", F.lit(0).cast("bigint"))
     return events.groupBy("store", "iri").transformWithStateInPandas(
         WorkItem(), "store string, iri string, created string, pending boolean", "Append", "None")
 
@@ -142,14 +144,14 @@ class Hold(StatefulProcessor):
             self.handle.deleteTimer(t)
         at, ok = newest
         until = at.to_pydatetime() + timedelta(seconds=self.seconds)
-        self.state.update((int(seq), until, not ok))
-        if not ok:
-            expiry = int(pd.Timestamp(until).tz_localize("UTC").timestamp() * 1000)
-            if expiry > timerValues.getCurrentWatermarkInMs():
-                self.handle.registerTimer(expiry)
+        expiry = int(pd.Timestamp(until).tz_localize("UTC").timestamp() * 1000)
+        lasting = not ok and expiry > timerValues.getCurrentWatermarkInMs()
+        self.state.update((int(seq), until, bool(lasting)))
+        if lasting:
+            self.handle.registerTimer(expiry)
             yield self._row(key, "hold", until)
-        elif was:
-            yield self._row(key, "clear", until)
+        elif was:  # the failure's own time is over: what held before ends with it
+            yield self._row(key, "clear" if ok else "expire", until)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         seq, until, held = self.state.get()

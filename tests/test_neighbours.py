@@ -82,8 +82,17 @@ def test_approximate_search_recalls(spark):
     assert hits / 80 >= 0.95
 
 
-def test_effort_grows_as_the_gate_narrows():
-    assert NB.search_effort(10, None, 64, 4096) == 64
-    assert NB.search_effort(50, None, 64, 4096) == 100
-    assert NB.search_effort(10, 0.01, 64, 4096) == 1000
-    assert NB.search_effort(10, 1e-6, 64, 4096) == 4096
+def test_a_narrow_gate_and_a_large_k_are_answered_in_full(spark):
+    m = RNG.normal(size=(1500, 16))
+    df, far = frame(spark, m), np.argsort(m @ m[0])[:20]
+    index, gate = NB.build_cells(df, "m"), spark.createDataFrame([(int(i),) for i in far], "key_id long")
+    assert {r.key_id for r in NB.knn_approx(index, "m", list(m[0]), 20, gate=gate).collect()} == set(far.tolist())
+    assert NB.knn_approx(index, "m", list(m[0]), 10, gate=gate).count() == 10
+    assert NB.knn_approx(index, "m", list(m[0]), 1400).count() == 1400 and NB.knn_approx(index, "m", list(m[0]), 5000).count() == 1500
+
+
+def test_approximate_join_over_all_cells_is_exact(spark):
+    m = np.concatenate([RNG.normal(size=(200, 8)), np.repeat(RNG.normal(size=(1, 8)), 60, axis=0)])
+    df = frame(spark, m)
+    rows = lambda d: {(r.key_id, r.rank): r.neighbour for r in d.collect()}
+    assert rows(NB.knn_join_approx(NB.build_cells(df, "m", 12), df, "m", 5, probes=12, block=32)) == rows(NB.knn_join(df, df, "m", 5, block=32))

@@ -105,9 +105,9 @@ SET_OK = [f"<{N.MEDIA_NS}ImageSet/s1> <{N.RDF_TYPE}> <{N.v('ImageSet')}> <{N.GRA
 
 
 @pytest.mark.parametrize("name, change, fault", [
-    ("s1", lambda x: x, None), ("s2", lambda x: x, "not named by its id"), ("s1", lambda x: x[1:], "does not type"), ("s1", lambda x: x[:2], "has no createdDate"),
-    ("s1", lambda x: [x[0], x[2]], "no id of its own"), ("s1", lambda x: x + [x[2].replace("s1>", "s9>", 1)], "second node"),
-    ("s1", lambda x: x + [x[2].replace("createdDate", "rating")], "does not carry"), ("s1", lambda x: x[:2] + [x[2].replace(f" <{N.GRAPH}>", "")], "outside the graph")])
+    ("s1", lambda x: x, None), ("s2", lambda x: x, "other than its id"), ("s1", lambda x: x[1:], "is not typed"), ("s1", lambda x: x[:2], "lacks its creation date"),
+    ("s1", lambda x: [x[0], x[2]], "never states its id"), ("s1", lambda x: x + [x[2].replace("s1>", "s9>", 1)], "more than one node"),
+    ("s1", lambda x: x + [x[2].replace("createdDate", "rating")], "unknown statement"), ("s1", lambda x: x[:2] + [x[2].replace(f" <{N.GRAPH}>", "")], "another graph")])
 def test_set_files_are_strict(spark, tmp_path, name, change, fault):
     (tmp_path / f"{name}.nq").write_text("\n".join(change(SET_OK)) + "\n")
     load = lambda: FI.load_sets(spark, str(tmp_path), "ImageSet", "st0001").collect()
@@ -193,3 +193,31 @@ def test_added_statements_refuse_own_names(spark):
     kept, refused = AR.producer_policy(st, "later")
     assert kept.count() == 0 and refused.first().names == [N.v("rating")]
     assert AR.producer_policy(st)[0].count() == 2
+
+
+def test_control_characters_survive_a_round_trip(spark, tmp_path):
+    from catalograph.sources import nquads as NQ
+
+    texts = ["back\\slash and \x01 control \x1f", "\x08\x0c\x7f", 'quote " and \\u0041 kept', "tab\tline\nend\r"]
+    q = spark.createDataFrame([("st", "http://a/s", "http://a/p", t, "literal", None, N.GRAPH) for t in texts], N.QUAD_SCHEMA)
+    NQ.write_nquads(q, f"file://{tmp_path}/out")
+    assert sorted(r.o for r in NQ.read_nquads(spark, f"file://{tmp_path}/out", "st").collect()) == sorted(texts)
+
+
+def test_pictures_that_are_not_decoded_are_refused(spark):
+    kinds = {"avif": b"\0\0\0\x1cftypavif\0\0", "heic": b"\0\0\0\x18ftypheic\0\0", "bmp": b"BM6\0\0\0\0\0", "mp4": b"\0\0\0\x18ftypisom\0\0", "png": png()}
+    df = spark.createDataFrame([("s", "b", k, bytearray(v), "", "2024-01-02T03:04:05Z") for k, v in kinds.items()],
+                               "store string, batch string, path string, content binary, claimed string, created string")
+    got = {r.path: r.reason for r in AR.verify(df).collect()}
+    assert got == {"avif": "not a readable image", "heic": "not a readable image", "bmp": "not a readable image", "mp4": None, "png": None}
+
+
+def test_one_path_delivered_three_times_gets_three_ids(spark):
+    cols = "store string, batch string, path string, content binary, claimed string, created string"
+    taken, seen = None, set()
+    for _ in range(3):  # the same time each time: the draw itself must move on
+        df = spark.createDataFrame([("s", "files", "a.png", bytearray(png()), "image/png", "2024-01-02T03:04:05Z")], cols)
+        new = AR.mint_ids(df, taken).select("store", "id")
+        seen |= {r.id for r in new.collect()}
+        taken = new if taken is None else taken.union(new)
+    assert len(seen) == 3

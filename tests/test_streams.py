@@ -92,3 +92,20 @@ def test_files_are_taken_in_once(spark, tmp_path):
     all_ = {r.s for r in spark.read.parquet(f"{tmp_path}/out/quads").filter(F.col("p") == N.v("mediaPath")).collect()}
     assert len(first) == 1 and len(all_) == 2 and first < all_
     assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+
+
+def test_a_failure_already_over_holds_nothing(spark, tmp_path):
+    row = lambda i, s, t, ok: ("st", s, "pose", i, ts(t), ok)
+    stream = feed(spark, tmp_path, OUTCOMES, [row(1, "x", "2024-01-01 00:00:00", True)], [row(2, "x", "2024-01-01 03:00:00", True)],
+                  [row(3, "a", "2024-01-01 02:59:30", False), row(4, "b", "2024-01-01 00:30:00", False)],
+                  [row(5, "x", "2024-01-01 06:00:00", True)], [row(6, "x", "2024-01-01 07:00:00", True)])
+    got = sorted((r.s, r.action) for r in landed(spark, ST.holds(stream), tmp_path).collect())
+    assert got == [("a", "expire"), ("a", "hold")]
+
+
+def test_the_last_word_of_a_batch_holds_in_any_order(spark, tmp_path):
+    e = lambda s, kind, seq: ("st", s, kind, "", seq)
+    stream = feed(spark, tmp_path, "store string, iri string, kind string, text string, seq long",
+                  [e("a", "forgotten", 4), e("a", "done", 3), e("a", "gate", 2), e("a", "image", 1), e("b", "done", 9), e("b", "forgotten", 8), e("b", "image", 1), e("b", "gate", 2)],
+                  [e("a", "done", 2)])
+    assert [(r.iri, r.pending) for r in landed(spark, ST.live_work(stream), tmp_path).collect()] == [("a", True)]
