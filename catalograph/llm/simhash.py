@@ -240,7 +240,7 @@ def components(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE,
     codes = written(folded.mapInArrow(code, f"fp bigint, first {kind}, code bigint"), "fingerprints")
     roots = written(connected_components(links(codes, distance, rounds)), "roots")
     rooted = codes.join(roots, codes.code == roots.node, "left").withColumn("root", F.coalesce("root", "code"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")  # a table: a large component's join may be split
     return written(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
 
 
