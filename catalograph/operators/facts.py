@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalograph import names as N
 from catalograph.functions.text import (bare_id, iri_from_bracket, is_json_string, is_zoned_date, json_text)
 from catalograph.operators import patterns as P
+from catalograph.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -20,17 +21,20 @@ class Change:
     """`removed` holds whole quads or just their leading keys (store, s[, p]); `added` holds new quads.
 
     `preds` names the only predicates a change concerns, where that is known: the rest of the table then passes
-    through `apply` unjoined, partition by partition.
+    through `apply` unjoined, partition by partition. `where` is a condition on quads that go by what they say: they are filtered, not joined.
     """
     added: DataFrame | None
     removed: DataFrame | None
     report: DataFrame
     preds: tuple[str, ...] | None = None
+    where: Column | None = None
 
     def apply(self, q: DataFrame) -> DataFrame:
         here, rest = q, None
         if self.preds is not None:
             here, rest = q.filter(F.col("p").isin(*self.preds)), q.filter(~F.col("p").isin(*self.preds))
+        if self.where is not None:
+            here = here.filter(~F.coalesce(self.where, F.lit(False)))
         out = here if self.removed is None else P.delete_where(here, self.removed)
         if self.added is not None:
             out = out.unionByName(P.fresh_quads(out, self.added))
@@ -250,7 +254,7 @@ def forget(q: DataFrame, media: DataFrame, link: str) -> tuple[Change, DataFrame
     date. A stage that never ran is a zero report; an unknown stage is refused."""
     if link not in N.LINKS:
         raise ValueError(f"no stage writes {link}; known: {', '.join(N.LINKS)}")
-    owned = owned_nodes(q, media, [link])
+    owned = cut_lineage(owned_nodes(q, media, [link]))  # small, and every branch starts from it
     hit = owned.select("store", F.col("media")).dropDuplicates()
     nodes = q.join(owned.select("store", "s", "media").dropDuplicates(["store", "s"]), ["store", "s"])
     mine = q.filter(F.col("p").isin(N.v(link), N.v("enrichmentCompleteDate"))).join(
@@ -266,7 +270,7 @@ def forget(q: DataFrame, media: DataFrame, link: str) -> tuple[Change, DataFrame
 
 def delete_media(q: DataFrame, media: DataFrame) -> tuple[Change, DataFrame]:
     """(change, vector keys): media and everything they own; what they merely point at stays."""
-    owned = owned_nodes(q, media, N.OWNED_LINKS)
+    owned = cut_lineage(owned_nodes(q, media, N.OWNED_LINKS))
     targets = owned.select("store", "s", "media").unionByName(media.select("store", "s", F.col("s").alias("media"))).dropDuplicates(["store", "s"])
     gone = q.join(targets, ["store", "s"])
     own_file = q.filter(F.col("p") == N.v("mediaPath")).select("store", F.col("s").alias("media"), F.col("o").alias("path")).join(
@@ -281,15 +285,15 @@ def wipe(q: DataFrame, link: str = "vectorData") -> Change:
     """Every reference of one stage in every media, with its records. The report counts the images per store."""
     refs = q.filter(F.col("p") == N.v(link))
     owned = owned_nodes(q, refs.select("store", "s"), [link])
-    gone = q.join(owned.select("store", "s").dropDuplicates(), ["store", "s"], "left_semi").select(*N.QUAD_COLS).unionByName(refs.select(*N.QUAD_COLS))
-    return Change(None, gone, refs.groupBy("store").agg(F.count_distinct("s").alias("images")))
+    report = refs.groupBy("store").agg(F.count_distinct("s").alias("images"))
+    return Change(None, owned.select("store", "s").dropDuplicates(), report, where=F.col("p") == N.v(link))
 
 
 def unset_everywhere(q: DataFrame, field: str) -> Change:
     """One predicate off every subject; a second run finds none."""
     gone = q.filter(F.col("p") == N.v(field))
     report = gone.groupBy("store").agg(F.count_distinct("s").alias("subjects"), F.count("*").alias("facts"))
-    return Change(None, gone.select("store", "s").dropDuplicates(), report, (N.v(field),))
+    return Change(None, None, report, where=F.col("p") == N.v(field))
 
 
 def rename_ns(q: DataFrame, old: str, new: str) -> Change:
@@ -306,4 +310,4 @@ def rename_ns(q: DataFrame, old: str, new: str) -> Change:
     images = classes(q, "Image").select("store", "s", F.lit(1).alias("image"))
     per = was.groupBy("store", "s").agg(F.count("*").alias("n")).join(images, ["store", "s"], "left")
     report = per.groupBy("store").agg(F.count("image").alias("images"), F.sum("n").alias("facts"))
-    return Change(now.select(*N.QUAD_COLS).dropDuplicates(), was, report)
+    return Change(now.select(*N.QUAD_COLS).dropDuplicates(), None, report, where=hit)

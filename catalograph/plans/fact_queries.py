@@ -223,6 +223,11 @@ def _(b):
     return D.unset_everywhere(b.quads, "enrichmentCompleteDate").report
 
 
+@query("d28_state", f"""WITH after AS (SELECT * FROM quads WHERE p <> '{V}enrichmentCompleteDate') {STATE.format(t='after')}""")
+def _(b):
+    return by_predicate(D.unset_everywhere(b.quads, "enrichmentCompleteDate").apply(b.quads))
+
+
 NEW_DC = "http://purl.org/dc/terms/"
 
 
@@ -234,6 +239,13 @@ def _(b):
     return D.rename_ns(b.quads, N.DC, NEW_DC).added.select("store", "s", "p", "o")
 
 
+@query("d29_state", f"""
+WITH after AS (SELECT DISTINCT store, s, CASE WHEN starts_with(p, '{N.DC}') THEN concat('{NEW_DC}', substr(p, {len(N.DC) + 1})) ELSE p END AS p,
+CASE WHEN o_kind = 'iri' AND starts_with(o, '{N.DC}') THEN concat('{NEW_DC}', substr(o, {len(N.DC) + 1})) ELSE o END AS o, o_kind, dt, g FROM quads) {STATE.format(t='after')}""")
+def _(b):
+    return by_predicate(D.rename_ns(b.quads, N.DC, NEW_DC).apply(b.quads))
+
+
 @query("d29_rename_report", f"""
 SELECT q.store, count(DISTINCT CASE WHEN m.class = 'Image' THEN q.s END) AS images, count(*) AS facts FROM quads q LEFT JOIN m_media m ON m.store = q.store AND m.iri = q.s
 WHERE starts_with(p, '{N.DC}') OR (o_kind = 'iri' AND starts_with(o, '{N.DC}')) GROUP BY q.store""")

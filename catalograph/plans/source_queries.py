@@ -2,6 +2,8 @@
 
 from datetime import date
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalograph import names as N
@@ -82,13 +84,19 @@ def _(b):
     return kept.groupBy("day", "stage").agg(F.count("*").alias("n"), F.sum("latency_ms").alias("latency_ms"))
 
 
-@query("s9_set_files", "SELECT store, class, id, created, created AS updated, description FROM m_sets WHERE class = 'ImageSet' AND store = 'en0001'")
+@query("s9_set_files", "SELECT store, class, id, created, created AS updated, description FROM m_sets")
 def _(b):
     from catalograph.operators.sets import set_quads
 
-    q = set_quads(b.sets.filter("class = 'ImageSet' AND store = 'en0001'").withColumn("updated", F.col("created")))
-    lines = q.select(F.concat(F.substring_index("s", "/", -1), F.lit(".nq")).alias("file"), NQ.nquads_line().alias("value"))
-    return FI.sets_from_lines(lines, "ImageSet", "en0001")
+    """Every set of every store and class, written as files and loaded again."""
+    keys = b.sets.select("store", "class").distinct().collect()  # a handful of stores and classes
+    out = fresh_dir(b.spark, "sets")
+    q = set_quads(b.sets.withColumn("updated", F.col("created")))
+    lines = q.select("store", F.regexp_extract("s", "/([^/]+)/[^/]+$", 1).alias("class"), F.substring_index("s", "/", -1).alias("id"), NQ.nquads_line().alias("value"))
+    lines.write.partitionBy("store", "class", "id").text(out)
+    texts = b.spark.read.text(out).select("store", "class", F.concat("id", F.lit(".nq")).alias("file"), "value")
+    loaded = [FI.sets_from_lines(texts.filter((F.col("store") == k.store) & (F.col("class") == k["class"])).select("file", "value"), k["class"], k.store) for k in keys]
+    return reduce(lambda x, y: x.unionByName(y), loaded)
 
 
 @query("s10_ontology", """

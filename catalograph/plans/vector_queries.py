@@ -22,6 +22,11 @@ def keyed(b):
     return b.vectors.withColumn("key_id", F.col("key_id").cast("string"))
 
 
+def micro(vec):
+    """A whole vector as text, in millionths."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string")), ",").alias(vec)
+
+
 def scored(df, by="key_id"):
     return df.select(by, F.round("score", 6).alias("score"))
 
@@ -144,12 +149,12 @@ def _(b):
 
 
 @query("v11_all_vectors_since", f"""
-SELECT v.key_id, round(v.vec[1], 6) AS head FROM m_vectors v JOIN m_refs r ON r.n = v.key_id AND r.link = 'vectorData'
+SELECT v.key_id, array_to_string(list_transform(v.vec, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS vec FROM m_vectors v JOIN m_refs r ON r.n = v.key_id AND r.link = 'vectorData'
 AND CAST(r.created AS TIMESTAMPTZ) >= CAST('2024-01-12T05:00:00Z' AS TIMESTAMPTZ)""")
 def _(b):
     keep = R.embedded_since(b.quads, MODEL, "2024-01-12T05:00:00Z").select(F.substring_index("s", "/", -1).alias("key_id"))
     return X.all_vectors(keyed(b), MODEL, keep).select(
-        F.col("key_id").cast("bigint").alias("key_id"), F.round(F.get("vec", 0), 6).alias("head")).orderBy("key_id")
+        F.col("key_id").cast("bigint").alias("key_id"), micro("vec")).orderBy("key_id")
 
 
 @query("v12_add_vectors", """
@@ -181,9 +186,9 @@ rows AS (SELECT r.id AS key_id, concat('vectorData/', r.id, '.npy') AS path, e.v
 
 @query("v14_rebuild_index", f"""
 WITH {REBUILD}
-SELECT key_id, len(vec) AS dim FROM rows WHERE vec IS NOT NULL""")
+SELECT key_id, len(vec) AS dim, array_to_string(list_transform(vec, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS vec FROM rows WHERE vec IS NOT NULL""")
 def _(b):
-    return X.rebuild_index(b.quads, stored_files(b), MODEL)[0].select("key_id", F.size("vec").cast("bigint").alias("dim"))
+    return X.rebuild_index(b.quads, stored_files(b), MODEL)[0].select("key_id", F.size("vec").cast("bigint").alias("dim"), micro("vec"))
 
 
 @query("v14_rebuild_report", f"""
