@@ -139,9 +139,10 @@ def _(b):
 
 @query("d22_embedding_text", """
 SELECT store, iri, md5(concat(CASE WHEN trim(short_caption) <> '' THEN concat('shortCaption: ', trim(short_caption), chr(10)) ELSE '' END,
+CASE WHEN trim(long_caption) <> '' THEN concat('longCaption: ', trim(long_caption), chr(10)) ELSE '' END,
 CASE WHEN short_caption IS NOT NULL THEN concat('renderRequestInformation: ', source, chr(10)) ELSE '' END)) AS digest FROM m_media""")
 def _(b):
-    media = b.media.withColumn("render_request", F.when(F.col("short_caption").isNotNull(), F.concat(F.lit(" "), "source"))).drop("long_caption")
+    media = b.media.withColumn("render_request", F.when(F.col("short_caption").isNotNull(), F.concat(F.lit(" "), "source")))
     return media.select("store", "iri", F.md5(RUN.embedding_text(media)).alias("digest"))
 
 

@@ -13,6 +13,7 @@ from catalograph.plans.binding import G, M, TYPE, V
 from catalograph.plans.read_queries import REQUIRED
 from catalograph.plans.registry import query
 from catalograph.plans.run_queries import arrivals
+from catalograph.plans.vector_queries import micro
 from catalograph.session import fresh_dir
 from catalograph.sources import exports as E, files as FI, nquads as NQ, tables as TB
 from catalograph.streaming import streams as ST
@@ -29,6 +30,25 @@ def _(b):
     return NQ.parse_lines(lines, store=F.col("st")).drop("st").withColumn("dt", F.coalesce("dt", F.lit("")))
 
 
+@query("s1_read_files", "SELECT store, count(*) AS n, CAST(sum(length(o)) AS BIGINT) AS chars, count(DISTINCT p) AS preds FROM quads GROUP BY store")
+def _(b):
+    """Record files of each store read through the reader, store by store."""
+    stores = [r.store for r in b.quads.select("store").distinct().collect()]  # a handful
+    out = fresh_dir(b.spark, "records")
+    NQ.write_nquads(b.quads.withColumnRenamed("store", "st"), out, ("st",))
+    every = reduce(lambda x, y: x.unionByName(y), [NQ.read_nquads(b.spark, f"{out}/st={s}", s) for s in stores])
+    return every.groupBy("store").agg(F.count("*").alias("n"), F.sum(F.length("o").cast("bigint")).alias("chars"), F.count_distinct("p").alias("preds"))
+
+
+@query("s12_arriving_files", "SELECT 'web001' AS store, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, true AS dated FROM documents")
+def _(b):
+    """Every document's text written out as files and read as arrivals."""
+    out = fresh_dir(b.spark, "arriving")
+    b.table("documents").select("text").write.text(out)
+    rows = FI.arrivals(b.spark, out, "web001", stream=False)
+    return rows.groupBy("store").agg(F.sum(F.length("content").cast("bigint")).alias("bytes"), F.min(F.col("created").isNotNull() & (F.col("batch") == "files")).alias("dated"))
+
+
 @query("s2_ntriples", f"SELECT concat('<', s, '> <', p, '> \"', o, '\"', CASE WHEN dt IS NULL THEN '' ELSE concat('^^<', dt, '>') END, ' .') AS value FROM quads WHERE p IN ('{V}rating', '{V}width')")
 def _(b):
     out = fresh_dir(b.spark, "ntriples")
@@ -44,14 +64,14 @@ def _(b):
     return FI.parse_media_path(paths).select("path", "role", "kind", "day", "id", "ext", "model")
 
 
-@query("s4_decode_npy", "SELECT key_id, round(vec[1], 6) AS head, len(vec) AS dim FROM m_vectors")
+@query("s4_decode_npy", "SELECT key_id, array_to_string(list_transform(vec, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS vec, len(vec) AS dim FROM m_vectors")
 def _(b):
     """Stored vectors as `.npy` bytes, decoded."""
     header = "{'descr': '<f4', 'fortran_order': False, 'shape': (64,), }".ljust(117) + "\n"
     le = E.packed(F.lit(""), F.col("vec"))
     npy = F.concat(F.unhex(F.lit("934E554D5059" + "0100" + len(header).to_bytes(2, "little").hex())), F.lit(header).cast("binary"), F.substring(le, 2, 1 << 30))
     back = b.vectors.select("key_id", FI.decode_npy(npy).alias("vec"))
-    return back.select("key_id", F.round(F.get("vec", 0), 6).alias("head"), F.size("vec").cast("bigint").alias("dim"))
+    return back.select("key_id", micro("vec"), F.size("vec").cast("bigint").alias("dim"))
 
 
 @query("s5_export_ndjson", f"SELECT concat('<cat/Image/', id, '>') AS id, len(vec) AS dim, round(list_sum(CAST(vec AS DOUBLE[])), 5) AS total FROM m_vectors v JOIN m_media m ON m.n = v.key_id WHERE m.class = 'Image'")
