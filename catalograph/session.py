@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,13 @@ DEFAULTS = {
 
 
 def build_session(app: str = "catalograph", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the engine's defaults; a cluster submit supplies master, memory and partitions."""
+    """A session with the engine's defaults; a cluster submit supplies master, memory and partitions.
+
+    Workers of a local session find the package wherever it was started from; on a cluster it is installed or sent with `--py-files`.
+    """
+    root, known = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
