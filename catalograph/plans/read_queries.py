@@ -161,9 +161,7 @@ def _(b):
 @query("r9_cursor", """
 SELECT strftime(least(max(ts), max(CASE WHEN event_type = 'error' THEN ts END)), '%Y-%m-%d %H:%M:%S') AS snapshot FROM events""")
 def _(b):
-    ev = b.table("events")
-    now = ev.agg(F.max("ts").alias("now"))
-    late = ev.filter("event_type = 'error'").agg(F.max("ts").alias("at")).join(F.broadcast(now))
+    late = b.table("events").agg(F.max(F.expr("CASE WHEN event_type = 'error' THEN ts END")).alias("at"), F.max("ts").alias("now"))
     return R.cursor(late, F.max("now")).select(F.date_format("snapshot", "yyyy-MM-dd HH:mm:ss").alias("snapshot"))
 
 

@@ -94,6 +94,27 @@ def test_files_are_taken_in_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
 
 
+def test_a_batch_run_again_over_its_own_facts_keeps_its_ids(spark, tmp_path):
+    from tests.test_sources import png
+
+    root = tmp_path / "in"
+    root.mkdir()
+    s = ST.stream_session(spark, 2)
+    none, out = s.createDataFrame([], N.QUAD_SCHEMA), f"{tmp_path}/out"
+    stored = lambda: none.unionByName(s.read.schema(N.QUAD_SCHEMA).parquet(f"{out}/quads").select(*none.columns)) if (tmp_path / "out/quads").exists() else none
+    run = lambda: ST.ingest_stream(FI.arrivals(s, str(root), "st0001", max_files=1), stored, out, f"{tmp_path}/ck").awaitTermination()
+    facts = lambda: sorted(map(str, spark.read.parquet(f"{out}/quads").collect()))
+    (root / "a.png").write_bytes(png())
+    (root / "b.png").write_bytes(png())
+    run()
+    before = facts()
+    last = max((tmp_path / "ck/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # the facts landed, the batch's mark did not
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert facts() == before and before
+
+
 def test_a_failure_already_over_holds_nothing(spark, tmp_path):
     row = lambda i, s, t, ok: ("st", s, "pose", i, ts(t), ok)
     stream = feed(spark, tmp_path, OUTCOMES, [row(1, "x", "2024-01-01 00:00:00", True)], [row(2, "x", "2024-01-01 03:00:00", True)],
