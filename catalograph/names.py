@@ -154,3 +154,7 @@ def settable() -> dict[str, str]:
     """Names a person may set, with their ranges: all media and image properties, and the description."""
     rows = DATATYPE_PROPERTIES["Media"] + DATATYPE_PROPERTIES["Image"]
     return {**dict(rows), "description": "string"}
+
+# What a call's error text says when the service was out of reach, or its quota spent.
+UNREACHABLE_SAYS = ("error sending request", "connection", "timed out")
+QUOTA_SAYS = "402 quota exceeded"

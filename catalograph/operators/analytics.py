@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,9 +19,9 @@ def outcome(status: Column, error: Column) -> Column:
     terminal = F.coalesce(status == 422, F.lit(False)) | (F.coalesce(~ok, F.lit(False)) & ~F.coalesce(
         status.isin(402, 429) | status.between(500, 599), F.lit(False)))
     msg = F.coalesce(error, F.lit(""))
-    down = msg.contains("error sending request") | msg.contains("connection") | msg.contains("timed out")
+    down = reduce(lambda a, b: a | b, [msg.contains(x) for x in N.UNREACHABLE_SAYS])
     return (F.when(ok & error.isNull(), "recorded").when(terminal, "terminal")
-            .when((status == 402) | msg.contains("402 quota exceeded"), "quota").when(down, "unreachable").otherwise("transient"))
+            .when((status == 402) | msg.contains(N.QUOTA_SAYS), "quota").when(down, "unreachable").otherwise("transient"))
 
 
 def classify(calls: DataFrame) -> DataFrame:
