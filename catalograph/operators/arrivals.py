@@ -111,6 +111,7 @@ def arrival_quads(rows: DataFrame) -> DataFrame:
 # ── packets ─────────────────────────────────────────────────────────────────────────────────────────────────
 
 R = f"{{{N.RDF}}}"
+XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 _OWN = tuple(f"<{N.MEDIA_NS[len(N.BASE):]}{c}/" for c in ("Image", "Video", "Media"))
 
 
@@ -124,8 +125,11 @@ def _resolve(about: str, base: str) -> str:
     return about if ":" in about else base.rsplit("/", 1)[0] + "/" + about
 
 
-def read_statements(packet: str, media: str) -> list[tuple]:
-    """(block, s, p, o, kind, datatype) of one RDF/XML packet; ValueError when it is not well-formed RDF."""
+def read_statements(packet: str, media: str, later: bool = False) -> list[tuple]:
+    """(block, s, p, o, kind, datatype) of one RDF/XML packet; ValueError when it is not well-formed RDF.
+
+    On arrival the catalogue's own block of another store is passed over; a packet that comes `later` may not hold one, nor say nothing.
+    """
     start, end = packet.find("<rdf:RDF"), packet.rfind("</rdf:RDF>")
     if start < 0 or end < start:
         raise ValueError("packet has no rdf:RDF element")
@@ -135,59 +139,100 @@ def read_statements(packet: str, media: str) -> list[tuple]:
         raise ValueError(f"not valid RDF/XML: {e}") from None
     out: list[tuple] = []
     blanks = iter(range(1 << 30))
+    tag = media.rsplit("/", 1)[-1]
+
+    def blank(name: str | None = None) -> str:
+        return f"_:{tag}-{next(blanks)}" if name is None else f"_:{tag}-n-{name}"
+
+    def tongue(el: ET.Element, outer: str | None) -> str | None:
+        """The language in force: the element's own, or the one around it; empty switches it off."""
+        return (el.attrib[XML_LANG] or None) if XML_LANG in el.attrib else outer
+
+    def literal(block: int, s: str, p: str, text: str, lang: str | None, dt: str | None = None) -> None:
+        out.append((block, s, p, text, "literal", dt or (f"{N.RDF}langString@{lang}" if lang else None)))
+
+    def link(block: int, s: str, p: str, o: str) -> None:
+        out.append((block, s, p, o, "bnode" if o.startswith("_:") else "iri", None))
 
-    def node(el: ET.Element, block: int) -> str:
+    def node(el: ET.Element, block: int, lang: str | None) -> str:
+        lang = tongue(el, lang)
         if R + "about" in el.attrib:
             s = _resolve(el.attrib[R + "about"], media)
         elif R + "ID" in el.attrib:
             s = f"{media}#{el.attrib[R + 'ID']}"
         else:
-            s = f"_:{media.rsplit('/', 1)[-1]}-{next(blanks)}"
+            s = blank(el.attrib.get(R + "nodeID"))
         if el.tag != R + "Description":
             out.append((block, s, N.RDF_TYPE, _name(el.tag), "iri", None))
-        attributes(el, s, block)
+        attributes(el, s, block, lang)
+        properties(el, s, block, lang)
+        return s
+
+    def properties(el: ET.Element, s: str, block: int, lang: str | None) -> None:
         members = 0
         for prop in el:
             members += prop.tag == R + "li"
-            value(prop, s, N.RDF + f"_{members}" if prop.tag == R + "li" else _name(prop.tag), block)
-        return s
-
-    def attributes(el: ET.Element, s: str, block: int) -> None:
-        for k, val in el.attrib.items():
-            if k.startswith("{") and not k.startswith("{http://www.w3.org/XML/1998/") and (not k.startswith(R) or k == R + "type"):
-                out.append((block, s, _name(k), val, "iri" if k == R + "type" else "literal", None))
-
-    def value(prop: ET.Element, s: str, p: str, block: int) -> None:
-        if R + "resource" in prop.attrib:
-            out.append((block, s, p, _resolve(prop.attrib[R + "resource"], media), "iri", None))
-        elif prop.attrib.get(R + "parseType") == "Resource":
-            b = f"_:{media.rsplit('/', 1)[-1]}-{next(blanks)}"
-            out.append((block, s, p, b, "bnode", None))
-            for inner in prop:
-                value(inner, b, _name(inner.tag), block)
+            value(prop, s, N.RDF + f"_{members}" if prop.tag == R + "li" else _name(prop.tag), block, lang)
+
+    def said_of(el: ET.Element) -> list[str]:
+        return [k for k in el.attrib if k.startswith("{") and not k.startswith("{http://www.w3.org/XML/1998/") and (not k.startswith(R) or k == R + "type")]
+
+    def attributes(el: ET.Element, s: str, block: int, lang: str | None) -> None:
+        for k in said_of(el):
+            if k == R + "type":
+                out.append((block, s, N.RDF_TYPE, el.attrib[k], "iri", None))
+            else:
+                literal(block, s, _name(k), el.attrib[k], lang)
+
+    def value(prop: ET.Element, s: str, p: str, block: int, lang: str | None) -> None:
+        lang, kind = tongue(prop, lang), prop.attrib.get(R + "parseType")
+        if kind == "Resource":
+            b = blank()
+            link(block, s, p, b)
+            properties(prop, b, block, lang)
+        elif kind == "Collection":
+            cells = [node(inner, block, lang) for inner in prop]
+            rest = N.RDF + "nil"
+            for item in reversed(cells):
+                cell = blank()
+                link(block, cell, N.RDF + "first", item)
+                link(block, cell, N.RDF + "rest", rest)
+                rest = cell
+            link(block, s, p, rest)
+        elif kind is not None:  # Literal, and what else there may be
+            inner = (prop.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in prop)
+            literal(block, s, p, inner, None, N.RDF + "XMLLiteral")
         elif len(prop):
             for inner in prop:
-                o = node(inner, block)
-                out.append((block, s, p, o, "bnode" if o.startswith("_:") else "iri", None))
+                link(block, s, p, node(inner, block, lang))
+        elif R + "resource" in prop.attrib or R + "nodeID" in prop.attrib or said_of(prop):
+            o = _resolve(prop.attrib[R + "resource"], media) if R + "resource" in prop.attrib else blank(prop.attrib.get(R + "nodeID"))
+            link(block, s, p, o)
+            attributes(prop, o, block, lang)
         else:
-            out.append((block, s, p, prop.text or "", "literal", prop.attrib.get(R + "datatype")))
+            literal(block, s, p, prop.text or "", lang, prop.attrib.get(R + "datatype"))
 
+    outer = tongue(root, None)
     for i, el in enumerate(root):
         own_id = el.findtext(f"{{{N.VOCAB}}}id", "") or el.attrib.get(f"{{{N.VOCAB}}}id", "")
         if not own_id.startswith(_OWN):
-            node(el, i)
+            node(el, i, outer)
+        elif later:
+            raise ValueError("a later packet holds a description of the catalogue's own")
+    if later and not out:
+        raise ValueError("a later packet states nothing")
     return out
 
 
-def harvest(packets: DataFrame) -> DataFrame:
+def harvest(packets: DataFrame, later: bool = False) -> DataFrame:
     """Statements of `packets(store, media, packet)`: `rdf:about=""` is the media, named subjects stay, the catalogue's
-    own block of another store is left out. A malformed packet is one row with `p` NULL and the fault in `o`."""
+    own block of another store is left out, or with `later` a fault. A malformed packet is one row with `p` NULL and the fault in `o`."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for store, media, packet in zip(b["store"], b["media"], b["packet"]):
                 try:
-                    rows += [(store, media, *r) for r in read_statements(packet, media)]
+                    rows += [(store, media, *r) for r in read_statements(packet, media, later)]
                 except ValueError as e:
                     rows.append((store, media, -1, media, None, str(e), "fault", None))
             yield pd.DataFrame(rows, columns=["store", "media", "block", "s", "p", "o", "o_kind", "dt"]).astype({"block": "int32"})

@@ -128,3 +128,30 @@ def test_search_order_exclusion_and_empty_gate(spark, quads, q):
     only = quads((B, "x", "1")).select("store", "s")
     assert [r.key_id for r in X.hybrid(q, v, only, "m", [1.0, 0.0, 0.0]).collect()] == ["b"]
     assert X.hybrid(q, v, None, "m", [1.0, 0.0, 0.0], 2).count() == 2
+
+
+def test_packet_grammar():
+    """Property attributes, named blank nodes, languages, literal and list content."""
+    from catalograph.operators.arrivals import read_statements
+
+    packet = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:x="http://x/" xmlns:st="http://st/" xml:lang="en"><rdf:Description rdf:about="">
+<x:h st:action="saved" st:when="now"/><x:who rdf:nodeID="p"/><x:t xml:lang="fr">bon</x:t><x:u>plain</x:u><x:v xml:lang="">none</x:v><x:n rdf:datatype="http://d/int">3</x:n>
+<x:raw rdf:parseType="Literal">a<b>c</b></x:raw><x:list rdf:parseType="Collection"><rdf:Description rdf:about="http://i/1"/></x:list>
+</rdf:Description><rdf:Description rdf:nodeID="p" x:name="Ann"/></rdf:RDF>"""
+    rows = [r[1:] for r in read_statements(packet, "http://m/a")]
+    said = {(s, p): (o, k, dt) for s, p, o, k, dt in rows}
+    en = N.RDF + "langString@en"
+    h, _, _ = said[("http://m/a", "http://x/h")]
+    assert said[(h, "http://st/action")] == ("saved", "literal", en) and said[(h, "http://st/when")] == ("now", "literal", en)
+    who, kind, _ = said[("http://m/a", "http://x/who")]
+    assert kind == "bnode" and said[(who, "http://x/name")] == ("Ann", "literal", en)
+    assert said[("http://m/a", "http://x/t")] == ("bon", "literal", N.RDF + "langString@fr") and said[("http://m/a", "http://x/u")] == ("plain", "literal", en)
+    assert said[("http://m/a", "http://x/v")] == ("none", "literal", None) and said[("http://m/a", "http://x/n")] == ("3", "literal", "http://d/int")
+    assert said[("http://m/a", "http://x/raw")] == ("a<b>c</b>", "literal", N.RDF + "XMLLiteral")
+    own = packet.replace('rdf:nodeID="p" x:name="Ann"', f'rdf:about="x" xmlns:o="{N.VOCAB}" o:id="&lt;cat/Image/a>"')
+    assert read_statements(own, "http://m/a") and read_statements(packet, "http://m/a", later=True)
+    for bad in (own, '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"></rdf:RDF>'):
+        with pytest.raises(ValueError, match="later packet"):
+            read_statements(bad, "http://m/a", later=True)
+    cell, _, _ = said[("http://m/a", "http://x/list")]
+    assert said[(cell, N.RDF + "first")] == ("http://i/1", "iri", None) and said[(cell, N.RDF + "rest")] == (N.RDF + "nil", "iri", None)
