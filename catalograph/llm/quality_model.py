@@ -89,19 +89,27 @@ def train(rows: list[tuple[np.ndarray, bool]], epochs: int = 200, l2: float = 1e
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> TextModel:
     """Fit on about `sample` rows of `labels(key, good)`, picked by a hash of the key; null labels and unlabelled documents take no part.
 
-    The picked labels are a written table of bounded size, and only the feature buckets of their documents reach the driver.
+    A picked key gives one row, its text of the least hash, however many rows repeat it. The picked rows are a written table whose count is
+    checked, and only their feature buckets reach the driver.
     """
     known = labels.filter(F.col("good").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col("good").cast("int")).alias("good"))
     n = known.count()
     picked = written(known.filter(F.shiftrightunsigned(F.xxhash64("k"), 11) / float(1 << 53) < min(1.0, sample / max(1, n))), "labels")
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(picked, "k").select("good", "t")
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    # One row a key and distinct text, then the text of the least hash: copies of a row combine map-side and count once.
+    least = rows.join(picked, "k", "left_semi").groupBy("k").agg(F.min(F.struct("h", "t")).alias("x"))
+    rows = written(least.join(picked, "k").select("k", "good", "x.t"), "sample")
+    if (found := rows.count()) > 2 * sample + 1000:  # twenty standard errors and more above what the draw gives
+        raise ValueError(f"{found} sampled rows for a sample of {sample}")
+    rows = rows.select("good", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["good", "at"])
 
     got = rows.mapInArrow(run, "good int, at array<int>").toArrow()
-    return train([(a.values.to_numpy(), bool(g)) for g, a in zip(got["good"].to_pylist(), got["at"], strict=True)])
+    rows = [(a.values.to_numpy(), bool(g)) for g, a in zip(got["good"].to_pylist(), got["at"], strict=True)]
+    return train(sorted(rows, key=lambda r: (r[1], len(r[0]), r[0].tobytes())))  # not the order tasks ended in
 
 
 def _strength(groups: DataFrame, n: str, s: str) -> tuple[float, float]:

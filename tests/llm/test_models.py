@@ -107,3 +107,15 @@ def test_a_fit_without_labels_says_nothing(spark):
 def test_registered_quality_query(spark, sf):
     got = QUERIES["op3_site_quality"](spark, sf)
     assert got.columns == ["doc_id", "evidence", "host_rate", "path_rate", "score", "kept"] and got.count() == 200
+
+
+def test_a_repeated_key_gives_one_row_to_the_fit(spark, monkeypatch):
+    """A third of the table under one labelled key, with equal and with different texts."""
+    rows = [(i, f"plain text {i}") for i in range(60)] + [(5, "plain text 5")] * 20 + [(6, f"other {i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(60)], "doc_id bigint, good boolean")
+    seen = []
+    monkeypatch.setattr(quality_model, "train", seen.append)
+    for n in (1, 7):
+        quality_model.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n), labels)
+    assert [len(x) for x in seen] == [60, 60] and sum(good for _, good in seen[0]) == 30
+    assert [(a.tolist(), g) for a, g in seen[0]] == [(a.tolist(), g) for a, g in seen[1]]
