@@ -295,11 +295,12 @@ def group_faces(vectors: DataFrame, model: str, threshold: float = 0.4, block: i
 class CellIndex:
     """An inverted-file index for approximate search: `rows` carry the cell of their nearest centroid.
 
-    `rows` is best stored partitioned by cell, so that a probe reads only its cells.
+    `rows` is best stored partitioned by cell, so that a probe reads only its cells. `radii` are the greatest distances of a cell's rows from
+    its centroid.
     """
 
-    def __init__(self, rows: DataFrame, centroids: np.ndarray, sizes: np.ndarray):
-        self.rows, self.centroids, self.sizes = rows, centroids, sizes
+    def __init__(self, rows: DataFrame, centroids: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+        self.rows, self.centroids, self.sizes, self.radii = rows, centroids, sizes, radii
 
 
 def build_cells(vectors: DataFrame, model: str, n_cells: int | None = None, seed: int = 7, fit_rows: int | None = None) -> CellIndex:
@@ -321,8 +322,10 @@ def build_cells(vectors: DataFrame, model: str, n_cells: int | None = None, seed
     fit = KMeans(k=n_cells, seed=seed, maxIter=6, initMode="random").fit(train)
     centroids = np.array(fit.clusterCenters())
     centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-    celled = cut_lineage(_assign(rows, centroids).drop("r"))
-    return CellIndex(celled, centroids, _cell_counts(celled, len(centroids)))
+    celled = cut_lineage(_assign(rows, centroids))
+    placed = celled.withColumn("r", F.nanvl("r", F.lit(None)))  # a vector of norm zero is at no distance
+    n, _, radii = _cell_stats(placed.withColumn("r", F.coalesce("r", F.lit(-1.0))), len(centroids))
+    return CellIndex(celled.drop("r"), centroids, n, radii)
 
 
 def _cell_counts(rows: DataFrame, cells: int) -> np.ndarray:
@@ -335,10 +338,11 @@ def _cell_counts(rows: DataFrame, cells: int) -> np.ndarray:
 
 def knn_approx(index: CellIndex, model: str, query: list[float], k: int = 10, gate: DataFrame | None = None,
                effort: int | None = None, engine: str = "arrow") -> DataFrame:
-    """Approximate kNN: cells in the order of their centroids until they hold `effort` rows that the gate admits, then an exact rerank.
+    """kNN over cells in the order of their centroids until they hold `effort` rows that the gate admits, then an exact rerank.
 
     `effort` is at least k and counts admitted rows, so a narrow gate widens the search, to all cells if need be: k rows come back
-    wherever the gate admits k.
+    wherever the gate admits k. A given effort makes the search approximate. By default the k-th score of that first probe bounds the
+    search: every cell that may hold a nearer row is read, so nothing is missed. Vectors without clusters make that all cells.
     """
     from catalograph.names import SEARCH_EF
     from catalograph.operators.vectors import knn
@@ -347,10 +351,19 @@ def knn_approx(index: CellIndex, model: str, query: list[float], k: int = 10, ga
     if gate is not None:
         rows = rows.join(gate, [c for c in gate.columns if c in rows.columns], "left_semi")
         sizes = _cell_counts(rows, len(index.centroids))
-    effort = max(k + 1, effort or max(2 * k, SEARCH_EF[0]))
+    bounded, effort = effort is None, max(k + 1, effort or max(2 * k, SEARCH_EF[0]))
     near = np.argsort(-(index.centroids @ np.asarray(query, dtype="f8")), kind="stable")
     near = near[sizes[near] > 0]
     probes = near[: int(np.searchsorted(np.cumsum(sizes[near]), effort)) + 1]
+    if bounded and len(probes) < len(near):
+        first = knn(rows.filter(F.col("cell").isin(*[int(c) for c in probes])), model, query, k, engine=engine)
+        found = first.agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+        if found.n < k:
+            probes = near
+        else:
+            q = np.asarray(query, dtype="f8")
+            away = np.sqrt(np.maximum(0.0, 2 - 2 * (index.centroids[near] @ (q / np.linalg.norm(q)))))
+            probes = near[away - index.radii[near] <= math.sqrt(max(0.0, 2 - 2 * found.s)) + 1e-6]
     if len(probes) < len(near):
         rows = rows.filter(F.col("cell").isin(*[int(c) for c in probes]))
     return knn(rows, model, query, k, engine=engine)

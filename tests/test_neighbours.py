@@ -96,3 +96,15 @@ def test_approximate_join_over_all_cells_is_exact(spark):
     df = frame(spark, m)
     rows = lambda d: {(r.key_id, r.rank): r.neighbour for r in d.collect()}
     assert rows(NB.knn_join_approx(NB.build_cells(df, "m", 12), df, "m", 5, probes=12, block=32)) == rows(NB.knn_join(df, df, "m", 5, block=32))
+
+
+def test_search_at_its_default_effort_misses_nothing(spark):
+    """Vectors without clusters, and clustered ones with a vector of norm zero."""
+    spread = RNG.normal(size=(800, 32))
+    tight = np.vstack([np.repeat(RNG.normal(size=(20, 16)), 40, axis=0) + 0.1 * RNG.normal(size=(800, 16)), np.zeros((1, 16))])
+    for m in (spread, tight):
+        index = NB.build_cells(frame(spark, m), "m")
+        for i in range(0, 800, 200):
+            s = cosines(m[i: i + 1], m[:800])[0]
+            got = [r.key_id for r in NB.knn_approx(index, "m", list(m[i]), 10).collect()]
+            assert set(got) == set(np.argsort(-s, kind="stable")[:10].tolist())
