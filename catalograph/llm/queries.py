@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from catalograph.llm import (
-    decontam, language_id, packing, quality_model, quality_rules, secrets, sharding, simhash, token_counts, token_files,
+    chat_format, decontam, language_id, packing, periodic_runs, prefix_trie, quality_model, quality_rules, secrets, sharding, simhash, token_counts, token_files,
 )
 from catalograph.llm.tables import documents, text_or_empty, written
 
@@ -81,9 +81,29 @@ def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs.filter(~F.col("held_out"))), ("doc_id", "held_out"))
 
 
+@_register
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.marked(prefix_trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return prefix_trie.report(prefix_trie.Trie(*prefix_trie.branched(written(turns, "turns"))))
+
+
+@_register
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, read back from the laid-out tree."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.layout(said.unionByName(odd)))
+
+
+@_register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.collapse(periodic_runs.planted(documents(spark, sf_dir))))
+
+
 ORACLES["op2_benchmark_containment"] = decontam.ORACLE
 ORACLES["op8_secret_ledger"] = secrets.ORACLE
 ORACLES["op9_host_quality_rules"] = quality_rules.ORACLE
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:

@@ -17,7 +17,7 @@ def test_query_matches_sql(spark, sf, key):
 
 
 def test_one_query_an_operator():
-    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*(f"op{n}" for n in range(1, 11)), "pipeline"])
+    assert sorted(k.split("_")[0] for k in QUERIES) == sorted([*(f"op{n}" for n in range(1, 14)), "pipeline"])
 
 
 def test_entry_imports_without_the_subpackage(tmp_path):
