@@ -6,7 +6,7 @@ is a `Change`; applying it and writing the next snapshot is the commit, so a job
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +29,25 @@ class Change:
     preds: tuple[str, ...] | None = None
     where: Column | None = None
 
+    def held(self) -> Change:
+        """The same change with its quads written out: it is read several times in a commit, and its source is about to be replaced."""
+        cut = lambda d: None if d is None else cut_lineage(d)
+        return replace(self, added=cut(self.added), removed=cut(self.removed))
+
+    def touches(self, q: DataFrame) -> list[str]:
+        """The predicates of the quads that come or go."""
+        found = [] if self.added is None else [self.added.select("p")]
+        if self.removed is not None:
+            by_name = self.removed.select("p") if "p" in self.removed.columns else q.join(
+                self.removed, P.shared_vars(self.removed, q), "left_semi").select("p")
+            found.append(by_name)
+        if self.where is not None:
+            found.append(q.filter(F.coalesce(self.where, F.lit(False))).select("p"))
+        return sorted({r.p for d in found for r in d.distinct().collect()})  # predicates are the data model's
+
+    def within(self, preds: list[str]) -> Change:
+        return replace(self, preds=tuple(preds))
+
     def apply(self, q: DataFrame) -> DataFrame:
         here, rest = q, None
         if self.preds is not None:
@@ -126,7 +145,7 @@ def set_fields(q: DataFrame, edits: DataFrame, fields: dict[str, str] | None = N
     links = links.select("request", "seq", "store", "s", "key", F.col("node").alias("o"), F.lit("iri").alias("o_kind"),
                          F.lit(None).cast("string").alias("dt"),
                          F.when(F.col("class").isNull(), "id not found").otherwise(F.col("link_reason")).alias("reason"))
-    judged = plain.unionByName(links)
+    judged = cut_lineage(plain.unionByName(links))  # feeds the report, the values and the edges
     report = judged.groupBy("request").agg(F.min("reason").alias("reason"), F.count("*").alias("rows")).withColumn(
         "status", F.when(F.col("reason").isNull(), "done").otherwise("refused"))
     good = judged.join(report.filter("status = 'done'").select("request"), "request", "left_semi")

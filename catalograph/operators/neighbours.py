@@ -32,19 +32,25 @@ SLICE = 1024  # rows scored against all pivots at a time
 EPS = 1e-9
 
 
-def _gid(vec: Column) -> Column:
-    """128 bits of a vector's content."""
-    return F.concat_ws("-", F.hex(F.xxhash64(vec)), F.hex(F.xxhash64(F.lit(7), vec)))
+def _owner(*tables: DataFrame) -> list[str]:
+    """The store, where every table has it: a store's indexes are its own, so nothing of another store is a neighbour."""
+    return ["store"] if all("store" in t.columns for t in tables) else []
 
 
-def _rows(vectors: DataFrame, model: str) -> DataFrame:
-    v = vectors.filter(F.col("model") == model).select("key_id", "vec").filter(norm(as_double(F.col("vec"))) > 0)
-    return v.withColumn("gid", _gid(F.col("vec")))
+def _gid(*of: Column) -> Column:
+    """128 bits of a vector's content, and of its store."""
+    return F.concat_ws("-", F.hex(F.xxhash64(*of)), F.hex(F.xxhash64(F.lit(7), *of)))
+
+
+def _rows(vectors: DataFrame, model: str, owner: list[str]) -> DataFrame:
+    v = vectors.filter(F.col("model") == model).select(*owner, "key_id", "vec").filter(norm(as_double(F.col("vec"))) > 0)
+    return v.withColumn("gid", _gid(*owner, F.col("vec")))
 
 
 def _folded(rows: DataFrame, ids: int) -> DataFrame:
-    """One row per distinct vector with its first `ids` keys."""
-    return (top_per_key(rows, ["gid"], [F.col("key_id")], ids).groupBy("gid")
+    """One row per distinct vector of a store with its first `ids` keys."""
+    owner = _owner(rows)
+    return (top_per_key(rows, ["gid"], [F.col("key_id")], ids).groupBy(*owner, "gid")
             .agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("key_id")).alias("ids")))
 
 
@@ -121,7 +127,7 @@ def _at(values: np.ndarray, cell: str) -> Column:
 
 
 def _block_pairs(queries: DataFrame, cands: DataFrame, cand_rows: np.ndarray, block: int, run, schema: str) -> DataFrame:
-    """Cogroup query blocks with candidate blocks of the same cell. `queries` has `target`, `cands` has `cell`."""
+    """Cogroup query blocks with candidate blocks of the same cell and store. `queries` has `target`, `cands` has `cell`."""
     asked = np.zeros(len(cand_rows), "i8")
     for row in queries.groupBy("target").count().collect():  # one row per cell
         asked[row.target] = row["count"]
@@ -132,7 +138,7 @@ def _block_pairs(queries: DataFrame, cands: DataFrame, cand_rows: np.ndarray, bl
     c = (cands.filter(_at(asked, "cell") > 0)
          .withColumn("cb", F.pmod(F.xxhash64(F.lit(3), F.col("gid")), _at(nc, "cell")).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), _at(nq, "cell") - 1))))
-    key = ["cell", "qb", "cb"]
+    key = [*_owner(queries, cands), "cell", "qb", "cb"]
     return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(run, schema)
 
 
@@ -164,26 +170,28 @@ def _ranked_pairs(k: int, id_type: str):
 
 def knn_join(left: DataFrame, right: DataFrame, model: str, k: int = 10, exclude_self: bool = True,
              block: int = BLOCK) -> DataFrame:
-    """The k nearest rows of `right` for every row of `left`: `(key_id, neighbour, score, rank)`, exact.
+    """The k nearest rows of `right` for every row of `left`: `([store,] key_id, neighbour, score, rank)`, exact. Where both tables have a
+    store, neighbours are of the same store.
 
     All-pairs work is quadratic where the bounds cannot prune (random high-dimensional data); there `knn_approx`
     is the tool. Vectors of norm zero have no cosine and take no part.
     """
     want = k + 1 if exclude_self else k
     id_type = right.schema["key_id"].dataType.simpleString()
-    cand_rows = _rows(right, model)
-    query_rows = cand_rows if left is right else _rows(left, model)
+    owner = _owner(left, right)
+    cand_rows = _rows(right, model, owner)
+    query_rows = cand_rows if left is right else _rows(left, model, owner)
     folded = cut_lineage(_folded(cand_rows, want).withColumn("first", F.element_at("ids", 1)))
     n = folded.count()
     if n == 0:
-        return query_rows.limit(0).select("key_id", F.col("key_id").cast(id_type).alias("neighbour"),
+        return query_rows.limit(0).select(*owner, "key_id", F.col("key_id").cast(id_type).alias("neighbour"),
                                           F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     pivots = _pivots(folded, n, block)
     cands = cut_lineage(_assign(folded, pivots))
     stats = _cell_stats(cands, len(pivots))
-    asked = cands.select("gid", "vec", "cell") if left is right else cut_lineage(
-        _assign(_folded(query_rows, 1).select("gid", "vec"), pivots).select("gid", "vec", "cell"))
-    cands = cands.select("gid", "first", "ids", "vec", "cell")
+    asked = cands.select(*owner, "gid", "vec", "cell") if left is right else cut_lineage(
+        _assign(_folded(query_rows, 1).select(*owner, "gid", "vec"), pivots).select(*owner, "gid", "vec", "cell"))
+    cands = cands.select(*owner, "gid", "first", "ids", "vec", "cell")
     run, schema = _ranked_pairs(want, id_type)
 
     near = cut_lineage(_block_pairs(asked.withColumnRenamed("cell", "target"), cands, stats[0], block, run, schema))
@@ -191,8 +199,8 @@ def knn_join(left: DataFrame, right: DataFrame, model: str, k: int = 10, exclude
     bound = top_per_key(near, ["q"], order, want).groupBy("q").agg(F.count("*").alias("m"), F.min("score").alias("s"))
     bounded = asked.join(bound, asked.gid == bound.q, "left").withColumn(
         "bound", F.when(F.col("m") >= want, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(float("inf")))
-    bounded = cut_lineage(bounded.select("gid", "vec", "cell", "bound"))
-    far = _block_pairs(_visits(bounded, pivots, stats, ["gid", "vec"], own=False), cands, stats[0], block, run, schema)
+    bounded = cut_lineage(bounded.select(*owner, "gid", "vec", "cell", "bound"))
+    far = _block_pairs(_visits(bounded, pivots, stats, [*owner, "gid", "vec"], own=False), cands, stats[0], block, run, schema)
 
     return _expand(near.unionByName(far), query_rows, want, k, exclude_self)
 
@@ -206,9 +214,10 @@ def _expand(pairs: DataFrame, query_rows: DataFrame, want: int, k: int, exclude_
         x["ids"], lambda i: F.struct((-x["score"]).alias("neg"), i.alias("neighbour")))))
     mine = pairs if not exclude_self else F.filter(pairs, lambda x: x["neighbour"] != F.col("key_id"))
     top = F.slice(F.array_sort(mine), 1, k)
-    out = query_rows.select("key_id", "gid").join(best, F.col("gid") == F.col("q"))
-    return out.select("key_id", F.posexplode(top).alias("pos", "x")).select(
-        "key_id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.neg")).alias("score"), (F.col("pos") + 1).alias("rank"))
+    owner = _owner(query_rows)
+    out = query_rows.select(*owner, "key_id", "gid").join(best, F.col("gid") == F.col("q"))
+    return out.select(*owner, "key_id", F.posexplode(top).alias("pos", "x")).select(
+        *owner, "key_id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.neg")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,38 +262,52 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_dups(vectors: DataFrame, model: str, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(key_id, group): vectors linked by chains of pairs at cosine >= threshold share the group's least key.
+    """([store,] key_id, group): vectors of a store linked by chains of pairs at cosine >= threshold share the group's least key.
 
     Exact: a vector meets every cell within the threshold's distance. Blocks emit spanning forests, whose union has
     the same components as all pairs.
     """
-    rows = _rows(vectors, model)
-    folded = cut_lineage(_folded(rows, 1).withColumn("first", F.element_at("ids", 1)).drop("ids"))
+    rows = _rows(vectors, model, _owner(vectors))
+    folded = cut_lineage(first_named(rows))
     n = folded.count()
     if n == 0:
-        return rows.select("key_id", F.col("key_id").alias("group"))
-    id_type = folded.schema["first"].dataType.simpleString()
+        return rows.select(*_owner(rows), "key_id", F.col("key_id").alias("group"))
+    name = folded.schema["first"].dataType
     pivots = _pivots(folded, n, block)
     cells = cut_lineage(_assign(folded, pivots))
     stats = _cell_stats(cells, len(pivots))
     reach = cells.withColumn("bound", F.lit(math.sqrt(max(0.0, 2 - 2 * threshold))))
-    asked = _visits(reach, pivots, stats, ["gid", "first", "vec"], own=True, upward=True)
+    owner = _owner(folded)
+    asked = _visits(reach, pivots, stats, [*owner, "gid", "first", "vec"], own=True, upward=True)
+    edges = _block_pairs(asked, cells.select(*owner, "gid", "first", "vec", "cell"), stats[0], block,
+                         lambda qt, ct: forest(qt, ct, threshold), T.StructType([T.StructField("u", name), T.StructField("v", name)]))
+    return grouped(rows, folded, edges)
 
-    def forest(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        if not len(qt) or not len(ct):
-            return pa.table({"u": qt["first"].slice(0, 0), "v": qt["first"].slice(0, 0)})
-        a, b = np.nonzero(np.round(unit_matrix(qt["vec"]) @ unit_matrix(ct["vec"]).T, 12) >= threshold)
-        roots = local_roots(len(qt) + len(ct), a, b + len(qt))
-        node = pa.chunked_array([*qt["first"].chunks, *ct["first"].chunks], type=qt["first"].type)
-        at = np.nonzero(roots != np.arange(len(roots)))[0]
-        return pa.table({"u": node.take(pa.array(at)), "v": node.take(pa.array(roots[at]))})
-
-    edges = _block_pairs(asked, cells.select("gid", "first", "vec", "cell"), stats[0], block, forest,
-                         f"u {id_type}, v {id_type}")
+
+def first_named(rows: DataFrame) -> DataFrame:
+    """One row a distinct vector, named by its store and least key in `first`, which orders groups by their least key."""
+    owner = _owner(rows)
+    return _folded(rows, 1).withColumn("first", F.struct(*owner, F.element_at("ids", 1).alias("key_id"))).drop("ids")
+
+
+def forest(qt: pa.Table, ct: pa.Table, threshold: float) -> pa.Table:
+    """Spanning links (u, v) of the pairs between two blocks at the threshold or above."""
+    if not len(qt) or not len(ct):
+        return pa.table({"u": qt["first"].slice(0, 0), "v": qt["first"].slice(0, 0)})
+    a, b = np.nonzero(np.round(unit_matrix(qt["vec"]) @ unit_matrix(ct["vec"]).T, 12) >= threshold)
+    roots = local_roots(len(qt) + len(ct), a, b + len(qt))
+    node = pa.chunked_array([*qt["first"].chunks, *ct["first"].chunks], type=qt["first"].type)
+    at = np.nonzero(roots != np.arange(len(roots)))[0]
+    return pa.table({"u": node.take(pa.array(at)), "v": node.take(pa.array(roots[at]))})
+
+
+def grouped(rows: DataFrame, folded: DataFrame, edges: DataFrame) -> DataFrame:
+    """([store,] key_id, group) of all rows, from links between the `first` names of `folded`."""
+    owner = _owner(rows)
     roots = connected_components(edges)
     groups = folded.select("gid", "first").join(roots, F.col("first") == F.col("node"), "left").select(
-        "gid", F.coalesce("root", "first").alias("group"))
-    return rows.select("key_id", "gid").join(groups, "gid").select("key_id", "group")
+        "gid", F.coalesce("root", "first")["key_id"].alias("group"))
+    return rows.select(*owner, "key_id", "gid").join(groups, "gid").select(*owner, "key_id", "group")
 
 
 def group_faces(vectors: DataFrame, model: str, threshold: float = 0.4, block: int = BLOCK) -> DataFrame:
@@ -378,12 +401,13 @@ def knn_join_approx(index: CellIndex, queries: DataFrame, model: str, k: int = 1
     """
     want = k + 1 if exclude_self else k
     id_type = index.rows.schema["key_id"].dataType.simpleString()
-    folded = _folded(_rows(index.rows, model), want).withColumn("first", F.element_at("ids", 1))
+    owner = _owner(index.rows, queries)
+    folded = _folded(_rows(index.rows, model, owner), want).withColumn("first", F.element_at("ids", 1))
     cands = cut_lineage(_assign(folded, index.centroids).drop("r"))
-    asked = _rows(queries, model)
-    visits = cut_lineage(_nearest(_folded(asked, 1).select("gid", "vec"), index.centroids, min(probes, len(index.centroids))))
+    asked = _rows(queries, model, owner)
+    visits = cut_lineage(_nearest(_folded(asked, 1).select(*owner, "gid", "vec"), index.centroids, min(probes, len(index.centroids))))
     run, schema = _ranked_pairs(want, id_type)
-    pairs = _block_pairs(visits, cands.select("gid", "first", "ids", "vec", "cell"), _cell_counts(cands, len(index.centroids)), block, run, schema)
+    pairs = _block_pairs(visits, cands.select(*owner, "gid", "first", "ids", "vec", "cell"), _cell_counts(cands, len(index.centroids)), block, run, schema)
     return _expand(pairs, asked, want, k, exclude_self)
 
 

@@ -19,12 +19,12 @@ def _dim_checked(vec: Column, dim: Column, score: Column) -> Column:
 
 def _top(df: DataFrame, k: int) -> DataFrame:
     """A limit over an order: each task keeps k rows, the driver-side merge sees k per task."""
-    return df.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), "key_id").limit(k)
+    return df.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), *_keys(df)[::-1]).limit(k)
 
 
 def _named(rows: DataFrame, *cols: Column | str) -> DataFrame:
-    """Score columns, with the IRI where a gate brought one."""
-    return rows.select("key_id", *(["iri"] if "iri" in rows.columns else []), *cols)
+    """Score columns, with the store where there is one and the IRI where a gate brought one."""
+    return rows.select(*_keys(rows), *(["iri"] if "iri" in rows.columns else []), *cols)
 
 
 def _keys(*tables: DataFrame) -> list[str]:
@@ -32,9 +32,15 @@ def _keys(*tables: DataFrame) -> list[str]:
     return [*(["store"] if all("store" in t.columns for t in tables) else []), "key_id"]
 
 
-def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "arrow") -> DataFrame:
-    """The k most similar rows of an index to a given vector."""
-    rows = vectors.filter(F.col("model") == model)
+def of_store(rows: DataFrame, store: str | None) -> DataFrame:
+    """The rows of one store; all where none is named."""
+    return rows if store is None else rows.filter(F.col("store") == store)
+
+
+def knn(vectors: DataFrame, model: str, query: list[float], k: int = 10, exclude=None, engine: str = "arrow", store: str | None = None) -> DataFrame:
+    """The k most similar rows of an index to a given vector: `([store,] key_id, score)`. An index is a store's own; without `store` the
+    indexes of all stores are searched as one."""
+    rows = of_store(vectors.filter(F.col("model") == model), store)
     if exclude is not None:
         rows = rows.filter(F.col("key_id") != exclude)
     score = _dim_checked(F.col("vec"), F.lit(len(query)), cosine_to(F.col("vec"), query, engine))
@@ -54,33 +60,36 @@ def _gated(rows: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def hybrid(q: DataFrame, vectors: DataFrame, where: DataFrame | None, model: str, query: list[float], k: int = 10,
-           exclude=None, engine: str = "arrow") -> DataFrame:
-    """A graph pattern gates, cosine ranks: `(key_id, iri, score)`. The gate joins before scoring, so only admitted
+           exclude=None, engine: str = "arrow", store: str | None = None) -> DataFrame:
+    """A graph pattern gates, cosine ranks: `([store,] key_id, iri, score)`. The gate joins before scoring, so only admitted
     rows are scored and an empty gate is an empty answer. Without a pattern there is no graph pass at all."""
     rows = vectors if where is None else _gated(vectors.filter(F.col("model") == model), gate_images(q, where))
-    return knn(rows, model, query, k, exclude, engine)
+    return knn(rows, model, query, k, exclude, engine, store)
 
 
-def _like(vectors: DataFrame, rows: DataFrame, model: str, id_, k: int) -> DataFrame:
-    """Search with a stored vector: its one row is read first, as a client's vector would come; none, no hits."""
-    asked = stored_vector(vectors, model, id_).first()
-    if asked is None:
+def _like(vectors: DataFrame, rows: DataFrame, model: str, id_, k: int, store: str | None) -> DataFrame:
+    """Search with a stored vector, in its own store: its one row is read first, as a client's vector would come; none, no hits. An id that
+    several stores hold needs the store's name."""
+    asked = stored_vector(vectors, model, id_, store).limit(2).collect()
+    if len(asked) > 1:
+        raise ValueError(f"several stores hold {id_}: name one")
+    if not asked:
         return knn(rows.limit(0), model, [0.0], k)
-    return knn(rows, model, list(asked.vec), k, exclude=id_)
+    return knn(rows, model, list(asked[0].vec), k, exclude=id_, store=asked[0].store if "store" in vectors.columns else None)
 
 
-def knn_like(vectors: DataFrame, model: str, id_, k: int = 10) -> DataFrame:
-    """Neighbours of a stored item, itself left out."""
-    return _like(vectors, vectors, model, id_, k)
+def knn_like(vectors: DataFrame, model: str, id_, k: int = 10, store: str | None = None) -> DataFrame:
+    """Neighbours of a stored item in its own store, itself left out."""
+    return _like(vectors, vectors, model, id_, k, store)
 
 
 def hybrid_like(q: DataFrame, vectors: DataFrame, where: DataFrame, model: str, id_, k: int = 10,
-                outside: bool = False) -> DataFrame:
-    """Hybrid search like a stored item, inside the gate or (`outside`) among the images it leaves out."""
+                outside: bool = False, store: str | None = None) -> DataFrame:
+    """Hybrid search like a stored item, inside the gate or (`outside`) among the images it leaves out; in the item's own store."""
     if outside:
         everything = P.pattern(q, "?s", N.RDF_TYPE, "Image")
         where = P.where_not_exists(everything, P.distinct(where, "store", "s"))
-    return _like(vectors, _gated(vectors, gate_images(q, where)), model, id_, k)
+    return _like(vectors, _gated(vectors, gate_images(q, where)), model, id_, k, store)
 
 
 def with_iri(hits: DataFrame, media: DataFrame) -> DataFrame:
@@ -92,40 +101,60 @@ def with_iri(hits: DataFrame, media: DataFrame) -> DataFrame:
     return hits.join(small(found), key, "left")
 
 
-def knn_children(vectors: DataFrame, owners: DataFrame, model: str, id_, k: int = 10) -> DataFrame:
-    """Nearest child entities (faces), each with its owner. Owners are looked up after the limit; a hit without an
-    owner is left out, so fewer than k may return. `owners(key_id, owner)`."""
-    return small(cut_lineage(knn_like(vectors, model, id_, k))).join(owners, "key_id", "inner")
+def knn_children(vectors: DataFrame, owners: DataFrame, model: str, id_, k: int = 10, store: str | None = None) -> DataFrame:
+    """Nearest child entities (faces), each with its owner in the same store. Owners are looked up after the limit; a hit without an
+    owner is left out, so fewer than k may return. `owners([store,] key_id, owner)`."""
+    hits = small(cut_lineage(knn_like(vectors, model, id_, k, store)))
+    return hits.join(owners, _keys(hits, owners), "inner")
 
 
-def stored_vector(vectors: DataFrame, model: str, id_) -> DataFrame:
-    return vectors.filter((F.col("model") == model) & (F.col("key_id") == id_)).select("key_id", "vec")
+def stored_vector(vectors: DataFrame, model: str, id_, store: str | None = None) -> DataFrame:
+    """`([store,] key_id, vec)`: one row a store that holds the id; at most one with `store`."""
+    rows = of_store(vectors, store).filter((F.col("model") == model) & (F.col("key_id") == id_))
+    return rows.select(*_keys(vectors), "vec")
 
 
-def all_vectors(vectors: DataFrame, model: str, keep: DataFrame | None = None) -> DataFrame:
-    """Every vector of an index, or those whose key is in `keep` (the since-set)."""
-    rows = vectors.filter(F.col("model") == model)
+def all_vectors(vectors: DataFrame, model: str, keep: DataFrame | None = None, store: str | None = None) -> DataFrame:
+    """Every vector of an index, or those whose key is in `keep` (the since-set). `in_order` gives them as they came in."""
+    rows = of_store(vectors.filter(F.col("model") == model), store)
     return rows if keep is None else rows.join(keep, P.shared_vars(keep, rows), "left_semi")
 
 
+def in_order(vectors: DataFrame) -> DataFrame:
+    """Vectors as they came into their index: by `seq`, those from before it was kept first, then by key."""
+    return vectors.orderBy(*_keys(vectors)[:-1], *(["seq"] if "seq" in vectors.columns else []), "key_id")
+
+
 def add_vectors(vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index after, report). One row per (model, key): a present key is no change, a wrong dimension refuses.
+    """(index after, report). Rows are taken in the order of `seq`: the first row of a new index fixes its dimension, a row of another
+    dimension is refused, the first fitting row of a key is added, and every later one finds it present.
 
-    The first insert fixes the dimension of a new index. `new` carries `seq`, the order of arrival. An index is a store's own where the
-    tables have a store.
+    The report has a row for each row of `new`: (index key, seq, dim, given, status). The index keeps `seq`, the order of insertion, and
+    `produced` where `new` or the index has it. An index is a store's own where the tables have a store.
     """
     key = ["model", *_keys(vectors, new)]
     index = key[:-1]
-    have = vectors.select(*index, F.size("vec").alias("n"), F.lit(-1).cast("bigint").alias("seq"))
-    dims = have.unionByName(new.select(*index, F.size("vec").alias("n"), F.col("seq").cast("bigint"))).groupBy(
-        *index).agg(F.min(F.struct("seq", "n"))["n"].alias("dim"))
-    first = new.groupBy(*key).agg(F.min(F.struct("seq", "vec"))["vec"].alias("vec"))
-    known = vectors.select(*key, F.lit(True).alias("known"))
-    judged = first.join(small(dims), index).join(known, key, "left").withColumn(
-        "status", F.when(F.size("vec") != F.col("dim"), "refused").when(F.col("known"), "present").otherwise("added"))
-    added = judged.filter("status = 'added'").select(*key, "vec")
-    return (vectors.select(*key, "vec").unionByName(added),
-            judged.select(*key, "dim", F.size("vec").alias("given"), "status"))
+    kept = ["seq", *(["produced"] if "produced" in [*vectors.columns, *new.columns] else [])]
+    as_kept = lambda d, x: F.col(x) if x in d.columns else F.lit(None).cast(new.schema[x].dataType if x in new.columns else vectors.schema[x].dataType)
+    have = vectors.select(*key, "vec", *[as_kept(vectors, x).alias(x) for x in kept])
+    sizes = have.groupBy(*index).agg(F.max(F.size("vec")).alias("had"))
+    first = new.groupBy(*index).agg(F.min(F.struct("seq", F.size("vec").alias("n")))["n"].alias("came"))
+    dims = first.join(sizes, index, "left").select(*index, F.coalesce("had", "came").alias("dim"))
+    rows = new.select(*key, "vec", *[as_kept(new, x).alias(x) for x in kept])
+    taken, report = add_judged(have, dims, rows, key, kept)
+    return have.unionByName(taken.select(*have.columns)), report
+
+
+def add_judged(have: DataFrame, dims: DataFrame, rows: DataFrame, key: list[str], kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows taken, report of all rows) of `rows(key, vec, seq...)` against the keys in `have` and the dimensions of their indexes."""
+    rows = rows.join(small(dims), [c for c in key if c in dims.columns])
+    fits = F.size("vec") == F.col("dim")
+    first = rows.filter(fits).groupBy(*key).agg(F.min(F.struct(kept[0], "vec", *kept[1:])).alias("x"))
+    taken = cut_lineage(first.join(have.select(*key), key, "left_anti").select(*key, "x.*"))
+    status = F.when(~fits, "refused").when(F.col("lead") == F.col("seq"), "added").otherwise("present")
+    report = rows.join(taken.select(*key, F.col("seq").alias("lead")), key, "left").select(
+        *key, "seq", "dim", F.size("vec").alias("given"), status.alias("status"))
+    return taken, report
 
 
 def remove_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from catalograph import names as N
 from catalograph.operators import facts as D, patterns as P, sets as C
 from catalograph.plans.binding import G, M, TYPE, V
 from catalograph.plans.registry import query
+from catalograph.session import fresh_dir
+from catalograph.sources import snapshots as SN
 
 NOW = "2024-06-01T12:00:00+02:00"
 DT = "coalesce(dt, '') AS dt"
@@ -246,6 +248,26 @@ def _(b):
     return by_predicate(D.rename_ns(b.quads, N.DC, NEW_DC).apply(b.quads))
 
 
+def committed(b, change):
+    """The table as readers see it after the change was committed by predicate to a snapshot of all facts."""
+    root = fresh_dir(b.spark, "committed")
+    SN.write_snapshot(b.quads, root)
+    SN.commit(b.spark, root, change)
+    return by_predicate(SN.read_snapshot(b.spark, root))
+
+
+@query("d28_commit", f"""WITH after AS (SELECT * FROM quads WHERE p <> '{V}enrichmentCompleteDate') {STATE.format(t='after')}""")
+def _(b):
+    return committed(b, D.unset_everywhere(b.quads, "enrichmentCompleteDate"))
+
+
+@query("d29_commit", f"""
+WITH after AS (SELECT DISTINCT store, s, CASE WHEN starts_with(p, '{N.DC}') THEN concat('{NEW_DC}', substr(p, {len(N.DC) + 1})) ELSE p END AS p,
+CASE WHEN o_kind = 'iri' AND starts_with(o, '{N.DC}') THEN concat('{NEW_DC}', substr(o, {len(N.DC) + 1})) ELSE o END AS o, o_kind, dt, g FROM quads) {STATE.format(t='after')}""")
+def _(b):
+    return committed(b, D.rename_ns(b.quads, N.DC, NEW_DC))
+
+
 @query("d29_rename_report", f"""
 SELECT q.store, count(DISTINCT CASE WHEN m.class = 'Image' THEN q.s END) AS images, count(*) AS facts FROM quads q LEFT JOIN m_media m ON m.store = q.store AND m.iri = q.s
 WHERE starts_with(p, '{N.DC}') OR (o_kind = 'iri' AND starts_with(o, '{N.DC}')) GROUP BY q.store""")

@@ -1,52 +1,81 @@
-"""The quad table on disk: versioned Parquet snapshots, partitioned by predicate.
+"""The quad table on disk: Parquet partitioned by predicate, in versions.
 
-A maintenance job computes the whole next state and writes it as a new version; readers take the newest version
-whose write finished, so a job that dies leaves the old state in force.
+A version says for each predicate which folder holds it. A commit writes the predicates that its change touches and points the next version at
+them; all others stay where they are, unread and unwritten. Readers take the newest version, so a job that dies leaves the old state in
+force, and of two writers that began from the same version the second is refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalograph import names as N
+from catalograph.operators.facts import Change
+from catalograph.sources import versions as VS
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    return sorted(found)
+def _write(quads: DataFrame, folder: str) -> list[str]:
+    """Write quads by predicate and return the partitions made.
+
+    Rows are rebalanced by predicate first: AQE cuts a big predicate into files of the advisory size and packs small ones,
+    where a plain partitioned write would leave a file per task and predicate. Inside a file rows are sorted by subject, so
+    Parquet's min/max lets a subject lookup skip row groups.
+    """
+    (quads.select(*N.QUAD_COLS).hint("rebalance", "p").sortWithinPartitions("p", "s")
+     .write.mode("errorifexists").partitionBy("p").parquet(folder))
+    return [n for n in VS.names(quads.sparkSession, folder) if n.startswith("p=")]
 
 
 def finished(spark: SparkSession, folder: str) -> bool:
     """Whether a write to `folder` was committed."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    return "_SUCCESS" in VS.names(spark, folder)
 
 
 def write_snapshot(quads: DataFrame, root: str) -> int:
-    """Write the next version and return its number.
+    """Write the whole table as the next version and return its number."""
+    spark = quads.sparkSession
+    version = (VS.latest(spark, root) or 0) + 1
+    name = VS.fresh_name(version)
+    return VS.publish(spark, root, version, {"parts": {p: name for p in _write(quads, f"{root}/{name}")}})
 
-    Rows are rebalanced by predicate first: AQE cuts a big predicate into files of the advisory size and packs small ones,
-    where a plain partitioned write would leave a file per task and predicate. Inside a file rows are sorted by subject, so
-    Parquet's min/max lets a subject lookup skip row groups.
+
+def commit(spark: SparkSession, root: str, change: Change, base: int | None = None) -> int:
+    """Publish version `base` (the newest by default) with `change` as the next one. Only the predicates the change touches are rewritten.
+
+    `Taken` is raised if the next version exists, so nothing of another writer is lost.
     """
-    spark = quads.sparkSession
-    version = (_versions(spark, root) or [0])[-1] + 1
-    (quads.select(*N.QUAD_COLS).hint("rebalance", "p").sortWithinPartitions("p", "s")
-     .write.mode("errorifexists").partitionBy("p").parquet(f"{root}/v={version}"))
-    return version
+    base = base or VS.latest(spark, root)
+    if base is None:
+        raise FileNotFoundError(f"no finished snapshot under {root}")
+    if base + 1 in VS.listed(spark, root):
+        raise VS.Taken(f"version {base + 1} of {root} is taken")
+    held, parts = change.held(), VS.read(spark, root, base)["parts"]
+    q = read_snapshot(spark, root, base)
+    touched = held.touches(q)
+    name = VS.fresh_name(base + 1)
+    made = _write(held.within(touched).apply(q.filter(F.col("p").isin(touched))), f"{root}/{name}") if touched else []
+    left = {p: f for p, f in parts.items() if unquote(p[2:]) not in set(touched)}
+    return VS.publish(spark, root, base + 1, {"parts": left | {p: name for p in made}})
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    have = _versions(spark, root)
-    if not have or (version is not None and version not in have):
+    have = VS.listed(spark, root)
+    version = version or VS.latest(spark, root)
+    if version is None or version not in have:
         raise FileNotFoundError(f"no finished snapshot {version or ''} under {root}")
-    return (spark.read.schema(N.QUAD_SCHEMA).parquet(f"{root}/v={version or have[-1]}").select(*N.QUAD_COLS))
+    parts, folders = VS.read(spark, root, version)["parts"], {}
+    for p, f in parts.items():
+        folders.setdefault(f, []).append(p)
+
+    def part(folder: str, kept: list[str]) -> DataFrame:
+        whole = f"{root}/{folder}"
+        every = len(kept) == sum(n.startswith("p=") for n in VS.names(spark, whole))
+        paths = [whole] if every else [f"{whole}/{p}" for p in kept]
+        return spark.read.schema(N.QUAD_SCHEMA).option("basePath", whole).parquet(*paths).select(*N.QUAD_COLS)
+
+    if not folders:
+        return spark.createDataFrame([], N.QUAD_SCHEMA).select(*N.QUAD_COLS)
+    return reduce(DataFrame.unionByName, [part(f, p) for f, p in sorted(folders.items())])

@@ -155,3 +155,23 @@ def test_packet_grammar():
             read_statements(bad, "http://m/a", later=True)
     cell, _, _ = said[("http://m/a", "http://x/list")]
     assert said[(cell, N.RDF + "first")] == ("http://i/1", "iri", None) and said[(cell, N.RDF + "rest")] == (N.RDF + "nil", "iri", None)
+
+
+def test_the_first_fitting_row_of_a_key_is_taken(spark):
+    have = spark.createDataFrame([("a", "m", "x", [1.0, 0.0])], "store string, model string, key_id string, vec array<float>")
+    new = spark.createDataFrame([("a", "m", "b", [1.0, 2.0, 3.0], 1, "t1"), ("a", "m", "b", [4.0, 5.0], 2, "t2"), ("a", "m", "b", [6.0, 7.0], 3, "t3"),
+                                 ("b", "m", "x", [1.0, 1.0, 1.0], 4, "t4"), ("a", "m", "a", [9.0, 9.0], 5, "t5"), ("a", "m", "x", [9.0, 9.0], 6, "t6")],
+                                "store string, model string, key_id string, vec array<float>, seq long, produced string")
+    after, report = X.add_vectors(have, new)
+    assert [r.status for r in report.orderBy("seq").collect()] == ["refused", "added", "present", "added", "added", "present"]
+    assert [(r.store, r.key_id, r.vec[0], r.seq, r.produced) for r in X.in_order(after).collect()] == [
+        ("a", "x", 1.0, None, None), ("a", "b", 4.0, 2, "t2"), ("a", "a", 9.0, 5, "t5"), ("b", "x", 1.0, 4, "t4")]
+
+
+def test_like_needs_a_store_where_ids_repeat(spark):
+    v = spark.createDataFrame([("a", "m", 1, [1.0, 0.0]), ("b", "m", 1, [0.0, 1.0]), ("a", "m", 2, [1.0, 0.1]), ("b", "m", 3, [0.1, 1.0])],
+                              "store string, model string, key_id long, vec array<float>")
+    with pytest.raises(ValueError, match="name one"):
+        X.knn_like(v, "m", 1)
+    assert [(r.store, r.key_id) for r in X.knn_like(v, "m", 1, store="b").collect()] == [("b", 3)]
+    assert [(r.store, r.key_id) for r in X.knn_like(v, "m", 3).collect()] == [("b", 1)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalograph import names as N
 from catalograph.operators import analytics as A, arrivals as AR, facts as D
-from catalograph.sources import exports as E, files as FI, nquads as NQ, snapshots as SN, tables as TB
+from catalograph.sources import exports as E, files as FI, nquads as NQ, snapshots as SN, tables as TB, versions as VS
 from tests.conftest import img
 
 
@@ -55,6 +55,37 @@ def test_snapshots_are_versions_and_prune_by_predicate(spark, tmp_path, quads):
     assert SN.read_snapshot(spark, root).count() == 1 and SN.read_snapshot(spark, root, 1).count() == 2
 
 
+def test_a_commit_writes_what_it_touches_and_one_writer_wins(spark, tmp_path, quads):
+    root = f"{tmp_path}/q"
+    a = quads(*[(img(f"a{i}"), p, str(i)) for i in range(20) for p in ("width", "height", "source")])
+    assert SN.write_snapshot(a, root) == 1
+    files = lambda: {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    before, q = files(), SN.read_snapshot(spark, root)
+    mine, other = D.unset_everywhere(q, "width"), D.unset_everywhere(q, "height")
+    assert SN.commit(spark, root, mine) == 2
+    with pytest.raises(VS.Taken):
+        SN.commit(spark, root, other, base=1)
+    after = files()
+    assert all(after[f] == t for f, t in before.items()) and set(after) == set(before)  # a predicate that went needs no file
+    more = D.Change(quads((img("z"), "source", "9"), (img("a1"), "source", "1")), quads((img("a3"), "source", "3")).select("store", "s", "p"), q)
+    assert SN.commit(spark, root, more) == 3
+    new = set(files()) - set(before)
+    assert new and all("source" in f.parent.name for f in new)
+    got = sorted((r.p.rsplit("/", 1)[-1].rsplit("#")[-1], r.s) for r in SN.read_snapshot(spark, root).collect())
+    want = [("height", img(f"a{i}")) for i in range(20)] + [("source", img(f"a{i}")) for i in range(20) if i != 3] + [("source", img("z"))]
+    assert got == sorted(want)
+    assert SN.read_snapshot(spark, root, 1).count() == 60 and SN.read_snapshot(spark, root, 2).count() == 40
+    whole = D.Change(None, quads(*[(img(f"a{i}"), "x", "") for i in range(20)]).select("store", "s"), q)
+    assert SN.commit(spark, root, whole) == 4 and [r.s for r in SN.read_snapshot(spark, root).collect()] == [img("z")]
+
+
+def test_a_version_that_is_half_written_is_not_there(spark, tmp_path, quads):
+    root = f"{tmp_path}/q"
+    SN.write_snapshot(quads((img("a"), "width", "1")), root)
+    (tmp_path / "q" / "_versions" / "2.json").write_text('{"par')
+    assert SN.read_snapshot(spark, root).count() == 1 and VS.latest(spark, root) == 1
+
+
 def test_stored_vectors(spark, tmp_path):
     d = tmp_path / "image" / "enrichment" / "embed" / "2024" / "01" / "02"
     d.mkdir(parents=True)
