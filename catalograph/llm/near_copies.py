@@ -1,10 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles; candidates by banded MinHash.
-
-A distinct text gives `BANDS` bucket keys, each of `ROWS` MinHash values of its shingles, and a sketch, one byte a value, whose agreement
-estimates the similarity. Two rounds find the candidates. In the first, rows stream through their buckets and each meets its bucket's first
-row only, so a large bucket is linear. Verified pairs give components. In the second, every pair of a bucket's rows in different components
-meets, so nothing is lost to the choice of the first row, and rows already linked are not compared again. A pair is a link only if the shingle
-sets of its texts reach the threshold.
+"""Near copies by exact Jaccard similarity of word shingles; candidates by SimHash balls and by MinHash bands.
+
+A distinct text gives a SimHash of its shingles, `BANDS` bucket keys of `ROWS` MinHash values each, a sketch of one byte a value, whose agreement
+estimates the similarity, and its shingles as sorted 32-bit hashes, which decide. First, texts within four bits by ball hashing are candidates, and each
+row of a bucket meets the bucket's head, which is by one order of all ids, so that a crowd has about one head in all its buckets. A head's set is sent
+once for every `STAR` of its members. Four bits alone find few pairs near 0.8; then, in buckets that still hold different components, blocks of rows
+meet: pairs of different components go by falling estimate and each is checked exactly in the task, unless a link found before joins them already. So what
+leaves a task is a spanning forest of links, and no bucket is held by one task.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from catalograph.llm import simhash
 from catalograph.llm.simhash import _shingle_hashes
-from catalograph.llm.tables import steps, text_or_empty, written
+from catalograph.llm.tables import least_rows, steps, written
 from catalograph.operators.neighbours import connected_components
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 20, 5  # a pair at 0.8 shares no bucket with a probability of 0.0004
-SLACK = 0.12  # three standard errors of the estimate at 0.8; pairs estimated lower are not verified
-BLOCK = 256  # rows of a bucket compared with as many at a time
+SLACK = 0.12  # three standard errors of the estimate at 0.8; pairs estimated lower are not checked
+STAR = 1000  # members that meet a head in one task
+BLOCK = 256  # rows of a bucket that meet as many
+PASSES = ((0, 3), (3, BANDS))  # a few bands join most of a crowd, the others then have little left
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, "u8") * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(12).integers(0, 1 << 63, BANDS * ROWS, "u8")
 _CHUNK = 2048
@@ -56,115 +60,140 @@ def signature(h: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in steps(batches):
-        got = [signature(shingles(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([s for _, s in got], pa.binary())],
-                                         names=["id", "keys", "sketch"])
-
-
-def _table(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, width)
-
-
-def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in s], pa.binary()) for s in (u, v)], names=["u", "v"])
+        keys, sketch, sets, codes = [], [], [], []
+        for t in b.column(1).to_pylist():
+            h = shingles(t)
+            k, s = signature(h)
+            keys.append(k)
+            sketch.append(s)
+            sets.append(np.unique(h.astype("u4")).tobytes())
+            codes.append(simhash.majority(h))
+        code = simhash._mix(np.array(codes, "u8")).view("i8")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(sets, pa.binary()), pa.array(code)],
+                                         names=["id", "keys", "sketch", "own", "code"])
+
+
+def _set(own: bytes) -> np.ndarray:
+    return np.frombuffer(own, "u4")
+
+
+def _pairs(u: list, v: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, a list for each value of the first `key` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:key] != row[:key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) that reach `similar`; a row of `pairs` fetches the set of v, and u's comes once for up to STAR of its rows."""
+    heavy = pairs.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > STAR)
+    salted = written(pairs.join(heavy, "u", "left").select("u", "v", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / STAR))).otherwise(0).alias("salt")), "stars")
+    members = salted.join(sets.select(F.col("nid").alias("v"), "own"), "v").select("u", "salt", F.lit(1).alias("kind"), "v", "own")
+    heads = salted.select("u", "salt").distinct().join(sets.select(F.col("nid").alias("u"), "own"), "u").select("u", "salt", F.lit(0).alias("kind"), F.col("u").alias("v"), "own")
 
-
-def _first_meets(least: float):
-    """Rows (bucket, id, sketch) sorted by bucket to pairs of each row with its bucket's first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bucket, ids, sketch = b.column(0).to_numpy(), _table(b.column(1), 16), _table(b.column(2), BANDS * ROWS)
-            if head is not None:
-                bucket, ids, sketch = (np.concatenate(x) for x in zip(head, (bucket, ids, sketch), strict=True))
-            first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-            of = np.maximum.accumulate(np.where(first, np.arange(len(bucket)), 0))
-            at = np.nonzero(~first)[0]
-            at = at[(sketch[at] == sketch[of[at]]).mean(axis=1) >= least]
-            yield _pairs(ids[of[at]], ids[at])
-            head = [x[of[-1]: of[-1] + 1] for x in (bucket, ids, sketch)]
-
-    return run
+        head, mine = None, np.zeros(0, "u4")
+        for b in steps(batches):
+            us, vs = [], []
+            for u, _, kind, v, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if kind == 0:
+                    head, mine = u, _set(own)
+                elif u == head and jaccard(mine, _set(own)) >= similar:
+                    us.append(u)
+                    vs.append(v)
+            yield _pairs(us, vs)
 
+    both = members.unionByName(heads).repartition("u", "salt").sortWithinPartitions("u", "salt", "kind")
+    return written(both.mapInArrow(run, "u bigint, v bigint"), "near_links")
 
-def _all_meet(least: float):
-    """Rows (bucket, id, sketch, root) sorted by bucket and root to all pairs of a bucket whose roots differ."""
-    def meets(ids: np.ndarray, sketch: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(ids), BLOCK):
-            for j in range(i, len(ids), BLOCK):
-                if root[i] == root[min(j + BLOCK, len(ids)) - 1]:
-                    continue  # one component from here to there
-                a, c = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                x, y = np.nonzero(root[a, None] != root[None, c])
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                same = (sketch[a][x] == sketch[c][y]).mean(axis=1) >= least if len(x) else np.zeros(0, bool)
-                if same.any():
-                    yield _pairs(ids[a][x[same]], ids[c][y[same]])
 
+def _blocks_meet(least: float, similar: float):
+    """Rows (bucket, lo, hi, mine, root, nid, sketch, own) sorted by the first three: links between the blocks lo and hi of a bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # the rows of one bucket
-
-        def bucket_ends() -> Iterator[pa.RecordBatch]:
-            if held and held[0][3] != held[-1][3]:
-                _, ids, sketch, root = zip(*held, strict=True)
-                yield from meets(np.frombuffer(b"".join(ids), "u1").reshape(-1, 16), np.frombuffer(b"".join(sketch), "u1").reshape(len(ids), -1),
-                                 np.unique(np.array(root, object), return_inverse=True)[1])
-
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from bucket_ends()
-                    held.clear()
-                held.append(row)
-        yield from bucket_ends()
+        for rows in _runs(batches, 3):
+            _, lo, hi, mine, root, nid, sketch, own = zip(*rows, strict=True)
+            name, at = np.unique(np.array(root), return_inverse=True)
+            if len(name) < 2:
+                continue
+            side, table = np.array(mine), np.frombuffer(b"".join(sketch), "u1").reshape(len(rows), -1)
+            a, c = np.nonzero(side == lo[0])[0], np.nonzero(side == hi[0])[0]
+            xs, ys, es = [], [], []
+            for i in range(0, len(a), 32):
+                part = a[i: i + 32]
+                like = (table[part][:, None, :] == table[c][None, :, :]).mean(axis=2)
+                x, y = np.nonzero((like >= least) & (at[part][:, None] != at[c][None, :]))
+                xs.append(part[x])
+                ys.append(c[y])
+                es.append(like[x, y])
+            x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+            up = list(range(len(name)))
+
+            def find(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            us, vs = [], []
+            for i in np.argsort(-e, kind="stable").tolist():
+                p, q = int(x[i]), int(y[i])
+                r, s = find(int(at[p])), find(int(at[q]))
+                if r != s and jaccard(_set(own[p]), _set(own[q])) >= similar:
+                    up[r] = s
+                    us.append(nid[p])
+                    vs.append(nid[q])
+            if us:
+                yield _pairs(us, vs)
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose shingle sets reach `similar`. `texts(id, t)` has each id once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches):
-            ok = [jaccard(shingles(x), shingles(y)) >= similar for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_())), b.column(1).filter(pa.array(ok, pa.bool_()))], names=["u", "v"])
-
-    two = pairs.join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v").join(
-        texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u").select("u", "v", "tu", "tv")
-    return written(two.mapInArrow(run, "u binary, v binary"), "near_links")
-
-
 def components(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(node, root) of the ids of `rows(id, t)` that are linked, by chains too; an id stands for one text."""
+    """(node, root) of the ids of `rows(id, t)` that are linked, by chains too; an id stands for one text, `root` names the component."""
     least = similar - SLACK
-    signed = written(rows.mapInArrow(_signed, "id binary, keys array<bigint>, sketch binary").dropDuplicates(["id"]), "signatures")
-    placed = signed.select(F.explode("keys").alias("bucket"), "id", "sketch")
-    met = placed.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("id", "bucket")).mapInArrow(_first_meets(least), "u binary, v binary")
-    order = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).dropDuplicates()
-    # Candidates of the second round share a bucket, so they are not bound to those of the first.
-    crowded = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    shared = written(placed.join(crowded, "bucket"), "shared_buckets")
-    first = written(order(met), "first_pairs")
-    ids = written(shared.select("id").distinct(), "shared_ids")
-    texts = written(written(rows.join(ids, "id", "left_semi"), "shared_rows").dropDuplicates(["id"]), "shared_texts")
-    links = _verified(first, texts, similar)
-    roots = written(connected_components(links), "first_roots")
-    rooted = shared.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "sketch", F.coalesce("root", "id").alias("root"))
-    rest = rooted.repartition("bucket").sortWithinPartitions("bucket", "root").mapInArrow(_all_meet(least), "u binary, v binary")
-    second = written(order(rest).join(first, ["u", "v"], "left_anti"), "second_pairs")
-    return written(connected_components(links.unionByName(_verified(second, texts, similar))), "near_roots")
+    signed = rows.mapInArrow(_signed, "id binary, keys array<bigint>, sketch binary, own binary, code bigint").dropDuplicates(["id"])
+    signed = written(signed.withColumn("nid", F.monotonically_increasing_id()), "signatures")
+    sets = signed.select("nid", "own")
+    keyed = signed.select("nid", F.posexplode("keys").alias("band", "bucket"))
+    order = lambda name: F.struct(F.xxhash64(F.lit(1), name).alias("h"), F.col(name).alias("nid"))
+    heads = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order("nid"))["nid"].alias("head")).filter("n > 1")
+    shared = written(keyed.join(heads, "bucket").select("bucket", "band", "nid", "n", "head"), "shared_buckets")
+    met = shared.filter("nid <> head").select(F.col("head").alias("u"), F.col("nid").alias("v"))
+    first = signed.groupBy("code").agg(F.min(order("nid"))["nid"].alias("u"))
+    alike = signed.select("code", F.col("nid").alias("v")).join(first, "code").filter("u <> v").select("u", "v")
+    balls = simhash.links(first.select("code"))
+    near = balls.join(first.select(F.col("code").alias("a"), F.col("u").alias("x")), F.col("u") == F.col("a")).select("x", "v").join(
+        first.select(F.col("code").alias("a"), F.col("u").alias("y")), F.col("v") == F.col("a")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    pairs = written(met.unionByName(alike).unionByName(near).distinct(), "near_pairs")
+    links = _verified(pairs, sets, similar)
+    roots = written(connected_components(links), "near_roots")
+    for lo, hi in PASSES:
+        rooted = shared.filter((F.col("n") > 2) & F.col("band").between(lo, hi - 1)).join(roots, F.col("nid") == F.col("node"), "left").select(
+            "bucket", "nid", "n", F.coalesce("root", "nid").alias("root"))
+        parted = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+        rest = rooted.join(parted, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+            "mine", F.pmod(F.xxhash64(F.lit(5), "nid"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        cut = written(rest.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "root", "nid"), "crowded")
+        full = cut.join(signed.select("nid", "sketch", "own"), "nid").select("bucket", "lo", "hi", "mine", "root", "nid", "sketch", "own")
+        found = full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_blocks_meet(least, similar), "u bigint, v bigint")
+        links = written(links.unionByName(found), "near_links")
+        roots = written(connected_components(links), "near_roots")
+    return signed.join(roots, F.col("nid") == F.col("node")).select(F.col("id").alias("node"), F.col("root"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row of `docs` for each component: the least key, then the least text hash. Equal rows of that key and text are one."""
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256)))
-    code = F.expr("substring(_sha, 1, 16)").alias("id")
-    rank = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col("_sha").alias("sha"))
-    roots = components(marked.select(code, text_or_empty(text).alias("t")), similar)
-    least = marked.groupBy(code).agg(F.min(rank).alias("x"))  # one row a text, so a text of many rows is joined once
-    best = least.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("x").alias("x"))
-    best = written(best.select(F.col("x.key").alias("_key"), F.col("x.sha").alias("_best")), "near_best")
-    kept = marked.join(best, marked[key].eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_best")), "left_semi")
-    return kept.dropDuplicates([key, "_sha"]).select(*docs.columns)
+    """One row of `docs` for each component: the least key, then the least text hash. Equal rows of that key and text are one.
+
+    Null keys come last; a null text is an empty one, and texts without words are alike. Rows travel as one struct, so any column may have any name.
+    """
+    return least_rows(docs, lambda rows: components(rows, similar), key, text)

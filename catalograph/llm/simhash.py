@@ -21,13 +21,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from catalograph.llm.tables import steps, text_or_empty, written
+from catalograph.llm.tables import least_rows, steps, text_or_empty, written
 from catalograph.operators.neighbours import connected_components, local_roots
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 ROUNDS = 8  # a power of two; peak shuffle is the points of one round
+FIRST = 8  # the first pass sees one in FIRST of a round's points
 MASK_BITS = 12  # up to 4096 points a ball: radius 2 at most
 TASK_RECORDS = 4_000_000  # records a task gathers: 32 MB
 FLUSH = 1_000_000  # edges a task holds before it reduces them to a forest
@@ -65,16 +66,19 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     return lanes.view("u1").reshape(-1, 64).sum(axis=0, dtype="i8") + bits[m:].sum(axis=0, dtype="i8")
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
+    ones = np.zeros(64, "i8")
+    for at in range(0, len(h), 32_768):
+        ones += _column_sums(np.unpackbits(h[at: at + 32_768].astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little"))
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(texts: list[str], k: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text; 0 without words. A bit is set if more than half of the shingle hashes have it."""
     out = np.zeros(len(texts), "u8")
     for i, t in enumerate(texts):
-        h = np.array(_shingle_hashes(t, k), "<u8")
-        if len(h):
-            ones = np.zeros(64, "i8")
-            for at in range(0, len(h), 32_768):
-                ones += _column_sums(np.unpackbits(h[at: at + 32_768].view("u1").reshape(-1, 8), axis=1, bitorder="little"))
-            out[i] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+        out[i] = majority(np.array(_shingle_hashes(t, k), "<u8"))
     return out
 
 
@@ -92,63 +96,85 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
 
 def _emit(masks: np.ndarray, bits: int, rounds: int, turn: int):
-    """Batches of mixed fingerprints to (bucket, records) of one round, one row a task and bucket."""
+    """Batches of (code, root), mixed fingerprints, to (bucket, records, roots) of one round: at most two rows a task and bucket, one of codes that
+    are their own root, which then need no `roots`, and one of the others."""
     top = np.uint64(64 - (rounds.bit_length() - 1)) if rounds > 1 else None
     part = lambda x: (x >> top).astype("i8") if top is not None else np.zeros(len(x), "i8")
+    of = part(masks)
+    own = [np.nonzero(of == s)[0] for s in range(rounds)]
+    base = (turn << bits) // rounds
+
+    def rows(x: np.ndarray, root: np.ndarray | None) -> pa.RecordBatch:
+        mine, points, number, roots = part(x), [], [], []
+        for s in np.unique(mine):
+            at, m = np.nonzero(mine == s)[0], own[s ^ turn]
+            if len(m):
+                points.append((x[at][:, None] ^ masks[m][None, :]).ravel())
+                number.append(np.broadcast_to(m.astype("u8"), (len(at), len(m))).ravel())
+                if root is not None:
+                    roots.append(np.broadcast_to(root[at][:, None], (len(at), len(m))).ravel())
+        if not points:
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([], pa.int64()), "records": pa.array([], pa.binary()), "roots": pa.array([], pa.binary())})
+        z, no = np.concatenate(points), np.concatenate(number)
+        bucket = (z >> np.uint64(64 - bits)).astype("i8") - base
+        order = np.argsort(bucket.astype("u2") if (1 << bits) // rounds <= 1 << 16 else bucket, kind="stable")
+        rec, bucket = ((z << np.uint64(bits)) | no)[order], bucket[order]
+        r = np.concatenate(roots)[order] if root is not None else None
+        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[cuts[:-1]] + base), pa.array([rec[i:j].tobytes() for i, j in spans], pa.binary()),
+            pa.array([b"" if r is None else r[i:j].tobytes() for i, j in spans], pa.binary())], names=["bucket", "records", "roots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = max(1, TASK_RECORDS // 2 * rounds // len(masks))
         held, n = [], 0
 
-        def out(x: np.ndarray) -> pa.RecordBatch:
-            mine, of = part(x), part(masks)
-            points, number = [], []
-            for s in range(rounds):
-                a, m = x[mine == s], np.nonzero(of == (s ^ turn))[0]
-                if len(a) and len(m):
-                    points.append((a[:, None] ^ masks[m][None, :]).ravel())
-                    number.append(np.broadcast_to(m.astype("u8"), (len(a), len(m))).ravel())
-            if not points:
-                return pa.RecordBatch.from_pydict({"bucket": pa.array([], pa.int64()), "records": pa.array([], pa.binary())})
-            z, no = np.concatenate(points), np.concatenate(number)
-            bucket = (z >> np.uint64(64 - bits)).astype("i8") - (turn << bits) // rounds
-            order = np.argsort(bucket.astype("u2") if (1 << bits) // rounds <= 1 << 16 else bucket, kind="stable")
-            rec = ((z << np.uint64(bits)) | no)[order]
-            bucket = bucket[order]
-            cuts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
-            return pa.RecordBatch.from_arrays([
-                pa.array(bucket[cuts[:-1]] + (turn << bits) // rounds),
-                pa.array([rec[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "records"])
+        def out() -> Iterator[pa.RecordBatch]:
+            x, root = (np.concatenate(c) for c in zip(*held, strict=True))
+            led = root != x
+            if (~led).any():
+                yield rows(x[~led], None)
+            if led.any():
+                yield rows(x[led], root[led])
 
         for b in batches:
             for i in range(0, b.num_rows, group):
-                held.append(b.column(0).slice(i, group).to_numpy(zero_copy_only=False).view("u8"))
-                n += len(held[-1])
+                held.append(tuple(c.slice(i, group).to_numpy(zero_copy_only=False).view("u8") for c in b.columns))
+                n += len(held[-1][0])
                 if n >= group:
-                    yield out(np.concatenate(held))
+                    yield from out()
                     held, n = [], 0
         if n:
-            yield out(np.concatenate(held))
+            yield from out()
 
     return run
 
 
 def _meet(masks: np.ndarray, raw: np.ndarray, bits: int, distance: int):
-    """Sorted (bucket, records) rows to links (u, v) between mixed fingerprints: a spanning forest of what met in the task."""
-
-    def stars(bucket: int, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        rec = np.sort(np.frombuffer(b"".join(blobs), "u8"))
+    """Sorted (bucket, records, roots) rows to links (u, v) between the roots of mixed fingerprints that met: a spanning forest of what met
+    in the task. Codes with one root are linked already and say nothing."""
+
+    def stars(bucket: int, blobs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        rec, roots = [], []
+        for r, own in blobs:
+            x = np.frombuffer(r, "u8")
+            rec.append(x)
+            no = (x & np.uint64((1 << MASK_BITS) - 1)).astype("i8")
+            roots.append(np.frombuffer(own, "u8") if own else (x >> np.uint64(bits) | np.uint64(bucket) << np.uint64(64 - bits)) ^ masks[no])
+        rec, root = np.concatenate(rec), np.concatenate(roots)
+        order = np.argsort(rec, kind="stable")
+        rec, root = rec[order], root[order]
         low = rec >> np.uint64(bits)
         first = np.concatenate([[True], low[1:] != low[:-1]])
         head = np.maximum.accumulate(np.where(first, np.arange(len(rec)), 0))
-        other = np.nonzero(~first)[0]
+        other = np.nonzero(~first & (root != root[head]))[0]
         if not len(other):
             return rec[:0], rec[:0]
-        z = low | (np.uint64(bucket) << np.uint64(64 - bits))
         no = (rec & np.uint64((1 << MASK_BITS) - 1)).astype("i8")
-        a, b = head[other], other
-        ok = np.bitwise_count(raw[no[a]] ^ raw[no[b]]) <= distance
-        return _unique(*((z[i] ^ masks[no[i]])[ok] for i in (a, b)))
+        a = head[other]
+        ok = np.bitwise_count(raw[no[a]] ^ raw[no[other]]) <= distance
+        return _unique(root[a][ok], root[other][ok])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, us, vs, n = None, [], [], [], 0
@@ -161,7 +187,7 @@ def _meet(masks: np.ndarray, raw: np.ndarray, bits: int, distance: int):
             return pa.RecordBatch.from_arrays([pa.array(nodes[leaf].view("i8")), pa.array(nodes[roots[leaf]].view("i8"))], names=["u", "v"])
 
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for bucket, *blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now is not None and bucket != now:
                     u, v = stars(now, blobs)
                     us.append(u)
@@ -194,7 +220,11 @@ def _unique(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(codes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v): spanning links between distinct mixed fingerprints `code` that are within `distance` bits of each other, chains included."""
+    """(u, v): spanning links between distinct mixed fingerprints `code` that are within `distance` bits of each other, chains included.
+
+    A first pass over a small part of the points links most of a crowd; its components are written and each code's root goes along
+    in the rounds over all points, where only links between different roots come out. So a crowd of n costs some n links, not n a task and round.
+    """
     if distance % 2 or not 0 <= distance <= 4:
         raise ValueError("the distance must be 0, 2 or 4: twice the radius of a ball")
     spark = codes.sparkSession
@@ -205,19 +235,26 @@ def links(codes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> D
     # A bucket is a few hundred thousand records; its number takes the room of the mask's number in a record, at least.
     bits = max(MASK_BITS, (records // 250_000).bit_length())
     tasks = max(1, -(-n * len(masks) // (rounds * TASK_RECORDS)), min(n // 2000, spark.sparkContext.defaultParallelism * 2))
-    spread = written(codes.select("code").repartition(int(tasks), "code"), "codes")
-    buckets = (1 << bits) // rounds
-    parts = int(max(1, min(buckets, tasks)))
+    spread = written(codes.select("code", F.col("code").alias("root")).repartition(int(tasks), "code"), "codes")
+    parts = int(max(1, min((1 << bits) // rounds, tasks)))
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, None)
+
+    def meet(of: DataFrame, turn: int, turns: int, tasks: int) -> DataFrame:
+        rows = of.mapInArrow(_emit(masks, bits, turns, turn), "bucket bigint, records binary, roots binary")
+        met = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+            _meet(masks, raw, bits, distance), "u bigint, v bigint")
+        return written(met, "links")
+
     found = []
     try:
         spark.conf.set(clean, "true")  # a round's shuffle files go with the round
-        for turn in range(rounds):
-            rows = spread.mapInArrow(_emit(masks, bits, rounds, turn), "bucket bigint, records binary")
-            met = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(
-                _meet(masks, raw, bits, distance), "u bigint, v bigint")
-            found.append(written(met, "links"))
+        first = rounds * FIRST
+        found.append(meet(spread, 0, first, max(1, parts // FIRST)))
+        roots = connected_components(found[0])
+        rooted = spread.drop("root").join(roots, F.col("code") == F.col("node"), "left").select("code", F.coalesce("root", "code").alias("root"))
+        spread = written(rooted.repartition(int(tasks), "code"), "rooted")
+        found += [meet(spread, turn, rounds, parts) for turn in range(rounds)]
     finally:
         spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     out = found[0]
@@ -252,10 +289,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: i
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, k: int = SHINGLE) -> DataFrame:
     """One row of `docs` for each component: the least key, then the least text hash. Equal rows of that key and text are one."""
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256)))
-    prints = written(fingerprints(marked, text, (key, "_sha"), k), "prints")
-    rank = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), F.col("_sha").alias("sha"))
-    tagged = prints.join(components(prints, key, distance).withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
-    best = tagged.groupBy("root").agg(F.min(rank).alias("x")).select(F.col("x.key").alias("_key"), F.col("x.sha").alias("_best"))
-    kept = marked.join(best, marked[key].eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_best")), "left_semi")
-    return kept.dropDuplicates([key, "_sha"]).select(*docs.columns)
+    def linked(rows: DataFrame) -> DataFrame:
+        prints = written(fingerprints(rows.dropDuplicates(["id"]), "t", ("id",), k), "prints")
+        return prints.join(components(prints, "id", distance), "fp").select(F.col("id").alias("node"), "root")
+
+    return least_rows(docs, linked, key, text)

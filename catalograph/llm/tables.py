@@ -36,3 +36,18 @@ def text_or_empty(text: Column | str = "text") -> Column:
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once: a lambda variable is not inlined into the loops inside `body`."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def least_rows(docs: DataFrame, linked, key: str, text: str) -> DataFrame:
+    """The row of the least key of each component that `linked` finds among `rows(id, t)`, an id for each distinct text."""
+    t = F.encode(text_or_empty(text), "UTF-8")
+    sha = F.unhex(F.sha2(t, 256))
+    name = F.unhex(F.sha2(F.concat(F.encode(F.to_json(F.struct(F.col(key).alias("k"))), "UTF-8"), t), 256))  # of key and text
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.substring(sha, 1, 16).alias("id"),
+                         name.alias("name"), F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), sha.alias("sha"), name.alias("name")).alias("rank"),
+                         text_or_empty(text).alias("t"))
+    roots = linked(marked.select("id", "t"))
+    least = marked.groupBy("id").agg(F.min("rank").alias("x"))  # one row a text, so a text of many rows is joined once
+    best = least.join(roots, F.col("id") == F.col("node"), "left").groupBy(F.coalesce(F.col("root").cast("string"), F.hex("id")).alias("root")).agg(F.min("x").alias("x"))
+    best = written(best.select(F.col("x.name").alias("name")), "near_best")
+    return marked.select("row", "name").join(best, "name", "left_semi").dropDuplicates(["name"]).select("row.*")

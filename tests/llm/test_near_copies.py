@@ -57,3 +57,24 @@ def test_the_stage_on_the_shared_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()]
     assert sorted(got) == sorted(least_of_groups({r.doc_id: r.text for r in docs.collect()}))
+
+
+def test_the_stage_with_clashing_columns_long_texts_and_crowded_buckets(spark, sf, monkeypatch):
+    """Columns named like the stage's own, a text of 20,000 words and its copy, and a template's texts that share buckets but no link."""
+    from catalograph.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "STAR", 8)
+    rng = random.Random(8)
+    long = [f"l{rng.randrange(10**6)}" for _ in range(20_000)]
+    form = [f"form{i}" for i in range(120)]
+    docs = {0: " ".join(long), 1: " ".join([*long[:-3], "x", "y", "z"])}
+    for i in range(60):
+        docs[10 + i] = " ".join([*form, *[f"own{i}w{j}" for j in range(50)]])
+    for i in range(40):
+        docs[100 + i] = " ".join([*form, *[f"copy{j}" for j in range(45)], f"end{i}"])
+    rows = spark.createDataFrame([(i, t, f"s{i}", i, f"r{i}", None) for i, t in docs.items()], "doc_id bigint, text string, _sha string, id int, row string, name string")
+    got = corpus_pipeline.near_duplicate_stage(spark, rows, sf)
+    kept = {r.doc_id: r for r in got.collect()}
+    assert got.columns == rows.columns and set(kept) == least_of_groups(docs) and len(kept) == 62
+    assert all(r._sha == f"s{i}" and r.id == i and r.row == f"r{i}" for i, r in kept.items())
