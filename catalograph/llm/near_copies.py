@@ -186,7 +186,10 @@ def components(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
         cut = written(rest.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "root", "nid"), "crowded")
         full = cut.join(signed.select("nid", "sketch", "own"), "nid").select("bucket", "lo", "hi", "mine", "root", "nid", "sketch", "own")
         found = full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_blocks_meet(least, similar), "u bigint, v bigint")
-        links = written(links.unionByName(found), "near_links")
+        found = written(found, "near_links")
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
         roots = written(connected_components(links), "near_roots")
     return signed.join(roots, F.col("nid") == F.col("node")).select(F.col("id").alias("node"), F.col("root"))
 

@@ -28,6 +28,7 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 ROUNDS = 8  # a power of two; peak shuffle is the points of one round
+ROUND_RECORDS = 64_000_000  # points that one round may hold (512 MB) before there are more rounds, up to ROUNDS
 FIRST = 8  # the first pass sees one in FIRST of a round's points
 MASK_BITS = 12  # up to 4096 points a ball: radius 2 at most
 TASK_RECORDS = 4_000_000  # records a task gathers: 32 MB
@@ -219,7 +220,7 @@ def _unique(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[new]
 
 
-def links(codes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+def links(codes: DataFrame, distance: int = DISTANCE, rounds: int | None = None) -> DataFrame:
     """(u, v): spanning links between distinct mixed fingerprints `code` that are within `distance` bits of each other, chains included.
 
     A first pass over a small part of the points links most of a crowd; its components are written and each code's root goes along
@@ -232,6 +233,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> D
     masks = _mix(raw)
     n = codes.count()
     records = n * len(masks)
+    rounds = rounds or min(ROUNDS, 1 << (records // ROUND_RECORDS).bit_length())
     # A bucket is a few hundred thousand records; its number takes the room of the mask's number in a record, at least.
     bits = max(MASK_BITS, (records // 250_000).bit_length())
     tasks = max(1, -(-n * len(masks) // (rounds * TASK_RECORDS)), min(n // 2000, spark.sparkContext.defaultParallelism * 2))
@@ -263,7 +265,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, rounds: int = ROUNDS) -> D
     return out.dropDuplicates()
 
 
-def components(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE, rounds: int = ROUNDS) -> DataFrame:
+def components(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE, rounds: int | None = None) -> DataFrame:
     """(fp, root, component_id): `component_id` is the least key among all rows whose fingerprints are linked, by chains too, and null only
     if none has a key; `root` names the component itself."""
     folded = prints.groupBy("fp").agg(F.min(key).alias("first"))
