@@ -7,9 +7,14 @@ from pyspark.sql import Column, functions as F
 from catalograph import names as N
 
 
+def stripped(c: Column | str) -> Column:
+    """Without white space of any kind at either end; Spark's own trim takes spaces only."""
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
 def bare_id(c: Column) -> Column:
     """Any spelling of an identity (bracketed, full IRI, bare) to its last path segment."""
-    t = F.trim(c)
+    t = stripped(c)
     inner = F.when(t.startswith("<") & t.endswith(">"), F.substring(t, 2, 1 << 30).substr(F.lit(1), F.length(t) - 2)).otherwise(t)
     return F.substring_index(inner, "/", -1)
 
@@ -20,7 +25,7 @@ def bracket_iri(c: Column, base: str = N.BASE) -> Column:
 
 def iri_from_bracket(c: Column, base: str = N.BASE) -> Column:
     """`<ns/Class/id>` to a full IRI; NULL unless bracketed, ≥ 3 segments, no blanks, no leading slash."""
-    inner = F.regexp_extract(F.trim(c), "^<([^/\\s][^\\s]*)>$", 1)
+    inner = F.regexp_extract(stripped(c), "^<([^/\\s][^\\s]*)>$", 1)
     segments = F.size(F.filter(F.split(inner, "/"), lambda x: x != ""))
     return F.when((inner != "") & (segments >= 3), F.concat(F.lit(base), inner))
 
@@ -45,7 +50,7 @@ def valid_index_name(c: Column) -> Column:
 
 def store_id(c: Column) -> Column:
     """First six characters of the trimmed declaration, lower case; NULL when nothing is left."""
-    return F.nullif(F.lower(F.substring(F.trim(c), 1, 6)), F.lit(""))
+    return F.nullif(F.lower(F.substring(stripped(c), 1, 6)), F.lit(""))
 
 
 def model_label(c: Column) -> Column:
@@ -143,11 +148,11 @@ def set_from_name(stem: Column, patterns: tuple[str, ...] = ()) -> Column:
 
 def json_text(value: Column) -> Column:
     """A JSON value as trimmed plain text: strings unquoted, others as written."""
-    return F.trim(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
+    return stripped(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
 
 
 def is_json_string(value: Column) -> Column:
-    return F.trim(value).startswith('"')
+    return stripped(value).startswith('"')
 
 
 def base32_id(seed: Column, length: int = 16) -> Column:

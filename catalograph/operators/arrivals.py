@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catalograph import names as N
 from catalograph.functions.text import (base32_id, date_from_name, iri_from_bracket, is_zoned_date, media_class, media_kind,
-                                        media_path, rendition_path, set_from_name, valid_id)
+                                        media_path, rendition_path, set_from_name, stripped, valid_id)
 from catalograph.operators import patterns as P
 from catalograph.operators.analytics import png_hash
 from catalograph.operators.facts import classes
@@ -290,19 +290,25 @@ def check_dates(statements: DataFrame, existing: DataFrame | None = None) -> Dat
 
 
 def make_named_sets(statements: DataFrame, q: DataFrame, media: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """(quads of sets to make, rejects). Sets that `statements` name and no one made yet are made; a media naming a
-    set of the wrong kind is rejected. `media(store, media, class)`."""
+    """(quads of sets to make, rejects). Sets that `statements` name and no one made yet are made. A media naming a set of the wrong kind, or one that
+    cannot be made, because its id is invalid or another node has it, is rejected. `media(store, media, class)`."""
     kind = F.regexp_extract("o", f"^{N.MEDIA_NS}({'|'.join(N.SET_MEMBER)})/([^/]+)$", 1)
     sid = F.regexp_extract("o", f"^{N.MEDIA_NS}({'|'.join(N.SET_MEMBER)})/([^/]+)$", 2)
     named = statements.filter((F.col("p") == N.v("relatedToId")) & (F.col("o_kind") == "iri")).select(
         "store", "media", "o", kind.alias("set_class"), sid.alias("set_id")).filter("set_class <> ''").dropDuplicates()
     named = named.join(media.select("store", "media", "class"), ["store", "media"])
     member = F.try_element_at(F.create_map(*[F.lit(x) for kv in N.SET_MEMBER.items() for x in kv]), F.col("set_class"))
-    wrong = named.filter(member != F.col("class")).select("store", "media", F.concat(F.lit("wrong kind of set: "), "o").alias("reason"))
-    rejects = wrong.groupBy("store", "media").agg(F.min("reason").alias("reason"))
     taken = classes(q, "Image", "Video", "Media", *N.SET_MEMBER).select("store", F.substring_index("s", "/", -1).alias("set_id"), F.col("s").alias("holder"))
-    wanted = named.join(rejects, ["store", "media"], "left_anti").select("store", "set_class", "set_id", "o").dropDuplicates()
-    new = wanted.join(taken, ["store", "set_id"], "left_anti").filter(valid_id(F.col("set_id"))).select(
+    sets = named.select("store", "set_class", "set_id", "o").dropDuplicates().join(taken, ["store", "set_id"], "left").groupBy(
+        "store", "set_class", "set_id", "o").agg(F.coalesce(F.max(F.col("holder") == F.col("o")), F.lit(False)).alias("there"), F.count("holder").alias("holders"))
+    unmade = F.when(F.col("there"), None).when(~valid_id(F.col("set_id")), "invalid id").when(F.col("holders") > 0, "the id is taken")
+    sets = sets.withColumn("unmade", unmade)
+    judged = named.join(sets.select("store", "o", "unmade"), ["store", "o"])
+    reason = F.when(member != F.col("class"), F.concat(F.lit("wrong kind of set: "), "o")).when(
+        F.col("unmade").isNotNull(), F.concat(F.lit("names a set that could not be made: "), "o", F.lit(": "), "unmade"))
+    rejects = judged.groupBy("store", "media").agg(F.min(reason).alias("reason")).filter("reason IS NOT NULL")
+    wanted = judged.join(rejects, ["store", "media"], "left_anti").select("store", "o").dropDuplicates()
+    new = sets.filter("NOT there AND unmade IS NULL").join(wanted, ["store", "o"], "left_semi").select(
         "store", F.col("set_class").alias("class"), F.col("set_id").alias("id"), F.lit(now).alias("created"),
         F.lit(now).alias("updated"), F.lit(None).cast("string").alias("description"))
     return set_quads(new), rejects
@@ -333,7 +339,7 @@ def ingest(arrivals: DataFrame, q: DataFrame, packets: DataFrame | None = None,
 
 def legacy_field(statements: DataFrame, ns: str, *names_: str) -> Column:
     """First value of the first name that has one, as an aggregate over a media's statements."""
-    return F.coalesce(*[F.min(F.when((F.col("p") == ns + n) & (F.trim("o") != ""), F.trim("o"))) for n in names_])
+    return F.coalesce(*[F.min(F.when((F.col("p") == ns + n) & (stripped("o") != ""), stripped("o"))) for n in names_])
 
 
 def migrate_packets(packets: DataFrame, legacy: str, retired: str, zone: str, drop_subjects: str = "^(Region|Pose):",

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalograph import names as N
-from catalograph.functions.text import (bare_id, iri_from_bracket, is_json_string, is_zoned_date, json_text)
+from catalograph.functions.text import (bare_id, iri_from_bracket, is_json_string, is_zoned_date, json_text, stripped)
 from catalograph.operators import patterns as P
 from catalograph.session import cut_lineage
 
@@ -83,7 +83,7 @@ def with_literal(df: DataFrame, range_: Column, value: str = "value") -> DataFra
     The value is parsed once into a column of its own, which the checks then share.
     """
     raw = F.get_json_object(F.concat(F.lit('{"v":'), F.col(value), F.lit("}")), "$.v")
-    df = df.withColumns({"range": range_, "__raw": raw, "__str": is_json_string(F.col(value))}).withColumn("__text", F.trim("__raw"))
+    df = df.withColumns({"range": range_, "__raw": raw, "__str": is_json_string(F.col(value))}).withColumn("__text", stripped("__raw"))
     text, is_text, r = F.col("__text"), F.col("__str"), F.col("range")
     whole = F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
     bounded = F.lit(None).cast("bigint")
@@ -105,7 +105,7 @@ def _range_of(key: Column, fields: dict[str, str]) -> Column:
 
 def link_targets(value: Column) -> Column:
     """A JSON string or list of strings as an array of references."""
-    return F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(json_text(value)))
+    return F.when(stripped(value).startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(json_text(value)))
 
 
 def judge_links(q: DataFrame, rows: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def judge_links(q: DataFrame, rows: DataFrame) -> DataFrame:
     A target is a set, image or video of the same store, not the media itself, and a set takes its own media kind
     only. One lookup of typed nodes serves all checks.
     """
-    node = F.when(F.col("target").rlike("^https?://"), F.trim("target")).otherwise(iri_from_bracket(F.col("target")))
+    node = F.when(F.col("target").rlike("^https?://"), stripped("target")).otherwise(iri_from_bracket(F.col("target")))
     rows = rows.withColumn("node", node)
     known = classes(q, "Image", "Video", "Media", *N.SET_MEMBER)
     rows = rows.join(known.select("store", F.col("s").alias("node"), F.col("class").alias("target_class")), ["store", "node"], "left")
@@ -196,7 +196,7 @@ def set_perception(q: DataFrame, parsed: DataFrame) -> Change:
     one = lambda k, c: F.struct(F.lit(k).alias("k"), c.alias("v"))
     values = F.concat(
         F.array(one("shortCaption", F.coalesce("short_caption", F.lit(""))), one("longCaption", F.coalesce("long_caption", F.lit("")))),
-        F.when(F.trim(F.coalesce("prompt_path", F.lit(""))) != "", F.array(one("modelPromptPath", F.col("prompt_path"))))
+        F.when(stripped(F.coalesce("prompt_path", F.lit(""))) != "", F.array(one("modelPromptPath", F.col("prompt_path"))))
         .otherwise(F.array().cast("array<struct<k:string,v:string>>")),
         F.transform("objects", lambda x: F.struct(F.lit("sceneObjects").alias("k"), x.alias("v"))), F.col("scene"))
     rows = parsed.select("store", "s", F.explode(values).alias("x"))

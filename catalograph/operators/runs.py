@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catalograph import names as N
 from catalograph.functions.geometry import numbers_text, plain, points_text, trimmed
-from catalograph.functions.text import base32_id, bare_id, enrichment_path, valid_id
+from catalograph.functions.text import base32_id, bare_id, enrichment_path, stripped, valid_id
 
 FIELDS = "array<struct<k:string,v:string>>"
 RECORDS = f"array<struct<class:string,id:string,fields:{FIELDS}>>"
@@ -84,7 +84,7 @@ def enrichment_quads(runs: DataFrame) -> DataFrame:
 
 
 def _blankless(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(stripped(c) != "", c)
 
 
 def embedding_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,7 +125,7 @@ def pose_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 def depth_runs(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One map per image; without a map, its range or PNG bytes the image stays pending."""
     df = _start(answers, "depth", "depth_png_b64 string, min double, max double, width int, height int, precision string, provider string")
-    text = F.trim(F.coalesce(F.col("x.depth_png_b64"), F.lit("")))
+    text = stripped(F.coalesce(F.col("x.depth_png_b64"), F.lit("")))
     magic = F.substring(F.hex(F.try_to_binary(text, F.lit("base64"))), 1, 16)
     reason = (F.when(text == "", "the reply holds no depth map")
               .when(F.col("x.min").isNull() | F.col("x.max").isNull(), "the depth range is missing")
@@ -172,13 +172,13 @@ def parse_captions(answers: DataFrame, text: str = "answer") -> DataFrame:
     df = df.withColumn("m", F.when(F.schema_of_variant("j").startswith("OBJECT"), F.from_json(raw, "map<string,string>")))
     get = lambda k: F.try_element_at(F.col("m"), F.lit(k))
     typed = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("j", f"$.{k}", "variant")), F.lit("VOID"))
-    said = lambda k: F.when(typed(k) == "STRING", F.coalesce(F.trim(get(k)), F.lit(""))).otherwise("")  # only a text is a caption
+    said = lambda k: F.when(typed(k) == "STRING", F.coalesce(stripped(get(k)), F.lit(""))).otherwise("")  # only a text is a caption
     texts = F.transform(F.filter(F.try_variant_get("j", "$.sceneObjects", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"),
                         lambda x: x.cast("string"))
     items = F.when(typed("sceneObjects").startswith("ARRAY"), texts).otherwise(F.split(get("sceneObjects"), ","))
-    clean = F.transform(items, lambda x: F.lower(F.trim(F.regexp_replace(F.trim(x), "^[.;]+|[.;]+$", ""))))
+    clean = F.transform(items, lambda x: F.lower(stripped(F.regexp_replace(stripped(x), "^[.;]+|[.;]+$", ""))))
     kept = F.array_distinct(F.filter(clean, lambda x: (x != "") & (F.octet_length(x) <= 40)))
-    scene = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.trim(get(k)).alias("v")) for k in N.SCENE_FIELDS + N.JUDGEMENT_FIELDS]),
+    scene = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), stripped(get(k)).alias("v")) for k in N.SCENE_FIELDS + N.JUDGEMENT_FIELDS]),
                      lambda f: f["v"].isNotNull() & (f["v"] != "") & (F.upper(f["v"]) != "N/A"))
     declared = F.array(*[F.lit(k) for k in ["shortCaption", "longCaption", "sceneObjects", *N.SCENE_FIELDS, *N.JUDGEMENT_FIELDS]])
     reason = (F.when(raw == "", "no object in the reply").when(F.col("m").isNull(), "the reply's object does not parse")
@@ -208,6 +208,6 @@ def segment_requests(media: DataFrame, always: list[str]) -> DataFrame:
 def embedding_text(media: DataFrame) -> Column:
     """`label: value` lines of the captions and the render request, blank ones left out."""
     cols = {"shortCaption": "short_caption", "longCaption": "long_caption", "renderRequestInformation": "render_request"}
-    lines = [F.when(F.trim(F.col(c)) != "", F.concat(F.lit(f"{label}: "), F.trim(F.col(c)), F.lit("\n")))
+    lines = [F.when(stripped(F.col(c)) != "", F.concat(F.lit(f"{label}: "), stripped(F.col(c)), F.lit("\n")))
              for label, c in cols.items() if c in media.columns]
     return F.concat_ws("", *lines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalograph import names as N
-from catalograph.functions.text import bare_id, valid_id
+from catalograph.functions.text import bare_id, stripped, valid_id
 from catalograph.operators import patterns as P
 from catalograph.operators.facts import Change, classes, judge_links, quad
 
@@ -52,7 +52,7 @@ def set_quads(sets: DataFrame) -> DataFrame:
     one = lambda p, o, k: F.struct(F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"))
     facts = F.array(one(N.RDF_TYPE, F.concat(F.lit(N.VOCAB), "class"), "iri"), one(N.v("id"), iri, "iri"),
                     one(N.v("createdDate"), F.col("created"), "literal"), one(N.v("updatedDate"), F.col("updated"), "literal"),
-                    one(N.v("description"), F.nullif(F.trim("description"), F.lit("")), "literal"))
+                    one(N.v("description"), F.nullif(stripped("description"), F.lit("")), "literal"))
     rows = sets.select("store", iri.alias("s"), F.explode(F.filter(facts, lambda x: x["o"].isNotNull())).alias("x"))
     return rows.select("store", "s", "x.p", "x.o", "x.o_kind", F.lit(None).cast("string").alias("dt"), F.lit(N.GRAPH).alias("g"))
 

@@ -175,3 +175,11 @@ def test_like_needs_a_store_where_ids_repeat(spark):
         X.knn_like(v, "m", 1)
     assert [(r.store, r.key_id) for r in X.knn_like(v, "m", 1, store="b").collect()] == [("b", 3)]
     assert [(r.store, r.key_id) for r in X.knn_like(v, "m", 3).collect()] == [("b", 1)]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from catalograph.functions.text import bare_id, iri_from_bracket, stripped
+
+    df = spark.createDataFrame([("\n about \t",), ("\u00a0x y\u2003\r\n",), (" \t\n",), ("\t<cat/Image/a>\n",)], "t string")
+    got = df.select(stripped("t").alias("s"), bare_id(F.col("t")).alias("b"), iri_from_bracket(F.col("t")).alias("i")).collect()
+    assert [r.s for r in got] == ["about", "x y", "", "<cat/Image/a>"] and got[3].b == "a" and got[3].i.endswith("cat/Image/a")

@@ -202,6 +202,18 @@ def test_arriving_files_become_facts(spark, tmp_path, quads):
     assert sorted(o for _, p, o in f if p in ("_1", "_2")) == ["x", "y"]
 
 
+def test_a_set_that_cannot_be_made_refuses_its_file(spark, quads):
+    """An id too long, an id another node has; a set that exists, or can be made, does not."""
+    q = quads((img("zz"), N.RDF_TYPE, N.v("Image")), (N.MEDIA_NS + "ImageSet/old", N.RDF_TYPE, N.v("ImageSet")))
+    named = {"long": "ImageSet/" + "x" * 201, "taken": "ImageSet/zz", "old": "ImageSet/old", "new": "ImageSet/fresh", "wrong": "VideoSet/v"}
+    said = quads(*[(img(k), "relatedToId", N.MEDIA_NS + s, "iri", None) for k, s in named.items()]).withColumn("media", F.col("s"))
+    media = spark.createDataFrame([("st0001", img(k), "Image") for k in named], "store string, media string, class string")
+    made, rejects = AR.make_named_sets(said, q, media, "now")
+    why = {r.media.rsplit("/", 1)[-1]: r.reason for r in rejects.collect()}
+    assert set(why) == {"long", "taken", "wrong"} and "could not be made" in why["long"] and why["long"].endswith("invalid id") and why["taken"].endswith("the id is taken")
+    assert {r.s for r in made.collect()} == {N.MEDIA_NS + "ImageSet/fresh"}
+
+
 def test_two_copies_get_two_ids_and_a_retry_the_same(spark):
     df = spark.createDataFrame([("s", "b", p, bytearray(png()), "image/png", "2024-01-02T03:04:05Z") for p in ("a", "b")], "store string, batch string, path string, content binary, claimed string, created string")
     one = {r.path: r.id for r in AR.arrival_rows(df).collect()}
