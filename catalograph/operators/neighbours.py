@@ -30,6 +30,8 @@ BLOCK = 2048  # rows a side: a task's score matrix is 32 MB; larger blocks shuff
 MAX_PIVOTS = 4096  # the pivots go to every task: 4096 vectors of 512 floats are 16 MB
 SLICE = 1024  # rows scored against all pivots at a time
 EPS = 1e-9
+EDGES = 100_000  # edges of a component round a task, about 10 MB
+LEAST_PARTS = 8
 
 
 def _owner(*tables: DataFrame) -> list[str]:
@@ -239,13 +241,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
     2014), each one aggregation and one join on the node; a hub's edges combine map-side in the aggregation and AQE
-    splits its side of the join. Every round is written out; rounds grow with the logarithm of the chain length.
+    splits its side of the join. Every round is written out; rounds grow with the logarithm of the chain length. Shuffles
+    are sized by the counted edges, since a round of few edges would else cost its many shuffles in empty tasks.
     """
+    spark = edges.sparkSession
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        return _star_rounds(edges, lambda n: spark.conf.set(name, min(int(before), max(LEAST_PARTS, -(-n // EDGES)))))
+    finally:
+        spark.conf.set(name, before)
+
+
+def _star_rounds(edges: DataFrame, sized) -> DataFrame:
     ordered = lambda e: e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).dropDuplicates()
     e = cut_lineage(ordered(edges))
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(e)
-    while True:  # the steps are proven to settle
+    while seen[0]:  # the steps are proven to settle
+        sized(seen[0])
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = ordered(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -256,9 +270,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = cut_lineage(ordered(small_star))
         now = mark(e)
         if now == seen:
-            roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return roots.unionByName(roots.select(F.col("root").alias("node"), "root").dropDuplicates())
+            break
         seen = now
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return cut_lineage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").dropDuplicates()))
 
 
 def near_dups(vectors: DataFrame, model: str, threshold: float, block: int = BLOCK) -> DataFrame:
