@@ -124,6 +124,7 @@ ID_ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"
 INDEX_PATTERN = "^[A-Za-z0-9._-]{1,128}$"
 MODEL_PATTERN = "^[a-z0-9]+(-[a-z0-9]+)*$"
 HOLD_SECONDS = 600
+RENDER_REQUEST_CHUNK = "parameters"  # keyword of the PNG text chunk that holds the whole request
 BATCH = 24
 SEARCH_EF = (64, 4096)
 FACE_THRESHOLD = 0.4

@@ -15,7 +15,7 @@ from catalograph import names as N
 from catalograph.functions.text import (base32_id, date_from_name, iri_from_bracket, is_zoned_date, media_class, media_kind,
                                         media_path, rendition_path, set_from_name, stripped, valid_id)
 from catalograph.operators import patterns as P
-from catalograph.operators.analytics import png_hash
+from catalograph.operators.analytics import png_read
 from catalograph.operators.facts import classes
 from catalograph.operators.sets import set_quads
 from catalograph.session import cut_lineage
@@ -80,7 +80,10 @@ def arrival_rows(arrivals: DataFrame, taken: DataFrame | None = None) -> DataFra
         ext_of = F.when(arrived == mime, ext).otherwise(ext_of)
     ihdr = png & (F.length("content") >= 24)
     df = df.withColumn("width", F.when(ihdr, _be32(F.col("content"), 17))).withColumn("height", F.when(ihdr, _be32(F.col("content"), 21)))
-    df = df.withColumn("sha256", png_hash(F.col("content"))).withColumn("arrived_ext", ext_of).withColumn("converted", converted)
+    df = df.withColumn("read", png_read(F.col("content"))).withColumn("sha256", F.col("read.sha256"))
+    df = df.withColumn("reason", F.coalesce("reason", F.when(png, F.col("read.fault")))).withColumn(
+        "render_request", F.when(png, F.nullif(stripped(F.col("read.request")), F.lit(""))))
+    df = df.drop("read").withColumn("arrived_ext", ext_of).withColumn("converted", converted)
     df = df.withColumn("media_type", F.when(converted, "image/png").otherwise(arrived))
     df = df.withColumn("class", media_class(F.col("media_type"))).withColumn("kind", media_kind(F.col("media_type")))
     df = df.withColumn("iri", F.concat(F.lit(N.MEDIA_NS), "class", F.lit("/"), "id"))
@@ -101,7 +104,7 @@ def arrival_quads(rows: DataFrame) -> DataFrame:
         t(iri, N.RDF_TYPE, F.concat(F.lit(N.VOCAB), "class"), "iri"), t(iri, "id", iri, "iri"), t(iri, "mediaPath", F.col("media_path")),
         t(iri, "createdDate", F.col("created")), t(iri, "updatedDate", F.col("created")), t(iri, "mediaType", F.col("media_type")),
         t(iri, "sourceFile", F.col("source_file")), t(iri, "imageSha256Hash", F.col("sha256")), t(iri, "width", F.col("width")),
-        t(iri, "height", F.col("height")), t(iri, "thumbnail", thumb, "iri"), t(thumb, N.RDF_TYPE, F.lit(N.v("Thumbnail")), "iri"),
+        t(iri, "height", F.col("height")), t(iri, "renderRequestInformation", F.col("render_request")), t(iri, "thumbnail", thumb, "iri"), t(thumb, N.RDF_TYPE, F.lit(N.v("Thumbnail")), "iri"),
         t(thumb, "id", thumb, "iri"), t(thumb, "path", rendition_path(F.col("kind"), F.col("created"), F.col("id"), F.lit(THUMB_EDGE))),
         t(thumb, "width", size("width")), t(thumb, "height", size("height")), t(thumb, "producedDate", F.col("created")))
     out = rows.filter("reason IS NULL").select("store", F.explode(F.filter(facts, lambda x: x["s"].isNotNull() & x["o"].isNotNull())).alias("x"))

@@ -1,5 +1,9 @@
 """Registered model-run, arrival, document and analytics queries."""
 
+import struct
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from catalograph import names as N
@@ -180,6 +184,35 @@ def _(b):
     return AR.arrival_quads(rows).select("s", "p", "o")
 
 
+def request_png(doc_id: int, text: str | None) -> bytes:
+    """A PNG with the whole text as its render request in one of the three kinds of text chunk, plain or deflated, by document number."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    said, key = f"\n\t {text or ''}\r\n ", b"remark" if doc_id % 7 == 0 else N.RENDER_REQUEST_CHUNK.encode()
+    narrow, wide, cut = said.encode("latin-1", "replace"), said.encode(), doc_id % 5
+    body = [(b"tEXt", narrow), (b"zTXt", b"\0" + zlib.compress(narrow)), (b"iTXt", b"\0\0en\0\0" + wide), (b"iTXt", b"\1\0\0\0" + zlib.compress(wide)),
+            (b"zTXt", b"\0" + zlib.compress(narrow)[:-1])][cut]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II5B", 640 + doc_id % 3, 480, 8, 2, 0, 0, 0)) + chunk(body[0], key + b"\0" + body[1]) + chunk(
+        b"IDAT", b"px") + chunk(b"IEND", b"")
+
+
+@query("d1_render_request", """
+SELECT concat('doc/', doc_id) AS path, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 4 THEN NULL ELSE nullif(trim(CASE WHEN doc_id % 5 < 2 THEN regexp_replace(coalesce(text, ''), '[^\\x{0}-\\x{FF}]', '?', 'g')
+ ELSE coalesce(text, '') END, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(133), chr(160))), '') END AS request, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 4 THEN 'refused' ELSE 'stored' END AS outcome FROM documents""")
+def _(b):
+    """PNG files made of whole texts go through `ingest`; the request stored with each, or the refusal of one that cannot be read."""
+    @F.arrow_udf("binary")
+    def made(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+        return pa.array([request_png(i.as_py(), t.as_py()) for i, t in zip(doc_id, text, strict=True)], pa.binary())
+
+    files = b.table("documents").select(
+        F.lit("doc001").alias("store"), F.lit("b1").alias("batch"), F.concat(F.lit("doc/"), "doc_id").alias("path"), made("doc_id", "text").alias("content"),
+        F.lit("image/png").alias("claimed"), F.lit("2024-06-01T12:30:45+02:00").alias("created"))
+    rows, quads, rejects = AR.ingest(files, b.quads.filter("store = 'doc001'"))
+    said = P.pattern(quads, "?iri", "renderRequestInformation", "?request").select("iri", "request")
+    good = rows.filter("reason IS NULL").select("path", "iri").join(said, "iri", "left").select("path", "request", F.lit("stored").alias("outcome"))
+    return good.unionByName(rejects.select("path", F.lit(None).cast("string").alias("request"), F.lit("refused").alias("outcome")))
+
+
 @query("d2_sniff", f"WITH {ARR} SELECT path, arrived AS media_type, reason FROM arr")
 def _(b):
     return AR.verify(arrivals(b)).select("path", "media_type", "reason")

@@ -264,3 +264,38 @@ def test_one_path_delivered_three_times_gets_three_ids(spark):
         seen |= {r.id for r in new.collect()}
         taken = new if taken is None else taken.union(new)
     assert len(seen) == 3
+
+
+def test_render_request_of_every_kind_of_text_chunk():
+    import zlib
+
+    from catalograph.operators.analytics import _png_read
+
+    def made(*chunks):
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">II5B", 2, 2, 8, 2, 0, 0, 0)) + b"".join(chunk(k, d) for k, d in chunks) + chunk(b"IEND", b"")
+
+    said = lambda *chunks: _png_read(made(*chunks))[1:]
+    key = b"parameters\0"
+    assert said((b"tEXt", key + b"caf\xe9")) == ("caf\u00e9", None)
+    assert said((b"zTXt", key + b"\0" + zlib.compress(b"a cat"))) == ("a cat", None)
+    assert said((b"iTXt", key + b"\0\0en\0word\0" + "\u732b".encode())) == ("\u732b", None)
+    assert said((b"iTXt", key + b"\1\0\0\0" + zlib.compress("\u732b".encode()))) == ("\u732b", None)
+    assert said((b"tEXt", b"other\0x"), (b"tEXt", b"parameters"), (b"tEXt", key + b"1"), (b"tEXt", key + b"2")) == ("1", None)
+    assert said((b"IDAT", key + b"x")) == (None, None)
+    assert said((b"tEXt", key)) == ("", None)
+    for broken in ((b"zTXt", key), (b"zTXt", key + b"\0nonsense"), (b"iTXt", key + b"\0"), (b"iTXt", key + b"\1\0\0\0zz")):
+        assert said(broken)[0] is None and said(broken)[1].startswith("its render request cannot be read")
+    long = "x" * 3_000_000
+    assert said((b"zTXt", key + b"\0" + zlib.compress(long.encode()))) == (long, None)
+    assert _png_read(made((b"tEXt", key + b"1"))[:-6]) == (None, None, None)
+
+
+def test_a_file_whose_request_cannot_be_read_lands_nothing(spark):
+    good, bad = png(), png().replace(chunk(b"IEND", b""), chunk(b"zTXt", b"parameters\0\0zz") + chunk(b"IEND", b""))
+    blank = png().replace(chunk(b"IEND", b""), chunk(b"tEXt", b"parameters\0 \n\t") + chunk(b"IEND", b""))
+    df = spark.createDataFrame([("st", "b", p, c, "image/png", "2024-01-01T00:00:00Z") for p, c in (("good", good), ("bad", bad), ("blank", blank), ("null", None))],
+                               "store string, batch string, path string, content binary, claimed string, created string")
+    _, quads, rejects = AR.ingest(df, spark.createDataFrame([], N.QUAD_SCHEMA))
+    assert {(r.path, r.reason.split(":")[0]) for r in rejects.collect()} == {("bad", "its render request cannot be read"), ("null", "not a readable image")}
+    assert quads.filter(F.col("p") == N.v("renderRequestInformation")).count() == 0
+    assert quads.filter(F.col("p") == N.v("mediaPath")).count() == 2
