@@ -134,6 +134,9 @@ def next_batch(pending_: DataFrame, held: DataFrame, batch: int = N.BATCH) -> Da
     return asked.join(held, P.shared_vars(held, asked), "left_anti").orderBy(*order).limit(batch)
 
 
+FEED = ("updatedDate", "rating", "isPicked", "isRejected")
+
+
 def changes(q: DataFrame, since: str | None = None) -> DataFrame:
     """Images changed at or after `since`, each with its marks; cleared marks are still rows (0 / false)."""
     rows = P.join(P.pattern(q, "?s", N.RDF_TYPE, "Image"), P.pattern(q, "?s", "updatedDate", "?u"))
@@ -147,6 +150,13 @@ def changes(q: DataFrame, since: str | None = None) -> DataFrame:
                        F.coalesce(F.col("j") == "true", F.lit(False)).alias("is_rejected"))
 
 
+def feed_between(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of the feed `after` that `before` does not have, and one row with `removed` for each image that is in `before` only."""
+    gone = before.select("store", "iri").dropDuplicates().join(after.select("store", "iri"), ["store", "iri"], "left_anti")
+    rest = [F.lit(None).cast(after.schema[c].dataType).alias(c) for c in after.columns if c not in ("store", "iri")]
+    return after.subtract(before).withColumn("removed", F.lit(False)).unionByName(gone.select("store", "iri", *rest, F.lit(True).alias("removed")))
+
+
 def in_feed_order(changed: DataFrame) -> DataFrame:
     return changed.orderBy(instant(F.col("updated")), "iri", "store")
 

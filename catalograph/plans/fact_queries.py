@@ -331,3 +331,19 @@ after AS (SELECT store, s, p, o FROM quads q WHERE NOT EXISTS (SELECT 1 FROM f W
 def _(b):
     files = b.sets.filter("class = 'ImageSet'").select("store", "class", "id", "created", F.lit(None).cast("string").alias("updated"), F.lit("as filed").alias("description"))
     return by_predicate(C.reload_sets(b.quads, files).apply(b.quads))
+
+
+@query("r9_version_feed", f"""WITH {JUDGED},
+had AS (SELECT store, iri, n, updated, coalesce(CAST(rating AS BIGINT), 0) AS r, coalesce(quality = 1, false) AS p, coalesce(toxic = 1, false) AS j FROM m_media WHERE class = 'Image' AND n % 7 <> 0),
+has AS (SELECT had.*, coalesce(CAST(a.o AS BIGINT), r) AS r1, coalesce(b.o = 'true', p) AS p1 FROM had LEFT JOIN last a ON a.store = had.store AND a.s = had.iri AND a.key = 'rating'
+  LEFT JOIN last b ON b.store = had.store AND b.s = had.iri AND b.key = 'isPicked')
+SELECT store, iri, updated, r1 AS rating, p1 AS is_picked, j AS is_rejected, false AS removed FROM has WHERE n % 13 <> 0 AND (r1 <> r OR p1 <> p)
+UNION ALL SELECT store, iri, NULL, NULL, NULL, NULL, true FROM has WHERE n % 13 = 0""")
+def _(b):
+    """Two commits, edits and removed media; the feed is read off the versions before and after."""
+    root = fresh_dir(b.spark, "feed")
+    first = SN.write_snapshot(b.quads, root)
+    SN.commit(b.spark, root, D.set_fields(b.quads, b.edits))
+    gone = b.media.filter("n % 13 = 0").select("store", F.col("iri").alias("s"))
+    last = SN.commit(b.spark, root, D.Change(None, gone, gone))
+    return SN.feed(b.spark, root, first, last)

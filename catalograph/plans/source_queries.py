@@ -250,6 +250,30 @@ def _(b):
     return last.filter("x.pending").select("store", "iri", "x.created")
 
 
+WORK_EVENTS = """
+w AS (SELECT store, iri, CAST(-1 AS BIGINT) AS seq, 'image' AS kind, created AS text FROM m_media WHERE class = 'Image' UNION ALL
+ SELECT store, iri, event_id, CASE event_type WHEN 'click' THEN 'gate' WHEN 'view' THEN 'done' WHEN 'signup' THEN 'forgotten' WHEN 'purchase' THEN 'ungate' ELSE
+   CASE WHEN event_id % 2 = 0 THEN 'removed' ELSE 'image' END END, created FROM events e JOIN m_media m ON m.n = e.user_id WHERE m.class = 'Image')"""
+
+
+@query("t2_from_state", f"""WITH {WORK_EVENTS}
+SELECT store, iri, max(text) AS created FROM w GROUP BY store, iri
+HAVING arg_max(kind, seq) FILTER (WHERE kind IN ('image', 'removed')) = 'image' AND coalesce(arg_max(kind, seq) FILTER (WHERE kind IN ('gate', 'ungate')) = 'gate', false)
+ AND NOT coalesce(arg_max(kind, seq) FILTER (WHERE kind IN ('done', 'forgotten')) = 'done', false)""")
+def _(b):
+    """The last tenth of the events as a stream over the state that the others left."""
+    b.table("events").createOrReplaceTempView("work_events")
+    b.media.createOrReplaceTempView("work_media")
+    events = b.spark.sql("WITH " + WORK_EVENTS.replace("m_media", "work_media").replace("events e", "work_events e") + " SELECT * FROM w")
+    cut = b.table("events").agg((F.max("event_id") * 0.9).cast("bigint").alias("at"))
+    parted = events.crossJoin(F.broadcast(cut))  # one row
+    kept = fresh_dir(b.spark, "state")
+    ST.work_state(parted.filter("seq <= at").drop("at")).write.parquet(kept)
+    feed = streamed(b, parted.filter("seq > at").drop("at"))
+    rows = landed(b, ST.live_work(feed, feed.sparkSession.read.parquet(kept)))
+    return ST.work_after(b.spark.read.parquet(kept), rows)
+
+
 @query("t3_holds", """
 WITH o AS (SELECT m.store, m.iri AS s, c.stage, arg_max(coalesce(c.status = 200, false), c.event_id) AS ok, max(c.ts) AS last_at FROM m_calls c JOIN m_media m ON m.id = c.id GROUP BY m.store, m.iri, c.stage)
 SELECT store, s, stage, strftime(last_at + INTERVAL 600 SECOND, '%Y-%m-%d %H:%M:%S') AS until FROM o WHERE NOT ok""")
@@ -261,6 +285,21 @@ def _(b):
     return last.filter("x.action = 'hold'").select("store", "s", "stage", F.date_format("x.until", "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 
+@query("t3_holds_clock", """
+SELECT m.store, m.iri AS s, c.stage FROM m_calls c JOIN m_media m ON m.id = c.id GROUP BY m.store, m.iri, c.stage
+HAVING NOT arg_max(coalesce(c.status = 200, false), c.event_id) AND arg_max(c.event_id % 3 = 0, c.event_id)""")
+def _(b):
+    """Holds on the wall clock: every third outcome is of the hour to come, the others are of yesterday and hold nothing."""
+    at = F.expr("current_timestamp() + CASE WHEN event_id % 3 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL -24 HOURS END")
+    outcomes = b.calls.join(b.media.select("id", F.col("store").alias("st"), "iri"), "id").select(
+        F.col("st").alias("store"), F.col("iri").alias("s"), "stage", F.col("event_id").alias("seq"), at.alias("at"), F.expr("coalesce(status = 200, false)").alias("ok"))
+    out = fresh_dir(b.spark, "sink")
+    ST.run_until_idle(ST.holds_by_clock(streamed(b, outcomes)), out)
+    rows = b.spark.read.parquet(out)
+    last = rows.groupBy("store", "s", "stage").agg(F.max(F.struct("batch", "action")).alias("x"))
+    return last.filter("x.action = 'hold'").select("store", "s", "stage")
+
+
 @query("t5_ready_marks", """
 SELECT store, iri FROM m_media m WHERE class = 'Image' AND n % 11 <> 0 AND 3 = (SELECT count(DISTINCT r.link) FROM m_refs r
   WHERE r.store = m.store AND r.iri = m.iri AND (r.link, r.model) IN (('captionData', 'cap-a'), ('poseData', 'pose-a'), ('vectorData', 'emb-64')))""")

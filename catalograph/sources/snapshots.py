@@ -13,6 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalograph import names as N
+from catalograph.operators import reads as R
 from catalograph.operators.facts import Change
 from catalograph.sources import versions as VS
 
@@ -79,3 +80,29 @@ def read_snapshot(spark: SparkSession, root: str, version: int | None = None) ->
     if not folders:
         return spark.createDataFrame([], N.QUAD_SCHEMA).select(*N.QUAD_COLS)
     return reduce(DataFrame.unionByName, [part(f, p) for f, p in sorted(folders.items())])
+
+
+def difference(spark: SparkSession, root: str, old: int, new: int, preds: list[str] | None = None) -> DataFrame:
+    """(store, s, p, o, ..., change): the quads `added` and `removed` between two versions, of `preds` only if they are named.
+
+    A predicate that both versions keep in the same folder is not read. The rest is one aggregation: quads count +1 or -1 by the version that
+    holds them and those that cancel combine map-side as far as they meet; a quad held twice is held once.
+    """
+    a, b = (VS.read(spark, root, v)["parts"] for v in (old, new))
+    touched = sorted(unquote(p[2:]) for p in {*a, *b} if a.get(p) != b.get(p))
+    touched = [p for p in touched if preds is None or p in preds]
+    side = lambda v, on: read_snapshot(spark, root, v).filter(F.col("p").isin(touched)).withColumn("new", F.lit(on))
+    both = side(old, False).unionByName(side(new, True)).groupBy(*N.QUAD_COLS).agg(F.max("new").alias("there"), F.min("new").alias("fresh"))
+    return both.filter(F.col("there") == F.col("fresh")).select(*N.QUAD_COLS, F.when(F.col("there"), "added").otherwise("removed").alias("change"))
+
+
+def feed(spark: SparkSession, root: str, old: int, new: int) -> DataFrame:
+    """What the change feed says of the images that differ between two versions, as `reads.changes` says it, and those that left it.
+
+    (store, iri, updated, rating, is_picked, is_rejected, removed); a removed image has no values. Dates play no part, so a change that
+    did not stamp its image is seen too.
+    """
+    preds = [N.RDF_TYPE, *[N.v(x) for x in R.FEED]]
+    near = difference(spark, root, old, new, preds).select("store", "s").dropDuplicates()
+    said = lambda v: R.changes(read_snapshot(spark, root, v).filter(F.col("p").isin(preds)).join(near, ["store", "s"], "left_semi"))
+    return R.feed_between(said(old), said(new))

@@ -49,6 +49,23 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> None:
     to_batches(df, path, mode).awaitTermination()
 
 
+def run_until_idle(df: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None, every: str = "3 seconds") -> None:
+    """Drain a stream on the wall clock, whose timers make batches for ever: it is stopped after a batch that brought nothing, in the pause
+    before the next one. Batches that take longer than `every` leave no pause; then the third such batch is broken off, which its retry mends."""
+    q = to_batches(df, path, mode, checkpoint, {"processingTime": every})
+    first = None  # the first batch without input
+    try:
+        while not q.awaitTermination(0.1):  # raises what the stream failed with
+            last = q.lastProgress
+            if last is None or last["numInputRows"]:
+                continue
+            first = last["batchId"] if first is None else first
+            if not q.status["isTriggerActive"] or last["batchId"] > first + 1:
+                return
+    finally:
+        q.stop()
+
+
 # ── ingest ──────────────────────────────────────────────────────────────────────────────────────────────────
 
 def ingest_stream(arrivals: DataFrame, quads: Callable[[], DataFrame], out: str, checkpoint: str,
@@ -85,6 +102,11 @@ class WorkItem(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("work", self.STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        x = initialState.iloc[0]
+        image, done, gate = bool(x["image"]), bool(x["done"]), bool(x["gate"])
+        self.state.update((image, done, gate, image and gate and not done, x["created"], *[int(x["seq"])] * 3))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         image, done, gate, was, created, *at = self.state.get() if self.state.exists() else (False, False, False, False, None, -1, -1, -1)
         holds = [bool(image), bool(done), bool(gate)]
@@ -106,14 +128,36 @@ class WorkItem(StatefulProcessor):
         pass
 
 
-def live_work(events: DataFrame) -> DataFrame:
+def live_work(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Changes of the work list of one stage. `events(store, iri, kind, text[, seq])`: kind is image (text: its date), done,
     forgotten, gate, ungate or removed; the last word by `seq` holds, in whatever order a batch brings them. A row leaves when a media
-    becomes pending or stops being so."""
+    becomes pending or stops being so.
+
+    `known` is the state to begin from, as `work_state` reads it off a catalogue: what is pending there is not said again.
+    """
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(0).cast("bigint"))
     return events.groupBy("store", "iri").transformWithStateInPandas(
-        WorkItem(), "store string, iri string, created string, pending boolean", "Append", "None")
+        WorkItem(), "store string, iri string, created string, pending boolean", "Append", "None",
+        initialState=None if known is None else known.select(*WORK_STATE).groupBy("store", "iri"))
+
+
+WORK_STATE = ["store", "iri", "image", "done", "gate", "created", "seq"]
+
+
+def work_state(events: DataFrame) -> DataFrame:
+    """What a batch of `events` leaves of each media, one row each: the last word of every aspect by `seq`, folded map-side."""
+    last = lambda on, off: F.coalesce(F.max_by(F.col("kind") == on, F.when(F.col("kind").isin(on, off), F.col("seq"))), F.lit(False))
+    made = F.max_by("text", F.when(F.col("kind") == "image", F.col("seq")))
+    return events.groupBy("store", "iri").agg(*[last(on, off).alias(on) for on, off in WorkItem.ASPECTS], made.alias("created"), F.max("seq").alias("seq"))
+
+
+def work_after(known: DataFrame, landed: DataFrame) -> DataFrame:
+    """(store, iri, created) that are pending: the state begun from, overtaken by the changes landed since, batch by batch."""
+    began = known.filter("image AND gate AND NOT done").select("store", "iri", F.lit(-1).cast("bigint").alias("batch"), "created", F.lit(True).alias("pending"))
+    said = landed.select("store", "iri", F.col("batch").cast("bigint").alias("batch"), "created", "pending")
+    last = began.unionByName(said).groupBy("store", "iri").agg(F.max_by(F.struct("created", "pending"), "batch").alias("x"))
+    return last.filter("x.pending").select("store", "iri", "x.created")
 
 
 class Hold(StatefulProcessor):
@@ -121,8 +165,11 @@ class Hold(StatefulProcessor):
 
     STATE = _schema(("seq", LongType()), ("until", TimestampType()), ("held", BooleanType()))
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, wall_clock: bool = False):
+        self.seconds, self.wall_clock = seconds, wall_clock
+
+    def _now(self, timerValues) -> int:
+        return timerValues.getCurrentProcessingTimeInMs() if self.wall_clock else timerValues.getCurrentWatermarkInMs()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -145,7 +192,7 @@ class Hold(StatefulProcessor):
         at, ok = newest
         until = at.to_pydatetime() + timedelta(seconds=self.seconds)
         expiry = int(pd.Timestamp(until).tz_localize("UTC").timestamp() * 1000)
-        lasting = not ok and expiry > timerValues.getCurrentWatermarkInMs()
+        lasting = not ok and expiry > self._now(timerValues)
         self.state.update((int(seq), until, bool(lasting)))
         if lasting:
             self.handle.registerTimer(expiry)
@@ -163,11 +210,20 @@ class Hold(StatefulProcessor):
         pass
 
 
+HOLD_ROW = "store string, s string, stage string, action string, until timestamp"
+
+
 def holds(outcomes: DataFrame, delay: str = "1 minute", seconds: int = N.HOLD_SECONDS) -> DataFrame:
     """Hold changes from `outcomes(store, s, stage, seq, at, ok)`; holds end with the event-time clock."""
     rows = outcomes.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
-    return rows.groupBy("store", "s", "stage").transformWithStateInPandas(
-        Hold(seconds), "store string, s string, stage string, action string, until timestamp", "Append", "EventTime")
+    return rows.groupBy("store", "s", "stage").transformWithStateInPandas(Hold(seconds), HOLD_ROW, "Append", "EventTime")
+
+
+def holds_by_clock(outcomes: DataFrame, seconds: int = N.HOLD_SECONDS) -> DataFrame:
+    """As `holds`, but on the wall clock: a hold ends `seconds` after its failure although nothing more arrives. The clock is the
+    micro-batch's own, which the offset log keeps, so a batch that runs again says the same. Run it with a `processingTime` trigger: `availableNow` would not end."""
+    rows = outcomes.withColumn("at", F.col("at").cast("timestamp"))
+    return rows.groupBy("store", "s", "stage").transformWithStateInPandas(Hold(seconds, True), HOLD_ROW, "Append", "ProcessingTime")
 
 
 class Ready(StatefulProcessor):

@@ -299,3 +299,21 @@ def test_a_file_whose_request_cannot_be_read_lands_nothing(spark):
     assert {(r.path, r.reason.split(":")[0]) for r in rejects.collect()} == {("bad", "its render request cannot be read"), ("null", "not a readable image")}
     assert quads.filter(F.col("p") == N.v("renderRequestInformation")).count() == 0
     assert quads.filter(F.col("p") == N.v("mediaPath")).count() == 2
+
+
+def test_the_feed_of_two_versions_tells_changes_and_removals(spark, tmp_path, quads):
+    root, typed = f"{tmp_path}/feed", lambda *ids: [(img(i), N.RDF_TYPE, N.v("Image"), "iri") for i in ids]
+    dated = lambda *ids: [(img(i), "updatedDate", "2024-01-01T00:00:00Z") for i in ids]
+    first = SN.write_snapshot(quads(*typed("a", "b", "c", "d", "e"), *dated("a", "b", "c", "d", "e"), (img("a"), "rating", "3"), (img("b"), "isPicked", "true"), (img("e"), "width", "5")), root)
+    q = SN.read_snapshot(spark, root)
+    keys = lambda *r: spark.createDataFrame(r, "store string, s string, p string")
+    none = keys()
+    SN.commit(spark, root, D.Change(quads((img("a"), "rating", "5"), (img("e"), "width", "6"), *typed("n"), *dated("n")), keys(("st0001", img("a"), N.v("rating")), ("st0001", img("b"), N.v("isPicked"))), none))
+    last = SN.commit(spark, root, D.Change(None, keys(("st0001", img("c"), N.RDF_TYPE), ("st0001", img("d"), N.v("updatedDate"))), none))
+    got = {(r.iri, r.updated is None, r.rating, r.is_picked, r.removed) for r in SN.feed(spark, root, first, last).collect()}
+    assert got == {(img("a"), False, 5, False, False), (img("b"), False, 0, False, False), (img("n"), False, 0, False, False), (img("c"), True, None, None, True), (img("d"), True, None, None, True)}
+    assert {(r.s, r.p.rsplit("/", 1)[-1], r.o, r.change) for r in SN.difference(spark, root, first, last, [N.v("rating"), N.v("width")]).collect()} == {
+        (img("a"), "rating", "3", "removed"), (img("a"), "rating", "5", "added"), (img("e"), "width", "6", "added")}
+    assert SN.feed(spark, root, last, last).count() == 0 and q.count() == 13
+    plan = SN.difference(spark, root, first, last)._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and N.v("createdDate") not in plan

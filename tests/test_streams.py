@@ -130,3 +130,39 @@ def test_the_last_word_of_a_batch_holds_in_any_order(spark, tmp_path):
                   [e("a", "forgotten", 4), e("a", "done", 3), e("a", "gate", 2), e("a", "image", 1), e("b", "done", 9), e("b", "forgotten", 8), e("b", "image", 1), e("b", "gate", 2)],
                   [e("a", "done", 2)])
     assert [(r.iri, r.pending) for r in landed(spark, ST.live_work(stream), tmp_path).collect()] == [("a", True)]
+
+
+def test_a_hold_by_the_wall_clock_ends_without_another_event(spark, tmp_path):
+    import datetime
+    import time
+
+    now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    old = now - datetime.timedelta(hours=1)
+    stream = feed(spark, tmp_path, OUTCOMES, [("st", "a", "pose", 1, now, False), ("st", "b", "pose", 2, old, False), ("st", "c", "pose", 3, now, True)])
+    q = ST.to_batches(ST.holds_by_clock(stream, 15), f"{tmp_path}/out", checkpoint=f"{tmp_path}/ckpt", trigger={"processingTime": "500 milliseconds"})
+    said = lambda: sorted((r.s, r.action) for r in spark.read.parquet(f"{tmp_path}/out").collect()) if any((tmp_path / "out").glob("*/_SUCCESS")) else []
+    try:
+        end = time.time() + 60
+        while time.time() < end and len(said()) < 2 and q.isActive:
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert said() == [("a", "expire"), ("a", "hold")]
+
+
+def test_work_list_from_a_standing_state(spark, tmp_path):
+    e = lambda s, kind, seq, text="": ("st", s, kind, text, seq)
+    schema = "store string, iri string, kind string, text string, seq long"
+    before = [e("a", "image", 1, "2024"), e("a", "gate", 2), e("b", "image", 3, "2023"), e("b", "done", 4), e("c", "image", 5, "2022"), e("c", "gate", 6), e("c", "ungate", 7),
+              e("d", "gate", 8), e("e", "image", 9, None), e("e", "gate", 10)]
+    after = [[e("b", "gate", 11), e("a", "gate", 12), e("c", "done", 2), e("f", "image", 13, "2021"), e("f", "gate", 14)], [e("b", "forgotten", 15), e("e", "removed", 16), e("d", "image", 17, "2020")]]
+    known = ST.work_state(spark.createDataFrame(before, schema))
+    assert {r.iri: (r.image, r.done, r.gate, r.created) for r in known.collect()} == {
+        "a": (True, False, True, "2024"), "b": (True, True, False, "2023"), "c": (True, False, False, "2022"), "d": (False, False, True, None), "e": (True, False, True, None)}
+    stream = feed(spark, tmp_path, schema, *after)
+    known.write.parquet(f"{tmp_path}/known")
+    mine = stream.sparkSession.read.parquet(f"{tmp_path}/known")
+    got = landed(spark, ST.live_work(stream, mine), tmp_path)
+    assert sorted((r.batch, r.iri, r.pending) for r in got.collect()) == [(0, "f", True), (1, "b", True), (1, "d", True), (1, "e", False)]
+    whole = ST.work_state(spark.createDataFrame([*before, *after[0], *after[1]], schema)).filter("image AND gate AND NOT done")
+    assert sorted((r.iri, r.created) for r in ST.work_after(known, got).collect()) == sorted((r.iri, r.created) for r in whole.select("iri", "created").collect())
