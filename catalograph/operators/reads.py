@@ -195,6 +195,19 @@ def counts(q: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("images"), *[F.count_if(F.coalesce(F.col(n), F.lit(False))).alias(n) for n in COUNTED]))
 
 
+def count_changes(q: DataFrame, n: int = 1) -> DataFrame:
+    """(store, iri, what, n): what `counts` counts in these quads, as changes by `n`: images, thumbnails, and references that hold a record.
+    Of a commit, give the quads that came with 1 and those that went with -1, a reference together with its items."""
+    images = P.pattern(q, "?s", N.RDF_TYPE, "Image").select("store", "s", F.lit("images").alias("what")).dropDuplicates()
+    items = P.pattern(q, "?ref", "item", "?i").select("store", "ref").dropDuplicates()
+    named = F.create_map(*[F.lit(x) for n_, link in COUNTED.items() for x in (link, n_)])
+    links = q.filter(F.col("p").isin(*[N.v(x) for x in N.LINKS])).select(
+        "store", "s", F.try_element_at(named, F.substring_index("p", "/", -1)).alias("what"), F.col("o").alias("ref"))
+    have = links.filter("what IS NOT NULL").join(items, ["store", "ref"], "left_semi").select("store", "s", "what")
+    thumbs = P.pattern(q, "?s", "thumbnail", "?t").select("store", "s", F.lit("thumbnails").alias("what"))
+    return images.unionByName(have).unionByName(thumbs).select("store", F.col("s").alias("iri"), "what", F.lit(n).cast("bigint").alias("n"))
+
+
 def locate(ids: DataFrame, id_: str | None = None) -> DataFrame:
     """(id, stores, store): where an id lives over all stores. Several stores is ambiguous: `store` stays NULL."""
     rows = ids if id_ is None else ids.filter(F.col("id") == id_)

@@ -340,3 +340,18 @@ def _(b):
     rows = b.spark.read.parquet(out)
     last = rows.groupBy("store").agg(F.max(F.struct("batch", "images", "thumbnails")).alias("x"))
     return last.select("store", "x.images", "x.thumbnails")
+
+
+@query("t8_counts_delta", f"""
+SELECT m.store, count(*) AS images, count(*) FILTER (WHERE width > 500 AND n % 3 <> 0) AS thumbnails,
+{', '.join(f"count(*) FILTER (WHERE EXISTS (SELECT 1 FROM m_records r WHERE r.store = m.store AND r.iri = m.iri AND r.link = '{x}')) AS {n}" for n, x in R.COUNTED.items() if n != 'thumbnails')}
+FROM m_media m WHERE class = 'Image' AND n % 5 <> 0 GROUP BY m.store""")
+def _(b):
+    """Media numbers below 200 of every 400 are the state begun from, the others arrive; then images and thumbnails go."""
+    made = R.count_changes(b.quads).join(b.media.select("store", "iri", "n").withColumnRenamed("n", "no"), ["store", "iri"])
+    gone = made.filter("(what = 'images' AND no % 5 = 0) OR (what = 'thumbnails' AND no % 3 = 0)").withColumn("n", -F.col("n"))
+    kept, out = fresh_dir(b.spark, "held"), fresh_dir(b.spark, "counts")
+    ST.held_state(made.filter("no % 400 < 200")).write.parquet(kept)
+    feed = streamed(b, made.filter("no % 400 >= 200").unionByName(gone).drop("no"))
+    ST.counts_by_delta(feed, out, fresh_dir(b.spark, "ckpt"), feed.sparkSession.read.parquet(kept), {"availableNow": True}).awaitTermination()
+    return ST.latest_counts(b.spark, out)

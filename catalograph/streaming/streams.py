@@ -20,6 +20,7 @@ from catalograph.operators import reads as R
 from catalograph.operators.analytics import classify
 from catalograph.operators.arrivals import ingest
 from catalograph.session import cut_lineage, fresh_dir
+from catalograph.sources import versions as VS
 from catalograph.sources.snapshots import finished
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -294,3 +295,75 @@ def counts_stream(changed: DataFrame, quads: Callable[[], DataFrame], out: str,
 
     return (changed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+
+
+COUNTS = ["images", *R.COUNTED]
+
+
+class Held(StatefulProcessor):
+    """Per media: how many it holds of each thing that is counted. Speaks when an image begins or ceases to count for one."""
+
+    STATE = _schema(*[(c, LongType()) for c in COUNTS])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("held", self.STATE)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.state.update(tuple(int(initialState[c].iloc[0]) for c in COUNTS))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        was = list(self.state.get()) if self.state.exists() else [0] * len(COUNTS)
+        now = list(was)
+        for b in rows:
+            for what, n in b.groupby("what")["n"].sum().items():
+                if what in COUNTS:
+                    now[COUNTS.index(what)] += int(n)
+        self.state.update(tuple(now))
+        counted = lambda x: [int(x[0] > 0 and v > 0) for v in x]
+        change = [b - a for a, b in zip(counted(was), counted(now), strict=True)]
+        if any(change):
+            yield pd.DataFrame({"store": [key[0]], **{c: [d] for c, d in zip(COUNTS, change, strict=True)}})
+
+    def close(self) -> None:
+        pass
+
+
+def held_state(changes: DataFrame) -> DataFrame:
+    """(store, iri, one column for each thing that is counted): the state that `changes(store, iri, what, n)` leave."""
+    return changes.groupBy("store", "iri").agg(*[F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTS])
+
+
+def counts_of(held: DataFrame) -> DataFrame:
+    """Counts per store of such a state, equal to `reads.counts` but for stores without an image, whose row says 0."""
+    return held.groupBy("store").agg(*[F.count_if((F.col("images") > 0) & (F.col(c) > 0)).alias(c) for c in COUNTS])
+
+
+def counts_by_delta(changes: DataFrame, out: str, checkpoint: str, known: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Store counts kept by what changed, at most once a minute: no scan of the graph. `changes(store, iri, what, n)` as `reads.count_changes` makes them,
+    in any order; each adds to its image's state, and a batch writes the totals of the one before plus its own to `out/batch=N`.
+
+    `known` is a `held_state` to begin from. A batch that runs again reads the same batch before it, so its totals are the same. With no known state
+    and no change there is no row.
+    """
+    totals = ", ".join(f"{c} bigint" for c in COUNTS)
+    first = None if known is None else counts_of(known)
+    told = changes.groupBy("store", "iri").transformWithStateInPandas(
+        Held(), f"store string, {totals}", "Append", "None", initialState=None if known is None else known.select("store", "iri", *COUNTS).groupBy("store", "iri"))
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        before = max((int(n[6:]) for n in VS.names(s, out) if n.startswith("batch=") and int(n[6:]) < batch_id and finished(s, f"{out}/{n}")), default=None)
+        prior = first if before is None else s.read.schema(batch.schema).parquet(f"{out}/batch={before}")
+        rows = batch if prior is None else prior.select(*batch.columns).unionByName(batch)
+        rows.groupBy("store").agg(*[F.sum(c).alias(c) for c in COUNTS]).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (told.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "60 seconds"})).start())
+
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The totals of the newest finished batch."""
+    done = [int(n[6:]) for n in VS.names(spark, out) if n.startswith("batch=") and finished(spark, f"{out}/{n}")]
+    if not done:
+        raise FileNotFoundError(f"no finished counts under {out}")
+    return spark.read.parquet(f"{out}/batch={max(done)}")

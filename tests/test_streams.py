@@ -166,3 +166,39 @@ def test_work_list_from_a_standing_state(spark, tmp_path):
     assert sorted((r.batch, r.iri, r.pending) for r in got.collect()) == [(0, "f", True), (1, "b", True), (1, "d", True), (1, "e", False)]
     whole = ST.work_state(spark.createDataFrame([*before, *after[0], *after[1]], schema)).filter("image AND gate AND NOT done")
     assert sorted((r.iri, r.created) for r in ST.work_after(known, got).collect()) == sorted((r.iri, r.created) for r in whole.select("iri", "created").collect())
+
+
+def test_counts_by_what_changed(spark, tmp_path):
+    c = lambda iri, what, n=1: ("st", iri, what, n)
+    schema = "store string, iri string, what string, n long"
+    before = [c("a", "images"), c("a", "captions"), c("a", "captions"), c("b", "captions"), c("v", "poses")]
+    batches = [[c("b", "images"), c("a", "captions", -1), c("x", "images", -1), c("z", "unheard")], [c("a", "captions", -1), c("b", "thumbnails"), c("x", "images"), c("x", "images")],
+               [c("a", "images", -1)]]
+    known = ST.held_state(spark.createDataFrame(before, schema))
+    known.write.parquet(f"{tmp_path}/known")
+    stream = feed(spark, tmp_path, schema, *batches)
+    mine = stream.sparkSession.read.parquet(f"{tmp_path}/known")
+    run = lambda: ST.counts_by_delta(stream, f"{tmp_path}/out", f"{tmp_path}/ck", mine, {"availableNow": True}).awaitTermination()
+    run()
+    at = lambda i: [(r.images, r.captions, r.thumbnails, r.poses) for r in spark.read.parquet(f"{tmp_path}/out/batch={i}").collect()]
+    assert [at(0), at(1), at(2)] == [[(2, 2, 0, 0)], [(3, 1, 1, 0)], [(2, 1, 1, 0)]]
+    whole = ST.counts_of(ST.held_state(spark.createDataFrame(before + [r for b in batches for r in b], schema))).collect()
+    assert ST.latest_counts(spark, f"{tmp_path}/out").select(*whole[0].__fields__).collect() == whole
+    last = max((tmp_path / "ck/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # the totals landed, the batch's mark did not
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert at(2) == [(2, 1, 1, 0)]
+
+
+def test_count_changes_say_what_counts_counts(spark, quads):
+    from catalograph.operators import reads as R
+    from tests.conftest import img
+
+    q = quads((img("a"), N.RDF_TYPE, N.v("Image"), "iri"), (img("b"), N.RDF_TYPE, N.v("Image"), "iri"), (img("v"), N.RDF_TYPE, N.v("Video"), "iri"),
+              (img("a"), "captionData", img("r1"), "iri"), (img("a"), "captionData", img("r2"), "iri"), (img("r1"), "item", img("i1"), "iri"), (img("r1"), "item", img("i2"), "iri"),
+              (img("b"), "poseData", img("r3"), "iri"), (img("v"), "captionData", img("r1"), "iri"), (img("b"), "thumbnail", img("t"), "iri"))
+    assert sorted((r.iri, r.what, r.n) for r in R.count_changes(q, -1).collect()) == sorted(
+        [(img("a"), "images", -1), (img("b"), "images", -1), (img("a"), "captions", -1), (img("v"), "captions", -1), (img("b"), "thumbnails", -1)])
+    same = R.counts(q)
+    assert ST.counts_of(ST.held_state(R.count_changes(q))).select(*same.columns).collect() == same.collect()
