@@ -315,7 +315,7 @@ class Held(StatefulProcessor):
         was = list(self.state.get()) if self.state.exists() else [0] * len(COUNTS)
         now = list(was)
         for b in rows:
-            for what, n in b.groupby("what")["n"].sum().items():
+            for what, n in zip(b["what"], b["n"]):
                 if what in COUNTS:
                     now[COUNTS.index(what)] += int(n)
         self.state.update(tuple(now))
