@@ -51,8 +51,9 @@ def verify(arrivals: DataFrame) -> DataFrame:
 
 def mint_ids(arrivals: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Add `id`: letters drawn from the arrival itself (store, batch, path, time), never from its content, so a retried batch
-    gets the same ids and the same bytes twice get two. Ids already taken are drawn again until they are free; each look reads no content."""
-    seed = F.concat_ws("|", "store", "batch", "path", *(["created"] if "created" in arrivals.columns else []))
+    gets the same ids and the same bytes twice get two. A batch that may bring a path twice tells its files apart by `item`, which then is
+    drawn from too. Ids already taken are drawn again until they are free; each look reads no content."""
+    seed = F.concat_ws("|", "store", "batch", "path", *[c for c in ("created", "item") if c in arrivals.columns])
     out = arrivals.withColumn("id", base32_id(seed))
     if taken is None:
         return out
@@ -70,7 +71,7 @@ def _be32(content: Column, at: int) -> Column:
 
 
 def arrival_rows(arrivals: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """Arrivals `(store, batch, path, content, claimed, created)` verified, named and placed: one row each."""
+    """Arrivals `(store, batch, path, content, claimed, created[, item])` verified, named and placed: one row each."""
     df = mint_ids(verify(arrivals), taken)
     arrived = F.col("media_type")
     png = arrived == "image/png"
