@@ -1,6 +1,19 @@
 """Call statistics and uncertain files on groups larger than the shared tables have, and files that share a path."""
 
-from catalograph.operators import arrivals as AR
+from pyspark.sql import functions as F
+
+from catalograph.operators import analytics as A, arrivals as AR
+
+
+def test_the_median_of_a_large_group_is_exact(spark):
+    """More distinct latencies than a summary of 10,000 entries tells apart; one group has none at all."""
+    n = 400_003
+    calls = spark.range(n).select((F.col("id") * 7 % n * 5).alias("latency_ms"), F.lit("a").alias("stage")).unionByName(
+        spark.range(3).select(F.lit(None).cast("long").alias("latency_ms"), F.lit("b").alias("stage")))
+    calls = calls.withColumns({"outcome": F.lit("recorded"), "request_bytes": F.lit(2)})
+    got = {r.stage: r for r in A.call_stats(calls, F.lit("d")).collect()}
+    assert (got["a"].median_ms, got["a"].max_ms, got["a"].calls, got["a"].mean_ms) == (5 * (n // 2), 5 * (n - 1), n, 5.0 * (n // 2))
+    assert (got["b"].calls, got["b"].median_ms, got["b"].mean_ms, got["b"].request_bytes) == (3, None, None, 6)
 
 
 def test_files_of_one_path_get_ids_of_their_own(spark):
