@@ -196,19 +196,22 @@ def ledger_counts(ledger: DataFrame) -> DataFrame:
 def already_stored(q: DataFrame, facts: DataFrame, moment_predicate: str, moment_ns: str) -> DataFrame:
     """Uncertain files `facts(store, path, media_created_date, moment)` found again by media date and moment.
 
-    Exactly one hit counts as stored; none or several do not.
+    Exactly one hit counts as stored; none or several do not. The media of a date, and of a date and moment, are counted before files meet
+    them (by their least and greatest, map-side), so a file meets one row, however many media share its date.
     """
     dated = q.filter(F.col("p") == N.v("mediaCreatedDate")).select("store", "s", F.col("o").alias("media_created_date"))
-    hits = facts.join(dated, ["store", "media_created_date"])
-    tagged = F.col("moment").isNotNull() & ~F.col("moment").startswith("sha256:")
+    date, moment = ["store", "media_created_date"], ["store", "media_created_date", "moment"]
+    ends = lambda d, key: d.groupBy(*key).agg(F.min("s").alias("s"), F.max("s").alias("last"))
+    by_hash = F.col("moment").startswith("sha256:")
     said = q.filter((F.col("p") == moment_predicate) & (F.col("o_kind") == "literal")).select("store", "s", F.col("o").alias("moment"))
     linked = q.filter((F.col("p") == N.v("relatedToId")) & F.col("o").startswith(moment_ns)).select(
         "store", "s", F.substring("o", len(moment_ns) + 1, 1 << 30).alias("moment"))
-    found = (hits.filter("moment IS NULL")
-             .unionByName(hits.filter(tagged).join(said, ["store", "s", "moment"], "left_semi"))
-             .unionByName(hits.filter(F.col("moment").startswith("sha256:")).join(linked, ["store", "s", "moment"], "left_semi")))
-    one = found.groupBy("store", "path").agg(F.count_distinct("s").alias("n"), F.min("s").alias("s"))
-    return one.filter("n = 1").drop("n")
+    alone = facts.filter("moment IS NULL").join(ends(dated, date), date)
+    named = facts.filter(~by_hash).join(ends(dated.join(said, ["store", "s"]), moment), moment)
+    hashed = facts.filter(by_hash).join(ends(dated.join(linked, ["store", "s"]), moment), moment)
+    found = [d.select("store", "path", "s", "last") for d in (alone, named, hashed)]
+    one = reduce(DataFrame.unionByName, found).groupBy("store", "path").agg(F.min("s").alias("s"), F.max("last").alias("last"))
+    return one.filter("s = last").drop("last")
 
 
 # ── audits ──────────────────────────────────────────────────────────────────────────────────────────────────
