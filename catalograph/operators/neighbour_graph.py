@@ -107,9 +107,10 @@ class NeighbourGraph:
 
         Copies of a row's vector come from the fold and are complete."""
         name = self.points.select(F.col("nid"), F.col("gid"), "first", "ids")
+        listed = lambda score: F.array(F.struct((-score).alias("neg"), "first", "ids")).alias("near")
         near = self.edges.join(name.select(F.col("nid").alias("u"), F.col("gid").alias("q")), "u").join(
-            name.select(F.col("nid").alias("v"), "gid", "first", "ids"), "v").select("q", "gid", "first", "ids", "score")
-        own = name.select(F.col("gid").alias("q"), "gid", "first", "ids", F.lit(1.0).alias("score"))
+            name.select(F.col("nid").alias("v"), "first", "ids"), "v").select("q", listed(F.col("score")))
+        own = name.select(F.col("gid").alias("q"), listed(F.lit(1.0)))
         rows = self.rows if queries is None else self.rows.join(queries, [c for c in ("store", "key_id") if c in queries.columns and c in self.rows.columns], "left_semi")
         return _expand(near.unionByName(own), rows, k + 1 if exclude_self else k, k, exclude_self)
 

@@ -7,9 +7,10 @@ is cut: a cell is skipped only when it provably holds no nearer vector. On the u
 is sqrt(2 - 2 cosine), so all bounds hold for cosine.
 
 Skew. Equal vectors are folded into one row with its k + 1 least ids (no other copy can enter a top k whose
-ties go to the lesser id), so a group of copies costs one row. A cell is cut into blocks of bounded size, and a task
-gets one block of queries against one block of candidates: a hot cell becomes many tasks. A block multiplies two
-matrices and emits at most k rows a query, or, for groups, a spanning forest; never its pairs.
+ties go to the lesser id), so a group of copies costs one row. Neighbouring cells are laid together into parts of bounded size, a hot
+cell is cut into several; a task gets one part of queries against one part of candidates. A query goes once to each part that holds a cell
+it must visit, with a bit a cell, so what is shuffled is rows times parts, not rows times cells: up to SIDES full parts it grows with the
+table. A task multiplies cell by cell and emits at most k hits a query in one row, or, for groups, a spanning forest; never its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from catalograph.session import cut_lineage
 BLOCK = 2048  # rows a side: a task's score matrix is 32 MB; larger blocks shuffle fewer copies
 MAX_PIVOTS = 4096  # the pivots go to every task: 4096 vectors of 512 floats are 16 MB
 SLICE = 1024  # rows scored against all pivots at a time
+PART = 1 << 22  # numbers a side of a task: 65,536 vectors of 64, 32 MB
+SIDES = 16  # parts of a table, as long as none is over PART
+SLAB = (4096, 1024)  # rows and columns of a task that are multiplied at a time: 16 MB
+PAIRS = 1 << 16  # pairs that are scored exactly at a time
 EPS = 1e-9
 EDGES = 100_000  # edges of a component round a task, about 10 MB
 LEAST_PARTS = 8
@@ -62,11 +67,19 @@ def unit_matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True) if len(col) else m
 
 
+def sliced(batches):
+    """Arrow batches cut to SLICE rows, none empty."""
+    for whole in batches:
+        yield from (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE))
+
+
 def _pivots(folded: DataFrame, n: int, block: int) -> np.ndarray:
-    """Up to MAX_PIVOTS distinct vectors in hash order: a bounded top-k, not a scan to the driver."""
+    """Up to MAX_PIVOTS distinct vectors in hash order: a bounded top-k, not a scan to the driver. They come in an order that keeps near ones together."""
     count = max(1, min(MAX_PIVOTS, n // block))
     picked = folded.orderBy(F.xxhash64("gid"), "gid").limit(count).select("vec").toArrow()
-    return unit_matrix(picked["vec"])
+    p = unit_matrix(picked["vec"])
+    cos = p @ p[: math.isqrt(len(p))].T
+    return p[np.lexsort((-cos.max(axis=1), cos.argmax(axis=1)))]
 
 
 def _assign(folded: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -74,10 +87,10 @@ def _assign(folded: DataFrame, pivots: np.ndarray) -> DataFrame:
     schema = folded.select("*").schema.add("cell", T.IntegerType()).add("r", T.DoubleType())
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             u = unit_matrix(b.column(b.schema.get_field_index("vec")))
-            cos = u @ pivots.T if len(u) else np.zeros((0, len(pivots)))
-            cell = cos.argmax(axis=1).astype("i4") if len(u) else np.zeros(0, "i4")
+            cos = u @ pivots.T
+            cell = cos.argmax(axis=1).astype("i4")
             r = np.sqrt(np.maximum(0.0, 2 - 2 * cos[np.arange(len(u)), cell]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(r)],
                                              names=[*b.schema.names, "cell", "r"])
@@ -93,83 +106,188 @@ def _cell_stats(assigned: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray
     return n, lo, hi
 
 
-def _visits(queries: DataFrame, pivots: np.ndarray, stats, keep: list[str], own: bool, upward: bool = False) -> DataFrame:
-    """Each query once per cell that may hold a vector within its `bound` (`target`). With `upward` a query visits
-    only cells after its own, so a pair is met once."""
-    n, lo, hi = stats
-    schema = queries.select(*keep).schema.add("target", T.IntegerType())
-    full = np.nonzero(n)[0]
-
-    def run(batches):
-        for whole in batches:
-            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
-                column = lambda c: b.column(b.schema.get_field_index(c))
-                u, cell = unit_matrix(column("vec")), np.asarray(column("cell"))
-                bound = np.asarray(column("bound"), dtype="f8")
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots.T)))
-                mine = d[np.arange(len(u)), cell]
-                gap = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots[cell] @ pivots.T)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d * d - (mine * mine)[:, None]) / (2 * gap)
-                low = np.maximum(np.maximum(d - hi, lo - d), np.where(gap > 0, plane, 0.0))[:, full]
-                hit = low <= bound[:, None] + EPS
-                hit[full[None, :] == cell[:, None]] = own
-                if upward:
-                    hit &= full[None, :] >= cell[:, None]
-                row, col = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays(
-                    [*[column(c).take(pa.array(row)) for c in keep], pa.array(full[col].astype("i4"))], names=[*keep, "target"])
-
-    return queries.mapInArrow(run, schema)
-
-
-def _at(values: np.ndarray, cell: str) -> Column:
+def _at(values, cell: str, kind: str = "array<int>") -> Column:
     """The value of a row's cell, out of one literal array."""
-    return F.get(F.from_json(F.lit(json.dumps([int(x) for x in values])), "array<int>"), F.col(cell))
-
-
-def _block_pairs(queries: DataFrame, cands: DataFrame, cand_rows: np.ndarray, block: int, run, schema: str) -> DataFrame:
-    """Cogroup query blocks with candidate blocks of the same cell and store. `queries` has `target`, `cands` has `cell`."""
-    asked = np.zeros(len(cand_rows), "i8")
-    for row in queries.groupBy("target").count().collect():  # one row per cell
-        asked[row.target] = row["count"]
-    nq, nc = np.maximum(1, -(-asked // block)), np.maximum(1, -(-cand_rows // block))
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64("gid"), _at(nq, "target")).cast("int"))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), _at(nc, "target") - 1)))
-         .withColumnRenamed("target", "cell"))
-    c = (cands.filter(_at(asked, "cell") > 0)
-         .withColumn("cb", F.pmod(F.xxhash64(F.lit(3), F.col("gid")), _at(nc, "cell")).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), _at(nq, "cell") - 1))))
-    key = [*_owner(queries, cands), "cell", "qb", "cb"]
-    return q.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(run, schema)
-
-
-def _ranked_pairs(k: int, id_type: str):
-    schema = f"q string, gid string, first {id_type}, ids array<{id_type}>, score double"
-
-    def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        ids = pa.list_(pa.field("element", ct.schema.field("ids").type.value_type))  # elements declared nullable
+    return F.get(F.from_json(F.lit(json.dumps(values)), kind), F.col(cell))
+
+
+class _Layout:
+    """Cells laid together, in their order, into parts of at most `most` rows of a store; a larger cell is cut by hash into parts of its own.
+
+    A row of cell c is in one of the `count[c]` parts from `base[c]` on; `members[p]` are the cells of part p.
+    """
+
+    def __init__(self, celled: DataFrame, cells: int, dim: int, block: int):
+        owner = _owner(celled)
+        rows = np.zeros(cells, "i8")
+        per = celled.groupBy(*owner, "cell").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("n"))
+        for r in per.collect():  # one row a cell
+            rows[r.cell] = r.n
+        most = max(block, min(-(-int(rows.sum()) // SIDES), PART // max(1, dim)))
+        self.base, self.count, self.members, room = [0] * cells, [1] * cells, [], 0
+        for c in np.nonzero(rows)[0].tolist():
+            n = int(rows[c])
+            if n > most:
+                self.base[c], self.count[c], room = len(self.members), -(-n // most), 0
+                self.members += [[c]] * self.count[c]
+                continue
+            if room < n:
+                self.members.append([])
+                room = most
+            self.members[-1].append(c)
+            self.base[c], room = len(self.members) - 1, room - n
+
+    def part(self, cell: str = "cell") -> Column:
+        return (_at(self.base, cell) + F.pmod(F.xxhash64(F.lit(3), F.col("gid")), _at(self.count, cell))).cast("int")
+
+
+def _bounded_hits(pivots: np.ndarray, stats, own: bool, upward: bool = False):
+    """For a batch with `vec`, `cell` and `bound`: which cells may hold a vector within the bound of which row. With `upward` a row
+    visits only cells after its own, so a pair is met once."""
+    n, lo, hi = stats
+    at, full = np.arange(len(n)), n > 0
+
+    def hits(b: pa.RecordBatch) -> np.ndarray:
+        column = lambda c: b.column(b.schema.get_field_index(c))
+        u, cell = unit_matrix(column("vec")), np.asarray(column("cell"))
+        bound = np.asarray(column("bound"), dtype="f8")
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots.T)))
+        mine = d[np.arange(len(u)), cell]
+        gap = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots[cell] @ pivots.T)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (d * d - (mine * mine)[:, None]) / (2 * gap)
+        low = np.maximum(np.maximum(d - hi, lo - d), np.where(gap > 0, plane, 0.0))
+        hit = (low <= bound[:, None] + EPS) & full
+        hit[at[None, :] == cell[:, None]] = own
+        return hit & (at[None, :] >= cell[:, None]) if upward else hit
+
+    return hits
+
+
+def _own_hits(cells: int):
+    """Every row visits its own cell."""
+    return lambda b: np.arange(cells)[None, :] == np.asarray(b.column(b.schema.get_field_index("cell")))[:, None]
+
+
+def _bits(hit: np.ndarray) -> pa.Array:
+    """Each row's hits as packed bits."""
+    packed = np.packbits(hit, axis=1)
+    offsets = np.arange(len(hit) + 1, dtype="i4") * packed.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(hit), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+
+
+def _met_parts(queries: DataFrame, cands: DataFrame, hits, mine: _Layout, theirs: _Layout, keep: list[str], run, schema) -> DataFrame:
+    """Cogroup parts of queries with the parts of candidates of the same store that hold a cell they visit. `queries` has `cell` and the columns
+    that `hits` and `keep` need, `cands` has `cell`."""
+    members = [np.array(m) for m in theirs.members]
+    q = queries.withColumn("qp", mine.part())
+
+    def pairs(batches):
+        for b in sliced(batches):
+            hit, qp = hits(b), np.asarray(b.column(b.schema.get_field_index("qp")))
+            to = np.stack([hit[:, m].any(axis=1) for m in members], axis=1)
+            seen = [(p, c) for p in np.unique(qp) for c in np.nonzero(to[qp == p].any(axis=0))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(p) for p, _ in seen], pa.int32()), pa.array([int(c) for _, c in seen], pa.int32())], names=["qp", "cp"])
+
+    asked = [[] for _ in members]
+    for r in q.mapInArrow(pairs, "qp int, cp int").distinct().collect():  # at most one row a pair of parts
+        asked[r.cp].append(r.qp)
+
+    def send(batches):
+        for b in sliced(batches):
+            hit = hits(b)
+            column = lambda c: b.column(b.schema.get_field_index(c))
+            for p, m in enumerate(members):
+                to = np.nonzero(hit[:, m].any(axis=1))[0]
+                if len(to):
+                    yield pa.RecordBatch.from_arrays([*[column(c).take(pa.array(to)) for c in (*keep, "qp")], pa.array(np.full(len(to), p, "i4")), _bits(hit[to][:, m])],
+                                                     names=[*keep, "qp", "cp", "bits"])
+
+    sent = q.mapInArrow(send, q.select(*keep, "qp").schema.add("cp", T.IntegerType()).add("bits", T.BinaryType()))
+    c = cands.withColumn("cp", theirs.part()).withColumn("qp", F.explode(_at(asked, "cp", "array<array<int>>")))
+    key = [*_owner(queries, cands), "qp", "cp"]
+    return sent.groupBy(*key).cogroup(c.groupBy(*key)).applyInArrow(lambda qt, ct: run(qt, ct, members), schema)
+
+
+def _slabs(qt: pa.Table, ct: pa.Table, members: list[np.ndarray]):
+    """(rows, columns) to be compared: of each cell of the part its vectors and the queries that visit it, a slab at a time."""
+    cells = members[qt["cp"][0].as_py()]
+    bits = np.frombuffer(b"".join(qt["bits"].to_pylist()), "u1").reshape(len(qt), -1)
+    hit, cell = np.unpackbits(bits, axis=1)[:, : len(cells)].astype(bool), ct["cell"].to_numpy()
+    for j, c in enumerate(cells):
+        row, col = np.nonzero(hit[:, j])[0], np.nonzero(cell == c)[0]
+        for y in range(0, len(col), SLAB[1]):
+            for x in range(0, len(row), SLAB[0]):
+                yield row[x: x + SLAB[0]], col[y: y + SLAB[1]]
+
+
+def _exact(u: np.ndarray, v: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of unit vectors to 12 places."""
+    parts = [np.einsum("ij,ij->i", u[row[i: i + PAIRS]], v[col[i: i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+    return np.round(np.concatenate(parts), 12) if parts else np.zeros(0)
+
+
+def _slack(u: np.ndarray) -> float:
+    """What a product of unit vectors in single precision may be off by."""
+    return 1e-6 + 2.4e-7 * u.shape[1]
+
+
+def _ranked(k: int, id_type: str):
+    """A task of queries `(gid, vec, low)` against candidates `(first, ids, vec)`: each query's k best of cosine `low` or more, one row a query."""
+    schema = f"q string, near array<struct<neg: double, first: {id_type}, ids: array<{id_type}>>>"
+
+    def run(qt: pa.Table, ct: pa.Table, members: list[np.ndarray]) -> pa.Table:
+        name = ct.schema.field("first").type
+        ids = pa.list_(pa.field("element", name))  # elements declared nullable
+        item = pa.struct([("neg", pa.float64()), ("first", name), ("ids", ids)])
         if not len(qt) or not len(ct):
-            return pa.table({"q": pa.array([], pa.string()), "gid": pa.array([], pa.string()),
-                             "first": ct["first"].slice(0, 0), "ids": pa.array([], ids), "score": pa.array([], pa.float64())})
-        ct = ct.sort_by("first")
-        s = np.round(unit_matrix(qt["vec"]) @ unit_matrix(ct["vec"]).T, 12)
-        m = min(k, s.shape[1])
-        kth = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-        row, col = np.nonzero(s >= kth[:, None])
-        score = s[row, col]
-        at = np.lexsort((col, -score, row))  # candidates are in id order, so ties fall to the lesser id
-        row, col, score = row[at], col[at], score[at]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        ok = rank < k
-        row, col, score = row[ok], col[ok], score[ok]
-        return pa.table({"q": qt["gid"].take(pa.array(row)), "gid": ct["gid"].take(pa.array(col)),
-                         "first": ct["first"].take(pa.array(col)), "ids": ct["ids"].take(pa.array(col)).cast(ids),
-                         "score": pa.array(score)})
+            return pa.table({"q": pa.array([], pa.string()), "near": pa.array([], pa.list_(pa.field("element", item)))})
+        ct = ct.sort_by("first")  # ties fall to the lesser id
+        u, v, low = unit_matrix(qt["vec"]), unit_matrix(ct["vec"]), qt["low"].to_numpy().copy()
+        u4, v4, slack = u.astype("f4"), v.astype("f4"), _slack(u)
+        held, size = [], 0
+
+        def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            row, col, score = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
+            at = np.lexsort((col, -score, row))
+            row, col, score = row[at], col[at], score[at]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            last = rank == k - 1
+            low[row[last]] = score[last]
+            return row[rank < k], col[rank < k], score[rank < k]
+
+        for row, col in _slabs(qt, ct, members):
+            s, least = u4[row] @ v4[col].T, low[row]
+            if (least < -1.5).any() and len(col) > k:  # nothing known yet
+                least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1] - slack)
+            x, y = np.nonzero(s >= (least - slack).astype("f4")[:, None])
+            x, y = row[x], col[y]
+            score = _exact(u, v, x, y)
+            ok = score >= low[x]
+            held.append((x[ok], y[ok], score[ok]))
+            size += int(ok.sum())
+            if size > 1_000_000 + 2 * k * len(qt):
+                held = [settle()]
+                size = len(held[0][0])
+        row, col, score = settle()
+        who, start = np.unique(row, return_index=True)
+        near = pa.StructArray.from_arrays([pa.array(-score), _taken(ct["first"], col), _taken(ct["ids"], col).cast(ids)], fields=list(item))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype("i4")), near)
+        return pa.table({"q": qt["gid"].take(pa.array(who)), "near": lists.cast(pa.list_(pa.field("element", item)))})
 
     return run, schema
 
 
+def _taken(column: pa.ChunkedArray, at: np.ndarray) -> pa.Array:
+    got = column.take(pa.array(at))
+    return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got
+
+
+def _best(near: DataFrame, want: int) -> DataFrame:
+    """(q, near): the `want` first of each query over its rows, of which it has one a part."""
+    return near.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, want).alias("near"))
+
+
 def knn_join(left: DataFrame, right: DataFrame, model: str, k: int = 10, exclude_self: bool = True,
              block: int = BLOCK) -> DataFrame:
     """The k nearest rows of `right` for every row of `left`: `([store,] key_id, neighbour, score, rank)`, exact. Where both tables have a
@@ -194,26 +312,26 @@ def knn_join(left: DataFrame, right: DataFrame, model: str, k: int = 10, exclude
     asked = cands.select(*owner, "gid", "vec", "cell") if left is right else cut_lineage(
         _assign(_folded(query_rows, 1).select(*owner, "gid", "vec"), pivots).select(*owner, "gid", "vec", "cell"))
     cands = cands.select(*owner, "gid", "first", "ids", "vec", "cell")
-    run, schema = _ranked_pairs(want, id_type)
-
-    near = cut_lineage(_block_pairs(asked.withColumnRenamed("cell", "target"), cands, stats[0], block, run, schema))
-    order = [F.desc("score"), F.col("first")]
-    bound = top_per_key(near, ["q"], order, want).groupBy("q").agg(F.count("*").alias("m"), F.min("score").alias("s"))
-    bounded = asked.join(bound, asked.gid == bound.q, "left").withColumn(
-        "bound", F.when(F.col("m") >= want, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(float("inf")))
-    bounded = cut_lineage(bounded.select(*owner, "gid", "vec", "cell", "bound"))
-    far = _block_pairs(_visits(bounded, pivots, stats, [*owner, "gid", "vec"], own=False), cands, stats[0], block, run, schema)
+    theirs = _Layout(cands, *pivots.shape, block)
+    mine = theirs if left is right else _Layout(asked, *pivots.shape, block)
+    run, schema = _ranked(want, id_type)
+    keep = [*owner, "gid", "vec", "low"]
+
+    near = cut_lineage(_best(_met_parts(asked.withColumn("low", F.lit(-2.0)), cands, _own_hits(len(pivots)), mine, theirs, keep, run, schema), want))
+    bounded = asked.join(near, asked.gid == near.q, "left").withColumn(
+        "low", F.coalesce(F.when(F.size("near") >= want, -F.element_at("near", -1)["neg"]), F.lit(-2.0)))
+    bounded = cut_lineage(bounded.select(*owner, "gid", "vec", "cell", "low", F.when(
+        F.col("low") > -2, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("low")))).otherwise(float("inf")).alias("bound")))
+    far = _met_parts(bounded, cands, _bounded_hits(pivots, stats, own=False), mine, theirs, keep, run, schema)
 
     return _expand(near.unionByName(far), query_rows, want, k, exclude_self)
 
 
-def _expand(pairs: DataFrame, query_rows: DataFrame, want: int, k: int, exclude_self: bool) -> DataFrame:
-    """The k best of each query row, the copies of folded vectors spread out again."""
-    order = [F.desc("score"), F.col("first")]
-    best = (top_per_key(pairs, ["q"], order, want).groupBy("q")
-            .agg(F.collect_list(F.struct("score", "ids")).alias("near")))
+def _expand(near: DataFrame, query_rows: DataFrame, want: int, k: int, exclude_self: bool) -> DataFrame:
+    """The k best of each query row, the copies of folded vectors spread out again. `near(q, near)` as tasks of `_ranked` emit it."""
+    best = _best(near, want)
     pairs = F.flatten(F.transform("near", lambda x: F.transform(
-        x["ids"], lambda i: F.struct((-x["score"]).alias("neg"), i.alias("neighbour")))))
+        x["ids"], lambda i: F.struct(x["neg"].alias("neg"), i.alias("neighbour")))))
     mine = pairs if not exclude_self else F.filter(pairs, lambda x: x["neighbour"] != F.col("key_id"))
     top = F.slice(F.array_sort(mine), 1, k)
     owner = _owner(query_rows)
@@ -293,9 +411,10 @@ def near_dups(vectors: DataFrame, model: str, threshold: float, block: int = BLO
     stats = _cell_stats(cells, len(pivots))
     reach = cells.withColumn("bound", F.lit(math.sqrt(max(0.0, 2 - 2 * threshold))))
     owner = _owner(folded)
-    asked = _visits(reach, pivots, stats, [*owner, "gid", "first", "vec"], own=True, upward=True)
-    edges = _block_pairs(asked, cells.select(*owner, "gid", "first", "vec", "cell"), stats[0], block,
-                         lambda qt, ct: forest(qt, ct, threshold), T.StructType([T.StructField("u", name), T.StructField("v", name)]))
+    kept = [*_owner(folded), "gid", "first", "vec"]
+    parts = _Layout(cells, *pivots.shape, block)
+    edges = _met_parts(reach, cells.select(*kept, "cell"), _bounded_hits(pivots, stats, own=True, upward=True), parts, parts, kept,
+                       lambda qt, ct, members: forest(qt, ct, members, threshold), T.StructType([T.StructField("u", name), T.StructField("v", name)]))
     return grouped(rows, folded, edges)
 
 
@@ -305,15 +424,30 @@ def first_named(rows: DataFrame) -> DataFrame:
     return _folded(rows, 1).withColumn("first", F.struct(*owner, F.element_at("ids", 1).alias("key_id"))).drop("ids")
 
 
-def forest(qt: pa.Table, ct: pa.Table, threshold: float) -> pa.Table:
-    """Spanning links (u, v) of the pairs between two blocks at the threshold or above."""
+def forest(qt: pa.Table, ct: pa.Table, members: list[np.ndarray], threshold: float) -> pa.Table:
+    """Spanning links (u, v) of the pairs between two parts at the threshold or above. What is linked already is not compared again: of a
+    slab whose columns are one component only the rows outside it are."""
     if not len(qt) or not len(ct):
         return pa.table({"u": qt["first"].slice(0, 0), "v": qt["first"].slice(0, 0)})
-    a, b = np.nonzero(np.round(unit_matrix(qt["vec"]) @ unit_matrix(ct["vec"]).T, 12) >= threshold)
-    roots = local_roots(len(qt) + len(ct), a, b + len(qt))
+    u, v, n = unit_matrix(qt["vec"]), unit_matrix(ct["vec"]), len(qt)
+    u4, v4, slack = u.astype("f4"), v.astype("f4"), _slack(u)
+    root = np.arange(n + len(ct))
+    for row, col in _slabs(qt, ct, members):
+        own = root[n + col]
+        if (own == own[0]).all():
+            row = row[root[row] != own[0]]
+        if not len(row):
+            continue
+        x, y = np.nonzero(u4[row] @ v4[col].T >= np.float32(threshold - slack))
+        x, y = row[x], col[y]
+        new = root[x] != root[n + y]
+        x, y = x[new], y[new]
+        ok = _exact(u, v, x, y) >= threshold
+        if ok.any():
+            root = local_roots(len(root), root[x[ok]], root[n + y[ok]])[root]
     node = pa.chunked_array([*qt["first"].chunks, *ct["first"].chunks], type=qt["first"].type)
-    at = np.nonzero(roots != np.arange(len(roots)))[0]
-    return pa.table({"u": node.take(pa.array(at)), "v": node.take(pa.array(roots[at]))})
+    at = np.nonzero(root != np.arange(len(root)))[0]
+    return pa.table({"u": node.take(pa.array(at)), "v": node.take(pa.array(root[at]))})
 
 
 def grouped(rows: DataFrame, folded: DataFrame, edges: DataFrame) -> DataFrame:
@@ -418,22 +552,21 @@ def knn_join_approx(index: CellIndex, queries: DataFrame, model: str, k: int = 1
     id_type = index.rows.schema["key_id"].dataType.simpleString()
     owner = _owner(index.rows, queries)
     folded = _folded(_rows(index.rows, model, owner), want).withColumn("first", F.element_at("ids", 1))
-    cands = cut_lineage(_assign(folded, index.centroids).drop("r"))
+    cands = cut_lineage(_assign(folded, index.centroids).select(*owner, "gid", "first", "ids", "vec", "cell"))
     asked = _rows(queries, model, owner)
-    visits = cut_lineage(_nearest(_folded(asked, 1).select(*owner, "gid", "vec"), index.centroids, min(probes, len(index.centroids))))
-    run, schema = _ranked_pairs(want, id_type)
-    pairs = _block_pairs(visits, cands.select(*owner, "gid", "first", "ids", "vec", "cell"), _cell_counts(cands, len(index.centroids)), block, run, schema)
-    return _expand(pairs, asked, want, k, exclude_self)
-
-
-def _nearest(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """Each query once for each of its `probes` nearest cells (`target`)."""
-    def run(batches):
-        for whole in batches:
-            for b in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
-                cos = unit_matrix(b.column(b.schema.get_field_index("vec"))) @ centroids.T if b.num_rows else np.zeros((0, len(centroids)))
-                near = np.argsort(-cos, axis=1, kind="stable")[:, :probes].astype("i4")
-                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array(near.ravel())], names=[*b.schema.names, "target"])
-
-    return queries.mapInArrow(run, queries.select("*").schema.add("target", T.IntegerType()))
+    visits = cut_lineage(_assign(_folded(asked, 1).select(*owner, "gid", "vec"), index.centroids).drop("r").withColumn("low", F.lit(-2.0)))
+    run, schema = _ranked(want, id_type)
+    layout = lambda rows: _Layout(rows, *index.centroids.shape, block)
+    near = _met_parts(visits, cands, _nearest(index.centroids, min(probes, len(index.centroids))), layout(visits), layout(cands), [*owner, "gid", "vec", "low"], run, schema)
+    return _expand(near, asked, want, k, exclude_self)
+
+
+def _nearest(centroids: np.ndarray, probes: int):
+    """Every row visits its `probes` nearest cells."""
+    def hits(b: pa.RecordBatch) -> np.ndarray:
+        cos = unit_matrix(b.column(b.schema.get_field_index("vec"))) @ centroids.T
+        hit = np.zeros(cos.shape, bool)
+        np.put_along_axis(hit, np.argsort(-cos, axis=1, kind="stable")[:, :probes], True, axis=1)
+        return hit
+
+    return hits

@@ -108,3 +108,44 @@ def test_search_at_its_default_effort_misses_nothing(spark):
             s = cosines(m[i: i + 1], m[:800])[0]
             got = [r.key_id for r in NB.knn_approx(index, "m", list(m[i]), 10).collect()]
             assert set(got) == set(np.argsort(-s, kind="stable")[:10].tolist())
+
+
+def shuffled_rows(spark, monkeypatch, n, call):
+    """Rows that `call` sends to tasks of parts, for n random vectors, whose bounds rule out no cell."""
+    sent, met = [], NB._met_parts
+
+    def counted(*args):
+        args = list(args)
+        run, tally = args[6], spark.sparkContext.accumulator(0)
+
+        def counting(qt, ct, members):
+            tally.add(len(qt) + len(ct))
+            return run(qt, ct, members)
+
+        args[6] = counting
+        sent.append(tally)
+        return met(*args)
+
+    monkeypatch.setattr(NB, "_met_parts", counted)
+    call(frame(spark, np.random.default_rng(n).normal(size=(n, 24)))).write.format("noop").mode("overwrite").save()
+    monkeypatch.setattr(NB, "_met_parts", met)
+    return sum(t.value for t in sent)
+
+
+@pytest.mark.parametrize("call", [lambda d: NB.knn_join(d, d, "m", 3, block=16), lambda d: NB.near_dups(d, "m", 0.6, block=16)], ids=["knn", "dups"])
+def test_rows_sent_grow_with_the_table_where_no_cell_is_ruled_out(spark, monkeypatch, call):
+    few, many = (shuffled_rows(spark, monkeypatch, n, call) for n in (600, 2400))
+    assert many <= 5 * few
+
+
+def test_more_parts_than_sides_and_a_cut_cell(spark, points, monkeypatch):
+    """Parts smaller than a sixteenth of the table, and a crowd of scaled copies in one cell."""
+    monkeypatch.setattr(NB, "PART", 8 * 20)
+    m = np.vstack([points, np.outer(np.arange(1, 61), RNG.normal(size=8))])
+    df, s = frame(spark, m), cosines(m, m)
+    rows = {r.key_id: r.group for r in NB.near_dups(df, "m", 0.8, block=8).collect()}
+    assert [rows[i] for i in range(len(m))] == groups_of(s, 0.8)
+    np.fill_diagonal(s, -2)
+    got = {(r.key_id, r["rank"]): r.score for r in NB.knn_join(df, df, "m", 3, block=8).collect()}
+    want = -np.sort(-s, axis=1)[:, :3]
+    assert np.allclose([[got[i, k] for k in (1, 2, 3)] for i in range(len(m))], want, atol=1e-9)
