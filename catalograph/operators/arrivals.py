@@ -8,7 +8,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalograph import names as N
@@ -25,6 +25,7 @@ THUMB_EDGE = 512
 # but not decoded, so refused.
 STILL_BRANDS = ("61766966", "61766973", "68656963", "68656978", "6865696D", "6D696631", "6D736631")
 UNDECODED = ("image/bmp", "image/x-icon", "image/avif")
+HELD = 1 << 20  # characters of packets whose statements are held before they are passed on
 STATEMENT_SCHEMA = "store string, media string, block int, s string, p string, o string, o_kind string, dt string"
 
 
@@ -231,17 +232,30 @@ def read_statements(packet: str, media: str, later: bool = False) -> list[tuple]
 def harvest(packets: DataFrame, later: bool = False) -> DataFrame:
     """Statements of `packets(store, media, packet)`: `rdf:about=""` is the media, named subjects stay, the catalogue's
     own block of another store is left out, or with `later` a fault. A malformed packet is one row with `p` NULL and the fault in `o`."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for store, media, packet in zip(b["store"], b["media"], b["packet"]):
-                try:
-                    rows += [(store, media, *r) for r in read_statements(packet, media, later)]
-                except ValueError as e:
-                    rows.append((store, media, -1, media, None, str(e), "fault", None))
-            yield pd.DataFrame(rows, columns=["store", "media", "block", "s", "p", "o", "o_kind", "dt"]).astype({"block": "int32"})
-
-    return packets.select("store", "media", "packet").filter(F.col("packet").isNotNull()).mapInPandas(run, STATEMENT_SCHEMA)
+    return packets.select("store", "media", "packet").filter(F.col("packet").isNotNull()).mapInArrow(lambda batches: statement_batches(batches, later), STATEMENT_SCHEMA)
+
+
+def statement_batches(batches: Iterator[pa.RecordBatch], later: bool = False) -> Iterator[pa.RecordBatch]:
+    """The statements of batches of packets, passed on once they come from HELD characters, however many packets a batch has."""
+    for b in batches:
+        rows, held = [], 0
+        for store, media, packet in zip(*b.columns, strict=True):
+            store, media, packet = store.as_py(), media.as_py(), packet.as_py()
+            try:
+                rows += [(store, media, *r) for r in read_statements(packet, media, later)]
+            except ValueError as e:
+                rows.append((store, media, -1, media, None, str(e), "fault", None))
+            held += len(packet)
+            if held >= HELD:
+                yield _statements(rows)
+                rows, held = [], 0
+        if rows:
+            yield _statements(rows)
+
+
+def _statements(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["store", "media", "block", "s", "p", "o", "o_kind", "dt"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
 def packet_faults(statements: DataFrame) -> DataFrame:

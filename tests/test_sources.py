@@ -317,3 +317,15 @@ def test_the_feed_of_two_versions_tells_changes_and_removals(spark, tmp_path, qu
     assert SN.feed(spark, root, last, last).count() == 0 and q.count() == 13
     plan = SN.difference(spark, root, first, last)._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and N.v("createdDate") not in plan
+
+
+def test_statements_are_passed_on_before_a_batch_ends():
+    """1,000 packets of 20,000 characters in one batch: what is held at a time is bounded by characters, not by packets."""
+    import pyarrow as pa
+
+    text = "x" * 20_000
+    packet = f'<rdf:RDF xmlns:rdf="{N.RDF}"><rdf:Description rdf:about="" xmlns:dc="{N.DC}"><dc:title>{text}</dc:title></rdf:Description></rdf:RDF>'
+    batch = pa.RecordBatch.from_arrays([pa.array(["st"] * 1000), pa.array([f"m{i}" for i in range(1000)]), pa.array([packet] * 999 + ["<broken"])], names=["store", "media", "packet"])
+    out = list(AR.statement_batches(iter([batch])))
+    assert sum(b.num_rows for b in out) == 1000 and max(b.nbytes for b in out) < 2 * AR.HELD
+    assert [b.column(6)[-1].as_py() for b in out[-1:]] == ["fault"]
