@@ -13,9 +13,14 @@ NOW = "2024-06-01T12:00:00+02:00"
 DT = "coalesce(dt, '') AS dt"
 
 
-def by_predicate(q):
-    """The whole next state, by predicate: rows and a content checksum that SQL can repeat."""
-    return q.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.length("o").cast("bigint")).alias("chars"),
+STATE_ROWS = 500_000  # rows of a task that counts subjects, at some 250 bytes each
+
+
+def by_predicate(q, rows):
+    """The whole next state, by predicate: rows and a content checksum that SQL can repeat. Subjects hardly fold before they meet, so the `rows` of
+    the table are dealt to tasks of bounded size first."""
+    parts = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // STATE_ROWS))
+    return q.repartition(parts, "p", "store", "s").groupBy("p").agg(F.count("*").alias("n"), F.sum(F.length("o").cast("bigint")).alias("chars"),
                               F.count_distinct("store", "s").alias("subjects"))
 
 
@@ -49,7 +54,7 @@ def _(b):
 after AS (SELECT store, s, p, o FROM quads q WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.store = q.store AND l.s = q.s AND concat('{V}', l.key) = q.p)
   UNION ALL SELECT store, s, concat('{V}', key), o FROM last) {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.set_fields(b.quads, b.edits).apply(b.quads))
+    return by_predicate(D.set_fields(b.quads, b.edits).apply(b.quads), b.quads.count())
 
 
 LINK_EDITS = f"""
@@ -101,7 +106,7 @@ after AS (SELECT * FROM quads q WHERE NOT EXISTS (SELECT 1 FROM edits e WHERE e.
  AND NOT EXISTS (SELECT 1 FROM edits e WHERE e.store = q.store AND e.s = q.s AND starts_with(e.field, 'relatedToId=') AND q.p = '{V}relatedToId' AND q.o = concat('{M}ImageSet/', e.source)))
 {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.unset_fields(b.quads, unset_edits(b)).apply(b.quads))
+    return by_predicate(D.unset_fields(b.quads, unset_edits(b)).apply(b.quads), b.quads.count())
 
 
 @query("d12_unset_report", f"""WITH {UNSET}
@@ -126,7 +131,7 @@ after AS (SELECT store, s, p, o FROM quads q WHERE NOT (p IN ({', '.join(f"'{V}{
  UNION ALL SELECT store, iri, '{V}sceneObjects', lang FROM im UNION ALL SELECT store, iri, '{V}sceneObjects', source FROM im
  UNION ALL SELECT store, iri, '{V}sceneMood', source FROM im) {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.set_perception(b.quads, parsed(b)).apply(b.quads))
+    return by_predicate(D.set_perception(b.quads, parsed(b)).apply(b.quads), b.quads.count())
 
 
 STATEMENTS = f"""
@@ -203,7 +208,7 @@ targets AS (SELECT store, s FROM lab WHERE toxic = 1 UNION SELECT o.store, o.s F
 after AS (SELECT * FROM quads q WHERE NOT EXISTS (SELECT 1 FROM targets t WHERE t.store = q.store AND t.s = q.s)) {STATE.format(t='after')}""")
 def _(b):
     change, _ = D.delete_media(b.quads, labelled(b).filter("toxic = 1"))
-    return by_predicate(change.apply(b.quads))
+    return by_predicate(change.apply(b.quads), b.quads.count())
 
 
 @query("d26_delete_report", f"""WITH {LABELLED}, {OWNED}
@@ -217,7 +222,7 @@ def _(b):
 @query("d27_wipe", f"""WITH {OWNED},
 after AS (SELECT * FROM quads q WHERE p <> '{V}vectorData' AND NOT EXISTS (SELECT 1 FROM owned o WHERE o.link = 'vectorData' AND o.store = q.store AND o.s = q.s)) {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.wipe(b.quads).apply(b.quads))
+    return by_predicate(D.wipe(b.quads).apply(b.quads), b.quads.count())
 
 
 @query("d28_unset_everywhere", f"SELECT store, count(DISTINCT s) AS subjects, count(*) AS facts FROM quads WHERE p = '{V}enrichmentCompleteDate' GROUP BY store")
@@ -227,7 +232,7 @@ def _(b):
 
 @query("d28_state", f"""WITH after AS (SELECT * FROM quads WHERE p <> '{V}enrichmentCompleteDate') {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.unset_everywhere(b.quads, "enrichmentCompleteDate").apply(b.quads))
+    return by_predicate(D.unset_everywhere(b.quads, "enrichmentCompleteDate").apply(b.quads), b.quads.count())
 
 
 NEW_DC = "http://purl.org/dc/terms/"
@@ -245,7 +250,7 @@ def _(b):
 WITH after AS (SELECT DISTINCT store, s, CASE WHEN starts_with(p, '{N.DC}') THEN concat('{NEW_DC}', substr(p, {len(N.DC) + 1})) ELSE p END AS p,
 CASE WHEN o_kind = 'iri' AND starts_with(o, '{N.DC}') THEN concat('{NEW_DC}', substr(o, {len(N.DC) + 1})) ELSE o END AS o, o_kind, dt, g FROM quads) {STATE.format(t='after')}""")
 def _(b):
-    return by_predicate(D.rename_ns(b.quads, N.DC, NEW_DC).apply(b.quads))
+    return by_predicate(D.rename_ns(b.quads, N.DC, NEW_DC).apply(b.quads), b.quads.count())
 
 
 def committed(b, change):
@@ -253,7 +258,8 @@ def committed(b, change):
     root = fresh_dir(b.spark, "committed")
     SN.write_snapshot(b.quads, root)
     SN.commit(b.spark, root, change)
-    return by_predicate(SN.read_snapshot(b.spark, root))
+    after = SN.read_snapshot(b.spark, root)
+    return by_predicate(after, after.count())
 
 
 @query("d28_commit", f"""WITH after AS (SELECT * FROM quads WHERE p <> '{V}enrichmentCompleteDate') {STATE.format(t='after')}""")
@@ -330,7 +336,7 @@ after AS (SELECT store, s, p, o FROM quads q WHERE NOT EXISTS (SELECT 1 FROM f W
  UNION ALL SELECT store, iri, '{V}createdDate', created FROM f UNION ALL SELECT store, iri, '{V}description', 'as filed' FROM f) {STATE.format(t='after')}""")
 def _(b):
     files = b.sets.filter("class = 'ImageSet'").select("store", "class", "id", "created", F.lit(None).cast("string").alias("updated"), F.lit("as filed").alias("description"))
-    return by_predicate(C.reload_sets(b.quads, files).apply(b.quads))
+    return by_predicate(C.reload_sets(b.quads, files).apply(b.quads), b.quads.count())
 
 
 @query("r9_version_feed", f"""WITH {JUDGED},

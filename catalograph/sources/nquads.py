@@ -71,10 +71,16 @@ def nquads_line(graph: bool = True) -> Column:
     g = F.concat(F.lit(" <"), F.coalesce("g", F.lit(N.GRAPH)), F.lit(">")) if graph else F.lit("")
     return F.concat(_subject(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), _term(F.col("o"), F.col("o_kind"), F.col("dt")), g, F.lit(" ."))
 
+PLACES = 64  # places that a folder's lines are spread over before they are written
+
 
 def write_nquads(quads: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """One statement a line, every line naming the graph; folders by the given columns (stage, date)."""
-    w = quads.select(*partition_by, nquads_line().alias("value")).write.mode("errorifexists")
+    """One statement a line, every line naming the graph; folders by the given columns (stage, date). A task sorts what it writes by folder, so lines are
+    dealt to tasks of bounded size first, a large folder's to several."""
+    lines = quads.select(*partition_by, nquads_line().alias("value"))
+    if partition_by:
+        lines = lines.withColumn("__place", F.pmod(F.xxhash64("value"), F.lit(PLACES))).hint("rebalance", *partition_by, "__place").drop("__place")
+    w = lines.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).text(path)
 
 

@@ -17,15 +17,20 @@ from catalograph.operators import reads as R
 from catalograph.operators.facts import Change
 from catalograph.sources import versions as VS
 
+LONG = 256  # characters of a long text
+PLACES = (8, 64)  # places that a predicate's short and long texts are spread over
+
 
 def _write(quads: DataFrame, folder: str) -> list[str]:
     """Write quads by predicate and return the partitions made.
 
     Rows are rebalanced by predicate first: AQE cuts a big predicate into files of the advisory size and packs small ones,
-    where a plain partitioned write would leave a file per task and predicate. Inside a file rows are sorted by subject, so
-    Parquet's min/max lets a subject lookup skip row groups.
+    where a plain partitioned write would leave a file per task and predicate. AQE cannot cut what one task sends to one place, so a
+    predicate's rows go to several by their subject, long texts to more: what a task sorts does not grow with the table. Inside a file rows are
+    sorted by subject, so Parquet's min/max lets a subject lookup skip row groups.
     """
-    (quads.select(*N.QUAD_COLS).hint("rebalance", "p").sortWithinPartitions("p", "s")
+    spread = F.pmod(F.xxhash64("store", "s"), F.when(F.length("o") > LONG, PLACES[1]).otherwise(PLACES[0]))
+    (quads.select(*N.QUAD_COLS).withColumn("__place", spread).hint("rebalance", "p", "__place").drop("__place").sortWithinPartitions("p", "s")
      .write.mode("errorifexists").partitionBy("p").parquet(folder))
     return [n for n in VS.names(quads.sparkSession, folder) if n.startswith("p=")]
 

@@ -329,3 +329,29 @@ def test_statements_are_passed_on_before_a_batch_ends():
     out = list(AR.statement_batches(iter([batch])))
     assert sum(b.num_rows for b in out) == 1000 and max(b.nbytes for b in out) < 2 * AR.HELD
     assert [b.column(6)[-1].as_py() for b in out[-1:]] == ["fault"]
+
+
+def test_what_one_task_sends_is_written_by_several(spark, tmp_path):
+    """One input task holds all rows of a predicate and a store; AQE alone cannot cut its block."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    text = F.concat(*[F.sha2(F.concat(F.lit(str(i)), F.col("id").cast("string")), 512) for i in range(8)])
+    q = spark.range(20000, numPartitions=1).select(F.lit("st").alias("store"), F.concat(F.lit("s"), "id").alias("s"), F.lit(N.v("longCaption")).alias("p"), text.alias("o"),
+                                                  F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("dt"), F.lit(N.GRAPH).alias("g"))
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1m")
+        SN.write_snapshot(q, str(tmp_path / "q"))
+        NQ.write_nquads(q.withColumnRenamed("store", "st"), str(tmp_path / "n"), ("st",))
+    finally:
+        spark.conf.set(name, before)
+    assert len(list((tmp_path / "q").rglob("*.parquet"))) >= 4 and len(list((tmp_path / "n").rglob("*.txt"))) >= 4
+    assert SN.read_snapshot(spark, str(tmp_path / "q")).count() == spark.read.text(str(tmp_path / "n")).count() == 20000
+
+
+def test_subjects_are_counted_in_tasks_of_bounded_size(spark, quads):
+    from catalograph.plans import fact_queries as FQ
+
+    q = quads(("a", "rating", "1"), ("a", "rating", "22"), ("b", "rating", "3"), ("b", "width", "4"))
+    got = FQ.by_predicate(q, 40 * FQ.STATE_ROWS)
+    assert {(r.p, r.n, r.chars, r.subjects) for r in got.collect()} == {(N.v("rating"), 3, 4, 2), (N.v("width"), 1, 1, 1)}
+    assert ", 40)" in got._jdf.queryExecution().toString() and "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
