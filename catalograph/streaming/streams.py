@@ -1,19 +1,18 @@
 """Streams: ingest, live work list, holds, ready marks, change feed, call metrics, counts.
 
 Every sink writes one folder per micro-batch and overwrites it on a retry, so a batch that runs twice lands once.
-State lives in RocksDB with its checkpoint in the shared folder.
+State lives in RocksDB with its checkpoint in the shared folder, for keyed operators by buckets of keys.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 from catalograph import names as N
 from catalograph.operators import reads as R
@@ -89,47 +88,84 @@ def ingest_stream(arrivals: DataFrame, quads: Callable[[], DataFrame], out: str,
 
 # ── keyed state ─────────────────────────────────────────────────────────────────────────────────────────────
 
-def _schema(*fields: tuple) -> StructType:
-    return StructType([StructField(n, t, True) for n, t in fields])
+BUCKETS = 512  # groups that the keys of a stream are dealt to; what one holds is read and written whole, so more than some 10 million keys need more
 
 
-class WorkItem(StatefulProcessor):
-    """Per media: what is known of it for one stage, and whether that makes it pending."""
+class Bucket(StatefulProcessor):
+    """The state of all keys of one bucket: a call into Python and an exchange with the state store cost far more than a row, so they are paid by the
+    bucket. A key's state is a list of plain values; the bucket's is the JSON text of [timer, [[key, state], ...]]."""
 
-    STATE = _schema(("image", BooleanType()), ("done", BooleanType()), ("gate", BooleanType()), ("pending", BooleanType()),
-                    ("created", StringType()), ("at_image", LongType()), ("at_done", LongType()), ("at_gate", LongType()))
-    ASPECTS = (("image", "removed"), ("done", "forgotten"), ("gate", "ungate"))
+    KEY: tuple[str, ...] = ("store", "iri")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("work", self.STATE)
+        self.handle = handle
+        self.state = handle.getValueState("bucket", "held string")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        x = initialState.iloc[0]
-        image, done, gate = bool(x["image"]), bool(x["done"]), bool(x["gate"])
-        self.state.update((image, done, gate, image and gate and not done, x["created"], *[int(x["seq"])] * 3))
+    def _held(self) -> tuple[int | None, dict[tuple, list]]:
+        row = self.state.get()
+        timer, keys = json.loads(row[0]) if row is not None else (None, [])
+        return timer, {tuple(k): v for k, v in keys}
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        image, done, gate, was, created, *at = self.state.get() if self.state.exists() else (False, False, False, False, None, -1, -1, -1)
-        holds = [bool(image), bool(done), bool(gate)]
-        for b in rows:
-            b = b.sort_values("seq", kind="stable")
-            for i, (on, off) in enumerate(self.ASPECTS):
-                own = b[b["kind"].isin((on, off))]
-                if len(own) and own["seq"].iloc[-1] >= at[i]:  # an older word that comes late says nothing new
-                    holds[i], at[i] = own["kind"].iloc[-1] == on, int(own["seq"].iloc[-1])
-                    if i == 0 and holds[0]:
-                        created = own["text"].iloc[-1]
-        image, done, gate = holds
-        now = bool(image and gate and not done)
-        self.state.update((bool(image), bool(done), bool(gate), now, created, *at))
-        if now != bool(was):
-            yield pd.DataFrame({"store": [key[0]], "iri": [key[1]], "created": [created], "pending": [now]})
+    def _keep(self, held: dict[tuple, list], timer: int | None = None) -> None:
+        self.state.update((json.dumps([timer, list(held.items())], separators=(",", ":")),))
+
+    def _rows(self, frames: Iterator[pd.DataFrame], *names: str) -> Iterator[tuple]:
+        """(key, values...) of every row, in the order they came."""
+        for b in frames:
+            keys = zip(*[[x if isinstance(x, str) else None for x in b[c]] for c in self.KEY], strict=True)
+            yield from zip(keys, *[b[c] for c in names], strict=True)
+
+    def _frame(self, rows: list[tuple], *names: str) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(*k, *rest) for k, *rest in rows], columns=[*self.KEY, *names])
 
     def close(self) -> None:
         pass
 
 
-def live_work(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def _by_bucket(rows: DataFrame, processor: Bucket, output: str, time_mode: str, buckets: int, known: DataFrame | None = None) -> DataFrame:
+    deal = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*processor.KEY), F.lit(buckets)).cast("int")).groupBy("bucket")
+    return deal(rows).transformWithStateInPandas(processor, output, "Append", time_mode, initialState=None if known is None else deal(known))
+
+
+class WorkItem(Bucket):
+    """Per media: [image, done, gate, created, and the seq of the last word on each], and whether that makes it pending."""
+
+    ASPECTS = (("image", "removed"), ("done", "forgotten"), ("gate", "ungate"))
+    ABOUT = {kind: (i, kind == on) for i, (on, off) in enumerate(ASPECTS) for kind in (on, off)}
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        _, held = self._held()
+        for k, image, done, gate, created, seq in self._rows(iter([initialState]), "image", "done", "gate", "created", "seq"):
+            held[k] = [bool(image), bool(done), bool(gate), created if isinstance(created, str) else None, *[int(seq)] * 3]
+        self._keep(held)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, held = self._held()
+        newest: dict[tuple, list] = {}
+        for k, kind, text, seq in self._rows(rows, "kind", "text", "seq"):
+            words = newest.setdefault(k, [None, None, None])
+            if kind in self.ABOUT:
+                i, on = self.ABOUT[kind]
+                if words[i] is None or seq >= words[i][0]:
+                    words[i] = (int(seq), on, text if isinstance(text, str) else None)
+        said = []
+        for k, words in newest.items():
+            x = held.setdefault(k, [False, False, False, None, -1, -1, -1])
+            was = x[0] and x[2] and not x[1]
+            for i, word in enumerate(words):
+                if word is not None and word[0] >= x[4 + i]:  # an older word that comes late says nothing new
+                    x[4 + i], x[i] = word[0], word[1]
+                    if i == 0 and word[1]:
+                        x[3] = word[2]
+            now = x[0] and x[2] and not x[1]
+            if now != was:
+                said.append((k, x[3], now))
+        self._keep(held)
+        yield from self._frame(said, "created", "pending")
+
+
+def live_work(events: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Changes of the work list of one stage. `events(store, iri, kind, text[, seq])`: kind is image (text: its date), done,
     forgotten, gate, ungate or removed; the last word by `seq` holds, in whatever order a batch brings them. A row leaves when a media
     becomes pending or stops being so.
@@ -138,9 +174,8 @@ def live_work(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     if "seq" not in events.columns:
         events = events.withColumn("seq", F.lit(0).cast("bigint"))
-    return events.groupBy("store", "iri").transformWithStateInPandas(
-        WorkItem(), "store string, iri string, created string, pending boolean", "Append", "None",
-        initialState=None if known is None else known.select(*WORK_STATE).groupBy("store", "iri"))
+    return _by_bucket(events, WorkItem(), "store string, iri string, created string, pending boolean", "None", buckets,
+                      None if known is None else known.select(*WORK_STATE))
 
 
 WORK_STATE = ["store", "iri", "image", "done", "gate", "created", "seq"]
@@ -161,10 +196,11 @@ def work_after(known: DataFrame, landed: DataFrame) -> DataFrame:
     return last.filter("x.pending").select("store", "iri", "x.created")
 
 
-class Hold(StatefulProcessor):
-    """Per (store, media, stage): the failure that holds it, until it expires or a success clears it."""
+class Hold(Bucket):
+    """Per (store, media, stage): [seq, until in microseconds, held] of the failure that holds it, until it expires or a success clears it.
+    A bucket has one timer, no later than the first hold that ends; one that finds nothing over only sets the next."""
 
-    STATE = _schema(("seq", LongType()), ("until", TimestampType()), ("held", BooleanType()))
+    KEY = ("store", "s", "stage")
 
     def __init__(self, seconds: int, wall_clock: bool = False):
         self.seconds, self.wall_clock = seconds, wall_clock
@@ -172,93 +208,95 @@ class Hold(StatefulProcessor):
     def _now(self, timerValues) -> int:
         return timerValues.getCurrentProcessingTimeInMs() if self.wall_clock else timerValues.getCurrentWatermarkInMs()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("hold", self.STATE)
+    @staticmethod
+    def _first(held: dict[tuple, list]) -> int | None:
+        return min((until // 1000 for _, until, on in held.values() if on), default=None)
 
-    def _row(self, key, action: str, until) -> pd.DataFrame:
-        return pd.DataFrame({"store": [key[0]], "s": [key[1]], "stage": [key[2]], "action": [action], "until": [until]})
+    def _said(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield from self._frame([(k, action, pd.Timestamp(until, unit="us")) for k, action, until in rows], "action", "until")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, until, held = self.state.get() if self.state.exists() else (-1, None, False)
-        was, newest = held, None
-        for b in rows:
-            for n, at, ok in zip(b["seq"], b["at"], b["ok"]):
-                if n > seq:  # an older outcome that comes late says nothing new
-                    seq, newest = n, (at, ok)
-        if newest is None:
+        timer, held = self._held()
+        newest: dict[tuple, tuple] = {}
+        for k, n, at, ok in self._rows(rows, "seq", "at", "ok"):
+            if n > (newest[k][0] if k in newest else held[k][0] if k in held else -1):  # an older outcome that comes late says nothing new
+                newest[k] = (int(n), at, ok)
+        said, now = [], self._now(timerValues)
+        for k, (n, at, ok) in newest.items():
+            was = held[k][2] if k in held else False
+            until = pd.Timestamp(at).value // 1000 + self.seconds * 1_000_000
+            lasting = not ok and until // 1000 > now
+            held[k] = [n, until, lasting]
+            if lasting:
+                said.append((k, "hold", until))
+            elif was:  # the failure's own time is over: what held before ends with it
+                said.append((k, "clear" if ok else "expire", until))
+        if not newest:
             return
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        at, ok = newest
-        until = at.to_pydatetime() + timedelta(seconds=self.seconds)
-        expiry = int(pd.Timestamp(until).tz_localize("UTC").timestamp() * 1000)
-        lasting = not ok and expiry > self._now(timerValues)
-        self.state.update((int(seq), until, bool(lasting)))
-        if lasting:
-            self.handle.registerTimer(expiry)
-            yield self._row(key, "hold", until)
-        elif was:  # the failure's own time is over: what held before ends with it
-            yield self._row(key, "clear" if ok else "expire", until)
+        first = self._first(held)
+        if first is not None and (timer is None or first < timer):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            timer = first
+        self._keep(held, timer)
+        yield from self._said(said)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, until, held = self.state.get()
-        if held:
-            self.state.update((seq, until, False))
-            yield self._row(key, "expire", until)
-
-    def close(self) -> None:
-        pass
+        _, held = self._held()
+        said, now = [], self._now(timerValues)
+        for k, x in held.items():
+            if x[2] and x[1] // 1000 <= now:
+                x[2] = False
+                said.append((k, "expire", x[1]))
+        timer = self._first(held)
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self._keep(held, timer)
+        yield from self._said(said)
 
 
 HOLD_ROW = "store string, s string, stage string, action string, until timestamp"
 
 
-def holds(outcomes: DataFrame, delay: str = "1 minute", seconds: int = N.HOLD_SECONDS) -> DataFrame:
+def holds(outcomes: DataFrame, delay: str = "1 minute", seconds: int = N.HOLD_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """Hold changes from `outcomes(store, s, stage, seq, at, ok)`; holds end with the event-time clock."""
     rows = outcomes.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
-    return rows.groupBy("store", "s", "stage").transformWithStateInPandas(Hold(seconds), HOLD_ROW, "Append", "EventTime")
+    return _by_bucket(rows, Hold(seconds), HOLD_ROW, "EventTime", buckets)
 
 
-def holds_by_clock(outcomes: DataFrame, seconds: int = N.HOLD_SECONDS) -> DataFrame:
+def holds_by_clock(outcomes: DataFrame, seconds: int = N.HOLD_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """As `holds`, but on the wall clock: a hold ends `seconds` after its failure although nothing more arrives. The clock is the
     micro-batch's own, which the offset log keeps, so a batch that runs again says the same. Run it with a `processingTime` trigger: `availableNow` would not end."""
     rows = outcomes.withColumn("at", F.col("at").cast("timestamp"))
-    return rows.groupBy("store", "s", "stage").transformWithStateInPandas(Hold(seconds, True), HOLD_ROW, "Append", "ProcessingTime")
+    return _by_bucket(rows, Hold(seconds, True), HOLD_ROW, "ProcessingTime", buckets)
 
 
-class Ready(StatefulProcessor):
-    """Per media: the required references seen so far; speaks once, when the last one is there."""
-
-    STATE = _schema(("seen", StringType()), ("said", BooleanType()))
+class Ready(Bucket):
+    """Per media: [said, required references seen so far...]; speaks once, when the last one is there."""
 
     def __init__(self, required: list[tuple[str, str]]):
         self.required = {f"{a} {b}" for a, b in required}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ready", self.STATE)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, said = self.state.get() if self.state.exists() else ("", False)
-        have = set(filter(None, seen.split("\n")))
-        for b in rows:
-            for link, model in zip(b["link"], b["model"]):
-                if link == "complete":
-                    said = True
-                elif f"{link} {model}" in self.required:
-                    have.add(f"{link} {model}")
-        ready = bool(self.required) and have == self.required and not said
-        self.state.update(("\n".join(sorted(have)), bool(said or ready)))
-        if ready:
-            yield pd.DataFrame({"store": [key[0]], "iri": [key[1]]})
-
-    def close(self) -> None:
-        pass
-
-
-def ready_marks(refs: DataFrame, required: list[tuple[str, str]]) -> DataFrame:
+        _, held = self._held()
+        touched: dict[tuple, list] = {}
+        for k, link, model in self._rows(rows, "link", "model"):
+            x = touched[k] = held.setdefault(k, [False])
+            if link == "complete":
+                x[0] = True
+            elif (ref := f"{link} {model}") in self.required and ref not in x:
+                x.append(ref)
+        ready = [(k,) for k, x in touched.items() if not x[0] and self.required and len(x) > len(self.required)]
+        for k, in ready:
+            held[k][0] = True
+        self._keep(held)
+        yield from self._frame(ready)
+
+
+def ready_marks(refs: DataFrame, required: list[tuple[str, str]], buckets: int = BUCKETS) -> DataFrame:
     """Media that now hold every required reference, once each. A row with link `complete` is a mark already there."""
-    return refs.groupBy("store", "iri").transformWithStateInPandas(Ready(required), "store string, iri string", "Append", "None")
+    return _by_bucket(refs, Ready(required), "store string, iri string", "None", buckets)
 
 
 # ── feeds and metrics ───────────────────────────────────────────────────────────────────────────────────────
@@ -300,32 +338,34 @@ def counts_stream(changed: DataFrame, quads: Callable[[], DataFrame], out: str,
 COUNTS = ["images", *R.COUNTED]
 
 
-class Held(StatefulProcessor):
-    """Per media: how many it holds of each thing that is counted. Speaks when an image begins or ceases to count for one."""
-
-    STATE = _schema(*[(c, LongType()) for c in COUNTS])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", self.STATE)
+class Held(Bucket):
+    """Per media: how many it holds of each thing that is counted. A bucket says by how much the images that count for one change, a row a store."""
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.state.update(tuple(int(initialState[c].iloc[0]) for c in COUNTS))
+        _, held = self._held()
+        for k, *n in self._rows(iter([initialState]), *COUNTS):
+            held[k] = [int(v) for v in n]
+        self._keep(held)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        was = list(self.state.get()) if self.state.exists() else [0] * len(COUNTS)
-        now = list(was)
-        for b in rows:
-            for what, n in zip(b["what"], b["n"]):
-                if what in COUNTS:
-                    now[COUNTS.index(what)] += int(n)
-        self.state.update(tuple(now))
+        _, held = self._held()
+        added: dict[tuple, list[int]] = {}
+        for k, what, n in self._rows(rows, "what", "n"):
+            x = added.setdefault(k, [0] * len(COUNTS))
+            if what in COUNTS:
+                x[COUNTS.index(what)] += int(n)
         counted = lambda x: [int(x[0] > 0 and v > 0) for v in x]
-        change = [b - a for a, b in zip(counted(was), counted(now), strict=True)]
-        if any(change):
-            yield pd.DataFrame({"store": [key[0]], **{c: [d] for c, d in zip(COUNTS, change, strict=True)}})
-
-    def close(self) -> None:
-        pass
+        change: dict[str, list[int]] = {}
+        for k, more in added.items():
+            was = held.get(k, [0] * len(COUNTS))
+            held[k] = [a + b for a, b in zip(was, more, strict=True)]
+            total = change.setdefault(k[0], [0] * len(COUNTS))
+            for i, (a, b) in enumerate(zip(counted(was), counted(held[k]), strict=True)):
+                total[i] += b - a
+        self._keep(held)
+        told = [(store, *d) for store, d in change.items() if any(d)]
+        if told:
+            yield pd.DataFrame(told, columns=["store", *COUNTS])
 
 
 def held_state(changes: DataFrame) -> DataFrame:
@@ -338,7 +378,8 @@ def counts_of(held: DataFrame) -> DataFrame:
     return held.groupBy("store").agg(*[F.count_if((F.col("images") > 0) & (F.col(c) > 0)).alias(c) for c in COUNTS])
 
 
-def counts_by_delta(changes: DataFrame, out: str, checkpoint: str, known: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+def counts_by_delta(changes: DataFrame, out: str, checkpoint: str, known: DataFrame | None = None, trigger: dict | None = None,
+                    buckets: int = BUCKETS) -> StreamingQuery:
     """Store counts kept by what changed, at most once a minute: no scan of the graph. `changes(store, iri, what, n)` as `reads.count_changes` makes them,
     in any order; each adds to its image's state, and a batch writes the totals of the one before plus its own to `out/batch=N`.
 
@@ -347,8 +388,7 @@ def counts_by_delta(changes: DataFrame, out: str, checkpoint: str, known: DataFr
     """
     totals = ", ".join(f"{c} bigint" for c in COUNTS)
     first = None if known is None else counts_of(known)
-    told = changes.groupBy("store", "iri").transformWithStateInPandas(
-        Held(), f"store string, {totals}", "Append", "None", initialState=None if known is None else known.select("store", "iri", *COUNTS).groupBy("store", "iri"))
+    told = _by_bucket(changes, Held(), f"store string, {totals}", "None", buckets, None if known is None else known.select("store", "iri", *COUNTS))
 
     def land(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession

@@ -202,3 +202,27 @@ def test_count_changes_say_what_counts_counts(spark, quads):
         [(img("a"), "images", -1), (img("b"), "images", -1), (img("a"), "captions", -1), (img("v"), "captions", -1), (img("b"), "thumbnails", -1)])
     same = R.counts(q)
     assert ST.counts_of(ST.held_state(R.count_changes(q))).select(*same.columns).collect() == same.collect()
+
+
+def test_holds_of_one_bucket_end_each_at_its_own_time(spark, tmp_path):
+    row = lambda i, s, t, ok: ("st", s, "pose", i, ts(t), ok)
+    stream = feed(spark, tmp_path, OUTCOMES, [row(1, "late", "2024-01-01 00:20:00", False), row(2, "early", "2024-01-01 00:00:00", False), row(3, "freed", "2024-01-01 00:01:00", False)],
+                  [row(4, "freed", "2024-01-01 00:20:30", True)], [row(5, "new", "2024-01-01 01:00:00", False)], [row(6, "x", "2024-01-01 01:01:00", True)])
+    got = landed(spark, ST.holds(stream, buckets=1), tmp_path)
+    assert sorted((r.s, r.action, r.until.strftime("%H:%M")) for r in got.collect()) == [
+        ("early", "expire", "00:10"), ("early", "hold", "00:10"), ("freed", "clear", "00:30"), ("freed", "hold", "00:11"), ("late", "expire", "00:30"), ("late", "hold", "00:30"),
+        ("new", "hold", "01:10")]
+
+
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    e = lambda i, kind, seq: ("st", f"m{i}", kind, "2024", seq)
+    schema = "store string, iri string, kind string, text string, seq long"
+    stream = feed(spark, tmp_path, schema, [e(i, k, n) for i in range(500) for n, k in enumerate(("image", "gate"))], [e(i, "done", 9) for i in range(0, 500, 2)])
+    known = ST.work_state(spark.createDataFrame([e(i, "done", -1) for i in range(400, 700)], schema))
+    known.write.parquet(f"{tmp_path}/known")
+    out = f"{tmp_path}/out"
+    q = ST.to_batches(ST.live_work(stream, stream.sparkSession.read.parquet(f"{tmp_path}/known"), 7), out, checkpoint=f"{tmp_path}/ckpt")
+    q.awaitTermination()
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 7  # not one a media
+    said = sorted((r.batch, int(r.iri[1:]), r.pending) for r in spark.read.parquet(out).collect())
+    assert said == [(0, i, True) for i in range(400)] + [(1, i, False) for i in range(0, 400, 2)]
