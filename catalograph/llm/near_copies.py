@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalograph.llm import simhash
 from catalograph.llm.simhash import _shingle_hashes
-from catalograph.llm.tables import least_rows, steps, written
+from catalograph.llm.tables import SMALL_BATCHES, least_rows, settings, steps, written
 from catalograph.operators.neighbours import connected_components
 
 SHINGLE = 5
@@ -84,7 +84,7 @@ def _pairs(u: list, v: list) -> pa.RecordBatch:
 def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
     """Rows of sorted batches, a list for each value of the first `key` columns."""
     held: list[tuple] = []
-    for b in batches:
+    for b in steps(batches):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held and held[0][:key] != row[:key]:
                 yield held
@@ -160,6 +160,11 @@ def _blocks_meet(least: float, similar: float):
 
 def components(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of the ids of `rows(id, t)` that are linked, by chains too; an id stands for one text, `root` names the component."""
+    with settings(rows.sparkSession, SMALL_BATCHES):
+        return _linked(rows, similar)
+
+
+def _linked(rows: DataFrame, similar: float) -> DataFrame:
     least = similar - SLACK
     signed = rows.mapInArrow(_signed, "id binary, keys array<bigint>, sketch binary, own binary, code bigint").dropDuplicates(["id"])
     signed = written(signed.withColumn("nid", F.monotonically_increasing_id()), "signatures")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from catalograph.llm.tables import least_rows, steps, text_or_empty, written
+from catalograph.llm.tables import SMALL_BATCHES, least_rows, settings, steps, text_or_empty, written
 from catalograph.operators.neighbours import connected_components, local_roots
 
 SHINGLE = 4
@@ -32,7 +32,8 @@ ROUND_RECORDS = 64_000_000  # points that one round may hold (512 MB) before the
 FIRST = 8  # the first pass sees one in FIRST of a round's points
 MASK_BITS = 12  # up to 4096 points a ball: radius 2 at most
 TASK_RECORDS = 4_000_000  # records a task gathers: 32 MB
-FLUSH = 1_000_000  # edges a task holds before it reduces them to a forest
+EMIT_RECORDS = 500_000  # records a task makes at a time, with some 100 bytes of scratch a record
+FLUSH = 250_000  # edges a task holds before it reduces them to a forest
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -128,7 +129,7 @@ def _emit(masks: np.ndarray, bits: int, rounds: int, turn: int):
             pa.array([b"" if r is None else r[i:j].tobytes() for i, j in spans], pa.binary())], names=["bucket", "records", "roots"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = max(1, TASK_RECORDS // 2 * rounds // len(masks))
+        group = max(1, EMIT_RECORDS * rounds // len(masks))
         held, n = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def _meet(masks: np.ndarray, raw: np.ndarray, bits: int, distance: int):
             leaf = np.nonzero(roots != np.arange(len(roots)))[0]
             return pa.RecordBatch.from_arrays([pa.array(nodes[leaf].view("i8")), pa.array(nodes[roots[leaf]].view("i8"))], names=["u", "v"])
 
-        for b in batches:
+        for b in steps(batches):
             for bucket, *blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now is not None and bucket != now:
                     u, v = stars(now, blobs)
@@ -239,8 +240,7 @@ def links(codes: DataFrame, distance: int = DISTANCE, rounds: int | None = None)
     tasks = max(1, -(-n * len(masks) // (rounds * TASK_RECORDS)), min(n // 2000, spark.sparkContext.defaultParallelism * 2))
     spread = written(codes.select("code", F.col("code").alias("root")).repartition(int(tasks), "code"), "codes")
     parts = int(max(1, min((1 << bits) // rounds, tasks)))
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, None)
+    clean = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # a round's shuffle files go with the round
 
     def meet(of: DataFrame, turn: int, turns: int, tasks: int) -> DataFrame:
         rows = of.mapInArrow(_emit(masks, bits, turns, turn), "bucket bigint, records binary, roots binary")
@@ -249,16 +249,13 @@ def links(codes: DataFrame, distance: int = DISTANCE, rounds: int | None = None)
         return written(met, "links")
 
     found = []
-    try:
-        spark.conf.set(clean, "true")  # a round's shuffle files go with the round
+    with settings(spark, clean | SMALL_BATCHES):
         first = rounds * FIRST
         found.append(meet(spread, 0, first, max(1, parts // FIRST)))
         roots = connected_components(found[0])
         rooted = spread.drop("root").join(roots, F.col("code") == F.col("node"), "left").select("code", F.coalesce("root", "code").alias("root"))
         spread = written(rooted.repartition(int(tasks), "code"), "rooted")
         found += [meet(spread, turn, rounds, parts) for turn in range(rounds)]
-    finally:
-        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from catalograph.session import fresh_dir
 
 STEP = 256  # rows turned into Python objects at a time
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}  # of long texts and packed records 10,000 rows are a whole task
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,19 @@ def steps(batches: Iterable[pa.RecordBatch], rows: int = STEP) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+@contextmanager
+def settings(spark: SparkSession, during: dict[str, str]) -> Iterator[None]:
+    """`during` holds for the tables written inside, then what held before."""
+    before = {name: spark.conf.get(name, None) for name in during}
+    try:
+        for name, value in during.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -93,3 +93,27 @@ def test_keeps_one_of_each_group(spark):
 def test_odd_distances_are_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "code bigint"), distance=3)
+
+
+def test_tasks_take_records_by_small_batches_of_bytes(spark, monkeypatch):
+    """Packed records come to a task in batches of about 4 MB, not as the whole task, and the session's setting is as before."""
+    name, whole = "spark.sql.execution.arrow.maxBytesPerBatch", simhash._meet
+
+    def watched(*args):
+        inner = whole(*args)
+
+        def run(batches):
+            def seen():
+                for b in batches:
+                    if b.nbytes > 6_000_000:
+                        raise ValueError(f"a batch of {b.nbytes} bytes")
+                    yield b
+
+            yield from inner(seen())
+
+        return run
+
+    monkeypatch.setattr(simhash, "_meet", watched)
+    before = spark.conf.get(name)
+    simhash.links(spark.range(4000).selectExpr("xxhash64(id) AS code")).count()
+    assert spark.conf.get(name) == before
