@@ -3,7 +3,8 @@
 NN-descent (Dong et al., "Efficient k-nearest neighbor graph construction for generic similarity measures", 2011): every vector keeps a
 bounded list of near ones; a round lets all members of a list, and a bounded draw of those that list it, meet, and keeps what is nearer. A list
 travels as one row group of at most `2 * width` vectors, so neither a hub nor a crowd of copies makes a large task; what a task emits is bounded
-by what can still enter a list. The first lists come from random hyperplane cells, cut by hash where they are crowded.
+by what can still enter a list. The first lists come from random hyperplane cells, cut by hash where they are crowded. How wide lists must be depends
+on the data, so settled lists are held against the exact neighbours of a bounded draw of vectors, and while too few are found they are widened.
 
 Bands: the signs of a vector against random hyperplanes agree for two vectors with probability 1 - angle / pi each, so vectors at the threshold share
 one of enough bands of signs almost surely. All who share a band meet its head only, which is linear in a crowd; then those
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from catalograph.operators.neighbours import BLOCK, _expand, _folded, _owner, _rows, connected_components, first_named, grouped, local_roots, unit_matrix
+from catalograph.operators.neighbours import BLOCK, _expand, _folded, _owner, _rows, connected_components, first_named, grouped, local_roots, sliced, unit_matrix
 from catalograph.operators.sizes import small
 from catalograph.operators.vectors import top_per_key
 from catalograph.session import cut_lineage
@@ -28,6 +29,10 @@ LEAF = 128  # vectors a hyperplane cell should hold at the start
 TREES = 3
 ROUNDS = 12
 SETTLED = 0.001  # the share of list entries that may still change in the last round
+GIVE = 16  # others that a member takes from one meeting of widened lists; it is in many
+RECALL = 0.95  # the share of exact neighbours that lists must hold, measured over DRAW vectors (standard error about 0.01)
+DRAW = 400
+STALLED = 0.01  # lists that gained less than this share in a round are widened
 FEW = 8  # rows of a bucket whose pairs are named one by one
 MISS = 0.001  # the probability that no band of a pair at the threshold agrees
 
@@ -64,15 +69,15 @@ def _parts(keyed: DataFrame, key: list[str], most: int, by: str) -> DataFrame:
         "part", F.pmod(F.xxhash64(F.lit(5), F.col(by), *key), "parts").cast("int")).drop("n")
 
 
-def _meet(width: int):
-    """A group `(id, vec[, fresh, low])` to (u, v, score): for each member its `width` best others above its bound."""
+def _meet(most: int):
+    """A group `(id, vec[, fresh, low])` to (u, v, score): for each member its `most` best others above its bound."""
     def best(ids: np.ndarray, vec, fresh: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         u = unit_matrix(vec)
         s = np.round(u @ u.T, 12)
         np.fill_diagonal(s, -2.0)
         s[~(fresh[:, None] | fresh[None, :])] = -2.0
         s[s <= low[:, None]] = -2.0
-        m = min(width, len(ids) - 1)
+        m = min(most, len(ids) - 1)
         if m < 1:
             return ids[:0], ids[:0], low[:0]
         at = np.argpartition(-s, m - 1, axis=1)[:, :m]
@@ -90,10 +95,34 @@ def _table(u, v, score) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
+def _drawn(base: DataFrame, k: int, draw: int, seed: int) -> DataFrame:
+    """(u, v): the exact k nearest others in the store of each of `draw` vectors; every task scores its vectors against the draw."""
+    owner = _owner(base)
+    picked = base.orderBy(F.xxhash64(F.lit(seed), "nid"), "nid").limit(draw).select("nid", "vec", *owner).toArrow()
+    q, names = unit_matrix(picked["vec"]), picked["nid"].to_numpy()
+    stores = np.array(picked["store"].to_pylist(), object) if owner else None
+
+    def run(batches):
+        for b in sliced(batches):
+            ids = b.column(0).to_numpy()
+            s = np.round(q @ unit_matrix(b.column(1)).T, 12)
+            s[names[:, None] == ids[None, :]] = -2.0
+            if stores is not None:
+                s[stores[:, None] != np.array(b.column(2).to_pylist(), object)[None, :]] = -2.0
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+            score = np.take_along_axis(s, order, axis=1)
+            row, col = np.nonzero(score > -1.5)
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[order[row, col]]), pa.array(score[row, col])], names=["u", "v", "score"])
+
+    near = base.select("nid", "vec", *owner).mapInArrow(run, EDGE) if len(names) else base.sparkSession.createDataFrame([], EDGE)
+    return cut_lineage(top_per_key(near, ["u"], [F.desc("score"), F.col("v")], k).select("u", "v"))
+
+
 @dataclass(frozen=True)
 class NeighbourGraph:
     """`rows` are the index rows with `gid`, `points` the distinct vectors (nid, gid, first, ids[, store]), `edges` (u, v, score) their lists by nid.
-    `compared` counts the scored pairs, `of` all pairs of distinct vectors."""
+    `compared` counts the scored pairs, `of` all pairs of distinct vectors; `width` is that of the lists at the end, `recall` what they hold of the draw's
+    neighbours (None: not measured)."""
 
     rows: DataFrame
     points: DataFrame
@@ -101,6 +130,8 @@ class NeighbourGraph:
     compared: int
     of: int
     rounds: int
+    width: int
+    recall: float | None
 
     def neighbours(self, k: int, exclude_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
         """`([store,] key_id, neighbour, score, rank)` for every row, or those of `queries` (rows with their keys); exact scores, approximate lists.
@@ -123,10 +154,12 @@ class NeighbourGraph:
 
 
 def knn_graph(vectors: DataFrame, model: str, k: int = 10, width: int | None = None, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS,
-              settled: float = SETTLED, seed: int = 17) -> NeighbourGraph:
+              settled: float = SETTLED, seed: int = 17, recall: float | None = RECALL, draw: int = DRAW) -> NeighbourGraph:
     """The graph of (approximately) the `width` nearest distinct vectors of every vector, at least k + 1; by default three times k, 24 at least.
 
-    A round shuffles at most 2 * width vectors a row; rounds end when less than the share `settled` of the entries changed.
+    A round shuffles at most 2 * width vectors a row; rounds end when less than the share `settled` of the entries changed. If the lists then hold
+    less than `recall` of the k nearest of `draw` vectors, or gain too little in a round before, their width doubles, vectors meet in new cells too, and
+    rounds go on until they do. Without clusters (random vectors of many numbers) the width needed grows with the table. `recall` None: no such measure.
     """
     width = max(k + 1, width or max(24, 3 * k))
     rows = _rows(vectors, model, _owner(vectors))
@@ -134,28 +167,42 @@ def knn_graph(vectors: DataFrame, model: str, k: int = 10, width: int | None = N
     base = cut_lineage(_folded(rows, k + 1).withColumns({"first": F.element_at("ids", 1), "nid": F.monotonically_increasing_id()}))
     n = base.count()
     vecs = base.select("nid", "vec")
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
-    best = _meet(width)
-    cells = _signs(base, [planes(depth, _dim(base), seed + i) for i in range(trees)], [*owner, "nid"])
-    placed = cut_lineage(_parts(cells, [*owner, "band", "bits"], 2 * leaf, "nid").drop("parts"))
+    depth, dim = max(0, math.ceil(math.log2(max(1, n / leaf)))), _dim(base)
+    pairs = lambda counts: int(counts.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("x")).first().x)
     group = [*owner, "band", "bits", "part"]
+    order = [F.desc("score"), F.col("v")]
+    compared = 0
 
-    def begin(t: pa.Table) -> pa.Table:
-        ids = t["nid"].to_numpy()
-        return _table(*best(ids, t["vec"], np.ones(len(ids), bool), np.full(len(ids), -1.5)))
+    def begun(width: int, seed: int) -> DataFrame:
+        """(u, v, score): the nearest within the cells of `trees` sets of hyperplanes."""
+        nonlocal compared
+        best = _meet(width)
+        cells = _signs(base, [planes(depth, dim, seed + i) for i in range(trees)], [*owner, "nid"])
+        placed = cut_lineage(_parts(cells, [*owner, "band", "bits"], 2 * leaf, "nid").drop("parts"))
+        compared += pairs(placed.groupBy(*group).agg(F.count("*").alias("n")))
 
-    pairs = lambda counts: int(counts.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("x")).first().x)
-    compared = pairs(placed.groupBy(*group).agg(F.count("*").alias("n")))
-    found = placed.join(vecs, "nid").groupBy(*group).applyInArrow(begin, EDGE)
-    once = found.groupBy("u", "v").agg(F.max("score").alias("score"))
-    order = [F.desc("score"), F.col("v")]
-    graph = cut_lineage(top_per_key(once, ["u"], order, width).select("u", "v", "score", F.lit(True).alias("fresh")))
+        def begin(t: pa.Table) -> pa.Table:
+            ids = t["nid"].to_numpy()
+            return _table(*best(ids, t["vec"], np.ones(len(ids), bool), np.full(len(ids), -1.5)))
+
+        return placed.join(vecs, "nid").groupBy(*group).applyInArrow(begin, EDGE)
+
+    def listed(found: DataFrame, width: int) -> DataFrame:
+        once = found.groupBy("u", "v").agg(F.max("score").alias("score"))
+        return cut_lineage(top_per_key(once, ["u"], order, width).select("u", "v", "score", F.lit(True).alias("fresh")))
+
+    graph = listed(begun(width, seed), width)
+    best = _meet(width)
+    exact = _drawn(base, k, draw, seed) if recall is not None else None
+    wanted = exact.count() if exact is not None else 0
+    held, wider, until = 0, False, rounds
 
     def local(t: pa.Table) -> pa.Table:
         return _table(*best(t["a"].to_numpy(), t["vec"], t["fresh"].to_numpy(zero_copy_only=False), t["low"].to_numpy()))
 
     turn = 0
-    for turn in range(1, rounds + 1):
+    while turn < until:
+        turn += 1
         back = top_per_key(graph.select(F.col("v").alias("w"), F.col("u").alias("a"), "fresh"), ["w"], [F.desc("fresh"), F.xxhash64(F.lit(turn), "a")], width)
         members = graph.select(F.col("u").alias("w"), F.col("v").alias("a"), "fresh").unionByName(back.drop("rank")).groupBy("w", "a").agg(F.max("fresh").alias("fresh"))
         lists = members.groupBy("w").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).filter("any and n > 1")
@@ -168,9 +215,20 @@ def knn_graph(vectors: DataFrame, model: str, k: int = 10, width: int | None = N
         new = met.groupBy("w").applyInArrow(local, EDGE).withColumn("fresh", F.lit(True))
         both = graph.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         graph = cut_lineage(top_per_key(both, ["u"], order, width).select("u", "v", "score", "fresh"))
-        if graph.filter("fresh").count() <= settled * n * width:
+        still = graph.filter("fresh").count() <= settled * n * width
+        if wanted:
+            before, held = held, graph.join(F.broadcast(exact), ["u", "v"], "left_semi").count()  # at most draw * k rows
+            if held < recall * wanted:
+                if (still or turn == until or held - before < STALLED * wanted) and width < n - 1:
+                    width, wider, until = min(2 * width, n - 1), True, turn + rounds
+                    best = _meet(GIVE)
+                    graph = listed(graph.select("u", "v", "score").unionByName(begun(width, seed + 100 * turn)), width)
+                    continue
+            elif wider:
+                break
+        if still:
             break
-    return NeighbourGraph(rows, base.drop("vec"), graph.select("u", "v", "score"), compared, n * (n - 1) // 2, turn)
+    return NeighbourGraph(rows, base.drop("vec"), graph.select("u", "v", "score"), compared, n * (n - 1) // 2, turn, width, held / wanted if wanted else None)
 
 
 def band_plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:

@@ -46,6 +46,20 @@ def test_graph_recalls_neighbours_of_their_own_store(spark, two, points):
     assert graph.compared < 3 * graph.of
 
 
+def test_lists_widen_until_they_hold_the_neighbours(spark):
+    """Random vectors without clusters: lists of 6 hold too few of the 5 nearest."""
+    m = np.random.default_rng(8).normal(size=(400, 32))
+    graph = NG.knn_graph(frame(spark, m), "m", 5, width=6, leaf=24, trees=1, rounds=2)
+    got = {}
+    for r in graph.neighbours(5).collect():
+        got.setdefault(r.key_id, set()).add(r.neighbour)
+    s = cosines(m, m)
+    np.fill_diagonal(s, -2)
+    hits = sum(len(got[i] & set(np.argsort(-s[i])[:5].tolist())) for i in range(400))
+    assert len(got) == 400 and all(len(x) == 5 for x in got.values())
+    assert hits >= 0.9 * 5 * 400
+
+
 def test_graph_of_nothing_and_of_one(spark):
     df = frame(spark, np.array([[1.0, 2.0]]))
     assert NG.knn_graph(df, "m").neighbours(5).count() == 0
