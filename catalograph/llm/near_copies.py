@@ -118,10 +118,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _blocks_meet(least: float, similar: float):
-    """Rows (bucket, lo, hi, mine, root, nid, sketch, own) sorted by the first three: links between the blocks lo and hi of a bucket."""
+    """Rows (bucket, lo, hi, mine, root, sketch, own) sorted by the first three: links between the roots of the blocks lo and hi of a bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
-            _, lo, hi, mine, root, nid, sketch, own = zip(*rows, strict=True)
+            _, lo, hi, mine, root, sketch, own = zip(*rows, strict=True)
             name, at = np.unique(np.array(root), return_inverse=True)
             if len(name) < 2:
                 continue
@@ -150,14 +150,20 @@ def _blocks_meet(least: float, similar: float):
                 r, s = find(int(at[p])), find(int(at[q]))
                 if r != s and jaccard(_set(own[p]), _set(own[q])) >= similar:
                     up[r] = s
-                    us.append(nid[p])
-                    vs.append(nid[q])
+                    us.append(root[p])
+                    vs.append(root[q])
             if us:
                 yield _pairs(us, vs)
 
     return run
 
 
+def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after `links(node, root)` between roots; a node that has no row in `roots` is its own root."""
+    to = links.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(links.join(roots, "node", "left_anti"))
+
+
 def components(rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(node, root) of the ids of `rows(id, t)` that are linked, by chains too; an id stands for one text, `root` names the component."""
     with settings(rows.sparkSession, SMALL_BATCHES):
@@ -180,8 +186,7 @@ def _linked(rows: DataFrame, similar: float) -> DataFrame:
     near = balls.join(first.select(F.col("code").alias("a"), F.col("u").alias("x")), F.col("u") == F.col("a")).select("x", "v").join(
         first.select(F.col("code").alias("a"), F.col("u").alias("y")), F.col("v") == F.col("a")).select(F.col("x").alias("u"), F.col("y").alias("v"))
     pairs = written(met.unionByName(alike).unionByName(near).distinct(), "near_pairs")
-    links = _verified(pairs, sets, similar)
-    roots = written(connected_components(links), "near_roots")
+    roots = written(connected_components(_verified(pairs, sets, similar)), "near_roots")
     for lo, hi in PASSES:
         rooted = shared.filter((F.col("n") > 2) & F.col("band").between(lo, hi - 1)).join(roots, F.col("nid") == F.col("node"), "left").select(
             "bucket", "nid", "n", F.coalesce("root", "nid").alias("root"))
@@ -189,13 +194,12 @@ def _linked(rows: DataFrame, similar: float) -> DataFrame:
         rest = rooted.join(parted, "bucket").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
             "mine", F.pmod(F.xxhash64(F.lit(5), "nid"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         cut = written(rest.select("bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "root", "nid"), "crowded")
-        full = cut.join(signed.select("nid", "sketch", "own"), "nid").select("bucket", "lo", "hi", "mine", "root", "nid", "sketch", "own")
+        full = cut.join(signed.select("nid", "sketch", "own"), "nid").select("bucket", "lo", "hi", "mine", "root", "sketch", "own")
         found = full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_blocks_meet(least, similar), "u bigint, v bigint")
         found = written(found, "near_links")
         if found.isEmpty():
             continue
-        links = links.unionByName(found)
-        roots = written(connected_components(links), "near_roots")
+        roots = written(_moved(roots, connected_components(found)), "near_roots")
     return signed.join(roots, F.col("nid") == F.col("node")).select(F.col("id").alias("node"), F.col("root"))
 
 

@@ -359,14 +359,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
     2014), each one aggregation and one join on the node; a hub's edges combine map-side in the aggregation and AQE
-    splits its side of the join. Every round is written out; rounds grow with the logarithm of the chain length. Shuffles
-    are sized by the counted edges, since a round of few edges would else cost its many shuffles in empty tasks.
+    splits its side of the join. Every round is written out; rounds grow with the logarithm of the chain length and end
+    when all edges form stars. Shuffles and written rounds are sized by the counted edges, of which no round makes more,
+    since a round of few edges would else cost its many shuffles in empty tasks.
     """
     spark = edges.sparkSession
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
+
+    def sized(n: int) -> int:
+        parts = min(int(before), max(LEAST_PARTS, -(-n // EDGES)))
+        spark.conf.set(name, parts)
+        return parts
+
     try:
-        return _star_rounds(edges, lambda n: spark.conf.set(name, min(int(before), max(LEAST_PARTS, -(-n // EDGES)))))
+        return _star_rounds(edges, sized)
     finally:
         spark.conf.set(name, before)
 
@@ -374,24 +381,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _star_rounds(edges: DataFrame, sized) -> DataFrame:
     ordered = lambda e: e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).dropDuplicates()
     e = cut_lineage(ordered(edges))
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(e)
-    while seen[0]:  # the steps are proven to settle
-        sized(seen[0])
+    n, loose = _edges_and_loose(e)
+    parts = sized(n)
+    e = e.coalesce(parts)
+    while loose:  # the steps are proven to settle
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = ordered(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(low, "u")
-        small_star = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-        e = cut_lineage(ordered(small_star))
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
+        small_star = star.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = cut_lineage(ordered(small_star).coalesce(parts))
+        n, loose = _edges_and_loose(e)
+        parts = sized(n)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return cut_lineage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").dropDuplicates()))
+    return cut_lineage(roots.unionByName(roots.select(F.col("root").alias("node"), "root").dropDuplicates().coalesce(parts)))
+
+
+def _edges_and_loose(e: DataFrame) -> tuple[int, int]:
+    """Counts of the edges (u > v) and of the nodes that keep them from being stars round their least nodes: those with two lesser ends, or with ends on both sides."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    at = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    n, loose = at.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return n or 0, loose
 
 
 def near_dups(vectors: DataFrame, model: str, threshold: float, block: int = BLOCK) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from catalograph.llm import near_copies
+from catalograph.operators.neighbours import connected_components
 
 
 def sets(text):
@@ -53,6 +55,14 @@ def test_the_stage_drops_every_copy_at_0_8(spark, sf):
     assert sorted(got) == sorted(want) and len(want) < len(docs) - 40
 
 
+def test_links_between_roots_move_whole_components(spark):
+    """Two components and two texts of their own become one; a third is left alone, and a link back to a greater root changes nothing."""
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node bigint, root bigint")
+    found = spark.createDataFrame([(5, 1), (1, 5), (7, 5), (3, 7)], "u bigint, v bigint")
+    got = {(r.node, r.root) for r in near_copies._moved(roots, connected_components(found)).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3, 5, 6, 7)} | {(8, 8), (9, 8)}
+
+
 def test_the_stage_on_the_shared_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()]

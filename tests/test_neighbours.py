@@ -70,6 +70,35 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(300)} == {1000} and got[5001] == 5000
 
 
+def test_components_write_no_round_for_stars_and_few_tasks_for_few_edges(spark, monkeypatch):
+    """With the number of shuffle partitions held from outside, as a session may, a round of few edges made 11 tasks a partition."""
+    cuts, cut, kind, name = [], NB.cut_lineage, type(spark.conf), "spark.sql.shuffle.partitions"
+    monkeypatch.setattr(NB, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    stars = spark.createDataFrame([(10 * (i % 3), 100 + i) for i in range(60)], "u long, v long")
+    assert {(r.node, r.root) for r in NB.connected_components(stars).collect()} == {(100 + i, 10 * (i % 3)) for i in range(60)} | {(i, i) for i in (0, 10, 20)}
+    assert len(cuts) == 2
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    before, put = spark.conf.get(name), kind.set
+    held = {name: "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    sc = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(kind, "set", lambda self, key, value: None if key in held else put(self, key, value))
+        cuts.clear()
+        sc.setJobGroup("few_edges", "few edges")
+        assert {(r.node, r.root) for r in NB.connected_components(chain).collect()} == {(i, 0) for i in range(41)}
+        of = sc.statusTracker()
+        stages = {s for j in of.getJobIdsForGroup("few_edges") for s in of.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(of.getStageInfo, stages) if i)
+        assert len(cuts) > 3 and tasks < 96 * 8 * (len(cuts) - 1)
+    finally:
+        monkeypatch.undo()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_approximate_search_recalls(spark):
     centres = RNG.normal(size=(20, 16))
     m = np.repeat(centres, 100, axis=0) + 0.3 * RNG.normal(size=(2000, 16))
