@@ -1,10 +1,14 @@
-"""Neighbours and groups without scanning cells: a k-neighbour graph by NN-descent, and links by hyperplane bands.
+"""Neighbours and groups without scanning cells: a k-neighbour graph by NN-descent or by probed cells, and links by hyperplane bands.
 
 NN-descent (Dong et al., "Efficient k-nearest neighbor graph construction for generic similarity measures", 2011): every vector keeps a
 bounded list of near ones; a round lets all members of a list, and a bounded draw of those that list it, meet, and keeps what is nearer. A list
 travels as one row group of at most `2 * width` vectors, so neither a hub nor a crowd of copies makes a large task; what a task emits is bounded
-by what can still enter a list. The first lists come from random hyperplane cells, cut by hash where they are crowded. How wide lists must be depends
-on the data, so settled lists are held against the exact neighbours of a bounded draw of vectors, and while too few are found they are widened.
+by what can still enter a list. The first lists come from random hyperplane cells, cut by hash where they are crowded.
+
+Descent needs clusters: lists of random vectors of many numbers must be so wide that their meetings cost more than all pairs. So the exact neighbours of a
+bounded draw of vectors say beforehand how many cells of nearest pivots a vector must visit, if each is listed in several, to find the wanted share
+of its neighbours (Lv et al., "Multi-Probe LSH", 2007, with pivots in place of hashes). Where visits cost no more than descent, or settled lists
+hold too few of the draw's neighbours, vectors visit their cells: in parts cut by hash, multiplied cell by cell, a task keeping `width` hits a vector.
 
 Bands: the signs of a vector against random hyperplanes agree for two vectors with probability 1 - angle / pi each, so vectors at the threshold share
 one of enough bands of signs almost surely. All who share a band meet its head only, which is linear in a crowd; then those
@@ -20,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from catalograph.operators.neighbours import BLOCK, _expand, _folded, _owner, _rows, connected_components, first_named, grouped, local_roots, sliced, unit_matrix
+from catalograph.operators.neighbours import (
+    BLOCK, PAIRS, SLAB, _expand, _folded, _owner, _rows, _slack, connected_components, first_named, grouped, local_roots, sliced, unit_matrix)
 from catalograph.operators.sizes import small
 from catalograph.operators.vectors import top_per_key
 from catalograph.session import cut_lineage
@@ -29,10 +34,16 @@ LEAF = 128  # vectors a hyperplane cell should hold at the start
 TREES = 3
 ROUNDS = 12
 SETTLED = 0.001  # the share of list entries that may still change in the last round
-GIVE = 16  # others that a member takes from one meeting of widened lists; it is in many
 RECALL = 0.95  # the share of exact neighbours that lists must hold, measured over DRAW vectors (standard error about 0.01)
 DRAW = 400
-STALLED = 0.01  # lists that gained less than this share in a round are widened
+STALLED = 0.01  # lists that gain less than this share in a round, and hold too little, are given up
+PRICE = 16  # pairs of a probe that cost what one of descent does: its groups are small, its products in double precision
+PIVOTS = (8192, 16)  # pivots of a probe at most (8192 vectors of 512 single floats are 16 MB), vectors a pivot at least
+LISTED = 16  # cells that list a vector at most
+WHOLE = 0.7  # where this share of all pairs must be visited, all are, without repeats
+ASKING, HELD = 1 << 22, 1 << 24  # numbers a side of a probing task: 65,536 and 262,144 vectors of 64, 16 and 64 MB
+SETTLE = 2_000_000  # hits a probing task gathers before it drops all but each asker's best
+SEEDS = 4096  # held vectors that all in a probing task meet first, for a bound
 FEW = 8  # rows of a bucket whose pairs are named one by one
 MISS = 0.001  # the probability that no band of a pair at the threshold agrees
 
@@ -118,11 +129,159 @@ def _drawn(base: DataFrame, k: int, draw: int, seed: int) -> DataFrame:
     return cut_lineage(top_per_key(near, ["u"], [F.desc("score"), F.col("v")], k).select("u", "v"))
 
 
+@dataclass(frozen=True)
+class _Probe:
+    """A vector is listed in the cells of its `listed` nearest pivots and visits those of its `visits` nearest."""
+
+    pivots: np.ndarray
+    listed: int
+    visits: int
+
+    @property
+    def share(self) -> float:
+        """Of all ordered pairs, about so many are scored, repeats counted."""
+        return self.listed * self.visits / len(self.pivots)
+
+
+def _probe(base: DataFrame, exact: DataFrame, n: int, recall: float, seed: int) -> _Probe:
+    """The cheapest probe that finds the share `recall` of the pairs `exact(u, v)`, of which there are draw * k at most."""
+    picked = base.orderBy(F.xxhash64(F.lit(seed + 1), "nid"), "nid").limit(max(1, min(PIVOTS[0], n // PIVOTS[1]))).select("vec").toArrow()
+    pivots = unit_matrix(picked["vec"]).astype("f4")
+    vecs = base.select("nid", "vec")
+    ends = exact.join(vecs.withColumnsRenamed({"nid": "u", "vec": "x"}), "u").join(vecs.withColumnsRenamed({"nid": "v", "vec": "y"}), "v").select("x", "y").toArrow()
+    most, ranks = min(LISTED, len(pivots)), []
+    for i in range(0, len(ends), 128):
+        x, y = (unit_matrix(ends[c].slice(i, 128)).astype("f4") @ pivots.T for c in "xy")
+        cos = np.take_along_axis(x, _nearest_first(y, most), axis=1)
+        ranks.append((x[:, None, :] > cos[:, :, None]).sum(axis=2))
+    first = np.sort(np.minimum.accumulate(np.concatenate(ranks), axis=1), axis=0)[math.ceil(recall * len(ends)) - 1] + 1
+    best = int(np.argmin(first * np.arange(1, most + 1)))
+    found = _Probe(pivots, best + 1, int(first[best]))
+    return found if found.share < WHOLE else _Probe(pivots[:1], 1, 1)
+
+
+def _nearest_first(cos: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the `most` greatest of each row, greatest first."""
+    at = np.argpartition(-cos, most - 1, axis=1)[:, :most]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(cos, at, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _by_cell(near: pa.ChunkedArray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, rows): the rows whose list names cell c are rows[start[c]: start[c + 1]]."""
+    flat = np.frombuffer(b"".join(near.to_pylist()), "<i2")
+    at = np.argsort(flat, kind="stable")
+    return np.searchsorted(flat[at], np.arange(cells + 1)), (at // (len(flat) // len(near))).astype("i4")
+
+
+def _probing(cells: int, width: int):
+    """A task of askers `(nid, vec, near)` and held vectors of the same form: each asker's `width` best of the cells in its list, and of the seeds, by exact
+    scores. Then a row without `u`, whose `v` counts the scored pairs."""
+    def run(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        if not len(qt) or not len(ct):
+            return _table([], [], [])
+        mine, theirs = qt["nid"].to_numpy(), ct["nid"].to_numpy()
+        (u, u4), (v, v4) = _lengths(qt["vec"]), _lengths(ct["vec"])
+        slack, low = _slack(u4), np.full(len(u4), -1.5)
+        seeds = np.random.default_rng(len(v4)).permutation(len(v4))[:SEEDS].astype("i4")
+        found, size, scored = [], 0, 0
+
+        def hold(row: np.ndarray, col: np.ndarray, s: np.ndarray) -> None:
+            nonlocal size, scored
+            scored += s.size
+            x, y = np.divmod(np.flatnonzero(s >= (low[row] - slack).astype("f4")[:, None]), len(col))
+            x, y = row[x], col[y]
+            for i in range(0, len(x), PAIRS):
+                r, c = x[i: i + PAIRS], y[i: i + PAIRS]
+                score, other = _cosines(u, v, r, c), mine[r] != theirs[c]
+                ok = (score >= low[r]) & other
+                found.append((r[ok], c[ok], score[ok]))
+                size += int(ok.sum())
+                if size > SETTLE:
+                    settle()
+
+        def settle() -> None:
+            nonlocal found, size
+            row, col, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (seeds[:0], seeds[:0], low[:0])
+            pair = row.astype("i8") * len(v4) + col
+            at = np.argsort(pair)
+            at = at[np.append(True, np.diff(pair[at]) != 0)] if len(at) else at  # found in one cell of several
+            row, col, score = row[at], col[at], score[at]
+            at = np.argsort((row.astype("i8") << 40) + ((1.5 - score) * (1 << 38)).astype("i8"))
+            row, col, score = row[at], col[at], score[at]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            last = rank == width - 1
+            low[row[last]] = score[last]
+            found, size = [(row[rank < width], col[rank < width], score[rank < width])], 0
+
+        for i in range(0, len(u4), SLAB[1]):
+            row = np.arange(i, min(i + SLAB[1], len(u4)), dtype="i4")
+            s = u4[row] @ v4[seeds].T
+            if len(seeds) > width:  # one of them may be the asker
+                low[row] = np.fmax(-1.5, -np.partition(-s, width, axis=1)[:, width] - slack)
+            hold(row, seeds, s)
+        settle()
+        if len(v4) > len(seeds):
+            (start, rows), (begin, cols) = _by_cell(qt["near"], cells), _by_cell(ct["near"], cells)
+            for c in range(cells):
+                row, col = rows[start[c]: start[c + 1]], cols[begin[c]: begin[c + 1]]
+                for y in range(0, len(col), SLAB[1]):
+                    part = v4[col[y: y + SLAB[1]]].T
+                    for x in range(0, len(row), SLAB[0]):
+                        hold(row[x: x + SLAB[0]], col[y: y + SLAB[1]], u4[row[x: x + SLAB[0]]] @ part)
+            settle()
+        row, col, score = found[0]
+        return pa.concat_tables([_table(mine[row], theirs[col], score), _table([None], [scored], [None])])
+
+    return run
+
+
+def _lengths(col: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """((vectors as they came, their lengths), unit vectors in single precision), made a chunk at a time."""
+    raw = [np.asarray(x.flatten()).reshape(len(x), -1) for x in col.chunks if len(x)]
+    norm = [np.linalg.norm(x.astype("f8"), axis=1, keepdims=True) for x in raw]
+    return (np.concatenate(raw), np.concatenate(norm)), np.concatenate([(x / n).astype("f4") for x, n in zip(raw, norm, strict=True)])
+
+
+def _cosines(u: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray], row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Cosines of pairs to 12 places, as `unit_matrix` and a product give them."""
+    return np.round(np.einsum("ij,ij->i", u[0][row] / u[1][row], v[0][col] / v[1][col]), 12)
+
+
+def _probed(base: DataFrame, probe: _Probe, width: int) -> tuple[DataFrame, int]:
+    """((u, v, score), scored pairs): the `width` best others that each vector of `base` finds in the cells it visits."""
+    owner, spark = _owner(base), base.sparkSession
+    rows = int(base.groupBy(*owner).count().agg(F.max("count").alias("n")).first().n or 0)
+    numbers, most = rows * _dim(base), max(probe.listed, probe.visits)
+    parts = max(1, -(-numbers // HELD))
+    sides = max(1, -(-numbers // ASKING), min(-(-3 * spark.sparkContext.defaultParallelism // parts), -(-rows // BLOCK)))
+    schema = base.select(*owner, "nid", "vec").schema.add("near", T.BinaryType())
+
+    def place(batches):
+        for b in sliced(batches):
+            near = _nearest_first(unit_matrix(b.column(b.num_columns - 1)).astype("f4") @ probe.pivots.T, most).astype("<i2")
+            ends = np.arange(b.num_rows + 1, dtype="i4") * 2 * most
+            lists = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(near.tobytes())])
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "near"])
+
+    placed = cut_lineage(base.select(*owner, "nid", "vec").mapInArrow(place, schema))
+
+    def side(cells: int, own: str, own_parts: int, other: str, other_parts: int) -> DataFrame:
+        return placed.select(*owner, "nid", "vec", F.substring("near", 1, 2 * cells).alias("near"), F.pmod(F.xxhash64(F.lit(own), "nid"), F.lit(own_parts)).cast("int").alias(own),
+                             F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))).alias(other)).groupBy(*owner, "asking", "held")
+
+    found = cut_lineage(side(probe.visits, "asking", sides, "held", parts).cogroup(side(probe.listed, "held", parts, "asking", sides)).applyInArrow(
+        _probing(len(probe.pivots), width), EDGE))
+    edges = found.filter("u is not null")
+    if parts > 1:
+        edges = cut_lineage(top_per_key(edges, ["u"], [F.desc("score"), F.col("v")], width).select("u", "v", "score"))
+    return edges, int(found.filter("u is null").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("n")).first().n)
+
+
 @dataclass(frozen=True)
 class NeighbourGraph:
     """`rows` are the index rows with `gid`, `points` the distinct vectors (nid, gid, first, ids[, store]), `edges` (u, v, score) their lists by nid.
-    `compared` counts the scored pairs, `of` all pairs of distinct vectors; `width` is that of the lists at the end, `recall` what they hold of the draw's
-    neighbours (None: not measured)."""
+    `compared` counts the scored pairs (of a probe both ways round), `of` all pairs of distinct vectors; `rounds` are those of descent, `width` is that of the lists,
+    `recall` what they hold of the draw's neighbours (None: not measured)."""
 
     rows: DataFrame
     points: DataFrame
@@ -138,11 +297,12 @@ class NeighbourGraph:
 
         Copies of a row's vector come from the fold and are complete."""
         name = self.points.select(F.col("nid"), F.col("gid"), "first", "ids")
+        rows = self.rows if queries is None else self.rows.join(queries, [c for c in ("store", "key_id") if c in queries.columns and c in self.rows.columns], "left_semi")
+        mine = name if queries is None else name.join(rows.select("gid"), "gid", "left_semi")
         listed = lambda score: F.array(F.struct((-score).alias("neg"), "first", "ids")).alias("near")
-        near = self.edges.join(name.select(F.col("nid").alias("u"), F.col("gid").alias("q")), "u").join(
+        near = self.edges.join(mine.select(F.col("nid").alias("u"), F.col("gid").alias("q")), "u").join(
             name.select(F.col("nid").alias("v"), "first", "ids"), "v").select("q", listed(F.col("score")))
-        own = name.select(F.col("gid").alias("q"), listed(F.lit(1.0)))
-        rows = self.rows if queries is None else self.rows.join(queries, [c for c in ("store", "key_id") if c in queries.columns and c in self.rows.columns], "left_semi")
+        own = mine.select(F.col("gid").alias("q"), listed(F.lit(1.0)))
         return _expand(near.unionByName(own), rows, k + 1 if exclude_self else k, k, exclude_self)
 
     def groups(self, threshold: float) -> DataFrame:
@@ -157,51 +317,55 @@ def knn_graph(vectors: DataFrame, model: str, k: int = 10, width: int | None = N
               settled: float = SETTLED, seed: int = 17, recall: float | None = RECALL, draw: int = DRAW) -> NeighbourGraph:
     """The graph of (approximately) the `width` nearest distinct vectors of every vector, at least k + 1; by default three times k, 24 at least.
 
-    A round shuffles at most 2 * width vectors a row; rounds end when less than the share `settled` of the entries changed. If the lists then hold
-    less than `recall` of the k nearest of `draw` vectors, or gain too little in a round before, their width doubles, vectors meet in new cells too, and
-    rounds go on until they do. Without clusters (random vectors of many numbers) the width needed grows with the table. `recall` None: no such measure.
+    A round of descent shuffles at most 2 * width vectors a row; rounds end when less than the share `settled` of the entries changed. Vectors visit cells
+    instead if that costs no more than `rounds` rounds, or if settled lists hold less than `recall` of the k nearest of `draw` vectors. A probe shuffles a
+    vector once a part of the other side. Without clusters (random vectors of many numbers) its pairs stay a share of all, which falls slowly as
+    the table grows. `recall` None: no such measure, and descent alone.
     """
     width = max(k + 1, width or max(24, 3 * k))
     rows = _rows(vectors, model, _owner(vectors))
-    owner = _owner(rows)
     base = cut_lineage(_folded(rows, k + 1).withColumns({"first": F.element_at("ids", 1), "nid": F.monotonically_increasing_id()}))
     n = base.count()
+    exact = _drawn(base, k, draw, seed) if recall is not None else None
+    wanted = exact.count() if exact is not None else 0
+    probe = _probe(base, exact, n, recall, seed) if wanted else None
+    kept = lambda edges: edges.join(F.broadcast(exact), ["u", "v"], "left_semi").count()  # noqa: E731  at most draw * k rows
+    graph, compared, turns, held = None, 0, 0, 0
+    if probe is None or probe.share * n > PRICE * rounds * 2 * width * width:
+        graph, compared, turns = _descended(base, n, width, trees, leaf, rounds, settled, seed, lambda g: kept(g) / wanted if wanted else None, recall)
+        held = kept(graph) if wanted else 0
+    if probe is not None and held < recall * wanted:
+        graph, more = _probed(base, probe, width)
+        compared, held = compared + more, kept(graph)
+    return NeighbourGraph(rows, base.drop("vec"), graph, compared, n * (n - 1) // 2, turns, width, held / wanted if wanted else None)
+
+
+def _descended(base: DataFrame, n: int, width: int, trees: int, leaf: int, rounds: int, settled: float, seed: int, held, recall: float | None) -> tuple[DataFrame, int, int]:
+    """((u, v, score), scored pairs, rounds). `held` gives the share of the draw's neighbours that lists hold, or None: lists that gain little and hold less than
+    `recall` are given up."""
+    owner = _owner(base)
     vecs = base.select("nid", "vec")
     depth, dim = max(0, math.ceil(math.log2(max(1, n / leaf)))), _dim(base)
     pairs = lambda counts: int(counts.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("x")).first().x)
     group = [*owner, "band", "bits", "part"]
     order = [F.desc("score"), F.col("v")]
-    compared = 0
-
-    def begun(width: int, seed: int) -> DataFrame:
-        """(u, v, score): the nearest within the cells of `trees` sets of hyperplanes."""
-        nonlocal compared
-        best = _meet(width)
-        cells = _signs(base, [planes(depth, dim, seed + i) for i in range(trees)], [*owner, "nid"])
-        placed = cut_lineage(_parts(cells, [*owner, "band", "bits"], 2 * leaf, "nid").drop("parts"))
-        compared += pairs(placed.groupBy(*group).agg(F.count("*").alias("n")))
-
-        def begin(t: pa.Table) -> pa.Table:
-            ids = t["nid"].to_numpy()
-            return _table(*best(ids, t["vec"], np.ones(len(ids), bool), np.full(len(ids), -1.5)))
-
-        return placed.join(vecs, "nid").groupBy(*group).applyInArrow(begin, EDGE)
+    best = _meet(width)
+    cells = _signs(base, [planes(depth, dim, seed + i) for i in range(trees)], [*owner, "nid"])
+    placed = cut_lineage(_parts(cells, [*owner, "band", "bits"], 2 * leaf, "nid").drop("parts"))
+    compared = pairs(placed.groupBy(*group).agg(F.count("*").alias("n")))
 
-    def listed(found: DataFrame, width: int) -> DataFrame:
-        once = found.groupBy("u", "v").agg(F.max("score").alias("score"))
-        return cut_lineage(top_per_key(once, ["u"], order, width).select("u", "v", "score", F.lit(True).alias("fresh")))
+    def begin(t: pa.Table) -> pa.Table:
+        ids = t["nid"].to_numpy()
+        return _table(*best(ids, t["vec"], np.ones(len(ids), bool), np.full(len(ids), -1.5)))
 
-    graph = listed(begun(width, seed), width)
-    best = _meet(width)
-    exact = _drawn(base, k, draw, seed) if recall is not None else None
-    wanted = exact.count() if exact is not None else 0
-    held, wider, until = 0, False, rounds
+    once = placed.join(vecs, "nid").groupBy(*group).applyInArrow(begin, EDGE).groupBy("u", "v").agg(F.max("score").alias("score"))
+    graph = cut_lineage(top_per_key(once, ["u"], order, width).select("u", "v", "score", F.lit(True).alias("fresh")))
 
     def local(t: pa.Table) -> pa.Table:
         return _table(*best(t["a"].to_numpy(), t["vec"], t["fresh"].to_numpy(zero_copy_only=False), t["low"].to_numpy()))
 
-    turn = 0
-    while turn < until:
+    turn, found = 0, 0.0
+    while turn < rounds:
         turn += 1
         back = top_per_key(graph.select(F.col("v").alias("w"), F.col("u").alias("a"), "fresh"), ["w"], [F.desc("fresh"), F.xxhash64(F.lit(turn), "a")], width)
         members = graph.select(F.col("u").alias("w"), F.col("v").alias("a"), "fresh").unionByName(back.drop("rank")).groupBy("w", "a").agg(F.max("fresh").alias("fresh"))
@@ -215,20 +379,12 @@ def knn_graph(vectors: DataFrame, model: str, k: int = 10, width: int | None = N
         new = met.groupBy("w").applyInArrow(local, EDGE).withColumn("fresh", F.lit(True))
         both = graph.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("u", "v").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         graph = cut_lineage(top_per_key(both, ["u"], order, width).select("u", "v", "score", "fresh"))
-        still = graph.filter("fresh").count() <= settled * n * width
-        if wanted:
-            before, held = held, graph.join(F.broadcast(exact), ["u", "v"], "left_semi").count()  # at most draw * k rows
-            if held < recall * wanted:
-                if (still or turn == until or held - before < STALLED * wanted) and width < n - 1:
-                    width, wider, until = min(2 * width, n - 1), True, turn + rounds
-                    best = _meet(GIVE)
-                    graph = listed(graph.select("u", "v", "score").unionByName(begun(width, seed + 100 * turn)), width)
-                    continue
-            elif wider:
-                break
-        if still:
+        if graph.filter("fresh").count() <= settled * n * width:
+            break
+        before, found = found, held(graph)
+        if found is not None and found < recall and found - before < STALLED:
             break
-    return NeighbourGraph(rows, base.drop("vec"), graph.select("u", "v", "score"), compared, n * (n - 1) // 2, turn, width, held / wanted if wanted else None)
+    return graph.select("u", "v", "score"), compared, turn
 
 
 def band_plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:

@@ -60,6 +60,59 @@ def test_lists_widen_until_they_hold_the_neighbours(spark):
     assert hits >= 0.9 * 5 * 400
 
 
+def listed(graph, k):
+    got = {}
+    for r in graph.neighbours(k).collect():
+        got.setdefault(r.key_id, set()).add(r.neighbour)
+    return got
+
+
+def test_graph_of_random_vectors_costs_no_more_than_all_pairs(spark, monkeypatch):
+    """Without clusters vectors visit cells: fewer pairs than all, both ways round, in whole lists of exact scores that hold the neighbours."""
+    monkeypatch.setattr(NG, "SEEDS", 64, raising=False)
+    m = np.random.default_rng(9).normal(size=(3000, 64))
+    graph = NG.knn_graph(frame(spark, m), "m", 10, width=11)
+    assert graph.compared <= 1.8 * graph.of and graph.width == 11 and graph.recall >= 0.95
+    got = listed(graph, 10)
+    s = cosines(m, m)
+    np.fill_diagonal(s, -2)
+    assert len(got) == 3000 and all(len(x) == 10 for x in got.values())
+    assert sum(len(got[i] & set(np.argsort(-s[i])[:10].tolist())) for i in range(3000)) >= 0.93 * 10 * 3000
+    edges = graph.edges.join(graph.points.select(NG.F.col("nid").alias("u"), NG.F.col("first").alias("a")), "u").join(
+        graph.points.select(NG.F.col("nid").alias("v"), NG.F.col("first").alias("b")), "v").collect()
+    assert len({(r.a, r.b) for r in edges}) == len(edges) == 3000 * graph.width and all(r.a != r.b and abs(r.score - s[r.a, r.b]) < 2e-12 for r in edges)
+    asked = {r.key_id for r in graph.neighbours(10, queries=spark.range(0, 3000, 20).withColumnRenamed("id", "key_id")).collect()}
+    assert asked == set(range(0, 3000, 20))
+
+
+def test_probe_in_parts_gives_the_same_lists(spark, two, monkeypatch):
+    """Sides cut into several parts, hits dropped often, two stores with a crowd and copies: the lists of one part."""
+    monkeypatch.setattr(NG, "WHOLE", 0.0)  # all pairs
+    rows = lambda: sorted((r.store, r.key_id, r["rank"], round(r.score, 9)) for r in NG.knn_graph(two, "m", 10).neighbours(10).collect())
+    whole = rows()
+    monkeypatch.setattr(NG, "SEEDS", 16)
+    monkeypatch.setattr(NG, "SETTLE", 500)
+    monkeypatch.setattr(NG, "ASKING", 16 * 150)
+    monkeypatch.setattr(NG, "HELD", 16 * 200)
+    assert rows() == whole
+
+
+@pytest.mark.parametrize("clusters", [True, False])
+def test_descent_hands_over_what_it_does_not_find(spark, clusters, monkeypatch):
+    """Descent first: near ones in clusters are found by it, those of random vectors by cells after it."""
+    monkeypatch.setattr(NG, "PRICE", 0)
+    r = np.random.default_rng(10)
+    m = np.repeat(r.normal(size=(30, 16)), 40, axis=0) + 0.2 * r.normal(size=(1200, 16)) if clusters else r.normal(size=(1200, 32))
+    met = []
+    monkeypatch.setattr(NG, "_probed", lambda *a, f=NG._probed: met.append(1) or f(*a))
+    graph = NG.knn_graph(frame(spark, m), "m", 5, width=24 if clusters else 6, leaf=24, trees=3 if clusters else 1)
+    assert graph.rounds > 0 and bool(met) != clusters and graph.recall >= 0.95
+    got = listed(graph, 5)
+    s = cosines(m, m)
+    np.fill_diagonal(s, -2)
+    assert sum(len(got[i] & set(np.argsort(-s[i])[:5].tolist())) for i in range(1200)) >= 0.93 * 5 * 1200
+
+
 def test_graph_of_nothing_and_of_one(spark):
     df = frame(spark, np.array([[1.0, 2.0]]))
     assert NG.knn_graph(df, "m").neighbours(5).count() == 0
